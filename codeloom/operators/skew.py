@@ -1,0 +1,31 @@
+"""Joins whose big side may hold one key in a large share of its rows."""
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+HOT_SHARE = 1000  # a key is hot from 1/1000 of the rows on, so there are never more than 1000
+SALTS = 64
+
+
+class HotKeys:
+    """The hot values of a key, found with one pre-aggregated count, and the salts they get."""
+
+    def __init__(self, big: DataFrame, key: str, min_rows: int = 1_000_000, salts: int = SALTS):
+        counts = big.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        top = counts.where(F.col("n") >= min_rows).orderBy(F.desc("n")).limit(HOT_SHARE).collect()
+        self.values = [r["k"] for r in top if r["k"] is not None]
+        self.salts = salts
+
+    def _is_hot(self, key: Column) -> Column:
+        return key.isin(self.values) if self.values else F.lit(False)
+
+    def salt_big(self, df: DataFrame, key: str, spread_by: list[str]) -> DataFrame:
+        """The many-rows side: hot rows are dealt over the salts by their other columns."""
+        salt = F.pmod(F.hash(*[F.col(c) for c in spread_by]), F.lit(self.salts))
+        return df.withColumn("_salt", F.when(self._is_hot(F.col(key)), salt).otherwise(F.lit(0)))
+
+    def salt_small(self, df: DataFrame, key: str) -> DataFrame:
+        """The few-rows side: hot rows are repeated once per salt."""
+        every = F.sequence(F.lit(0), F.lit(self.salts - 1))
+        choice = F.when(self._is_hot(F.col(key)), every).otherwise(F.array(F.lit(0)))
+        return df.withColumn("_salt", F.explode(choice))
