@@ -209,6 +209,18 @@ def graph_edges(facts: DataFrame, by_field: bool = False) -> DataFrame:
     return out.withColumn("attrs", F.lit(None).cast("map<string,string>"))
 
 
+def value_edges(facts: DataFrame) -> DataFrame:
+    """How a value moves inside a statement: from an expression to what encloses it, and from an
+    assigning statement to its targets."""
+    target = F.col("field").isin("targets", "target", "items.optional_vars")
+    up = ~F.col("is_stmt") & ~target & ~F.col("ast_type").isin("arg", "alias", "ExceptHandler")
+    rows = parsed(facts).where(F.col("parent").isNotNull() & (target | up))
+    return rows.select(
+        "file", F.when(target, F.col("parent")).otherwise(F.col("id")).alias("src"),
+        F.when(target, F.col("id")).otherwise(F.col("parent")).alias("dst"), F.lit("VALUE").alias("kind"),
+    )
+
+
 def id_shifts(nodes: DataFrame) -> DataFrame:
     """(file, shift): what to add to a file's ids so that ids are unique in the repository.
 

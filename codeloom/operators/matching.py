@@ -65,63 +65,71 @@ def constraint_holds(kwargs: Column, constraint: dict) -> Column:
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def _framework_gate(rule: dict) -> Column:
-    wanted = rule.get("frameworks")
-    if not wanted:
-        return F.lit(True)
-    return F.arrays_overlap("frameworks", F.array(*[F.lit(w) for w in wanted]))
-
-
-def _name_hits(rule: dict, base_attr: bool) -> Column:
-    """Needs the columns kind, _suffixes (call name suffixes), _attr and _base."""
-    kind, tests = F.col("kind"), []
-    if rule.get("calls"):
-        names = F.array(*[F.lit(c) for c in rule["calls"]])
-        tests.append((kind == "Call") & F.arrays_overlap("_suffixes", names))
-    if rule.get("attrs"):
-        tests.append((kind == "Attribute") & F.col("_attr").isin(*rule["attrs"]))
-        if base_attr:
-            tests.append((kind == "Call") & F.col("_base").isin(*rule["attrs"]))
-    return F.coalesce(X.any_of(tests), F.lit(False))
+def _sql_text(value) -> str:
+    """SQL literal of a string, flag or list of strings."""
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return "cast(array(" + ", ".join(_sql_text(v) for v in value) + ") as array<string>)"
+
+
+def rule_literal(rules: list[dict], fields: dict) -> Column:
+    """Rules in catalogue order as one constant ARRAY<STRUCT>; ``fields`` maps a name to its value."""
+    rows = [
+        "named_struct('ord', " + str(i) + "".join(f", '{n}', {_sql_text(get(r))}" for n, get in fields.items()) + ")"
+        for i, r in enumerate(rules)
+    ]
+    return F.expr(f"array({', '.join(rows)})")
 
 
-def _first(rules: list, test, value) -> Column:
-    """The first rule that passes, as CASE WHEN in catalogue order."""
-    out = None
-    for r in rules:
-        out = F.when(test(r), value(r)) if out is None else out.when(test(r), value(r))
-    return out if out is not None else F.lit(None)
+_RULE_FIELDS = {
+    "id": lambda r: r["id"],
+    "kind": lambda r: r.get("kind") or ",".join(r.get("kinds", [])),
+    "frameworks": lambda r: r.get("frameworks") or [],
+    "calls": lambda r: r.get("calls") or [],
+    "attrs": lambda r: r.get("attrs") or [],
+    "parameters": lambda r: bool(r.get("needs_parameters")),
+}
 
 
-def match_columns(catalogue: Catalogue = DEFAULT, literal_kwargs: bool = False) -> dict[str, Column]:
-    """source_id, source_kinds, sink_id, sink_kind, sink_ok, sanitizer_id, sanitizer_kind."""
-    kwargs = F.map_concat("kwargs", "literal_kwargs") if literal_kwargs else F.col("kwargs")
-    param = is_parameterised_query(F.col("n_args"), F.col("query_kind"), F.col("query_text"))
+def _first_rule(rules: list[dict], base_attr: bool = False, extra=None) -> Column:
+    """STRUCT of the first rule whose names and frameworks fit the row; null if there is none.
 
-    def is_source(r):
-        return _framework_gate(r) & _name_hits(r, base_attr=True)
+    Needs the columns kind, frameworks, _suffixes (dotted suffixes of the call name), _attr and _base.
+    """
+    kind = F.col("kind")
 
-    def is_sink(r):
-        return _framework_gate(r) & _name_hits(r, base_attr=False)
+    def fits(r):
+        gate = (F.size(r["frameworks"]) == 0) | F.arrays_overlap(r["frameworks"], F.col("frameworks"))
+        call = F.arrays_overlap(r["calls"], F.col("_suffixes"))
+        if base_attr:
+            call = call | F.coalesce(F.array_contains(r["attrs"], F.col("_base")), F.lit(False))
+        attr = F.coalesce(F.array_contains(r["attrs"], F.col("_attr")), F.lit(False))
+        hit = gate & (((kind == "Call") & call) | ((kind == "Attribute") & attr))
+        return hit if extra is None else hit & extra(r)
+
+    if not rules:
+        return F.lit(None).cast("struct<id:string,kind:string>")
+    hits = F.filter(rule_literal(rules, _RULE_FIELDS), fits)
+    named = F.col("kind").isin("Call", "Attribute")
+    return F.when(named, F.try_element_at(hits, F.lit(1)))
 
-    def is_sanitizer(r):
-        hit = _name_hits(r, base_attr=False)
-        return hit & param if r.get("needs_parameters") else hit
 
-    sinks = catalogue.sinks
+def match_columns(catalogue: Catalogue = DEFAULT, literal_kwargs: bool = False) -> dict[str, Column]:
+    """source, sink and sanitizer as rule structs, and sink_ok: the sink's constraint holds."""
+    kwargs = F.map_concat("kwargs", "literal_kwargs") if literal_kwargs else F.col("kwargs")
+    param = is_parameterised_query(F.col("n_args"), F.col("query_kind"), F.col("query_text"))
+    ok = F.lit(True)
+    for r in catalogue.sinks:
+        if r.get("constraints"):
+            bound = (F.col("kind") == "Call") & (F.col("sink.id") == r["id"])
+            ok = F.when(bound, constraint_holds(kwargs, r["constraints"])).otherwise(ok)
     return {
-        "source_id": _first(catalogue.sources, is_source, lambda r: F.lit(r["id"])),
-        "source_kinds": _first(catalogue.sources, is_source, lambda r: F.lit(",".join(r.get("kinds", [])))),
-        "sink_id": _first(sinks, is_sink, lambda r: F.lit(r["id"])),
-        "sink_kind": _first(sinks, is_sink, lambda r: F.lit(r.get("kind", ""))),
-        "sink_ok": _first(
-            sinks, is_sink,
-            lambda r: F.when(F.col("kind") != "Call", True).otherwise(
-                constraint_holds(kwargs, r["constraints"]) if r.get("constraints") else F.lit(True)
-            ),
-        ),
-        "sanitizer_id": _first(catalogue.sanitizers, is_sanitizer, lambda r: F.lit(r["id"])),
-        "sanitizer_kind": _first(catalogue.sanitizers, is_sanitizer, lambda r: F.lit(r.get("kind", ""))),
+        "source": _first_rule(catalogue.sources, base_attr=True),
+        "sink": _first_rule(catalogue.sinks),
+        "sanitizer": _first_rule(catalogue.sanitizers, extra=lambda r: ~r["parameters"] | param),
+        "sink_ok": ok,
     }
 
 
@@ -187,7 +195,8 @@ def matched_nodes(
     """Nodes with type and match attributes, keyed by (file, id)."""
     rows = with_resolved_code(facts).withColumn("kind", node_kind(F.col("ast_type")))
     rows = with_match_names(rows, "resolved", catalogue.longest_call)
-    rows = rows.select("*", *[c.alias(n) for n, c in match_columns(catalogue, literal_kwargs).items()])
+    for name, column in match_columns(catalogue, literal_kwargs).items():
+        rows = rows.withColumn(name, column)
     return rows.select(
         "file", "id", "kind", span_struct().alias("span"), "code", F.col("name").alias("symbol"),
         F.col("hint").alias("type_hint"), F.array().cast("array<string>").alias("flags"),
@@ -197,17 +206,17 @@ def matched_nodes(
 
 def match_attrs() -> Column:
     """MAP of the match attributes that apply."""
-    failed = F.when(F.col("sink_id").isNotNull() & ~F.col("sink_ok"), "true")
+    failed = F.when(F.col("sink").isNotNull() & ~F.col("sink_ok"), "true")
     entries = [
-        ("is_source", F.when(F.col("source_id").isNotNull(), "true")),
-        ("source_id", F.col("source_id")),
-        ("source_kinds", F.nullif("source_kinds", F.lit(""))),
-        ("is_sink", F.when(F.col("sink_id").isNotNull(), "true")),
-        ("sink_id", F.col("sink_id")),
-        ("sink_kind", F.col("sink_kind")),
+        ("is_source", F.when(F.col("source").isNotNull(), "true")),
+        ("source_id", F.col("source.id")),
+        ("source_kinds", F.nullif("source.kind", F.lit(""))),
+        ("is_sink", F.when(F.col("sink").isNotNull(), "true")),
+        ("sink_id", F.col("sink.id")),
+        ("sink_kind", F.col("sink.kind")),
         ("sink_constraint_failed", failed),
-        ("sanitizer_id", F.col("sanitizer_id")),
-        ("sanitizer_kind", F.col("sanitizer_kind")),
+        ("sanitizer_id", F.col("sanitizer.id")),
+        ("sanitizer_kind", F.col("sanitizer.kind")),
     ]
     full = F.create_map(*[x for k, v in entries for x in (F.lit(k), v)])
     return F.map_filter(full, lambda _, v: v.isNotNull())
@@ -237,35 +246,39 @@ def graph_frameworks(files: DataFrame) -> DataFrame:
     return files.select("file", F.struct(frameworks_of(F.col("code")).alias("frameworks")).alias("metadata"))
 
 
-def _pattern_score(p: dict, source: Column, sink: Column, kind: Column, code: Column) -> Column:
-    sources = p.get("sources", [])
-    sinks = p.get("sinks", [])
-    prefix = F.split_part(source, F.lit("_"), F.lit(1))
-    like = X.any_of([F.startswith(F.lit(s), prefix) for s in sources])
-    by_source = F.when(source != "", F.when(source.isin(*sources) if sources else F.lit(False), 10).when(like, 5))
-    by_sink = F.when(sink.isin(*[s["id"] for s in sinks]), 10) if sinks else F.lit(None)
-    by_kind = F.when((kind != "") & kind.isin(*[s.get("kind") for s in sinks]), 8) if sinks else F.lit(None)
-    parts = [by_source, by_sink, by_kind]
-    for part, words in KEYWORD_BONUS.items():
-        if part in p["id"].lower():
-            parts.append(F.when(X.contains_any(F.lower(code), words), 5))
-    return reduce(lambda a, b: a + b, [F.coalesce(x.cast("int"), F.lit(0)) for x in parts])
+_PATTERN_FIELDS = {
+    "pattern_id": lambda p: p["id"],
+    "sources": lambda p: p.get("sources", []),
+    "sinks": lambda p: [s["id"] for s in p.get("sinks", [])],
+    "kinds": lambda p: [s.get("kind", "") for s in p.get("sinks", [])],
+    "words": lambda p: [w for part, words in KEYWORD_BONUS.items() if part in p["id"].lower() for w in words],
+}
 
 
 def inferred_pattern(
     source: Column, sink: Column, kind: Column, code: Column, catalogue: Catalogue = DEFAULT
 ) -> Column:
-    """STRUCT<pattern_id, score> of the best scoring pattern; ties keep catalogue order."""
-    scored = F.array(
-        *[
-            F.struct(
-                _pattern_score(p, source, sink, kind, code).alias("score"), F.lit(-i).alias("o"),
-                F.lit(p["id"]).alias("pattern_id"),
-            )
-            for i, p in enumerate(catalogue.patterns)
-        ]
-    )
-    best = F.array_max(scored)
+    """STRUCT<pattern_id, score> of the best scoring pattern; ties keep catalogue order.
+
+    +10 source named by the pattern, +5 source of the same family, +10 sink, +8 sink kind, +5 keyword.
+    """
+    prefix = F.split_part(source, F.lit("_"), F.lit(1))
+    low = F.lower(code)
+
+    def points(test, n):
+        return F.when(F.coalesce(test, F.lit(False)), n).otherwise(0)
+
+    def scored(p):
+        named = F.coalesce(F.array_contains(p["sources"], source), F.lit(False))
+        family = (source != "") & F.exists(p["sources"], lambda x: F.startswith(x, prefix))
+        score = (
+            F.when(named, 10).otherwise(points(family, 5)) + points(F.array_contains(p["sinks"], sink), 10)
+            + points((kind != "") & F.array_contains(p["kinds"], kind), 8)
+            + points(F.exists(p["words"], lambda w: F.contains(low, w)), 5)
+        )
+        return F.struct(score.alias("score"), (-p["ord"]).alias("o"), p["pattern_id"].alias("pattern_id"))
+
+    best = F.array_max(F.transform(rule_literal(catalogue.patterns, _PATTERN_FIELDS), scored))
     asked = (F.coalesce(sink, F.lit("")) != "") | (F.coalesce(kind, F.lit("")) != "")
     return F.when(
         asked & (best["score"] > 0), F.struct(best["pattern_id"].alias("pattern_id"), best["score"].alias("score"))

@@ -54,7 +54,7 @@ def page_of(rows: DataFrame, page: int | None, size: int | None, time: str, tie:
 def subject_allowed(subject: Column, patterns: Column) -> Column:
     """The subject matches one of the patterns from its start; * stands for anything; none = allow."""
     none = F.coalesce(F.size(patterns), F.lit(0)) <= 0
-    hit = F.exists(patterns, lambda p: subject.rlike(F.concat(F.lit("^(?:"), F.replace(p, F.lit("*"), F.lit(".*")), F.lit(")"))))
+    hit = F.exists(patterns, lambda p: F.rlike(subject, F.concat(F.lit("^(?:"), F.replace(p, F.lit("*"), F.lit(".*")), F.lit(")"))))
     return F.coalesce(none | hit, F.lit(False))
 
 

@@ -7,6 +7,7 @@ frontier with the edges, checkpoint each round and stop when the frontier is emp
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from codeloom.operators.matching import sink_candidates, source_candidates
 from codeloom.operators.ordered import number_rows, with_quantile_bucket
 from codeloom.operators.skew import HotKeys
 from codeloom.session import cut_lineage
@@ -148,16 +149,15 @@ def indexed_edges(edges: DataFrame, index: DataFrame) -> DataFrame:
     return e.select("file", "src_idx", "dst_idx", edge_code(F.col("kind")).alias("kind_code"))
 
 
-def tainted_paths(
-    nodes: DataFrame, edges: DataFrame, max_depth: int = 16,
-    kinds: tuple[str, ...] = ("DFG", "DDFG", "AST"),
-) -> DataFrame:
-    """Rule baseline: sinks reached from any source without passing a sanitizer, with the distance."""
-    from codeloom.operators.matching import sink_candidates, source_candidates
+def tainted_paths(nodes: DataFrame, flows: DataFrame, max_depth: int = 16) -> DataFrame:
+    """Rule baseline: sinks reached from any source over value and data-flow edges, with the distance.
 
-    sanitised = nodes.where(F.col("attrs")["sanitizer_kind"].isNotNull())
-    seen = reachable(edge_slice(edges, *kinds), source_candidates(nodes), max_depth, sanitised)
-    sinks = sink_candidates(nodes).select("file", "id", F.col("attrs")["sink_id"].alias("sink_id"))
+    Paths do not pass through sanitizers, and a sink that is a sanitizer itself does not count.
+    """
+    sanitised = F.col("attrs")["sanitizer_kind"].isNotNull()
+    seen = reachable(flows, source_candidates(nodes), max_depth, nodes.where(sanitised))
+    sinks = sink_candidates(nodes).where(~sanitised)
+    sinks = sinks.select("file", "id", F.col("attrs")["sink_id"].alias("sink_id"))
     return sinks.join(seen, ["file", "id"]).where(F.col("depth") > 0)
 
 

@@ -69,19 +69,34 @@ def edge_keys_for_export(edges: DataFrame) -> DataFrame:
     return edges.withColumnsRenamed({"src": "source", "dst": "target"})
 
 
-def graph_documents(nodes: DataFrame, edges: DataFrame, meta: DataFrame | None = None) -> DataFrame:
-    """One document per file.  A document is as large as its source file's graph."""
-    span = F.array("span.sl", "span.sc", "span.el", "span.ec")
-    n = nodes.groupBy("file").agg(
-        F.array_sort(
-            F.collect_list(F.struct("id", "kind", span.alias("span"), "code", "symbol", "type_hint", "flags", "attrs"))
-        ).alias("nodes")
+def graph_documents(
+    nodes: DataFrame, edges: DataFrame, meta: DataFrame | None = None, max_items: int = 100_000
+) -> DataFrame:
+    """Graphs as documents: one per file, and further ones for a file with more than ``max_items`` rows.
+
+    Readers explode documents, so a graph in several documents reads back as one graph, and no task
+    ever holds more than about ``max_items`` nodes or edges of a file.
+    """
+    n = nodes.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    e = edges.groupBy("file").agg(F.count(F.lit(1)).alias("e"))
+    parts = n.join(e, "file", "left").select(
+        "file", F.ceil(F.greatest("n", F.coalesce("e", F.lit(0))) / max_items).alias("_parts")
     )
-    e = edges.groupBy("file").agg(F.collect_list(F.struct("src", "dst", "kind", "attrs")).alias("edges"))
-    out = n.join(e, "file", "left").withColumn(
-        "edges", F.coalesce("edges", F.array().cast("array<struct<src:bigint,dst:bigint,kind:string,attrs:map<string,string>>>"))
+
+    def collected(rows, key, item, name):
+        part = F.pmod(F.hash(*key), F.col("_parts"))
+        return rows.join(parts, "file").groupBy("file", part.alias("part")).agg(F.collect_list(item).alias(name))
+
+    span = F.array("span.sl", "span.sc", "span.el", "span.ec")
+    node = F.struct("id", "kind", span.alias("span"), "code", "symbol", "type_hint", "flags", "attrs")
+    docs = collected(nodes, [F.col("id")], node, "nodes").join(
+        collected(edges, [F.col("src"), F.col("dst")], F.struct("src", "dst", "kind", "attrs"), "edges"),
+        ["file", "part"], "full",
     )
-    return out if meta is None else out.join(meta, "file", "left")
+    docs = docs.withColumn("nodes", F.array_sort("nodes", lambda a, b: F.signum(a["id"] - b["id"]).cast("int")))
+    for name in ("nodes", "edges"):
+        docs = docs.withColumn(name, F.coalesce(name, F.array().cast(docs.schema[name].dataType)))
+    return docs if meta is None else docs.join(meta, "file", "left")
 
 
 def write_graphs(documents: DataFrame, path: str, fmt: str = "json") -> None:
