@@ -10,13 +10,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from codeloom.schemas import FACT
 from codeloom.sources.catalogue import canonical_value
 
-ROWS_PER_BATCH = 20_000
+ROWS_PER_BATCH = 50_000
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 COMPREHENSIONS = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
-
-
-def _unparse(node):
-    return None if node is None else ast.unparse(node)
+FILE_COLUMNS = ("file", "status", "error", "frameworks")
+ROW_COLUMNS = tuple(f.name for f in FACT.fields if f.name not in FILE_COLUMNS)
+# name, ctx, hint, base, arg_names, n_args, query_kind, query_text, kwargs, literal_kwargs, decorators, imports
+NO_DETAILS = (None,) * 12
 
 
 def _text(lines, sl, sc, el, ec):
@@ -28,136 +28,140 @@ def _text(lines, sl, sc, el, ec):
     return "\n".join([lines[sl - 1][sc:], *lines[sl : el - 1], lines[el - 1][:ec]])
 
 
-def _children(node):
-    """(field, ord, is_last, child) in the order the grammar lists the fields."""
-    for name, value in ast.iter_fields(node):
-        if isinstance(value, ast.AST):
-            yield name, 0, True, value
-        elif isinstance(value, list):
-            for i, child in enumerate(value):
-                if isinstance(child, ast.AST):
-                    yield name, i, i == len(value) - 1, child
-
-
-def _details(node):
-    """What single node types add to their row."""
-    d = {}
-    if isinstance(node, FUNCTIONS):
-        d = {"name": node.name, "hint": _unparse(node.returns)}
-        d["decorators"] = ["@" + ast.unparse(x) for x in node.decorator_list]
-    elif isinstance(node, ast.ClassDef):
-        d = {"name": node.name}
-    elif isinstance(node, ast.Name):
-        d = {"name": node.id, "ctx": type(node.ctx).__name__}
-    elif isinstance(node, ast.arg):
-        d = {"name": node.arg, "hint": _unparse(node.annotation)}
-    elif isinstance(node, ast.AnnAssign):
-        d = {"hint": _unparse(node.annotation)}
-    elif isinstance(node, ast.Attribute):
-        d = {"base": node.value.id if isinstance(node.value, ast.Name) else None}
-    elif isinstance(node, ast.Call):
-        f = node.func
-        owner = f.value if isinstance(f, ast.Attribute) else None
-        first = node.args[0] if node.args else None
-        literal = isinstance(first, ast.Constant) and isinstance(first.value, str)
-        d = {
-            "base": owner.id if isinstance(owner, ast.Name) else None,
-            "arg_names": [a.id for a in node.args if isinstance(a, ast.Name)],
-            "n_args": len(node.args),
-            "query_kind": "literal" if literal else "fstring" if isinstance(first, ast.JoinedStr) else "other",
-            "query_text": first.value.encode("utf-8", "replace").decode() if literal else None,
-            "kwargs": [],
-            "literal_kwargs": [],
-        }
-        for kw in node.keywords:
-            if kw.arg is None:
-                continue
-            if isinstance(kw.value, ast.Constant):
-                d["kwargs"].append((kw.arg, canonical_value(kw.value.value)))
-            elif isinstance(kw.value, (ast.Dict, ast.List, ast.Tuple)):
-                try:
-                    d["literal_kwargs"].append((kw.arg, canonical_value(ast.literal_eval(kw.value))))
-                except (ValueError, TypeError):
-                    pass
-    elif isinstance(node, ast.Import):
-        d["imports"] = [
-            {"alias": a.asname or a.name.split(".")[-1], "path": a.name, "module": a.name} for a in node.names
-        ]
-    elif isinstance(node, ast.ImportFrom):
+def _hint(node):
+    return None if node is None else ast.unparse(node)
+
+
+def _call(node):
+    owner = node.func.value if isinstance(node.func, ast.Attribute) else None
+    first = node.args[0] if node.args else None
+    literal = isinstance(first, ast.Constant) and isinstance(first.value, str)
+    kind = "literal" if literal else "fstring" if isinstance(first, ast.JoinedStr) else "other"
+    plain, nested = [], []
+    for kw in node.keywords:
+        if kw.arg is None:
+            continue
+        if isinstance(kw.value, ast.Constant):
+            plain.append((kw.arg, canonical_value(kw.value.value)))
+        elif isinstance(kw.value, (ast.Dict, ast.List, ast.Tuple)):
+            try:
+                nested.append((kw.arg, canonical_value(ast.literal_eval(kw.value))))
+            except (ValueError, TypeError):
+                pass
+    return (
+        None, None, None, owner.id if isinstance(owner, ast.Name) else None,
+        [a.id for a in node.args if isinstance(a, ast.Name)], len(node.args), kind,
+        first.value.encode("utf-8", "replace").decode() if literal else None, plain, nested, None, None,
+    )
+
+
+def _imports(node):
+    if isinstance(node, ast.Import):
+        found = [(a.asname or a.name.split(".")[-1], a.name, a.name) for a in node.names]
+    else:
         m = node.module or ""
-        d["imports"] = [
-            {"alias": a.asname or a.name, "path": f"{m}.{a.name}" if m else a.name, "module": node.module}
-            for a in node.names
-        ]
-    return d
+        found = [(a.asname or a.name, f"{m}.{a.name}" if m else a.name, node.module) for a in node.names]
+    return (None,) * 11 + ([dict(zip(("alias", "path", "module"), x)) for x in found],)
+
 
+def _function(node):
+    marks = ["@" + ast.unparse(x) for x in node.decorator_list]
+    return (node.name, None, _hint(node.returns)) + (None,) * 7 + (marks, None)
 
-def file_facts(file: str, code: str):
-    """Rows of one file in visiting order; a file that cannot be parsed gives one row saying so."""
-    try:
-        tree = ast.parse(code)
-    except Exception as e:
-        yield {"file": file, "status": "unparsable", "error": f"{type(e).__name__}: {e}"}
-        return
+
+# What single node types add to their row.
+DETAILS = {
+    ast.Name: lambda n: (n.id, type(n.ctx).__name__) + (None,) * 10,
+    ast.arg: lambda n: (n.arg, None, _hint(n.annotation)) + (None,) * 9,
+    ast.Attribute: lambda n: (None,) * 3 + (n.value.id if isinstance(n.value, ast.Name) else None,) + (None,) * 8,
+    ast.Call: _call,
+    ast.FunctionDef: _function,
+    ast.AsyncFunctionDef: _function,
+    ast.ClassDef: lambda n: (n.name,) + (None,) * 11,
+    ast.AnnAssign: lambda n: (None, None, _hint(n.annotation)) + (None,) * 9,
+    ast.Import: _imports,
+    ast.ImportFrom: _imports,
+}
+
+
+def file_facts(code: str):
+    """Rows of one file as tuples of ROW_COLUMNS, in visiting order.  Raises what the parser raises."""
     lines = code.splitlines()
     count = 0
     # node, nearest ancestor with a position, its type, field, ord, last, function scopes, comprehensions
-    todo = [(tree, None, None, None, 0, True, (0,), ())]
+    todo = [(ast.parse(code), None, None, None, 0, True, (0,), ())]
     while todo:
         node, parent, parent_type, field, ord_, last, scopes, comps = todo.pop()
-        if isinstance(node, ast.Module):
-            span = (1, 0, max(len(lines), 1), len(lines[-1]) if lines else 0)
-        elif getattr(node, "lineno", None) is None:
-            span = None
-        else:
-            span = (
-                node.lineno, node.col_offset or 0, node.end_lineno or node.lineno, node.end_col_offset or 0
-            )
-        inner_scopes, inner_comps, owner, owner_type = scopes, comps, parent, parent_type
-        prefix = f"{field}." if span is None and field else ""
-        if span is not None:
+        cls = type(node)
+        if "lineno" in cls._attributes or cls is ast.Module:
+            if cls is ast.Module:
+                span = (1, 0, max(len(lines), 1), len(lines[-1]) if lines else 0)
+            else:
+                span = (node.lineno, node.col_offset, node.end_lineno or node.lineno, node.end_col_offset or 0)
             count += 1
-            kind = type(node).__name__
-            row = {
-                "file": file, "status": "ok", "id": count, "parent": parent, "ast_type": kind,
-                "parent_type": parent_type, "field": field, "ord": ord_, "last": last,
-                "is_stmt": isinstance(node, ast.stmt), "scopes": list(scopes), "comps": list(comps),
-                "code": _text(lines, *span),
-            }
-            row["sl"], row["sc"], row["el"], row["ec"] = span
-            row.update(_details(node))
-            yield row
-            owner, owner_type = count, kind
-            if isinstance(node, FUNCTIONS):
-                inner_scopes = (*scopes, count)
-            if isinstance(node, COMPREHENSIONS):
-                inner_comps = (*comps, count)
-        for name, i, is_last, child in reversed(list(_children(node))):
-            todo.append((child, owner, owner_type, prefix + name, i, is_last, inner_scopes, inner_comps))
+            name = cls.__name__
+            details = DETAILS.get(cls)
+            yield (
+                count, parent, name, parent_type, field, ord_, last, isinstance(node, ast.stmt), *span,
+                _text(lines, *span),
+            ) + (details(node) if details else NO_DETAILS) + (scopes, comps)
+            parent, parent_type, prefix = count, name, ""
+            if cls in FUNCTIONS:
+                scopes = (*scopes, count)
+            elif cls in COMPREHENSIONS:
+                comps = (*comps, count)
+        else:
+            prefix = f"{field}."
+        below = []
+        for child_field in cls._fields:
+            value = getattr(node, child_field, None)
+            if isinstance(value, list):
+                end = len(value) - 1
+                for i, child in enumerate(value):
+                    if isinstance(child, ast.AST):
+                        below.append((child, parent, parent_type, prefix + child_field, i, i == end, scopes, comps))
+            elif isinstance(value, ast.AST) and value._fields:  # contexts and operators hold nothing
+                below.append((value, parent, parent_type, prefix + child_field, 0, True, scopes, comps))
+        todo.extend(reversed(below))
 
 
 def extract_facts(files: DataFrame) -> DataFrame:
-    """Facts of (file, code[, frameworks]); each file is parsed on its own, files spread over tasks."""
+    """Facts of (file, code[, frameworks]); each file is parsed on its own, files spread over tasks.
+
+    A file that cannot be parsed gives one row that says why.
+    """
     if "frameworks" not in files.columns:
         files = files.withColumn("frameworks", F.array().cast("array<string>"))
     schema = to_arrow_schema(FACT)
-    names = schema.names
+
+    def as_batch(heads, index, rows):
+        """File columns are given once per file and repeated by index, row columns are transposed."""
+        columns = dict(zip(ROW_COLUMNS, zip(*rows)))
+        at = pa.array(index, pa.int32())
+        for name, values in zip(FILE_COLUMNS, zip(*heads)):
+            columns[name] = pa.array(values, schema.field(name).type).take(at)
+        arrays = [
+            columns[f.name] if f.name in FILE_COLUMNS else pa.array(columns[f.name], f.type) for f in schema
+        ]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     def batches(it):
+        heads, index, rows = [], [], []
         for batch in it:
-            rows = []
             for file, code, frameworks in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for row in file_facts(file, code or ""):
-                    row["frameworks"] = frameworks
-                    rows.append(row)
-                    if len(rows) >= ROWS_PER_BATCH:
-                        yield as_batch(rows)
-                        rows = []
-            if rows:
-                yield as_batch(rows)
-
-    def as_batch(rows):
-        columns = [pa.array([r.get(n) for r in rows], type=schema.field(n).type) for n in names]
-        return pa.RecordBatch.from_arrays(columns, schema=schema)
+                heads.append((file, "ok", None, frameworks))
+                try:
+                    for row in file_facts(code or ""):
+                        rows.append(row)
+                        index.append(len(heads) - 1)
+                        if len(rows) >= ROWS_PER_BATCH:
+                            yield as_batch(heads, index, rows)
+                            heads, index, rows = [heads[-1]], [], []
+                except Exception as e:
+                    heads[-1] = (file, "unparsable", f"{type(e).__name__}: {e}", frameworks)
+                    rows.append((None,) * len(ROW_COLUMNS))
+                    index.append(len(heads) - 1)
+        if rows:
+            yield as_batch(heads, index, rows)
 
     return files.select("file", "code", "frameworks").mapInArrow(batches, FACT)

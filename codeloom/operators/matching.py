@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
-from codeloom.operators.graph_build import node_kind, parsed, span_struct, type_attrs
+from codeloom.operators.graph_build import graph_nodes, node_kind, parsed, span_struct
 from codeloom.sources.catalogue import DEFAULT, FRAMEWORK_MARKS, Catalogue, canonical_value
 
 # SQL placeholders.
@@ -116,23 +116,27 @@ def _first_rule(rules: list[dict], base_attr: bool = False, extra=None) -> Colum
     return F.when(named, F.try_element_at(hits, F.lit(1)))
 
 
-def match_columns(catalogue: Catalogue = DEFAULT, literal_kwargs: bool = False) -> dict[str, Column]:
-    """source, sink and sanitizer as rule structs, and sink_ok: the sink's constraint holds."""
-    kwargs = F.map_concat("kwargs", "literal_kwargs") if literal_kwargs else F.col("kwargs")
+def match_columns(catalogue: Catalogue = DEFAULT) -> dict[str, Column]:
+    """source, sink and sanitizer as rule structs."""
     param = is_parameterised_query(F.col("n_args"), F.col("query_kind"), F.col("query_text"))
-    ok = F.lit(True)
-    for r in catalogue.sinks:
-        if r.get("constraints"):
-            bound = (F.col("kind") == "Call") & (F.col("sink.id") == r["id"])
-            ok = F.when(bound, constraint_holds(kwargs, r["constraints"])).otherwise(ok)
     return {
         "source": _first_rule(catalogue.sources, base_attr=True),
         "sink": _first_rule(catalogue.sinks),
         "sanitizer": _first_rule(catalogue.sanitizers, extra=lambda r: ~r["parameters"] | param),
-        "sink_ok": ok,
     }
 
 
+def sink_constraint(catalogue: Catalogue = DEFAULT, literal_kwargs: bool = False) -> Column:
+    """Whether the matched sink's constraint holds; sinks without one always do."""
+    kwargs = F.map_concat("kwargs", "literal_kwargs") if literal_kwargs else F.col("kwargs")
+    ok = F.lit(True)
+    for r in catalogue.sinks:
+        if r.get("constraints"):
+            bound = (F.col("kind") == "Call") & (F.col("sink.id") == r["id"])
+            ok = F.when(bound, constraint_holds(kwargs, r["constraints"])).otherwise(ok)
+    return ok
+
+
 def with_match_names(nodes: DataFrame, code: str, longest: int) -> DataFrame:
     """The normal forms the name tests look at."""
     c = F.col(code)
@@ -160,48 +164,43 @@ def _first_identifier(code: Column) -> Column:
 
 
 def with_resolved_code(facts: DataFrame) -> DataFrame:
-    """Adds ``resolved``: a call's or attribute's code with its first name replaced by the path it was
-    imported from, as far as an earlier import is visible.  One as-of window per (file, name)."""
+    """Calls and attributes with ``resolved``: their code with the first name replaced by the path it
+    was imported from, as far as an earlier import is visible.  One as-of window per (file, name)."""
     p = parsed(facts)
-    matchable = F.col("ast_type").isin("Call", "Attribute")
-    own = F.array(
-        F.struct(
-            F.when(matchable, _first_identifier(F.col("code"))).alias("key"),
-            F.lit(None).cast("string").alias("import_path"),
-            F.lit(True).alias("is_node"),
-        )
-    )
-    brought = F.transform(
-        "imports",
-        lambda i: F.struct(i["alias"].alias("key"), i["path"].alias("import_path"), F.lit(False).alias("is_node")),
-    )
-    none = F.array().cast("array<struct<key:string,import_path:string,is_node:boolean>>")
-    rows = p.select("*", F.inline(F.concat(own, F.coalesce(brought, none))))
+    calls = p.where(F.col("ast_type").isin("Call", "Attribute"))
+    uses = calls.withColumn("key", _first_identifier(F.col("code"))).withColumn("path", F.lit(None).cast("string"))
+    brought = import_aliases(facts).select("file", F.col("alias").alias("key"), "path", F.col("pos").alias("id"))
     w = W.partitionBy("file", "key").orderBy("id").rowsBetween(W.unboundedPreceding, 0)
-    seen = rows.withColumn(
-        "_path", F.when(matchable, F.last("import_path", ignorenulls=True).over(w))
-    ).where("is_node")
+    rows = uses.unionByName(brought, allowMissingColumns=True)
+    seen = rows.withColumn("_path", F.last("path", ignorenulls=True).over(w)).where(F.col("ast_type").isNotNull())
     rest = F.when(
         F.contains(F.col("code"), F.lit(".")),
         F.concat(F.lit("."), F.substring(F.col("code"), F.instr("code", ".") + 1, F.length("code"))),
     ).otherwise("")
     resolved = F.when(F.col("_path").isNotNull(), F.concat("_path", rest)).otherwise(F.col("code"))
-    return seen.withColumn("resolved", resolved).drop("_path", "key", "import_path", "is_node")
+    return seen.withColumn("resolved", resolved).drop("_path", "key", "path")
 
 
 def matched_nodes(
     facts: DataFrame, catalogue: Catalogue = DEFAULT, literal_kwargs: bool = False
 ) -> DataFrame:
-    """Nodes with type and match attributes, keyed by (file, id)."""
+    """Nodes with type and match attributes, keyed by (file, id).
+
+    Only calls and attributes can match, so only they are resolved and looked up; all other nodes
+    pass by.  Materialise ``facts`` first: they are read three times.
+    """
     rows = with_resolved_code(facts).withColumn("kind", node_kind(F.col("ast_type")))
     rows = with_match_names(rows, "resolved", catalogue.longest_call)
-    for name, column in match_columns(catalogue, literal_kwargs).items():
-        rows = rows.withColumn(name, column)
+    # inline() keeps the three lookups as columns of their own: filters on the attributes would
+    # otherwise copy them into every predicate
+    found = F.struct(*[c.alias(n) for n, c in match_columns(catalogue).items()])
+    rows = rows.select("*", F.inline(F.array(found)))
+    rows = rows.withColumn("sink_ok", sink_constraint(catalogue, literal_kwargs))
+    others = graph_nodes(facts.where(~F.col("ast_type").isin("Call", "Attribute")))
     return rows.select(
         "file", "id", "kind", span_struct().alias("span"), "code", F.col("name").alias("symbol"),
-        F.col("hint").alias("type_hint"), F.array().cast("array<string>").alias("flags"),
-        F.map_concat(type_attrs(F.col("hint")), match_attrs()).alias("attrs"),
-    )
+        F.col("hint").alias("type_hint"), F.array().cast("array<string>").alias("flags"), match_attrs().alias("attrs"),
+    ).unionByName(others)
 
 
 def match_attrs() -> Column:

@@ -155,7 +155,7 @@ def flow_edges_by_line(spark, sf):
     ),
 )
 def matched_rules(spark, sf):
-    n = M.matched_nodes(_facts(spark, sf))
+    n = M.matched_nodes(cut_lineage(_facts(spark, sf)))
     a = F.col("attrs")
     hit = a["is_source"].isNotNull() | a["is_sink"].isNotNull() | a["sanitizer_id"].isNotNull()
     return n.where(hit).select(

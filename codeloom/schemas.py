@@ -136,8 +136,6 @@ FACT = T.StructType(
         T.StructField("name", T.StringType()),
         T.StructField("ctx", T.StringType()),
         T.StructField("hint", T.StringType()),
-        T.StructField("scopes", T.ArrayType(T.LongType())),
-        T.StructField("comps", T.ArrayType(T.LongType())),
         T.StructField("base", T.StringType()),
         T.StructField("arg_names", T.ArrayType(T.StringType())),
         T.StructField("n_args", T.IntegerType()),
@@ -148,16 +146,10 @@ FACT = T.StructType(
         T.StructField("decorators", T.ArrayType(T.StringType())),
         T.StructField(
             "imports",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("alias", T.StringType()),
-                        T.StructField("path", T.StringType()),
-                        T.StructField("module", T.StringType()),
-                    ]
-                )
-            ),
+            T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("alias", "path", "module")])),
         ),
+        T.StructField("scopes", T.ArrayType(T.LongType())),
+        T.StructField("comps", T.ArrayType(T.LongType())),
     ]
 )
 
