@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from codeloom.operators.ordered import (
-    hash_bucket, number_rows, running_sums, seconds, with_quantile_bucket,
+    by_digest, by_value, number_rows, running_sums, seconds,
 )
 from codeloom.operators.skew import HotKeys
 from codeloom.session import cut_lineage
@@ -18,14 +18,15 @@ def order_hash(*parts: Column, seed: int = 42) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]), 256)
 
 
-def shuffled(df: DataFrame, key: str, seed: int = 42, by: list[str] | None = None, name: str = "rn") -> DataFrame:
+def shuffled(
+    df: DataFrame, key: str, seed: int = 42, by: list[str] | None = None, name: str = "rn", split: bool | None = None
+) -> DataFrame:
     """Adds the row's place in a reproducible shuffle, per ``by`` or over the whole table.
 
-    The digest's first digits are the buckets, so no task holds more than about 1/4096 of the rows.
+    In a large table the digest's first digits are buckets, so no task holds more than about 1/4096 of it.
     """
-    h = df.withColumn("_h", order_hash(F.col(key), seed=seed))
-    h = h.withColumn("_bucket", hash_bucket(F.col("_h")))
-    return number_rows(h, ["_h", key], "_bucket", by, name).drop("_h", "_bucket")
+    h, bucket = by_digest(df.withColumn("_h", order_hash(F.col(key), seed=seed)), "_h", split=split)
+    return number_rows(h, ["_h", key], bucket, by, name).drop("_h", "_bucket")
 
 
 def split_by_position(
@@ -46,8 +47,8 @@ def split_by_project(
 ) -> DataFrame:
     """Adds split so that no project is in two splits: projects in digest order fill the shares."""
     sizes = samples.groupBy(project).agg(F.count(F.lit(1)).alias("_n"))
-    h = sizes.withColumn("_h", order_hash(F.col(project), seed=seed)).withColumn("_bucket", hash_bucket(F.col("_h")))
-    run = running_sums(h, ["_h", project], "_bucket", {"_upto": F.col("_n")})
+    h, bucket = by_digest(sizes.withColumn("_h", order_hash(F.col(project), seed=seed)), "_h")
+    run = running_sums(h, ["_h", project], bucket, {"_upto": F.col("_n")})
     total = sizes.agg(F.sum("_n").alias("_all"))
     start = (F.col("_upto") - F.col("_n")) / F.col("_all")
     split = F.when(start < train, "train").when(start < train + val, "val").otherwise("test")
@@ -61,9 +62,9 @@ def split_by_time(
 ) -> DataFrame:
     """Adds split: earlier samples train, later ones test, by percent rank of the time."""
     s = samples.withColumn("_t", seconds(samples, time))
-    b = with_quantile_bucket(s, "_t", "_bucket", limits)
+    b, bucket = by_value(s, "_t", "_bucket", limits)
     total = samples.agg(F.count(F.lit(1)).alias("_all"))
-    r = number_rows(b, ["_t", key], "_bucket", None, "_rn").crossJoin(F.broadcast(total))  # one row of totals
+    r = number_rows(b, ["_t", key], bucket, None, "_rn").crossJoin(F.broadcast(total))  # one row of totals
     place = (F.col("_rn") - 1) / F.greatest(F.col("_all") - 1, F.lit(1))
     split = F.when(place < train, "train").when(place < train + val, "val").otherwise("test")
     return r.withColumn("split", split).drop("_t", "_bucket", "_rn", "_all")

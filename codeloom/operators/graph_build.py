@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import contains_any
-from codeloom.operators.ordered import hash_bucket, running_sums
+from codeloom.operators.ordered import by_digest, running_sums
 
 # Node kinds by syntax class; every other class is a Stmt.
 KIND_MAP = {
@@ -228,8 +228,8 @@ def id_shifts(nodes: DataFrame) -> DataFrame:
     (largest id + 1) before it.  The digest's first digits are the buckets of that running sum.
     """
     per_file = nodes.groupBy("file").agg((F.max("id") + 1).alias("width"))
-    keyed = per_file.withColumn("_sha", F.sha2("file", 256)).withColumn("_bucket", hash_bucket(F.col("_sha")))
-    summed = running_sums(keyed, ["_sha"], "_bucket", {"_upto": F.col("width")})
+    keyed, bucket = by_digest(per_file.withColumn("_sha", F.sha2("file", 256)), "_sha")
+    summed = running_sums(keyed, ["_sha"], bucket, {"_upto": F.col("width")})
     return summed.select("file", (F.col("_upto") - F.col("width")).alias("shift"))
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from codeloom.operators.ordered import (
-    previous_row, running_max, running_sums, with_quantile_bucket,
+    by_value, previous_row, running_max, running_sums,
 )
 
 
@@ -67,7 +67,7 @@ def result_scores(results: DataFrame) -> DataFrame:
     )
 
 
-def score_steps(pred: DataFrame, by: list[str] | None = None) -> DataFrame:
+def score_steps(pred: DataFrame, by: list[str] | None = None, limits: list[float] | None = None) -> DataFrame:
     """by, score, tp, fp, pos, neg, all_pos: counts at each threshold, from the highest score down.
 
     Equal scores are added up first; the running sums then go over distinct scores only and are cut
@@ -77,9 +77,9 @@ def score_steps(pred: DataFrame, by: list[str] | None = None) -> DataFrame:
     per = pred.groupBy(*by, F.col("score").cast("double").alias("score")).agg(
         F.count_if(F.col("y_true") == 1).alias("pos"), F.count_if(F.col("y_true") != 1).alias("neg")
     )
-    b = with_quantile_bucket(per, "score")
+    b, bucket = by_value(per, "score", limits=limits)
     run = running_sums(
-        b, [F.desc("score")], "_bucket", {"tp": F.col("pos"), "fp": F.col("neg")}, by, descending_buckets=True
+        b, [F.desc("score")], bucket, {"tp": F.col("pos"), "fp": F.col("neg")}, by, descending_buckets=True
     )
     total = pred.groupBy(*by).agg(
         F.count_if(F.col("y_true") == 1).alias("all_pos"), F.count_if(F.col("y_true") != 1).alias("all_neg")
@@ -87,40 +87,42 @@ def score_steps(pred: DataFrame, by: list[str] | None = None) -> DataFrame:
     return run.join(total, by) if by else run.crossJoin(F.broadcast(total))  # one row of totals
 
 
-def pr_curve(pred: DataFrame, by: list[str] | None = None) -> DataFrame:
-    s = score_steps(pred, by)
+def pr_curve(pred: DataFrame, by: list[str] | None = None, limits: list[float] | None = None) -> DataFrame:
+    s = score_steps(pred, by, limits)
+    slot = [c for c in s.columns if c == "_bucket"]
     return s.select(
-        *(by or []), "score", "pos", "neg", "tp", "fp", "all_pos", "all_neg", "_bucket",
+        *(by or []), "score", "pos", "neg", "tp", "fp", "all_pos", "all_neg", *slot,
         ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
         ratio(F.col("tp"), F.col("all_pos")).alias("recall"),
     )
 
 
-def pr_auc(pred: DataFrame, by: list[str] | None = None) -> DataFrame:
+def pr_auc(pred: DataFrame, by: list[str] | None = None, limits: list[float] | None = None) -> DataFrame:
     """Trapezoid area under the precision-recall curve, started at recall 0 with precision 1."""
     by = by or []
-    c = pr_curve(pred, by).withColumn("_down", -F.col("score")).withColumn("_slot", -F.col("_bucket"))
-    prev = previous_row(
-        c, by, ["_down"], "_slot", {"p0": F.col("precision"), "r0": F.col("recall")}
-    )
+    c = pr_curve(pred, by, limits).withColumn("_down", -F.col("score"))
+    slot = None
+    if "_bucket" in c.columns:
+        c, slot = c.withColumn("_slot", -F.col("_bucket")), "_slot"
+    prev = previous_row(c, by, ["_down"], slot, {"p0": F.col("precision"), "r0": F.col("recall")})
     p0, r0 = F.coalesce("p0", F.lit(1.0)), F.coalesce("r0", F.lit(0.0))
     area = (F.col("recall") - r0) * (F.col("precision") + p0) / 2
     return prev.groupBy(*by).agg(F.sum(area).alias("pr_auc"))
 
 
-def average_precision(pred: DataFrame, by: list[str] | None = None) -> DataFrame:
+def average_precision(pred: DataFrame, by: list[str] | None = None, limits: list[float] | None = None) -> DataFrame:
     """Sum of recall gains times precision; 0 when a class is missing."""
     by = by or []
-    c = pr_curve(pred, by)
+    c = pr_curve(pred, by, limits)
     gain = ratio(F.col("pos"), F.col("all_pos")) * F.col("precision")
     both = (F.min("all_pos") > 0) & (F.min("all_neg") > 0)
     return c.groupBy(*by).agg(F.when(both, F.sum(gain)).otherwise(0.0).alias("auprc"))
 
 
-def auroc(pred: DataFrame, by: list[str] | None = None) -> DataFrame:
+def auroc(pred: DataFrame, by: list[str] | None = None, limits: list[float] | None = None) -> DataFrame:
     """Area under the ROC curve with ties at half weight; 0 when a class is missing."""
     by = by or []
-    s = score_steps(pred, by)
+    s = score_steps(pred, by, limits)
     # negatives at a score lose to the positives above it and tie with the positives at it
     won = F.col("neg") * (F.col("tp") - F.col("pos")) + F.col("neg") * F.col("pos") * F.lit(0.5)
     return s.groupBy(*by).agg(
@@ -204,7 +206,7 @@ def span_lines(lines: Column, span: Column, line_range: Column) -> Column:
 def localisation_matches(
     predicted: DataFrame, actual: DataFrame, tolerance: int = 5, limits: list[float] | None = None
 ) -> DataFrame:
-    """file, part, matched: greedy one-to-one matches of predicted and true locations.
+    """file, part, matched: greedy one-to-one matches of predicted and true locations (parts with any).
 
     Both sides hold (file, ord, lines).  Locations further apart than the tolerance never meet, so a
     file falls into independent parts at such gaps, and the order-dependent greedy step runs per part.
@@ -217,33 +219,44 @@ def localisation_matches(
         )
 
     both = side(predicted, "pred").unionByName(side(actual, "true"))
-    both = with_quantile_bucket(both.withColumn("_x", F.col("lo").cast("double")), "_x", "_slot", limits)
+    both, slot = by_value(both.withColumn("_x", F.col("lo").cast("double")), "_x", "_slot", limits)
     order = ["lo", "side", "ord"]
-    reach = running_max(both, ["file"], order, "_slot", F.col("hi"), "reach")
+    reach = running_max(both, ["file"], order, slot, F.col("hi"), "reach")
     opens = F.when(F.col("reach").isNull() | (F.col("lo") > F.col("reach") + tolerance), 1).otherwise(0)
-    parts = running_sums(
-        reach.withColumn("opens", opens), [F.col(o) for o in order], "_slot", {"part": F.col("opens")}, ["file"]
-    )
-    # a part without one of the sides cannot match
-    keep = parts.groupBy("file", "part").agg(F.count_distinct("side").alias("s")).where("s = 2").drop("s")
-    work = parts.join(keep, ["file", "part"], "left_semi").select("file", "part", "side", "ord", "lines")
+    parts = running_sums(reach.withColumn("opens", opens), order, slot, {"part": F.col("opens")}, ["file"])
+    rows = parts.select("file", "part", "side", "ord", "lines")
+    # parts are kept together and in order; each task then reads them one after the other
+    rows = rows.repartition("file", "part").sortWithinPartitions("file", "part", "ord")
 
-    def greedy(pdf):
+    def greedy(batches):
         import pandas as pd
 
-        pdf = pdf.sort_values("ord", kind="stable")
-        pred = [sorted(x) for x in pdf.loc[pdf["side"] == "pred", "lines"]]
-        true = [sorted(x) for x in pdf.loc[pdf["side"] == "true", "lines"]]
-        free = list(range(len(true)))
-        n = 0
-        for p in pred:
-            hit = next((j for j in free if _near(p, true[j], tolerance)), None)
-            if hit is not None:
-                free.remove(hit)
-                n += 1
-        return pd.DataFrame({"file": [pdf["file"].iloc[0]], "part": [pdf["part"].iloc[0]], "matched": [n]})
-
-    return work.groupBy("file", "part").applyInPandas(greedy, "file string, part bigint, matched bigint")
+        key, pred, true, out = None, [], [], []
+
+        def close():
+            free, n = list(range(len(true))), 0
+            for p in pred:
+                hit = next((j for j in free if _near(p, true[j], tolerance)), None)
+                if hit is not None:
+                    free.remove(hit)
+                    n += 1
+            if n:
+                out.append((*key, n))
+
+        for pdf in batches:
+            for file, part, side, lines in zip(pdf["file"], pdf["part"], pdf["side"], pdf["lines"]):
+                if (file, part) != key:
+                    close()
+                    key, pred, true = (file, part), [], []
+                (pred if side == "pred" else true).append(sorted(lines))
+            if out:
+                yield pd.DataFrame(out, columns=["file", "part", "matched"])
+                out = []
+        close()
+        if out:
+            yield pd.DataFrame(out, columns=["file", "part", "matched"])
+
+    return rows.mapInPandas(greedy, "file string, part bigint, matched bigint")
 
 
 def _near(a: list, b: list, tolerance: int) -> bool:

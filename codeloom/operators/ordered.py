@@ -12,7 +12,16 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-HASH_BUCKETS = 4096
+SMALL_BYTES = 32 << 20
+
+
+def is_small(df: DataFrame) -> bool:
+    """The planner's size estimate says that one task can order all the rows."""
+    try:
+        stats = df._jdf.queryExecution().optimizedPlan().stats()
+        return int(str(stats.sizeInBytes())) <= SMALL_BYTES
+    except Exception:  # no estimate, no shortcut
+        return False
 
 
 def quantile_limits(df: DataFrame, col: str, buckets: int | None = None) -> list[float]:
@@ -23,17 +32,31 @@ def quantile_limits(df: DataFrame, col: str, buckets: int | None = None) -> list
     return sorted(set(found))
 
 
-def with_quantile_bucket(
+def by_value(
     df: DataFrame, col: str, name: str = "_bucket", limits: list[float] | None = None
-) -> DataFrame:
-    """Adds an INT bucket of a DOUBLE column; the limits come from the data unless given."""
-    limits = quantile_limits(df, col) if limits is None else limits
+) -> tuple[DataFrame, str | None]:
+    """The rows with an INT bucket of a DOUBLE column, and the bucket's name.
+
+    A table that is small by its size estimate needs no buckets and gets None.  Limits come from the
+    data unless given.
+    """
+    if limits is None:
+        if is_small(df):
+            return df, None
+        limits = quantile_limits(df, col)
     if not limits:
-        return df.withColumn(name, F.lit(0))
+        return df.withColumn(name, F.lit(0)), name
     cut = Bucketizer(
         splits=[float("-inf"), *limits, float("inf")], inputCol=col, outputCol=f"{name}_d"
     )
-    return cut.transform(df).withColumn(name, F.col(f"{name}_d").cast("int")).drop(f"{name}_d")
+    return cut.transform(df).withColumn(name, F.col(f"{name}_d").cast("int")).drop(f"{name}_d"), name
+
+
+def by_digest(df: DataFrame, hex_col: str, name: str = "_bucket", split: bool | None = None) -> tuple[DataFrame, str | None]:
+    """Buckets of a hex digest: its first three digits fill evenly and keep its order."""
+    if split is False or (split is None and is_small(df)):
+        return df, None
+    return df.withColumn(name, F.substring(hex_col, 1, 3)), name
 
 
 def seconds(df: DataFrame, name: str) -> Column:
@@ -51,14 +74,8 @@ def seconds(df: DataFrame, name: str) -> Column:
     return c.cast("double")
 
 
-def hash_bucket(hex_col: Column) -> Column:
-    """Bucket of a hex digest: its first three digits, so buckets fill evenly and keep its order."""
-    return F.substring(hex_col, 1, 3)
-
-
-def _earlier(totals: DataFrame, keys: list[str], bucket: str):
-    part = keys if keys else [F.lit(0)]
-    return W.partitionBy(*part).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+def _earlier(keys: list[str], bucket: str):
+    return _whole(keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
 
 
 def _rejoin(local: DataFrame, per_bucket: DataFrame, keys: list[str], bucket: str) -> DataFrame:
@@ -67,8 +84,12 @@ def _rejoin(local: DataFrame, per_bucket: DataFrame, keys: list[str], bucket: st
     return local.join(side, [*keys, bucket], "left")
 
 
+def _whole(keys: list[str]):
+    return W.partitionBy(*(keys if keys else [F.lit(0)]))
+
+
 def number_rows(
-    df: DataFrame, order: list, bucket: str, keys: list[str] | None = None, name: str = "rn",
+    df: DataFrame, order: list, bucket: str | None, keys: list[str] | None = None, name: str = "rn",
     descending_buckets: bool = False,
 ) -> DataFrame:
     """row_number() over (partition by keys order by order); ``bucket`` must follow the order."""
@@ -76,63 +97,69 @@ def number_rows(
 
 
 def running_sums(
-    df: DataFrame, order: list, bucket: str, sums: dict[str, Column],
+    df: DataFrame, order: list, bucket: str | None, sums: dict[str, Column],
     keys: list[str] | None = None, descending_buckets: bool = False,
 ) -> DataFrame:
     """Inclusive running sums per key.  Rows that tie in ``order`` are summed one by one."""
     keys = list(keys or [])
+    if bucket is None:
+        w = _whole(keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()])
     rank = f"{bucket}_o"
     df = df.withColumn(rank, -F.col(bucket) if descending_buckets else F.col(bucket))
     inside = W.partitionBy(*keys, rank).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     local = df.select("*", *[F.sum(c).over(inside).alias(f"_in_{n}") for n, c in sums.items()])
     totals = df.groupBy(*keys, rank).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    w = _earlier(totals, keys, rank)
+    w = _earlier(keys, rank)
     before = totals.select(
         *keys, rank, *[F.coalesce(F.sum(f"_t_{n}").over(w), F.lit(0)).alias(f"_b_{n}") for n in sums]
     )
     out = _rejoin(local, before, keys, rank)
-    kept = [c for c in df.columns if c not in (rank,)]
+    kept = [c for c in df.columns if c != rank]
     return out.select(*kept, *[(F.col(f"_in_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])
 
 
 def previous_row(
-    df: DataFrame, keys: list[str], order: list[str], bucket: str, take: dict[str, Column]
+    df: DataFrame, keys: list[str], order: list, bucket: str | None, take: dict[str, Column]
 ) -> DataFrame:
-    """The values of the row before, per key: lag(1) that survives a key holding most rows."""
-    keys = list(keys)
+    """The values of the row before, per key: lag(1) that survives a key holding most rows.
+
+    With buckets, ``order`` has to be ascending columns.
+    """
+    keys, columns = list(keys), df.columns
     df = df.withColumn("_now", F.struct(*[c.alias(n) for n, c in take.items()]))
+    if bucket is None:
+        out = df.withColumn("_prev", F.lag("_now").over(_whole(keys).orderBy(*order)))
+        return out.select(*columns, *[F.col("_prev")[n].alias(n) for n in take])
     inside = W.partitionBy(*keys, bucket).orderBy(*order)
     local = df.withColumn("_lag", F.lag("_now").over(inside))
     tails = df.groupBy(*keys, bucket).agg(
         F.max_by("_now", F.struct(*[F.col(o) for o in order])).alias("_tail")
     )
-    part = keys if keys else [F.lit(0)]
-    carried = tails.select(
-        *keys, bucket, F.lag("_tail").over(W.partitionBy(*part).orderBy(bucket)).alias("_carry")
-    )
+    carried = tails.select(*keys, bucket, F.lag("_tail").over(_whole(keys).orderBy(bucket)).alias("_carry"))
     out = _rejoin(local, carried, keys, bucket)
     prev = F.coalesce(F.col("_lag"), F.col("_carry"))
-    kept = [c for c in df.columns if c != "_now"]
-    return out.select(*kept, *[prev[n].alias(n) for n in take])
+    return out.select(*columns, *[prev[n].alias(n) for n in take])
 
 
 def running_max(
-    df: DataFrame, keys: list[str], order: list[str], bucket: str, value: Column, name: str
+    df: DataFrame, keys: list[str], order: list[str], bucket: str | None, value: Column, name: str
 ) -> DataFrame:
     """max(value) over the rows before this one, per key; null for the first row."""
     keys = list(keys)
+    if bucket is None:
+        w = _whole(keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        return df.withColumn(name, F.max(value).over(w))
     inside = W.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     local = df.withColumn("_in_max", F.max(value).over(inside))
     tops = df.groupBy(*keys, bucket).agg(F.max(value).alias("_top"))
-    carried = tops.select(
-        *keys, bucket, F.max("_top").over(_earlier(tops, keys, bucket)).alias("_before")
-    )
+    carried = tops.select(*keys, bucket, F.max("_top").over(_earlier(keys, bucket)).alias("_before"))
     out = _rejoin(local, carried, keys, bucket)
     return out.select(*df.columns, F.greatest("_in_max", "_before").alias(name))
 
 
 def latest_before(
-    marked: DataFrame, keys: list[str], order: list[str], value: str, bucket: str, name: str
+    marked: DataFrame, keys: list[str], order: list[str], value: str, bucket: str | None, name: str
 ) -> DataFrame:
     """As-of lookup in one pass: the last non-null ``value`` at or before each row, per key.
 
@@ -140,18 +167,16 @@ def latest_before(
     see a definition at the same place must sort before it.  Linear in the rows: no pairs.
     """
     keys = list(keys)
+    if bucket is None:
+        w = _whole(keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        return marked.withColumn(name, F.last(value, ignorenulls=True).over(w))
     inside = W.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     local = marked.withColumn("_in_last", F.last(value, ignorenulls=True).over(inside))
-    tails = (
-        marked.where(F.col(value).isNotNull())
-        .groupBy(*keys, bucket)
-        .agg(F.max_by(value, F.struct(*[F.col(o) for o in order])).alias("_tail"))
-    )
-    # Buckets without a definition still need the value carried into them.
-    slots = marked.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_n"))
-    carried = slots.join(tails, [*keys, bucket], "left").select(
-        *keys, bucket,
-        F.last("_tail", ignorenulls=True).over(_earlier(slots, keys, bucket)).alias("_carry"),
+    # one row per key and bucket; the value is null where a bucket holds no definition
+    place = F.when(F.col(value).isNotNull(), F.struct(*[F.col(o) for o in order]))
+    tails = marked.groupBy(*keys, bucket).agg(F.max_by(value, place).alias("_tail"))
+    carried = tails.select(
+        *keys, bucket, F.last("_tail", ignorenulls=True).over(_earlier(keys, bucket)).alias("_carry")
     )
     out = _rejoin(local, carried, keys, bucket)
     return out.select(*marked.columns, F.coalesce("_in_last", "_carry").alias(name))

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.operators.ordered import latest_before, seconds, with_quantile_bucket
+from codeloom.operators.ordered import by_value, latest_before, seconds
 
 LINES_PER_BUCKET = 64
 
@@ -170,8 +170,8 @@ def tainted_calls(
         allowMissingColumns=True,
     )
     both = both.withColumn("_t", seconds(both, time))
-    both = with_quantile_bucket(both, "_t", "_slot", limits)
-    seen = latest_before(both, objects, [time, "_use"], "source", "_slot", "origin")
+    both, slot = by_value(both, "_t", "_slot", limits)
+    seen = latest_before(both, objects, [time, "_use"], "source", slot, "origin")
     hits = seen.where((F.col("_use") == 1) & F.col("origin").isNotNull())
     return (
         hits.groupBy("call_id")

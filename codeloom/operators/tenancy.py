@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
-from codeloom.operators.ordered import number_rows, seconds, with_quantile_bucket
+from codeloom.operators.ordered import by_value, number_rows, seconds
 
 DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE = 20, 100
 SEVERITIES = ["critical", "high", "medium", "low"]
@@ -42,8 +42,8 @@ def page_of(rows: DataFrame, page: int | None, size: int | None, time: str, tie:
     if page * size <= SMALL_OFFSET:
         cut = rows.orderBy(F.desc(time), tie).offset((page - 1) * size).limit(size)
     else:
-        b = with_quantile_bucket(rows.withColumn("_t", seconds(rows, time)), "_t")
-        n = number_rows(b, [F.desc(time), F.col(tie)], "_bucket", None, "_rn", descending_buckets=True)
+        b, bucket = by_value(rows.withColumn("_t", seconds(rows, time)), "_t")
+        n = number_rows(b, [F.desc(time), F.col(tie)], bucket, None, "_rn", descending_buckets=True)
         cut = n.where(F.col("_rn").between((page - 1) * size + 1, page * size)).drop("_t", "_bucket", "_rn")
     pages = F.ceil(F.col("total") / size)
     return cut.crossJoin(F.broadcast(total)).select(  # one row of totals

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from codeloom.operators.matching import sink_candidates, source_candidates
-from codeloom.operators.ordered import number_rows, with_quantile_bucket
+from codeloom.operators.ordered import by_value, number_rows
 from codeloom.operators.skew import HotKeys
 from codeloom.session import cut_lineage
 
@@ -135,8 +135,8 @@ def edge_code(kind: Column) -> Column:
 
 def node_index(nodes: DataFrame, limits: list[float] | None = None) -> DataFrame:
     """Adds idx: 0, 1, 2, ... per graph in id order.  A graph holding most nodes stays distributed."""
-    b = with_quantile_bucket(nodes.withColumn("_x", F.col("id").cast("double")), "_x", "_bucket", limits)
-    n = number_rows(b, ["id"], "_bucket", ["file"], "_rn")
+    b, bucket = by_value(nodes.withColumn("_x", F.col("id").cast("double")), "_x", "_bucket", limits)
+    n = number_rows(b, ["id"], bucket, ["file"], "_rn")
     return n.withColumn("idx", F.col("_rn") - 1).drop("_rn", "_x", "_bucket")
 
 

@@ -8,7 +8,7 @@ from codeloom.operators import matching as M
 from codeloom.operators import models as MD
 from codeloom.operators import taint as TA
 from codeloom.operators import traverse as T
-from codeloom.operators.ordered import latest_before, previous_row, seconds, with_quantile_bucket
+from codeloom.operators.ordered import by_value, latest_before, previous_row, seconds
 from codeloom.plans.registry import query
 from codeloom.plans.views import (
     ORDER_GRAPH_SQL, day_nodes, order_edges, order_nodes, sql, table, view,
@@ -69,8 +69,8 @@ _CHAIN = (
 def _chain(spark, sf, limits=None):
     """Each node of a day from the one before it."""
     d = view(spark, sf, "day_nodes").select("file", "id", F.col("id").cast("double").alias("x"))
-    b = with_quantile_bucket(d, "x", "slot", limits)
-    p = previous_row(b, ["file"], ["id"], "slot", {"src": F.col("id")})
+    b, slot = by_value(d, "x", "slot", limits)
+    p = previous_row(b, ["file"], ["id"], slot, {"src": F.col("id")})
     return p.where("src IS NOT NULL").select("file", "src", F.col("id").alias("dst"))
 
 
@@ -91,8 +91,8 @@ def latest_definition(spark, sf):
         "user_id", "event_id", "ts", "event_type", seconds(e, "ts").alias("t"),
         F.when(F.col("event_type") == "signup", F.col("event_id")).alias("value"),
     )
-    b = with_quantile_bucket(e, "t", "slot")
-    seen = latest_before(b, ["user_id"], ["ts", "event_id"], "value", "slot", "def")
+    b, slot = by_value(e, "t", "slot")
+    seen = latest_before(b, ["user_id"], ["ts", "event_id"], "value", slot, "def")
     return seen.where("event_type <> 'signup' AND def IS NOT NULL").select("event_id", "def")
 
 

@@ -1,86 +1,89 @@
 """Taint logs: JSON lines in three layouts, read in batch or as a stream."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-RAW = "map<string,string>"
 # Spellings of a position, in the order they are tried.
 POSITION_KEYS = [("file", "line", "col"), ("filename", "lineno", "column"), ("path", "line", "column")]
 
+_POSITION = "struct<file:string,line:string,col:string,filename:string,lineno:string,column:string,path:string>"
+_LINE = (
+    f"struct<source:{_POSITION},sink:{_POSITION},path:array<string>,meta:map<string,string>,"
+    f"taint_source:{_POSITION},taint_sink:{_POSITION},trace:array<string>,taint_type:string,sink_type:string,"
+    f"from:{_POSITION},to:{_POSITION},via:array<string>>"
+)
+
 
 def _whole_number(text: Column) -> Column:
     return text.try_cast("double").cast("int")
 
 
-def _position(raw_json: Column) -> Column:
-    """STRUCT<file, line, col> of a position object, null when it is not one."""
-    m = F.from_json(raw_json, RAW)
+def _struct(file: Column, line: Column, col: Column) -> Column:
+    return F.struct(file.alias("file"), _whole_number(line).alias("line"), _whole_number(col).alias("col"))
+
+
+def _position(p: Column) -> Column:
+    """The position in its first spelling; null when it has none or its line is no number."""
     out = None
     for file, line, col in POSITION_KEYS:
-        has = F.map_contains_key(m, file) & F.map_contains_key(m, line)
-        pos = F.struct(
-            m[file].alias("file"), _whole_number(m[line]).alias("line"), _whole_number(m[col]).alias("col")
-        )
-        ok = has & m[file].isNotNull() & _whole_number(m[line]).isNotNull()
-        out = F.when(has, F.when(ok, pos)) if out is None else out.when(has, F.when(ok, pos))
-    return F.when(m.isNotNull(), out)
+        has = p[file].isNotNull() & p[line].isNotNull()
+        pos = F.when(_whole_number(p[line]).isNotNull(), _struct(p[file], p[line], p[col]))
+        out = F.when(has, pos) if out is None else out.when(has, pos)
+    return out
 
 
-def _plain_position(raw_json: Column) -> Column:
-    """file, line and col as they stand."""
-    m = F.from_json(raw_json, RAW)
-    return F.struct(m["file"].alias("file"), _whole_number(m["line"]).alias("line"), _whole_number(m["col"]).alias("col"))
+def _steps(raw: Column, one) -> Column:
+    """Steps of a path; each is parsed on its own, so one bad step does not spoil the others."""
+    parsed = F.transform(raw, lambda s: one(F.from_json(s, _POSITION)))
+    return F.coalesce(parsed, F.array().cast("array<struct<file:string,line:int,col:int>>"))
 
 
-def _steps(raw_json: Column, one) -> Column:
-    return F.transform(F.from_json(raw_json, "array<string>"), one)
+def _held(df: DataFrame, column: Column, name: str) -> DataFrame:
+    """Adds a column that later steps use by reference: inline() keeps it from being copied into them."""
+    return df.select("*", F.inline(F.array(F.struct(column.alias(name)))))
 
 
-def normalised_record(value: Column) -> Column:
-    """STRUCT<source, sink, path, meta> of a log line, null when it fits none of the layouts."""
-    m = F.from_json(value, RAW)
-
-    def has(*keys):
-        out = F.map_contains_key(m, keys[0])
-        for k in keys[1:]:
-            out = out & F.map_contains_key(m, k)
-        return out
+def with_record(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Adds record: STRUCT<source, sink, path, meta>, null when the line fits none of the layouts."""
+    rows = _held(lines, F.from_json(column, _LINE), "_j")
+    ends = F.struct(
+        *[_position(F.col(f"_j.{n}")).alias(n) for n in ("source", "sink", "taint_source", "taint_sink", "from", "to")]
+    )
+    rows = _held(rows, ends, "_p")
+    j, p = F.col("_j"), F.col("_p")
 
     def valid(steps):
         return F.filter(steps, lambda s: s.isNotNull())
 
-    no_path = F.array().cast("array<struct<file:string,line:int,col:int>>")
-    no_meta = F.create_map().cast(RAW)
+    def plain(q):
+        return _struct(q["file"], q["line"], q["col"])
 
-    canonical = F.struct(
-        _plain_position(m["source"]).alias("source"), _plain_position(m["sink"]).alias("sink"),
-        F.coalesce(_steps(m["path"], _plain_position), no_path).alias("path"),
-        F.coalesce(F.from_json(m["meta"], RAW), no_meta).alias("meta"),
+    def both(a, b, path, meta):
+        r = F.struct(a.alias("source"), b.alias("sink"), path.alias("path"), meta.alias("meta"))
+        return F.when(a.isNotNull() & b.isNotNull(), r)
+
+    no_meta = F.create_map().cast("map<string,string>")
+    # a canonical line passes as it stands: its positions are not respelled
+    canonical = both(
+        plain(j["source"]), plain(j["sink"]), _steps(j["path"], plain), F.coalesce(j["meta"], no_meta)
     )
-    traced_meta = F.map_filter(
-        F.create_map(F.lit("taint_kind"), m["taint_type"], F.lit("sink_type"), m["sink_type"]),
-        lambda _, v: v.isNotNull(),
+    traced = both(
+        p["taint_source"], p["taint_sink"], valid(_steps(j["trace"], _position)),
+        F.map_filter(
+            F.create_map(F.lit("taint_kind"), j["taint_type"], F.lit("sink_type"), j["sink_type"]),
+            lambda _, v: v.isNotNull(),
+        ),
     )
-    traced = F.struct(
-        _position(m["taint_source"]).alias("source"), _position(m["taint_sink"]).alias("sink"),
-        F.coalesce(valid(_steps(m["trace"], _position)), no_path).alias("path"), traced_meta.alias("meta"),
+    generic = both(
+        p["from"], p["to"], valid(_steps(j["via"], _position)),
+        F.map_filter(F.from_json(column, "map<string,string>"), lambda k, _: ~k.isin("from", "to", "via")),
     )
-    generic = F.struct(
-        _position(m["from"]).alias("source"), _position(m["to"]).alias("sink"),
-        F.coalesce(valid(_steps(m["via"], _position)), no_path).alias("path"),
-        F.map_filter(m, lambda k, _: ~k.isin("from", "to", "via")).alias("meta"),
-    )
-
-    def both(r):
-        return F.when(r["source"].isNotNull() & r["sink"].isNotNull(), r)
-
-    is_canonical = has("source", "sink") & _position(m["source"]).isNotNull() & _position(m["sink"]).isNotNull()
-    return (
-        F.when(m.isNull(), F.lit(None))
-        .when(is_canonical, canonical)
-        .when(has("taint_source", "taint_sink"), both(traced))
-        .when(has("from", "to"), both(generic))
+    record = (
+        F.when(p["source"].isNotNull() & p["sink"].isNotNull(), canonical)
+        .when(j["taint_source"].isNotNull() & j["taint_sink"].isNotNull(), traced)
+        .when(j["from"].isNotNull() & j["to"].isNotNull(), generic)
     )
+    return _held(rows, record, "record").drop("_j", "_p")
 
 
 def taint_records(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -89,8 +92,7 @@ def taint_records(lines: DataFrame, column: str = "value") -> DataFrame:
     Works on batch and streaming input alike.
     """
     other = [c for c in lines.columns if c != column]
-    r = lines.select(*other, normalised_record(F.col(column)).alias("r"))
-    return r.where("r IS NOT NULL").select(*other, "r.source", "r.sink", "r.path", "r.meta")
+    return with_record(lines, column).where("record IS NOT NULL").select(*other, "record.*")
 
 
 def read_taint_log(spark: SparkSession, path: str) -> DataFrame:
@@ -99,21 +101,19 @@ def read_taint_log(spark: SparkSession, path: str) -> DataFrame:
 
 def conversion_counts(lines: DataFrame, column: str = "value") -> DataFrame:
     """How many non-blank lines a conversion keeps and skips."""
-    kept = normalised_record(F.col(column)).isNotNull()
-    return lines.where(F.trim(column) != "").agg(
-        F.count_if(kept).alias("converted"), F.count_if(~kept).alias("skipped")
+    rows = with_record(lines.where(F.trim(column) != ""), column)
+    return rows.agg(
+        F.count_if(F.col("record").isNotNull()).alias("converted"), F.count_if(F.col("record").isNull()).alias("skipped")
     )
 
 
 def convert_taint_log(spark: SparkSession, source: str, target: str) -> dict:
     """Rewrites a log in canonical form and reports the counts observed on the way."""
-    from pyspark.sql import Observation
-
     seen = Observation("taint-log")
-    lines = spark.read.text(source).where(F.trim("value") != "")
-    done = lines.withColumn("r", normalised_record(F.col("value")))
-    done = done.observe(
-        seen, F.count_if(F.col("r").isNotNull()).alias("converted"), F.count_if(F.col("r").isNull()).alias("skipped")
+    rows = with_record(spark.read.text(source).where(F.trim("value") != ""))
+    rows = rows.observe(
+        seen, F.count_if(F.col("record").isNotNull()).alias("converted"),
+        F.count_if(F.col("record").isNull()).alias("skipped"),
     )
-    done.where("r IS NOT NULL").select("r.*").write.mode("overwrite").json(target)
+    rows.where("record IS NOT NULL").select("record.*").write.mode("overwrite").json(target)
     return dict(seen.get)
