@@ -23,7 +23,7 @@ def _python(code: Column) -> Column:
 
 
 def percent(value: Column) -> Column:
-    return F.format_string("%.1f%%", value * 100)
+    return F.when(value.isNotNull(), F.format_string("%.1f%%", value * 100))
 
 
 def finding_title(severity: Column, cwe: Column, rule: Column, file: Column, tag: str = TAG) -> Column:

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from codeloom.operators.ordered import (
     by_digest, by_value, number_rows, running_sums, seconds,
 )
-from codeloom.operators.skew import HotKeys
-from codeloom.session import cut_lineage
-
 
 
 def order_hash(*parts: Column, seed: int = 42) -> Column:
@@ -196,40 +193,6 @@ def without_duplicates(rows: DataFrame, text: str, key: str) -> DataFrame:
     return rows.join(keep, key, "left_semi")
 
 
-def near_duplicate_groups(
-    rows: DataFrame, text: str, key: str, hashes: int = 32, bands: int = 8, shingle: int = 5
-) -> DataFrame:
-    """key, representative: rows linked to the smallest key of a MinHash band they share.
-
-    Every row joins the smallest key of each of its bands, so a group of any size costs one link per
-    row and band instead of all pairs; the smallest of those links is kept, which is one round of
-    label propagation.  Whole texts are shingled.
-    """
-    words = F.split(normalised_code(F.col(text)), " ")
-    grams = F.when(
-        F.size(words) >= shingle,
-        F.transform(
-            F.sequence(F.lit(1), F.size(words) - shingle + 1),
-            lambda i: F.xxhash64(F.array_join(F.slice(words, i, shingle), " ")),
-        ),
-    ).otherwise(F.array(F.xxhash64(F.array_join(words, " "))))
-    g = rows.select(key, grams.alias("_g"))
-    per_band = hashes // bands
-    sigs = [F.array_min(F.transform("_g", lambda x, s=s: F.xxhash64(x, F.lit(s)))) for s in range(hashes)]
-    banded = F.array(
-        *[
-            F.struct(F.lit(b).alias("band"), F.xxhash64(*[F.col(f"_s{b * per_band + j}") for j in range(per_band)]).alias("h"))
-            for b in range(bands)
-        ]
-    )
-    signed = g.select(key, *[s.alias(f"_s{i}") for i, s in enumerate(sigs)])
-    rows_of_band = cut_lineage(signed.select(key, F.inline(banded)))
-    heads = rows_of_band.groupBy("band", "h").agg(F.min(key).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    hot = HotKeys(rows_of_band, "h")  # a text copied millions of times is one band value
-    big, small = hot.salt_big(rows_of_band, "h", [key]), hot.salt_small(heads, "h")
-    return big.join(small, ["band", "h", "_salt"]).groupBy(key).agg(F.min("head").alias("representative"))
-
-
 def large_enough(nodes: DataFrame, minimum: int) -> DataFrame:
     """Graphs with at least ``minimum`` nodes."""
     return nodes.groupBy("file").agg(F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") >= minimum)
