@@ -23,7 +23,16 @@ def _python(code: Column) -> Column:
 
 
 def percent(value: Column) -> Column:
-    return F.when(value.isNotNull(), F.format_string("%.1f%%", value * 100))
+    """A share as '12.3%', rounded by its exact binary value with ties to even.
+
+    n tenths are right unless the value lies below the border (2n - 1) / 20; v * 16 and v * 4 are exact
+    and so is their sum near the border, which a decimal rounding of v would get wrong.
+    """
+    v = value * 100
+    n = F.floor(v * 10 + 0.5)
+    over = (v * 16 - (n * 2 - 1).cast("double")) + v * 4
+    tenths = F.when((over < 0) | ((over == 0) & (n % 2 == 1)), n - 1).otherwise(n)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%"))
 
 
 def finding_title(severity: Column, cwe: Column, rule: Column, file: Column, tag: str = TAG) -> Column:

@@ -30,13 +30,17 @@ def _hops(
     links: DataFrame, seeds: DataFrame, max_depth: int, hot_min_rows: int
 ) -> DataFrame:
     """file, id, depth of everything reached over directed ``links`` within ``max_depth`` steps."""
+    links = cut_lineage(links.select("file", "src", "dst"))
     hot = HotKeys(links, "src", hot_min_rows)
-    links = cut_lineage(hot.salt_big(links.select("file", "src", "dst"), "src", ["dst"]))
+    key = ["file", "src"]
+    if hot.values:
+        links, key = hot.salt_big(links, "src", ["dst"]), ["file", "src", "_salt"]
     reached = cut_lineage(seeds.select("file", "id").distinct().withColumn("depth", F.lit(0)))
     frontier = reached
     for depth in range(1, max_depth + 1):
-        ask = hot.salt_small(frontier.select("file", F.col("id").alias("src")), "src")
-        found = links.join(ask, ["file", "src", "_salt"]).select("file", F.col("dst").alias("id")).distinct()
+        ask = frontier.select("file", F.col("id").alias("src"))
+        ask = hot.salt_small(ask, "src") if hot.values else ask
+        found = links.join(ask, key).select("file", F.col("dst").alias("id")).distinct()
         frontier = cut_lineage(
             found.join(reached, ["file", "id"], "left_anti").withColumn("depth", F.lit(depth))
         )
