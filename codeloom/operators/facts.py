@@ -12,6 +12,7 @@ from codeloom.sources.catalogue import canonical_value
 
 ROWS_PER_BATCH = 50_000
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+LEAVES = (ast.Name, ast.Constant, ast.alias, ast.Pass, ast.Break, ast.Continue, ast.Global, ast.Nonlocal)
 COMPREHENSIONS = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
 FILE_COLUMNS = ("file", "status", "error", "frameworks")
 ROW_COLUMNS = tuple(f.name for f in FACT.fields if f.name not in FILE_COLUMNS)
@@ -110,6 +111,8 @@ def file_facts(code: str):
                 scopes = (*scopes, count)
             elif cls in COMPREHENSIONS:
                 comps = (*comps, count)
+            elif cls in LEAVES:
+                continue
         else:
             prefix = f"{field}."
         below = []

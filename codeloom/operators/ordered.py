@@ -12,16 +12,14 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeloom.session import estimated_bytes
+
 SMALL_BYTES = 32 << 20
 
 
 def is_small(df: DataFrame) -> bool:
     """The planner's size estimate says that one task can order all the rows."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(str(stats.sizeInBytes())) <= SMALL_BYTES
-    except Exception:  # no estimate, no shortcut
-        return False
+    return estimated_bytes(df) <= SMALL_BYTES
 
 
 def quantile_limits(df: DataFrame, col: str, buckets: int | None = None) -> list[float]:

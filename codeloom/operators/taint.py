@@ -65,14 +65,16 @@ def node_at_position(positions: DataFrame, nodes: DataFrame, lines: int = LINES_
     """file, line, col, role, id: the best covering node per distinct position.
 
     A range join made equal: spans and lines are cut into blocks of ``lines`` lines.  Positions are
-    made distinct first, so a place hit by most records is looked up once; the best node is a
-    combined minimum, not a sorted group.
+    made distinct first, so a place hit by most records is looked up once, and of the nodes with the
+    same kind and span only the first is kept, as no other can win.  A block therefore pairs distinct
+    places with distinct spans.  The best node is a combined minimum, not a sorted group.
     """
     want = positions.where(F.col("file").isNotNull() & F.col("line").isNotNull()).select(
         "file", "line", "col", "role"
     ).distinct()
     want = want.withColumn("_block", F.floor(F.col("line") / lines))
-    spans = nodes.where(F.col("span").isNotNull()).select(
+    first = nodes.where(F.col("span").isNotNull()).groupBy("file", "kind", "span").agg(F.min("id").alias("id"))
+    spans = first.select(
         "file", "id", "kind", "span",
         F.explode(F.sequence(F.floor(F.col("span.sl") / lines), F.floor(F.col("span.el") / lines))).alias("_block"),
     )

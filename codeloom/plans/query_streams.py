@@ -43,7 +43,7 @@ def _requests(events):
 )
 def stream_job_intake(spark, sf):
     jobs, bad = scratch_path(spark, "jobs"), scratch_path(spark, "quarantine")
-    S.run_batches(S.job_intake(_requests(_events(spark, sf))), "intake", S.route_intake(None, jobs, bad))
+    S.run_batches(S.job_intake(_requests(_events(spark, sf))), "intake", S.route_intake(jobs, bad))
     both = spark.read.parquet(jobs).withColumn("outcome", F.lit("queued")).unionByName(
         spark.read.parquet(bad).withColumn("outcome", F.lit("quarantined"))
     )
@@ -66,9 +66,9 @@ def stream_job_states(spark, sf):
         F.expr(_JOB).alias("job_id"), F.expr(_STATE).alias("status"), "ts", "event_id", F.floor("value").cast("int").alias("findings_count")
     )
     path = scratch_path(spark, "job-states")
-    S.run_batches(S.latest_states(e), "job-states", S.upsert(path, ["job_id"], ["updated_at"], spark), "update")
+    S.run_batches(S.latest_states(e), "job-states", S.keep_epochs(path), "update")
     text = "yyyy-MM-dd HH:mm:ss"
-    return S.newest_epoch(spark, path).select(
+    return S.newest_rows(spark, path, ["job_id"]).select(
         "job_id", "status", F.date_format("started_at", text).alias("started_at"), F.date_format("finished_at", text).alias("finished_at"), "findings_count"
     )
 
@@ -80,8 +80,8 @@ def stream_job_states(spark, sf):
 def stream_dead_letters(spark, sf):
     m = _events(spark, sf).select(F.expr("user_id * 5 + length(event_type) % 5").alias("message_id"))
     path = scratch_path(spark, "receives")
-    S.run_batches(S.receive_counts(m), "receives", S.upsert(path, ["message_id"], ["receives"], spark), "update")
-    return S.newest_epoch(spark, path).select("message_id", "receives", "dead")
+    S.run_batches(S.receive_counts(m), "receives", S.keep_epochs(path), "update")
+    return S.newest_rows(spark, path, ["message_id"]).select("message_id", "receives", "dead")
 
 
 @query(
@@ -126,9 +126,8 @@ _WHAT = "CASE WHEN event_type = 'signup' THEN 'scan' WHEN event_type = 'purchase
 def stream_daily_trend(spark, sf):
     e = _late(spark, sf).select("ts", F.expr(_WHAT).alias("what"))
     path = scratch_path(spark, "trend")
-    trend = S.live_trend(e).withColumn("seen", F.col("scans") + F.col("findings") + F.col("fixed"))
-    S.run_batches(trend, "trend", S.upsert(path, ["date"], ["seen"], spark), "update")
-    return S.newest_epoch(spark, path).select(F.date_format("date", "yyyy-MM-dd").alias("date"), "scans", "findings", "fixed")
+    S.run_batches(S.live_trend(e), "trend", S.keep_epochs(path), "update")
+    return S.newest_rows(spark, path, ["date"]).select(F.date_format("date", "yyyy-MM-dd").alias("date"), "scans", "findings", "fixed")
 
 
 @query(

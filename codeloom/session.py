@@ -59,10 +59,18 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def estimated_bytes(df: DataFrame) -> float:
+    """The planner's size estimate; infinite where it has none."""
+    try:
+        return float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:
+        return float("inf")
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rebalance inputs that arrive in fewer files than there are cores.
+    """Rebalances rows that arrive in fewer splits than there are cores, for work that is dear per row.
 
-    Large tables already have enough splits and are returned as they are.
+    Tables large enough to give every core a split are returned as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if estimated_bytes(df) < cores * (128 << 20) else df

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from codeloom.operators.ordered import seconds
+from codeloom.operators.taint import tainted_calls
 from codeloom.operators.tenancy import audit_id, expiry
 from codeloom.session import scratch_path
 from codeloom.sources.taint_log import taint_records
@@ -63,7 +65,7 @@ def job_intake(requests: DataFrame) -> DataFrame:
     )
 
 
-def route_intake(rows: DataFrame, jobs_path: str, quarantine_path: str) -> Callable[[DataFrame, int], None]:
+def route_intake(jobs_path: str, quarantine_path: str) -> Callable[[DataFrame, int], None]:
     """A batch handler that writes accepted rows and rejected rows apart, one folder per batch."""
     def handle(batch: DataFrame, epoch: int) -> None:
         for path, test in ((jobs_path, F.col("accepted")), (quarantine_path, ~F.col("accepted"))):
@@ -85,26 +87,23 @@ def latest_states(events: DataFrame, late: str = "1 day") -> DataFrame:
     )
 
 
-def upsert(path: str, key: list[str], order: list[str], spark: SparkSession) -> Callable[[DataFrame, int], None]:
-    """A batch handler that merges rows into a versioned table: epoch n = merge(epoch n - 1, batch).
+def keep_epochs(path: str) -> Callable[[DataFrame, int], None]:
+    """A batch handler that writes each batch's changed rows to a folder of its own.
 
-    Each epoch writes its own folder, so repeating an epoch repeats its result.
+    Repeating an epoch overwrites the same folder; readers merge the folders by key.
     """
     def handle(batch: DataFrame, epoch: int) -> None:
-        rows = batch
-        if epoch > 0:
-            rows = spark.read.parquet(f"{path}/epoch={epoch - 1}").unionByName(batch)
-        rest = [c for c in batch.columns if c not in key]
-        best = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*[F.col(o) for o in order])).alias("_r"))
-        best.select(*key, "_r.*").write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return handle
 
 
-def newest_epoch(spark: SparkSession, path: str) -> DataFrame:
-    """The table of the newest finished epoch."""
-    epochs = spark.read.parquet(path).agg(F.max("epoch").alias("e")).first()["e"]
-    return spark.read.parquet(f"{path}/epoch={epochs}")
+def newest_rows(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
+    """Per key the row of the newest epoch; combined before the shuffle."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*key, "epoch")]
+    best = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "epoch").alias("_r"))
+    return best.select(*key, "_r.*")
 
 
 def receive_counts(messages: DataFrame, max_receives: int = MAX_RECEIVES) -> DataFrame:
@@ -140,22 +139,31 @@ def live_trend(events: DataFrame, time: str = "ts", late: str = "1 day") -> Data
 
 
 def live_correlation(
-    spark: SparkSession, state_path: str, out_path: str, objects: list[str], time: str = "ts"
+    spark: SparkSession, state_path: str, out_path: str, objects: list[str], time: str = "ts",
+    horizon: float | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """A batch handler for runtime events (kind 'mark' or 'argument').
 
-    Each batch is joined as-of with the marks kept so far by the same operator as in batch.  Marks
-    are kept whole, as versioned tables, so an argument that arrives late still finds its mark.
+    Each batch is joined as-of with the marks so far by the same operator as in batch.  With a
+    ``horizon`` (seconds) the state keeps the marks of that long, and of the older ones the last per
+    object, which is all that arguments late by less than the horizon can see.  The state of an epoch
+    is written from the one before it, so repeating an epoch repeats its result.
     """
-    from codeloom.operators.taint import tainted_calls
-
     def handle(batch: DataFrame, epoch: int) -> None:
-        marks = batch.where(F.col("kind") == "mark").select(*objects, time, "source")
-        marks.write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}")
-        known = spark.read.parquet(state_path).where(F.col("epoch") <= epoch).drop("epoch")
+        known = batch.where(F.col("kind") == "mark").select(*objects, time, "source")
+        if epoch > 0:
+            known = spark.read.parquet(f"{state_path}/epoch={epoch - 1}").unionByName(known)
         args = batch.where(F.col("kind") == "argument").select(
             *objects, time, "call_id", "arg_pos", "sink", "sink_type"
         )
         tainted_calls(known, args, objects, time).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+        kept = known
+        if horizon is not None:
+            t = known.withColumn("_t", seconds(known, time))
+            edge = t.agg((F.max("_t") - horizon).alias("_edge"))
+            t = t.crossJoin(F.broadcast(edge))  # one row
+            old = t.where("_t < _edge").groupBy(*objects).agg(F.max_by(F.struct(time, "source"), time).alias("m"))
+            kept = t.where("_t >= _edge").select(*objects, time, "source").unionByName(old.select(*objects, "m.*"))
+        kept.write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}")
 
     return handle

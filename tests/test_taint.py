@@ -138,12 +138,15 @@ def test_stream_correlation_equals_batch(spark):
     src = scratch_path(spark, "events")
     for lo, hi in ((0, 100), (100, 200), (200, 400)):
         both.where((F.col("ts") >= lo) & (F.col("ts") < hi)).coalesce(1).write.mode("append").parquet(src)
-    state, out = scratch_path(spark, "marks"), scratch_path(spark, "out")
-    stream = spark.readStream.schema(both.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    S.run_batches(stream, "corr", S.live_correlation(spark, state, out, ["o"]))
-    got = {r.call_id: r.source for r in spark.read.parquet(out).collect()}
-    assert spark.read.parquet(out).select("epoch").distinct().count() == 3
-    assert got == plain_calls(marks, calls)
+    for horizon in (None, 0.0, 30.0):
+        state, out = scratch_path(spark, "marks"), scratch_path(spark, "out")
+        stream = spark.readStream.schema(both.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        S.run_batches(stream, "corr", S.live_correlation(spark, state, out, ["o"], horizon=horizon))
+        got = spark.read.parquet(out)
+        assert got.select("epoch").distinct().count() == 3
+        assert {r.call_id: r.source for r in got.collect()} == plain_calls(marks, calls)
+        kept = spark.read.parquet(f"{state}/epoch=2").count()
+        assert kept == len(marks) if horizon is None else kept < len(marks)
 
 
 def test_conversion_job_counts(spark, tmp_path):
