@@ -2,6 +2,8 @@
 
 import math
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -33,16 +35,11 @@ def graph_line_range(nodes: DataFrame) -> DataFrame:
 def pooled_vectors(vectors: DataFrame, keys: list[str], vector: str = "vec") -> DataFrame:
     """keys, pooled: mean values followed by max values of the group's vectors.
 
-    Sums and maxima are taken per dimension and combined before the shuffle, so a group of any size
-    is at most one row per dimension and task.
+    The summary is combined per task before the shuffle: one buffer per group, however large it is.
     """
-    d = vectors.select(*keys, F.posexplode(vector).alias("dim", "x"))
-    per_dim = d.groupBy(*keys, "dim").agg(
-        F.avg(F.col("x").cast("double")).alias("mean"), F.max(F.col("x").cast("double")).alias("peak")
-    )
-    pooled = per_dim.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "peak"))).alias("d"))
-    values = F.concat(F.transform("d", lambda x: x["mean"]), F.transform("d", lambda x: x["peak"]))
-    return pooled.select(*keys, values.alias("pooled"))
+    both = Summarizer.metrics("mean", "max").summary(array_to_vector(F.col(vector).cast("array<double>")))
+    pooled = vectors.groupBy(*keys).agg(both.alias("s"))
+    return pooled.select(*keys, F.concat(vector_to_array("s.mean"), vector_to_array("s.max")).alias("pooled"))
 
 
 def softmax(weights: dict[str, float]) -> dict[str, float]:
@@ -58,13 +55,13 @@ def neighbour_mix(edges: DataFrame, vectors: DataFrame, weights: dict[str, float
     """
     share = softmax(weights or {k: 1.0 for k in EDGE_CODES})
     table = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
-    src = vectors.select("file", F.col("id").alias("src"), "vec")
+    src = vectors.select("file", F.col("id").alias("src"), array_to_vector(F.col("vec").cast("array<double>")).alias("v"))
     e = edges.where(F.col("kind").isin(*share)).join(src, ["file", "src"])
-    d = e.select("file", F.col("dst").alias("id"), "kind", F.posexplode("vec").alias("dim", "x"))
-    mean = d.groupBy("file", "id", "kind", "dim").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    mixed = mean.groupBy("file", "id", "dim").agg(F.sum(F.col("m") * table[F.col("kind")]).alias("v"))
-    out = mixed.groupBy("file", "id").agg(F.array_sort(F.collect_list(F.struct("dim", "v"))).alias("d"))
-    return out.select("file", "id", F.transform("d", lambda x: x["v"]).alias("mixed"))
+    mean = e.groupBy("file", F.col("dst").alias("id"), "kind").agg(Summarizer.mean(F.col("v")).alias("m"))
+    mixed = mean.withColumn("w", table[F.col("kind")]).groupBy("file", "id").agg(
+        Summarizer.sum(F.col("m"), F.col("w")).alias("s")
+    )
+    return mixed.select("file", "id", vector_to_array("s").alias("mixed"))
 
 
 def norm(vector: Column) -> Column:

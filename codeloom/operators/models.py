@@ -43,21 +43,23 @@ def chunked_embedder(embed: Callable[[list[str]], list[list[float]]], dims: int
     return run
 
 
-def embedded_codes(nodes: DataFrame, embedder=None, code: str = "code") -> DataFrame:
+def embedded_codes(nodes: DataFrame, embedder=None, code: str = "code", dims: int = DIMENSIONS) -> DataFrame:
     """code_sha, vec for every distinct text: equal texts are embedded once."""
     sha = F.sha2(F.encode(F.coalesce(F.col(code), F.lit("")), "UTF-8"), 256)
     distinct = nodes.select(sha.alias("code_sha"), F.coalesce(F.col(code), F.lit("")).alias(code))
     # equal digests have equal texts, so any one of them will do
     distinct = distinct.groupBy("code_sha").agg(F.first(code).alias(code))
     if embedder is None:
-        return hashed_embedding(distinct, code).select("code_sha", "vec")
+        return hashed_embedding(distinct, code, dims=dims).select("code_sha", "vec")
     return distinct.select("code_sha", embedder(F.col(code)).alias("vec"))
 
 
-def embedded_nodes(nodes: DataFrame, embedder=None, code: str = "code") -> DataFrame:
+def embedded_nodes(nodes: DataFrame, embedder=None, code: str = "code", dims: int = DIMENSIONS) -> DataFrame:
     """Nodes with the vector of their code."""
     sha = F.sha2(F.encode(F.coalesce(F.col(code), F.lit("")), "UTF-8"), 256)
-    return nodes.withColumn("code_sha", sha).join(embedded_codes(nodes, embedder, code), "code_sha").drop("code_sha")
+    return nodes.withColumn("code_sha", sha).join(
+        embedded_codes(nodes, embedder, code, dims), "code_sha"
+    ).drop("code_sha")
 
 
 def dot(vector: Column, weights: list[float]) -> Column:

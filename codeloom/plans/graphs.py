@@ -77,7 +77,8 @@ def scan_findings(
     nodes: DataFrame, weights: list[float], bias: float, k: int = 5, dims: int = 64, catalogue: Catalogue = DEFAULT
 ) -> DataFrame:
     """Scored files with their best source-sink pair and the pattern it points to, the k best files."""
-    vectors = MD.hashed_embedding(nodes, "code", "vec", dims)
+    # every text is embedded once; three branches read the vectors
+    vectors = cut_lineage(MD.embedded_nodes(nodes.select("file", "id", "attrs", "code"), None, "code", dims).drop("code"))
     pooled = FT.pooled_vectors(vectors, ["file"])
     scored = MD.linear_scores(pooled, weights, bias).drop("pooled")
     s = MD.pair_parts(M.source_candidates(vectors), weights, "source")

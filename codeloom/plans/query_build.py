@@ -314,3 +314,38 @@ def findings_by_owasp_and_cwe(spark, sf):
     f = view(spark, sf, "findings").select(F.expr("CAST(substr(rule_id, 2) AS INT)").alias("ord"))
     kept = f.join(F.broadcast(wanted), "ord").join(F.broadcast(p.select("pattern_id", "owasp", "cwe")), "pattern_id")
     return kept.groupBy("owasp", F.array_contains("cwe", "CWE-918").alias("request_forgery")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_SCANNED = [("signup", "SQLI_RAW_STRING_FORMAT", "A03: Injection", "CWE-89"), ("click", "CMDI_OS_SYSTEM_TAINTED", "A03: Injection", "CWE-78"),
+            ("error", None, None, None), ("view", None, None, None), ("purchase", None, None, None)]
+
+
+@query(
+    "scan_findings", "K2 K3 N12 N18 J11 J12 W7 L1",
+    _per_file(_SCANNED, "pattern_id, owasp, cwe_id", "pattern_id, owasp, cwe_id") + " ORDER BY file LIMIT 100",
+)
+def scan_findings(spark, sf):
+    """From source files to the 100 best findings, with a scorer that calls every file vulnerable."""
+    facts = cut_lineage(_facts(spark, sf))
+    nodes = cut_lineage(M.matched_nodes(facts))
+    return PG.scan_findings(nodes, [0.0] * 32, 1.0, 100, 16).select("file", "pattern_id", "owasp", "cwe_id")
+
+
+@query(
+    "graphs_with_recorded_flows", "N5 J4 T5 F1",
+    "SELECT kind, count(*) AS n FROM (SELECT 'DDFG' AS kind FROM events WHERE event_type = 'click' UNION ALL "
+    f"SELECT s.kind FROM events JOIN (VALUES {_values(EDGE_COUNTS)}) s(shape, kind, n) ON s.shape = event_type, range(s.n)) GROUP BY kind",
+)
+def graphs_with_recorded_flows(spark, sf):
+    """Static graphs merged with one runtime record per click file: from the getenv call to os.system."""
+    files = _files(spark, sf)
+    p = "struct<file:string,line:int,col:int>"
+    records = table(spark, sf, "events").where("event_type = 'click'").select(
+        F.col("event_id").alias("record"), F.expr(_CODE_COLUMNS[0]),
+    ).select(
+        "record", F.expr(f"CAST(named_struct('file', file, 'line', 3, 'col', 8) AS {p})").alias("source"),
+        F.expr(f"CAST(named_struct('file', file, 'line', 6, 'col', 8) AS {p})").alias("sink"),
+        F.expr(f"CAST(array() AS array<{p}>)").alias("path"), F.expr("map('tool', 'trace')").alias("meta"),
+    )
+    _, edges, _ = PG.build_graphs(files, records)
+    return edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))

@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from codeloom.operators import corpus as C
+from codeloom.plans import graphs as PG
 from codeloom.plans.registry import query
 from codeloom.plans.views import ORDER_GRAPH_SQL, order_nodes, sql, table, view
+from codeloom.session import scratch_path
 from codeloom.sources import files as FI
 
 _H = "sha256('42|' || CAST({0} AS STRING))"
@@ -161,3 +163,19 @@ def without_duplicates(spark, sf):
 )
 def large_enough_graphs(spark, sf):
     return C.large_enough(order_nodes(spark, sf), 8)
+
+
+@query(
+    "training_data_counts", "S13 U2 W5 W6",
+    sql("vuln_records", "safe_files")
+    + ", t AS (SELECT 2 * (SELECT count(*) FROM vuln_records) AS o, (SELECT count(*) FROM safe_files) AS s), n AS (SELECT o, greatest(1, floor(0.3 * o / (1 - 0.3))) AS safe FROM t), "
+    "a AS (SELECT CAST(o + safe AS BIGINT) AS n, CAST(safe AS BIGINT) AS safe, CAST(o / 2 AS BIGINT) AS half FROM n) "
+    "SELECT 'train' AS value, CAST(floor(n * 0.7) AS BIGINT) AS n FROM a UNION ALL SELECT 'val', CAST(floor(n * 0.15) AS BIGINT) FROM a UNION ALL "
+    "SELECT 'test', n - CAST(floor(n * 0.7) AS BIGINT) - CAST(floor(n * 0.15) AS BIGINT) FROM a UNION ALL SELECT 'vulnerable', half FROM a UNION ALL SELECT 'fixed', half FROM a UNION ALL SELECT 'originally_safe', safe FROM a",
+)
+def training_data_counts(spark, sf):
+    """Records and safe files to balanced samples, written split by split and read back."""
+    path = scratch_path(spark, "training")
+    PG.training_data(view(spark, sf, "vuln_records"), view(spark, sf, "safe_files"), path)
+    rows = spark.read.parquet(path).select(F.explode(F.array("split", "sample_type")).alias("value"))
+    return rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"))

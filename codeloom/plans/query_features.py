@@ -13,6 +13,7 @@ from codeloom.plans.registry import query
 from codeloom.plans.views import (
     ORDER_GRAPH_SQL, day_nodes, order_edges, order_nodes, sql, table, view,
 )
+from codeloom.session import scratch_path
 from codeloom.sources import graphs as GR
 
 _BOTH = ", e AS (SELECT DISTINCT src, dst FROM shop_edges), b AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e) "
@@ -295,10 +296,16 @@ def masked_vectors(spark, sf):
     return m.select("id", F.round(total + 0.0, 5).alias("total"))
 
 
-@query("noisy_vectors", "N16")
+_U, _V = _uniform("'g'", "vec_id", "0", "'a'"), _uniform("'g'", "vec_id", "0", "'b'")
+
+
+@query(
+    "noisy_vectors", "N16",
+    f"SELECT vec_id AS id, len(embedding) AS dims, round(CAST(embedding[1] AS DOUBLE) + sqrt(-2 * ln(greatest({_U}, 0.000000000001))) * cos(2 * pi() * {_V}) * 0.1, 6) AS first FROM embeddings",
+)
 def noisy_vectors(spark, sf):
     v = table(spark, sf, "embeddings").select(F.lit("g").alias("file"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return FT.noisy_vectors(v).select("id", F.size("vec").alias("dims"), F.round(F.element_at("vec", 1), 6).alias("first"))
+    return FT.noisy_vectors(v).select("id", F.size("vec").cast("bigint").alias("dims"), F.round(F.element_at("vec", 1), 6).alias("first"))
 
 
 @query(
@@ -560,3 +567,25 @@ def token_forest_baseline(spark, sf):
     fit = MD.forest_baseline(d, trees=5, dims=64)
     scored = MD.with_predictions(fit, MD.hashed_embedding(d, "code", "vec", 64), "vec")
     return scored.groupBy("label", F.col("prediction").cast("int").alias("y_pred")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "graph_file_round_trip", "S3 S4 S5",
+    sql("day_nodes") + _CHAIN
+    + ", n AS (SELECT file, count(*) AS nodes, count(source_id) AS sources FROM day_nodes GROUP BY file), e AS (SELECT file, count(*) AS edges FROM ch GROUP BY file) "
+    "SELECT file, nodes, sources, coalesce(edges, 0) AS edges FROM n LEFT JOIN e USING (file)",
+)
+def graph_file_round_trip(spark, sf):
+    """Graphs to JSON lines and back to tables."""
+    n = day_nodes(spark, sf).select(
+        "*", F.lit(None).cast("string").alias("type_hint"), F.array().cast("array<string>").alias("flags")
+    )
+    e = _chain(spark, sf).select("*", F.lit("CFG").alias("kind"), F.lit(None).cast("map<string,string>").alias("attrs"))
+    path = scratch_path(spark, "graphs")
+    GR.write_graphs(GR.graph_documents(n, e), path)
+    g = GR.read_graphs(spark, path)
+    nodes = GR.nodes_of(g).groupBy("file").agg(
+        F.count(F.lit(1)).alias("nodes"), F.count(F.col("attrs")["source_id"]).alias("sources")
+    )
+    edges = GR.edges_of(g).groupBy("file").agg(F.count(F.lit(1)).alias("edges"))
+    return nodes.join(edges, "file", "left").select("file", "nodes", "sources", F.coalesce("edges", F.lit(0)).alias("edges"))

@@ -7,6 +7,8 @@ from codeloom.operators import findings as FN
 from codeloom.plans.query_masking import mask_sql
 from codeloom.plans.registry import query
 from codeloom.plans.views import sql, table, view
+from codeloom.schemas import PREDICTION
+from codeloom.session import scratch_path
 from codeloom.sources import records as RC
 
 _GATE = (
@@ -225,3 +227,35 @@ def issue_actions(spark, sf):
         F.col("p_partkey").alias("issue_id"), F.concat(F.lit("old\n<!-- fp:"), fp, F.lit(" -->")).alias("body")
     )
     return FN.issue_actions(reports, issues, F.lit("abcdef1234567"))
+
+
+@query(
+    "result_file_round_trip", "S11 S12 S14",
+    sql("results") + "SELECT file_path, is_vulnerable, confidence FROM results",
+)
+def result_file_round_trip(spark, sf):
+    """Predictions to JSON and back."""
+    path = scratch_path(spark, "results")
+    RC.write_json(view(spark, sf, "results").select("file_path", "is_vulnerable", "confidence"), path)
+    # the sink writes one object per line, so the files are read line by line
+    return spark.read.schema(PREDICTION).json(path).select("file_path", "is_vulnerable", "confidence")
+
+
+@query(
+    "written_reports", "S15",
+    sql("findings")
+    + ", r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY coalesce(confidence, 0) DESC, finding_id) AS r FROM findings) SELECT repo AS job_id, CAST(finding_id AS VARCHAR) AS fingerprint, '# ' || rule_id AS value FROM r WHERE r <= 3",
+)
+def written_reports(spark, sf):
+    """The three best findings of each repository as report files, read back."""
+    top = FN.top_findings_per(view(spark, sf, "findings"), "repo", 3)
+    path = scratch_path(spark, "reports")
+    RC.write_reports(
+        top.select(
+            F.replace("repo", F.lit("/"), F.lit("~")).alias("job_id"), F.col("finding_id").cast("string").alias("fingerprint"),
+            F.concat(F.lit("# "), "rule_id").alias("markdown"),
+        ),
+        path,
+    )
+    back = spark.read.text(path)
+    return back.select(F.replace("job_id", F.lit("~"), F.lit("/")).alias("job_id"), F.col("fingerprint").cast("string").alias("fingerprint"), "value")
