@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
+from codeloom.functions.hold import held
 from codeloom.operators.graph_build import graph_nodes, node_kind, parsed, span_struct
 from codeloom.sources.catalogue import DEFAULT, FRAMEWORK_MARKS, Catalogue, canonical_value
 
@@ -191,10 +192,7 @@ def matched_nodes(
     """
     rows = with_resolved_code(facts).withColumn("kind", node_kind(F.col("ast_type")))
     rows = with_match_names(rows, "resolved", catalogue.longest_call)
-    # inline() keeps the three lookups as columns of their own: filters on the attributes would
-    # otherwise copy them into every predicate
-    found = F.struct(*[c.alias(n) for n, c in match_columns(catalogue).items()])
-    rows = rows.select("*", F.inline(F.array(found)))
+    rows = held(rows, **match_columns(catalogue))
     rows = rows.withColumn("sink_ok", sink_constraint(catalogue, literal_kwargs))
     others = graph_nodes(facts.where(~F.col("ast_type").isin("Call", "Attribute")))
     return rows.select(
@@ -261,24 +259,29 @@ def inferred_pattern(
 
     +10 source named by the pattern, +5 source of the same family, +10 sink, +8 sink kind, +5 keyword.
     """
-    prefix = F.split_part(source, F.lit("_"), F.lit(1))
-    low = F.lower(code)
+    asked = (F.coalesce(sink, F.lit("")) != "") | (F.coalesce(kind, F.lit("")) != "")
+    # one element: what the pattern tests share is computed once and bound to a lambda variable
+    shared = F.array(
+        F.struct(F.split_part(source, F.lit("_"), F.lit(1)).alias("family"), F.lower(code).alias("code"), asked.alias("asked"))
+    )
 
     def points(test, n):
         return F.when(F.coalesce(test, F.lit(False)), n).otherwise(0)
 
-    def scored(p):
-        named = F.coalesce(F.array_contains(p["sources"], source), F.lit(False))
-        family = (source != "") & F.exists(p["sources"], lambda x: F.startswith(x, prefix))
+    def scored(p, z):
+        family = (source != "") & F.exists(p["sources"], lambda x: F.startswith(x, z["family"]))
         score = (
-            F.when(named, 10).otherwise(points(family, 5)) + points(F.array_contains(p["sinks"], sink), 10)
+            F.when(F.coalesce(F.array_contains(p["sources"], source), F.lit(False)), 10).otherwise(points(family, 5))
+            + points(F.array_contains(p["sinks"], sink), 10)
             + points((kind != "") & F.array_contains(p["kinds"], kind), 8)
-            + points(F.exists(p["words"], lambda w: F.contains(low, w)), 5)
+            + points(F.exists(p["words"], lambda w: F.contains(z["code"], w)), 5)
         )
         return F.struct(score.alias("score"), (-p["ord"]).alias("o"), p["pattern_id"].alias("pattern_id"))
 
-    best = F.array_max(F.transform(rule_literal(catalogue.patterns, _PATTERN_FIELDS), scored))
-    asked = (F.coalesce(sink, F.lit("")) != "") | (F.coalesce(kind, F.lit("")) != "")
-    return F.when(
-        asked & (best["score"] > 0), F.struct(best["pattern_id"].alias("pattern_id"), best["score"].alias("score"))
+    patterns = rule_literal(catalogue.patterns, _PATTERN_FIELDS)
+    best = F.transform(
+        F.filter(shared, lambda z: z["asked"]), lambda z: F.array_max(F.transform(patterns, lambda p: scored(p, z)))
     )
+    hits = F.filter(best, lambda b: b["score"] > 0)
+    named = F.transform(hits, lambda b: F.struct(b["pattern_id"].alias("pattern_id"), b["score"].alias("score")))
+    return F.try_element_at(named, F.lit(1))

@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from codeloom.operators import tenancy as TN
+from codeloom.operators import weak_signals as WS
 from codeloom.plans.registry import query
-from codeloom.plans.views import sql, table, view
+from codeloom.plans.views import day_nodes, sql, table, view
 
 
 @query(
@@ -144,7 +145,7 @@ _SIGNALS = (
 
 @query("analyser_signals", "A25 K4", _SIGNALS + "SELECT file, CAST(bandit_score AS DOUBLE) AS bandit_score, bandit_rules, high, medium, low FROM s")
 def analyser_signals(spark, sf):
-    s = TN.analyser_signals(_analyser(spark, sf)).withColumn("bandit_rules", F.array_join("bandit_rules", ","))
+    s = WS.analyser_signals(_analyser(spark, sf)).withColumn("bandit_rules", F.array_join("bandit_rules", ","))
     return s.withColumnsRenamed({"HIGH": "high", "MEDIUM": "medium", "LOW": "low"})
 
 
@@ -159,7 +160,7 @@ def attached_signals(spark, sf):
     g = table(spark, sf, "customer").selectExpr(
         "'u' || CAST(c_custkey AS STRING) AS file", "c_custkey % 3 = 0 AS patched", "c_custkey % 2 = 0 AS is_post_patch", "c_custkey % 7 = 0 AS synthetic"
     )
-    e = TN.label_entries(TN.attached_signals(g, TN.analyser_signals(_analyser(spark, sf))))
+    e = WS.label_entries(WS.attached_signals(g, WS.analyser_signals(_analyser(spark, sf))))
     return e.select(
         "code_id", "risk_score", "metadata.bandit_score", "metadata.is_post_patch", F.col("metadata.severity_counts")["HIGH"].alias("high")
     )
@@ -174,3 +175,28 @@ def expiry_dates(spark, sf):
     s = view(spark, sf, "scans").withColumn("expires_at", TN.expiry(F.col("created_at"), 30))
     live = TN.unexpired(s, "expires_at", F.expr("TIMESTAMP_NTZ '2024-02-10 00:00:00'"))
     return live.select("scan_id", F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"))
+
+
+@query(
+    "rule_signals", "K4 A25",
+    sql("day_nodes")
+    + "SELECT file, CAST(max(CASE WHEN sink_failed IS NULL THEN 1.0 ELSE 0.3 END) AS DOUBLE) AS bandit_score, count(*) FILTER (WHERE sink_failed IS NULL) AS high, count(*) FILTER (WHERE sink_failed IS NOT NULL) AS low "
+    "FROM day_nodes WHERE sink_id IS NOT NULL GROUP BY file",
+)
+def rule_signals(spark, sf):
+    s = WS.analyser_signals(WS.rule_results(day_nodes(spark, sf)))
+    return s.select("file", "bandit_score", F.col("HIGH").alias("high"), F.col("LOW").alias("low"))
+
+
+@query(
+    "analysed_documents", "K4",
+    "SELECT 'd' || CAST(doc_id AS VARCHAR) AS file, CAST(CASE WHEN contains(text, 'token') THEN 1.0 ELSE 0.6 END AS DOUBLE) AS bandit_score FROM documents WHERE contains(text, 'token') OR contains(text, chr(10))",
+)
+def analysed_documents(spark, sf):
+    """A plugged-in analyser over whole texts."""
+    def analyse(file, text):
+        found = [("T1", "HIGH")] if "token" in text else []
+        return found + ([("T2", "MEDIUM")] if "\n" in text else [])
+
+    docs = table(spark, sf, "documents").select(F.expr("'d' || CAST(doc_id AS STRING)").alias("file"), F.col("text").alias("code"))
+    return WS.analyser_signals(WS.analysed_files(docs, analyse)).select("file", "bandit_score")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.functions import text as X
+from codeloom.functions.hold import held
 from codeloom.schemas import PREDICTION, SAFE_FILE, VULN_RECORD
 
 COMMIT = T.StructType(
@@ -75,7 +76,7 @@ def parse_commits(feed: DataFrame, column: str = "value") -> DataFrame:
 
     Rows without sha, message, author or repository are dropped.
     """
-    j = feed.select(F.from_json(column, COMMIT).alias("j")).select("j.*")
+    j = held(feed.select(column), j=F.from_json(column, COMMIT)).select("j.*")
     message = F.col("commit.message")
     whole = (
         F.col("sha").isNotNull() & message.isNotNull() & F.col("commit.author.name").isNotNull()

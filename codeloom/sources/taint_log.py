@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions.hold import held
+
 # Spellings of a position, in the order they are tried.
 POSITION_KEYS = [("file", "line", "col"), ("filename", "lineno", "column"), ("path", "line", "column")]
 
@@ -38,18 +40,13 @@ def _steps(raw: Column, one) -> Column:
     return F.coalesce(parsed, F.array().cast("array<struct<file:string,line:int,col:int>>"))
 
 
-def _held(df: DataFrame, column: Column, name: str) -> DataFrame:
-    """Adds a column that later steps use by reference: inline() keeps it from being copied into them."""
-    return df.select("*", F.inline(F.array(F.struct(column.alias(name)))))
-
-
 def with_record(lines: DataFrame, column: str = "value") -> DataFrame:
     """Adds record: STRUCT<source, sink, path, meta>, null when the line fits none of the layouts."""
-    rows = _held(lines, F.from_json(column, _LINE), "_j")
+    rows = held(lines, _j=F.from_json(column, _LINE))
     ends = F.struct(
         *[_position(F.col(f"_j.{n}")).alias(n) for n in ("source", "sink", "taint_source", "taint_sink", "from", "to")]
     )
-    rows = _held(rows, ends, "_p")
+    rows = held(rows, _p=ends)
     j, p = F.col("_j"), F.col("_p")
 
     def valid(steps):
@@ -83,7 +80,7 @@ def with_record(lines: DataFrame, column: str = "value") -> DataFrame:
         .when(j["taint_source"].isNotNull() & j["taint_sink"].isNotNull(), traced)
         .when(j["from"].isNotNull() & j["to"].isNotNull(), generic)
     )
-    return _held(rows, record, "record").drop("_j", "_p")
+    return held(rows, record=record).drop("_j", "_p")
 
 
 def taint_records(lines: DataFrame, column: str = "value") -> DataFrame:
