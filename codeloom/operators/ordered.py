@@ -45,9 +45,11 @@ def by_value(
     if not limits:
         return df.withColumn(name, F.lit(0)), name
     cut = Bucketizer(
-        splits=[float("-inf"), *limits, float("inf")], inputCol=col, outputCol=f"{name}_d"
+        splits=[float("-inf"), *limits, float("inf")], inputCol=col, outputCol=f"{name}_d", handleInvalid="keep"
     )
-    return cut.transform(df).withColumn(name, F.col(f"{name}_d").cast("int")).drop(f"{name}_d"), name
+    # as in an ascending order nulls come first and NaN comes last
+    place = F.when(F.col(col).isNull(), -1).otherwise(F.col(f"{name}_d").cast("int"))
+    return cut.transform(df).withColumn(name, place).drop(f"{name}_d"), name
 
 
 def by_digest(df: DataFrame, hex_col: str, name: str = "_bucket", split: bool | None = None) -> tuple[DataFrame, str | None]:

@@ -71,6 +71,15 @@ def test_limits_from_the_data_and_size_check(rows):
     assert not O.is_small(rows) and O.by_value(rows, "x")[1] == "_bucket"
 
 
+def test_missing_values_keep_their_place(spark):
+    data = [(i, None if i % 5 == 0 else float("nan") if i % 7 == 0 else float(i % 20)) for i in range(60)]
+    rows = spark.createDataFrame(data, "i int, x double")
+    b, bucket = O.by_value(rows, "x", limits=[3.0, 11.0])
+    for order, down in (([F.col("x"), F.col("i")], False), ([F.desc("x"), F.col("i")], True)):
+        want = collected(rows.withColumn("n", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*order))), "i", "n")
+        assert collected(O.number_rows(b, order, bucket, None, "n", descending_buckets=down), "i", "n") == want
+
+
 def test_digest_buckets(rows):
     h = rows.withColumn("h", F.sha2(F.col("i").cast("string"), 256))
     w = W.partitionBy(F.lit(1)).orderBy("h")
