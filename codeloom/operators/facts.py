@@ -85,47 +85,75 @@ DETAILS = {
 }
 
 
+# Fields that hold names, flags, contexts or operators, never a node with a position.
+PLAIN_FIELDS = {
+    "ctx", "op", "ops", "id", "attr", "arg", "name", "module", "level", "kind", "conversion", "simple",
+    "is_async", "rest", "type_comment", "asname", "type_ignores",
+}
+_TYPE_ALIAS = getattr(ast, "TypeAlias", None)  # its name is a node
+
+
+def _class_facts(cls):
+    """What every node of a class shares: name, position, statement, scope role, child fields, details."""
+    role = "function" if cls in FUNCTIONS else "comprehension" if cls in COMPREHENSIONS else None
+    if cls in LEAVES:
+        below = ()
+    else:
+        plain = PLAIN_FIELDS - ({"name"} if cls is _TYPE_ALIAS else set())
+        below = tuple(f for f in cls._fields if f not in plain)
+    return cls.__name__, "lineno" in cls._attributes, issubclass(cls, ast.stmt), role, below, DETAILS.get(cls)
+
+
 def file_facts(code: str):
     """Rows of one file as tuples of ROW_COLUMNS, in visiting order.  Raises what the parser raises."""
     lines = code.splitlines()
+    total = len(lines)
     count = 0
+    known = {}
     # node, nearest ancestor with a position, its type, field, ord, last, function scopes, comprehensions
     todo = [(ast.parse(code), None, None, None, 0, True, (0,), ())]
     while todo:
         node, parent, parent_type, field, ord_, last, scopes, comps = todo.pop()
         cls = type(node)
-        if "lineno" in cls._attributes or cls is ast.Module:
-            if cls is ast.Module:
-                span = (1, 0, max(len(lines), 1), len(lines[-1]) if lines else 0)
+        facts = known.get(cls)
+        if facts is None:
+            facts = known[cls] = _class_facts(cls)
+        name, placed, is_stmt, role, fields, details = facts
+        prefix = ""
+        if placed or parent is None:
+            if placed:
+                sl, sc, el, ec = node.lineno, node.col_offset, node.end_lineno, node.end_col_offset
             else:
-                span = (node.lineno, node.col_offset, node.end_lineno or node.lineno, node.end_col_offset or 0)
+                sl, sc, el, ec = 1, 0, max(total, 1), len(lines[-1]) if lines else 0
+            text = lines[sl - 1][sc:ec] if sl == el <= total else _text(lines, sl, sc, el, ec)
             count += 1
-            name = cls.__name__
-            details = DETAILS.get(cls)
+            more = details(node) if details else NO_DETAILS
             yield (
-                count, parent, name, parent_type, field, ord_, last, isinstance(node, ast.stmt), *span,
-                _text(lines, *span),
-            ) + (details(node) if details else NO_DETAILS) + (scopes, comps)
-            parent, parent_type, prefix = count, name, ""
-            if cls in FUNCTIONS:
+                count, parent, name, parent_type, field, ord_, last, is_stmt, sl, sc, el, ec, text, *more, scopes, comps,
+            )
+            parent, parent_type = count, name
+            if role == "function":
                 scopes = (*scopes, count)
-            elif cls in COMPREHENSIONS:
+            elif role == "comprehension":
                 comps = (*comps, count)
-            elif cls in LEAVES:
-                continue
         else:
             prefix = f"{field}."
+        if not fields:
+            continue
         below = []
-        for child_field in cls._fields:
+        for child_field in fields:
             value = getattr(node, child_field, None)
-            if isinstance(value, list):
+            if value is None:
+                continue
+            if type(value) is list:
                 end = len(value) - 1
                 for i, child in enumerate(value):
                     if isinstance(child, ast.AST):
                         below.append((child, parent, parent_type, prefix + child_field, i, i == end, scopes, comps))
-            elif isinstance(value, ast.AST) and value._fields:  # contexts and operators hold nothing
+            elif isinstance(value, ast.AST):
                 below.append((value, parent, parent_type, prefix + child_field, 0, True, scopes, comps))
-        todo.extend(reversed(below))
+        below.reverse()
+        todo.extend(below)
 
 
 def extract_facts(files: DataFrame) -> DataFrame:
