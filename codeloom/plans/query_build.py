@@ -186,7 +186,7 @@ def framework_detection(spark, sf):
 
 
 @query(
-    "file_status", "S1 S2",
+    "file_status", "S2",
     "SELECT status, count(*) AS files FROM (SELECT CASE WHEN contains(text, chr(10)) OR contains(text, ' ') OR contains(text, '.') OR text NOT SIMILAR TO '[A-Za-z]+' THEN 'unparsable' ELSE 'ok' END AS status "
     "FROM documents UNION ALL SELECT 'ok' FROM events) GROUP BY status",
 )

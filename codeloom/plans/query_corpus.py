@@ -125,7 +125,7 @@ def merged_by_name(spark, sf):
 
 
 @query(
-    "training_samples", "U2 S8 S9 S18",
+    "training_samples", "U2",
     sql("vuln_records", "safe_files")
     + "SELECT label, sample_type, \"commit\", count(*) AS n, CAST(sum(length(code)) AS BIGINT) AS chars FROM (SELECT 1 AS label, 'vulnerable' AS sample_type, '-' AS \"commit\", code_before AS code FROM vuln_records "
     "UNION ALL SELECT 0, 'fixed', '-', code_after FROM vuln_records UNION ALL SELECT 0, 'originally_safe', coalesce(\"commit\", 'HEAD'), code FROM safe_files) WHERE code IS NOT NULL GROUP BY ALL",

@@ -16,7 +16,7 @@ def _rounded(df, *names):
 
 
 @query(
-    "label_distribution", "A1 S10",
+    "label_distribution", "A1",
     sql("label_rows") + "SELECT label, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percentage FROM label_rows WHERE label IS NOT NULL GROUP BY label",
 )
 def label_distribution(spark, sf):
@@ -120,7 +120,7 @@ def validation_report(spark, sf):
 
 
 @query(
-    "corpus_cardinalities", "A8 S8",
+    "corpus_cardinalities", "A8",
     sql("vuln_records") + "SELECT count(*) AS total_records, count(DISTINCT cve_id) AS unique_cves, count(DISTINCT repo_url) AS unique_repos, count(DISTINCT file_path) AS unique_files FROM vuln_records",
 )
 def corpus_cardinalities(spark, sf):

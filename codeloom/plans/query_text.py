@@ -213,7 +213,7 @@ def heuristic_candidates(spark, sf):
 
 
 @query(
-    "safe_corpus_files", "P15 S9",
+    "safe_corpus_files", "P15",
     sql("safe_files")
     + "SELECT file_path, octet_length(encode(code)) AS size FROM safe_files WHERE octet_length(encode(code)) BETWEEN 100 AND 50000 "
     f"AND {_LINES.format('code')} >= 3 AND NOT (contains(file_path, 'test_') OR contains(file_path, '_test.py') OR contains(file_path, 'tests/') OR contains(file_path, 'examples/'))",

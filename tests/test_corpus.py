@@ -220,3 +220,23 @@ def test_payload_holds_no_secret(spark):
     n, e = FN.payload_subgraph(nodes, edges, seeds, "salt")
     assert {r.id for r in n.collect()} == {1, 2} and e.count() == 1
     assert all(r.symbol.startswith("VAR_") for r in n.collect()) and n.where("code LIKE '%aaa%'").count() == 0
+
+
+def test_record_scans_skip_bad_lines(spark, tmp_path):
+    (tmp_path / "m.jsonl").write_text(
+        '{"cve_id": "CVE-2023-1111", "commit_before": "b", "commit_after": "a", "file_path": "x/m.py", "code_before": "1"}\n'
+        '{bad\n\n{"cve_id": null, "synthetic": true, "timestamp": "2024-01-02T03:04:05"}\n'
+    )
+    rows = RC.read_vuln_records(spark, str(tmp_path / "m.jsonl")).collect()
+    assert [(r.cve_id, r.synthetic) for r in rows] == [("CVE-2023-1111", None), (None, True)]
+    (tmp_path / "s.jsonl").write_text('{"repo_url": "u", "label": 0, "code": "x = 1"}\n')
+    assert [r.code for r in RC.read_safe_files(spark, str(tmp_path / "s.jsonl")).collect()] == ["x = 1"]
+
+
+def test_path_label_agreement(spark):
+    from codeloom.operators.traverse import path_label_agreement
+
+    paths = spark.createDataFrame([("a", 1), ("a", 2)], "file string, id long")
+    labels = spark.createDataFrame([("a", 1), ("b", 1), ("c", 0)], "file string, label int")
+    got = {(r.label, r.has_path): r.files for r in path_label_agreement(paths, labels).collect()}
+    assert got == {(1, 1): 1, (1, 0): 1, (0, 0): 1}
