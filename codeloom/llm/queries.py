@@ -133,3 +133,13 @@ def op10_quality_rules(spark, sf):
     from codeloom.llm.quality_rules import quality
 
     return quality(table(spark, sf, "documents"))
+
+
+# -- 5 ----------------------------------------------------------------------------------------------------------------
+
+
+@query("op5_simhash_near_dedup", "LLM5")
+def op5_simhash_near_dedup(spark, sf):
+    from codeloom.llm.simhash import components_of
+
+    return components_of(table(spark, sf, "documents"))
