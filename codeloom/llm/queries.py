@@ -143,3 +143,14 @@ def op5_simhash_near_dedup(spark, sf):
     from codeloom.llm.simhash import components_of
 
     return components_of(table(spark, sf, "documents"))
+
+
+# -- 1 ----------------------------------------------------------------------------------------------------------------
+
+
+@query("op1_substring_dedup", "LLM1")
+def op1_substring_dedup(spark, sf):
+    from codeloom.llm.substring_dedup import dedup_passages
+
+    out = dedup_passages(table(spark, sf, "documents"))
+    return out.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
