@@ -154,3 +154,14 @@ def op1_substring_dedup(spark, sf):
 
     out = dedup_passages(table(spark, sf, "documents"))
     return out.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+# -- 2 ----------------------------------------------------------------------------------------------------------------
+
+
+@query("op2_suffix_array_dedup", "LLM2")
+def op2_suffix_array_dedup(spark, sf):
+    from codeloom.llm.suffix_dedup import dedup_bytes
+
+    out = dedup_bytes(table(spark, sf, "documents"), ["doc_id"])
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
