@@ -165,3 +165,14 @@ def op2_suffix_array_dedup(spark, sf):
 
     out = dedup_bytes(table(spark, sf, "documents"), ["doc_id"])
     return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+# -- 6 ----------------------------------------------------------------------------------------------------------------
+
+
+@query("op6_benchmark_decontamination", "LLM6")
+def op6_benchmark_decontamination(spark, sf):
+    from codeloom.llm.decontaminate import leaks
+
+    out = leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"), ["doc_id"])
+    return out.select("row.doc_id", "item_id", F.round("cosine", 4).alias("cosine"), "lcs_share", "answer_share")
