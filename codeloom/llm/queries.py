@@ -176,3 +176,77 @@ def op6_benchmark_decontamination(spark, sf):
 
     out = leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"), ["doc_id"])
     return out.select("row.doc_id", "item_id", F.round("cosine", 4).alias("cosine"), "lcs_share", "answer_share")
+
+
+# -- 9 ----------------------------------------------------------------------------------------------------------------
+
+_CANONICAL_SQL = r"""
+    CASE WHEN url IS NULL THEN NULL ELSE
+    regexp_replace(regexp_replace(lower(regexp_extract(r, '^([^/?]*)', 1)), '^(www\d*|m)\.', ''), ':(80|443)$', '')
+    || regexp_replace(regexp_replace(regexp_extract(r, '^[^/?]*([^?]*)', 1), '/index\.html?$', '/'), '/+$', '')
+    || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END
+"""
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """A small WARC file for each page: its response and two revisits.
+
+    The second revisit of every fifth page has another ETag, so it must not resolve.
+    """
+    from codeloom.llm.warc import warc_record
+
+    tag = F.concat(F.lit('"'), F.substring(F.md5(F.coalesce("html", F.lit(""))), 1, 16), F.lit('"'))
+    begin = F.lit(1_700_000_000) + F.col("page_id") * 100
+    name = lambda n: F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(f"-{n}"))
+    none = F.lit(None).cast("string")
+
+    def revisit(n, after, etag):
+        headers = F.array(F.concat(F.lit("ETag: "), etag), F.lit(f"Cache-Control: max-age={n}"), F.lit("Content-Type: text/plain"))
+        return warc_record(F.lit("revisit"), name(n), F.col("url"), begin + after, F.lit(304), headers, none, none)
+
+    response = warc_record(
+        F.lit("response"), name(0), F.col("url"), begin, F.lit(200),
+        F.array(F.concat(F.lit("ETag: "), tag), F.lit("Cache-Control: no-cache"), F.lit("Content-Type: text/html")), F.col("html"), none,
+    )
+    other = F.when(F.col("page_id") % 5 == 0, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), tag))
+    return pages.select(F.concat(response, revisit(1, 50, tag), revisit(2, 200_000, other)).alias("content"))
+
+
+@query(
+    "op9_warc_revisits", "LLM9",
+    rf"""
+    WITH pages0 AS (
+        SELECT *, regexp_replace(regexp_replace(trim(url), '(?i)^[a-z][a-z0-9+.-]*://', ''), '(?s)#.*$', '') AS r FROM pages),
+    pages1 AS (
+        SELECT *, list_sort(list_filter(string_split(regexp_extract(r, '(?s)\?(.*)$', 1), '&'),
+            lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|sid|sessionid)(=|$)'))) AS q FROM pages0),
+    urls AS (
+        SELECT page_id, 1700000000 + page_id * 100 AS at0, md5(html) AS digest, '"' || md5(html)[1:16] || '"' AS tag, {_CANONICAL_SQL} AS canonical_url
+        FROM pages1),
+    records AS (
+        SELECT 'p' || page_id || '-0' AS record_id, 'response' AS kind, at0 AS "at", tag AS etag, digest, canonical_url, 'no-cache' AS cache FROM urls
+        UNION ALL SELECT 'p' || page_id || '-1', 'revisit', at0 + 50, tag, NULL, canonical_url, 'max-age=1' FROM urls
+        UNION ALL SELECT 'p' || page_id || '-2', 'revisit', at0 + 200000, CASE WHEN page_id % 5 = 0 THEN '"other"' ELSE tag END, NULL, canonical_url, 'max-age=2' FROM urls),
+    met AS (
+        SELECT *, (max(CASE WHEN kind = 'response' THEN {{'at': "at", 'id': record_id, 'etag': etag, 'digest': digest}} END)
+            OVER (PARTITION BY canonical_url ORDER BY "at" RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS s FROM records),
+    judged AS (
+        SELECT *, CASE WHEN kind = 'response' THEN 'full' WHEN canonical_url IS NULL OR s IS NULL THEN 'orphan'
+                       WHEN etag <> s.etag THEN 'changed' ELSE 'resolved' END AS verdict FROM met)
+    SELECT record_id, kind, "at", canonical_url, verdict,
+           CASE verdict WHEN 'full' THEN record_id WHEN 'resolved' THEN s.id END AS resolved_id,
+           CASE verdict WHEN 'full' THEN digest WHEN 'resolved' THEN s.digest END AS resolved_digest,
+           CASE verdict WHEN 'full' THEN cache WHEN 'resolved' THEN cache END AS cache_control,
+           CASE WHEN verdict IN ('full', 'resolved') THEN 'text/html' END AS content_type
+    FROM judged
+    """,
+)
+def op9_warc_revisits(spark, sf):
+    from codeloom.llm.warc import read_warc, resolve_revisits
+
+    out = resolve_revisits(read_warc(captures(table(spark, sf, "pages"))))
+    header = lambda k: F.try_element_at("merged", F.lit(k))
+    return out.select(
+        "record_id", "kind", "at", "canonical_url", "verdict", "resolved_id", "resolved_digest",
+        header("cache-control").alias("cache_control"), header("content-type").alias("content_type"),
+    )
