@@ -47,24 +47,134 @@ def anchor_tables() -> tuple[np.ndarray, np.ndarray]:
     return _TABLES["home"], _TABLES["near"]
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """A bit is 1 if it is set in over half the shingles' XXH64; no words: 0."""
+def shingle_digests(text: bytes, words: int):
+    """XXH64 of the shingles of ``words`` words, in pieces of 32,768; a shorter text is one shingle."""
     from xxhash import xxh64_intdigest
 
     w = text.lower().split()
     if not w:
-        return 0
+        return
     line = b" ".join(w)
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
     k = min(words, len(w))
     heads = np.concatenate(([0], ends[:-1] + 1))[: len(w) - k + 1].tolist()
-    count = np.zeros(64, np.int64)
     tails = ends[k - 1 :].tolist()
     for a in range(0, len(heads), 1 << 15):
         some = zip(heads[a : a + (1 << 15)], tails[a : a + (1 << 15)], strict=True)
-        h = np.array([xxh64_intdigest(line[i:j], 42) for i, j in some], np.uint64)
-        count += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int((np.uint64(1) << np.flatnonzero(2 * count > len(heads)).astype(np.uint64)).sum(dtype=np.uint64))
+        yield np.array([xxh64_intdigest(line[i:j], 42) for i, j in some], np.uint64)
+
+
+def _bits(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def fingerprint(text: bytes, words: int) -> int:
+    """A bit is 1 if it is set in over half the shingles' XXH64; no words: 0."""
+    count, n = np.zeros(64, np.int64), 0
+    for h in shingle_digests(text, words):
+        count += _bits(h).sum(axis=0, dtype=np.int64)
+        n += len(h)
+    return int((np.uint64(1) << np.flatnonzero(2 * count > n).astype(np.uint64)).sum(dtype=np.uint64))
+
+
+def sample_prints(h: np.ndarray) -> np.ndarray:
+    """SimHashes of up to 16 samples of a set of shingles, two to four shingles each on average.
+
+    A sample is what falls into one of 2^level classes by the digests' first bits; the level follows the
+    size of the set, and sets near the next power of two give samples of both levels, so two sets whose sizes differ by
+    a quarter share a level.
+    """
+    out = []
+    size = np.log2(max(len(h), 2) / 2)
+    for level in sorted({int(size), int(size + 0.33)}):
+        part = (h >> np.uint64(64 - level)) if level else np.zeros(len(h), np.uint64)
+        part = part[: np.searchsorted(part, 16)]
+        if not len(part):
+            continue
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        count = np.add.reduceat(_bits(h[: len(part)]), first, axis=0, dtype=np.int64)
+        size_of = np.diff(np.append(first, len(part)))
+        bits = (2 * count > size_of[:, None]).astype(np.uint8)
+        prints = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+        out.append(A.mix(prints + A.mix(part[first] * np.uint64(64) + np.uint64(level))))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def sampled(docs: DataFrame, words: int) -> DataFrame:
+    """(d, t, f, samples) of each text."""
+
+    def run(batches):
+        for batch in batches:
+            prints, samples = [], []
+            for t in batch.column(2).to_pylist():
+                h = [*shingle_digests(t or b"", words), np.empty(0, np.uint64)]
+                h = np.concatenate(h)
+                count = _bits(h).sum(axis=0, dtype=np.int64) if len(h) < 1 << 20 else sum(_bits(x).sum(axis=0, dtype=np.int64) for x in np.array_split(h, len(h) >> 19))
+                prints.append((np.uint64(1) << np.flatnonzero(2 * count > len(h)).astype(np.uint64)).sum(dtype=np.uint64))
+                samples.append(sample_prints(np.unique(h)).view(np.int64))
+            cols = [batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(samples, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["d", "t", "f", "samples"])
+
+    return docs.mapInArrow(run, "d bigint, t bigint, f bigint, samples array<bigint>")
+
+
+def _jaccard(words: int, least: float):
+    def run(batches):
+        """Keeps the pairs of texts whose sets of shingles are similar enough."""
+        for batch in batches:
+            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            keep, last, own = [], None, None
+            for i, (x, y) in enumerate(zip(left, right, strict=True)):
+                if x != last:
+                    last, own = x, _shingle_set(x, words)
+                other = _shingle_set(y, words)
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                if both >= least * (len(own) + len(other) - both):
+                    keep.append(i)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["u", "v"])
+
+    return run
+
+
+def _shingle_set(text: bytes | None, words: int) -> np.ndarray:
+    return np.unique(np.concatenate([*shingle_digests(text or b"", words), np.empty(0, np.uint64)]))
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the smallest doc_id; all columns as they came.
+
+    Groups are components of two kinds of links: whole-text fingerprints of five-word shingles within four bits, found at the anchors,
+    and texts whose shingle sets have a Jaccard similarity of ``similarity`` or more, which at this level differ in far more than four
+    bits.  The second kind is looked for where SimHashes of small samples of the shingles agree: a document meets the first
+    and last one of each sample it shares, and a pair that shares an eighth of its samples is compared exactly.  At a similarity of 0.8 a sample
+    agrees about every second time and there are 16, so fewer than one pair in a thousand has too few.
+
+    Null ids come last; of equal ids and of repeated rows one stays, chosen by digest of the text.  Texts without words are one group.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "similar")
+    key = [F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.xxhash64("text").alias("t")]
+    texts = docs.select(*key, F.col("text").cast("binary").alias("text"))
+    prints = scratch.cut(sampled(texts, words), "prints")
+    reps = scratch.cut(prints.groupBy("f").agg(F.min(F.struct("d", "t", "samples")).alias("r")).select("f", "r.*"), "reps")
+    near = links(reps.select("f"), scratch)
+    each = reps.select("f", F.size("samples").alias("n"), F.explode("samples").alias("sample"))
+    ends = each.groupBy("sample").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).filter("lo < hi")
+    pairs = each.join(ends, "sample").select("f", "n", F.explode(F.array("lo", "hi")).alias("other")).filter("f <> other")
+    pairs = pairs.groupBy(F.least("f", "other").alias("u"), F.greatest("f", "other").alias("v"), "f").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
+    pairs = scratch.cut(pairs.filter("shared * 8 >= n").select("u", "v").distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("f")).distinct().join(reps.select("f", "d", "t"), "f")
+    store = scratch.cut(texts.join(wanted, ["d", "t"]).select("f", "text").dropDuplicates(["f"]), "store")
+    left = store.select(F.col("f").alias("u"), F.col("text").alias("a"))
+    right = store.select(F.col("f").alias("v"), F.col("text").alias("b"))
+    similar = pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(_jaccard(words, similarity), "u bigint, v bigint")
+    label = components(scratch.cut(near.unionByName(similar).distinct(), "all_links"), scratch)
+    named = prints.select("d", "t", "f").join(label.withColumnRenamed("node", "f"), "f", "left").withColumn("component", F.coalesce("root", "f"))
+    stay = named.groupBy("component").agg(F.min(F.struct("d", "t")).alias("s")).select("s.*")
+    stay = scratch.cut(stay, "stay")
+    scratch.drop(pairs, store, reps)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key)
+    return rows.join(stay, ["d", "t"]).dropDuplicates(["d", "t"]).select("row.*")
 
 
 def fingerprints(docs: DataFrame, carry: list[str], words: int) -> DataFrame:

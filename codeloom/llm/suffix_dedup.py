@@ -285,7 +285,7 @@ def _rows(key, around, lo, hi, window):
 def _cut(window: int):
     def run(batches):
         for batch in batches:
-            removed, spans, kept = [], [], []
+            removed, spans, kept, readable = [], [], [], []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 step = np.zeros(len(text) + 2, np.int32)
                 for x in found:
@@ -296,9 +296,12 @@ def _cut(window: int):
                 gone = np.cumsum(step)[: len(text)] > 0
                 removed.append(int(gone.sum()))
                 spans.append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
-                kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
-            cols = [batch.column(0), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["row", "n_removed", "n_spans", "kept"])
+                own = np.frombuffer(text, np.uint8)
+                kept.append(own[~gone].tobytes())
+                character = np.cumsum((own & 0xC0) != 0x80)
+                readable.append(own[np.bincount(character, gone, minlength=1)[character] == 0].tobytes().decode("utf-8", "replace"))
+            cols = [batch.column(0), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(readable, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=["row", "n_removed", "n_spans", "kept", "kept_text"])
 
     return run
 
@@ -307,7 +310,7 @@ def dedup_bytes(docs: DataFrame, carry: list[str], window: int = 400, scratch: S
     """Removes each byte covered by a ``window``-byte string that also starts anywhere else, in the same document or another.
 
     Returns the ``carry`` columns in the struct ``row``, n_bytes, n_removed, n_spans (maximal removed runs), ``kept`` (the bytes left;
-    null where nothing was removed) and kept_sha256.  Strings never cross documents and are judged on the input; all occurrences go.  Null texts are
+    null where nothing was removed), ``kept_text`` (the same without characters that lost a byte) and kept_sha256.  Strings never cross documents and are judged on the input; all occurrences go.  Null texts are
     empty; repeated rows are copies of each other; null ids are allowed; an empty table gives an empty result.
 
     The suffix array is sparse: in every window the smallest of the first ``_span`` seeds is a suffix that all its
@@ -355,15 +358,32 @@ def dedup_bytes(docs: DataFrame, carry: list[str], window: int = 400, scratch: S
     spans = candidates.join(by_context, ["key", "around"]).select("d", "t", "at", F.inline("runs"))
     spans = spans.groupBy("d", "t").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("spans"))
     cut = store.dropDuplicates(["d", "t"]).join(spans, ["d", "t"]).select(F.struct("d", "t").alias("row"), "text", "spans")
-    cut = scratch.cut(cut.mapInArrow(_cut(window), "row struct<d:bigint,t:bigint>, n_removed bigint, n_spans bigint, kept binary"), "cut")
+    cut = scratch.cut(cut.mapInArrow(_cut(window), "row struct<d:bigint,t:bigint>, n_removed bigint, n_spans bigint, kept binary, kept_text string"), "cut")
     scratch.drop(to_sort, store, candidates, contexts, runs)
 
     all_gone = (F.col("n") > 1) & (F.col("n_bytes") >= window)
-    settled = texts.join(cut.select("row.*", "n_removed", "n_spans", "kept"), ["d", "t"], "left")
+    settled = texts.join(cut.select("row.*", "n_removed", "n_spans", "kept", "kept_text"), ["d", "t"], "left")
     kept = F.when(all_gone, F.lit(b"")).otherwise(F.col("kept"))
     settled = settled.select(
         "d", "t", "n_bytes", F.when(all_gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(all_gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"), kept.alias("kept"),
+        F.when(all_gone, "").otherwise(F.col("kept_text")).alias("kept_text"),
         F.when(kept.isNull(), F.col("whole")).otherwise(F.sha2(kept, 256)).alias("kept_sha256"),
     )
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), *ids).join(settled, ["d", "t"]).drop("d", "t")
+
+
+def without_repeats(docs: DataFrame, window: int = 400, scratch: Scratch | None = None) -> DataFrame:
+    """The documents with repeated strings cut out of ``text`` and ``n_chars`` (where there is such a column) counted anew.
+
+    A character that is cut in part goes as a whole.  Documents of which nothing but white space is left go; texts that hold no repeat stay as they are.
+    """
+    out = dedup_bytes(docs, docs.columns, window, scratch)
+    text = F.when(F.col("kept").isNull(), F.col("row.text")).otherwise(F.col("kept_text"))
+    out = out.select("row", text.alias("left")).filter("left is null or row.text = left or trim(left) <> ''")
+    changed = {"text": F.col("left")}
+    if "n_chars" in docs.columns:
+        count = F.length("left").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("row.text").eqNullSafe(F.col("left")), F.col("row.n_chars")).otherwise(count)
+    return out.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+
