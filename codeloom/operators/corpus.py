@@ -16,13 +16,13 @@ def order_hash(*parts: Column, seed: int = 42) -> Column:
 
 
 def shuffled(
-    df: DataFrame, key: str, seed: int = 42, by: list[str] | None = None, name: str = "rn", split: bool | None = None
+    df: DataFrame, key: str, seed: int = 42, by: list[str] | None = None, name: str = "rn", digits: int = 3
 ) -> DataFrame:
     """Adds the row's place in a reproducible shuffle, per ``by`` or over the whole table.
 
-    In a large table the digest's first digits are buckets, so no task holds more than about 1/4096 of it.
+    The digest's first digits are buckets, so no task holds more than about 16^-digits of it.
     """
-    h, bucket = by_digest(df.withColumn("_h", order_hash(F.col(key), seed=seed)), "_h", split=split)
+    h, bucket = by_digest(df.withColumn("_h", order_hash(F.col(key), seed=seed)), "_h", digits=digits)
     return number_rows(h, ["_h", key], bucket, by, name).drop("_h", "_bucket")
 
 
@@ -49,17 +49,18 @@ def split_by_project(
     total = sizes.agg(F.sum("_n").alias("_all"))
     start = (F.col("_upto") - F.col("_n")) / F.col("_all")
     split = F.when(start < train, "train").when(start < train + val, "val").otherwise("test")
-    of_project = run.crossJoin(F.broadcast(total)).select(project, split.alias("split"))  # one row of totals
-    return samples.join(of_project, project)
+    of_project = run.crossJoin(F.broadcast(total)).select(F.col(project).alias("_project"), split.alias("split"))  # one row of totals
+    # samples without a project are one project
+    return samples.join(of_project, F.col(project).eqNullSafe(F.col("_project"))).drop("_project")
 
 
 def split_by_time(
     samples: DataFrame, time: str = "ts", key: str = "sample_id", train: float = 0.6, val: float = 0.2,
     limits: list[float] | None = None,
 ) -> DataFrame:
-    """Adds split: earlier samples train, later ones test, by percent rank of the time."""
+    """Adds split: earlier samples train, later ones test, by percent rank of the time, then the key."""
     s = samples.withColumn("_t", seconds(samples, time))
-    b, bucket = by_value(s, "_t", "_bucket", limits)
+    b, bucket = by_value(s, "_t", "_bucket", limits, key)
     total = samples.agg(F.count(F.lit(1)).alias("_all"))
     r = number_rows(b, ["_t", key], bucket, None, "_rn").crossJoin(F.broadcast(total))  # one row of totals
     place = (F.col("_rn") - 1) / F.greatest(F.col("_all") - 1, F.lit(1))
@@ -96,7 +97,8 @@ def balanced_per_group(
 ) -> DataFrame:
     """Every group drawn down, or repeated up, to the target; adds ``copy``."""
     sizes = samples.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
-    r = shuffled(samples, key, seed, [group], "_rn").join(sizes, group)
+    sizes = sizes.withColumnRenamed(group, "_group")
+    r = shuffled(samples, key, seed, [group], "_rn").join(sizes, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
     copies = F.floor((F.lit(target) - F.col("_rn") + F.col("_size")) / F.col("_size"))
     if not repeat:
         copies = F.least(copies, F.lit(1))

@@ -112,26 +112,24 @@ def noisy_vectors(vectors: DataFrame, scale: float = 0.1, seed: int = 42) -> Dat
     return vectors.withColumn("vec", F.transform("vec", lambda x, i: x.cast("double") + noise(i) * scale))
 
 
-def negative_pairs(positives: DataFrame, sizes: DataFrame, seed: int = 42, tries: int = 10) -> DataFrame:
+def negative_pairs(positives: DataFrame, sizes: DataFrame, seed: int = 42) -> DataFrame:
     """One (u, v) index pair per positive flow from the same graph, different from it and with u <> v.
 
-    ``positives`` holds (file, flow, src_idx, sink_idx), ``sizes`` (file, n).  Up to ``tries`` drawn
-    pairs are looked at, all inside the row; if none fits the positive pair itself is kept.
+    ``positives`` holds (file, flow, src_idx, sink_idx), ``sizes`` (file, n).  The pairs with u <> v are numbered
+    u * (n - 1) + v, v counted without u; one number is drawn among all but the positive's and moved past it.  A
+    graph whose only pair is the positive one, or with fewer than two nodes, has no negative and gives no row.
     """
-    def draw(t):
-        u = F.floor(uniform(F.col("file"), F.col("flow"), t, F.lit("u"), seed=seed) * F.col("n"))
-        v = F.floor(uniform(F.col("file"), F.col("flow"), t, F.lit("v"), seed=seed) * F.col("n"))
-        return F.struct(u.cast("int").alias("u"), v.cast("int").alias("v"))
-
-    drawn = F.transform(F.sequence(F.lit(1), F.lit(tries)), draw)
-    fits = F.filter(
-        drawn,
-        lambda p: (p["u"] != p["v"]) & ~((p["u"] == F.col("src_idx")) & (p["v"] == F.col("sink_idx"))),
-    )
-    own = F.struct(F.col("src_idx").cast("int").alias("u"), F.col("sink_idx").cast("int").alias("v"))
     rows = positives.join(sizes, "file").where(F.col("n") >= 2)
-    pick = F.coalesce(F.try_element_at(fits, F.lit(1)), own)
-    return rows.select("file", "flow", pick["u"].alias("u"), pick["v"].alias("v"))
+    n, u0, v0 = F.col("n").cast("bigint"), F.col("src_idx").cast("bigint"), F.col("sink_idx").cast("bigint")
+    proper = (u0 != v0) & u0.between(0, n - 1) & v0.between(0, n - 1)
+    own = F.when(proper, u0 * (n - 1) + v0 - (v0 > u0).cast("bigint"))
+    choices = n * (n - 1) - F.when(proper, 1).otherwise(0)
+    drawn = F.floor(uniform(F.col("file"), F.col("flow"), seed=seed) * choices)
+    rows = rows.where(choices > 0).withColumn("_at", drawn + F.coalesce((drawn >= own).cast("bigint"), F.lit(0)))
+    u = F.floor(F.col("_at") / (n - 1))
+    v = F.col("_at") - u * (n - 1)
+    v = v + (v >= u).cast("bigint")
+    return rows.select("file", "flow", u.cast("int").alias("u"), v.cast("int").alias("v"))
 
 
 def top_pairs(

@@ -8,6 +8,9 @@ from codeloom.operators.ordered import (
 )
 
 
+PAIR_BLOCK = 256  # places of a batch whose pairs are added up in one row
+
+
 def ratio(a: Column, b: Column, undefined: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), F.nullif(b.cast("double"), F.lit(0.0))), F.lit(undefined))
 
@@ -84,14 +87,17 @@ def score_steps(pred: DataFrame, by: list[str] | None = None, limits: list[float
     total = pred.groupBy(*by).agg(
         F.count_if(F.col("y_true") == 1).alias("all_pos"), F.count_if(F.col("y_true") != 1).alias("all_neg")
     )
-    return run.join(total, by) if by else run.crossJoin(F.broadcast(total))  # one row of totals
+    if not by:
+        return run.crossJoin(F.broadcast(total))  # one row of totals
+    total = total.select(*[F.col(c).alias(f"_by_{c}") for c in by], "all_pos", "all_neg")
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    return run.join(total, same).drop(*[f"_by_{c}" for c in by])
 
 
 def pr_curve(pred: DataFrame, by: list[str] | None = None, limits: list[float] | None = None) -> DataFrame:
     s = score_steps(pred, by, limits)
-    slot = [c for c in s.columns if c == "_bucket"]
     return s.select(
-        *(by or []), "score", "pos", "neg", "tp", "fp", "all_pos", "all_neg", *slot,
+        *(by or []), "score", "pos", "neg", "tp", "fp", "all_pos", "all_neg", "_bucket",
         ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
         ratio(F.col("tp"), F.col("all_pos")).alias("recall"),
     )
@@ -100,11 +106,8 @@ def pr_curve(pred: DataFrame, by: list[str] | None = None, limits: list[float] |
 def pr_auc(pred: DataFrame, by: list[str] | None = None, limits: list[float] | None = None) -> DataFrame:
     """Trapezoid area under the precision-recall curve, started at recall 0 with precision 1."""
     by = by or []
-    c = pr_curve(pred, by, limits).withColumn("_down", -F.col("score"))
-    slot = None
-    if "_bucket" in c.columns:
-        c, slot = c.withColumn("_slot", -F.col("_bucket")), "_slot"
-    prev = previous_row(c, by, ["_down"], slot, {"p0": F.col("precision"), "r0": F.col("recall")})
+    c = pr_curve(pred, by, limits).withColumn("_down", -F.col("score")).withColumn("_slot", -F.col("_bucket"))
+    prev = previous_row(c, by, ["_down"], "_slot", {"p0": F.col("precision"), "r0": F.col("recall")})
     p0, r0 = F.coalesce("p0", F.lit(1.0)), F.coalesce("r0", F.lit(0.0))
     area = (F.col("recall") - r0) * (F.col("precision") + p0) / 2
     return prev.groupBy(*by).agg(F.sum(area).alias("pr_auc"))
@@ -156,41 +159,40 @@ def batch_ranking_loss(samples: DataFrame, margin: float = 1.0) -> DataFrame:
 
     ``samples`` holds (batch, pos, score, target, patched, post_patch, synthetic, bandit).  A pair i < j is
     ordered by pre-patch over post-patch, synthetic over original, and analyser scores more than 0.1
-    apart.  A batch has a fixed size by construction; its pairs are folded inside the row and never
-    become rows.
+    apart.  A batch is never gathered: its rows are cut into blocks of places, and a block of first rows meets a
+    block of second rows, with the pairs added up inside the row of the two blocks.
     """
-    item = F.struct("pos", "score", "target", "patched", "post_patch", "synthetic", "bandit")
-    b = samples.groupBy("batch").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    item = F.struct("pos", "score", "patched", "post_patch", "synthetic", "bandit")
+    s = samples.withColumn("_block", F.floor(F.col("pos") / PAIR_BLOCK))
+    blocks = s.groupBy("batch", "_block").agg(F.collect_list(item).alias("items"))
+    first = blocks.select("batch", F.col("_block").alias("_i"), F.col("items").alias("a"))
+    second = blocks.select(F.col("batch").alias("_batch"), F.col("_block").alias("_j"), F.col("items").alias("b"))
+    met = first.join(second, F.col("batch").eqNullSafe(F.col("_batch")) & (F.col("_i") <= F.col("_j")))
     zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("s"))
 
-    def hinge(high, low):
-        return F.greatest(F.lit(0.0), F.lit(margin) - (high["score"] - low["score"]))
-
-    def add(acc, test, value):
+    def add(acc, test, high, low):
+        value = F.greatest(F.lit(0.0), F.lit(margin) - (high["score"] - low["score"]))
+        test = F.coalesce(test, F.lit(False))
         return F.struct(
-            (acc["n"] + test.cast("bigint")).alias("n"),
-            (acc["s"] + F.when(test, value).otherwise(0.0)).alias("s"),
+            (acc["n"] + test.cast("bigint")).alias("n"), (acc["s"] + F.when(test, value).otherwise(0.0)).alias("s")
         )
 
     def pair(acc, i, j):
-        acc = add(acc, i["patched"] & ~i["post_patch"] & j["patched"] & j["post_patch"], hinge(i, j))
-        acc = add(acc, i["synthetic"] & ~j["synthetic"], hinge(i, j))
-        acc = add(acc, (i["bandit"] - j["bandit"]) > 0.1, hinge(i, j))
-        return add(acc, (j["bandit"] - i["bandit"]) > 0.1, hinge(j, i))
-
-    def row(acc, i):
-        later = F.filter("items", lambda j: j["pos"] > i["pos"])
-        return F.aggregate(later, acc, lambda a, j: pair(a, i, j))
-
-    total = F.aggregate("items", zero, row)
-    mse = F.aggregate(
-        "items", F.lit(0.0),
-        lambda a, x: a + (x["score"] - x["target"]) * (x["score"] - x["target"]),
-    ) / F.size("items")
-    r = b.select("batch", total.alias("t"), mse.alias("mse"))
-    return r.select(
-        "batch", F.col("t.n").alias("pairs"),
-        F.when(F.col("t.n") > 0, F.col("t.s") / F.col("t.n")).otherwise(F.col("mse")).alias("loss"),
+        acc = add(acc, i["patched"] & ~i["post_patch"] & j["patched"] & j["post_patch"], i, j)
+        acc = add(acc, i["synthetic"] & ~j["synthetic"], i, j)
+        acc = add(acc, (i["bandit"] - j["bandit"]) > 0.1, i, j)
+        return add(acc, (j["bandit"] - i["bandit"]) > 0.1, j, i)
+
+    def later(acc, i):
+        return F.aggregate(F.filter("b", lambda j: j["pos"] > i["pos"]), acc, lambda a, j: pair(a, i, j))
+
+    pairs = met.select("batch", F.aggregate("a", zero, later).alias("t"))
+    pairs = pairs.groupBy("batch").agg(F.sum("t.n").alias("n"), F.sum("t.s").alias("s"))
+    error = (F.col("score") - F.col("target")) * (F.col("score") - F.col("target"))
+    mse = samples.groupBy(F.col("batch").alias("_batch")).agg(F.avg(error).alias("mse"))
+    both = pairs.join(mse, F.col("batch").eqNullSafe(F.col("_batch")))
+    return both.select(
+        "batch", F.col("n").alias("pairs"), F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(F.col("mse")).alias("loss")
     )
 
 

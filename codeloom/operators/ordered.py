@@ -4,23 +4,18 @@ A plain ``Window.partitionBy(key).orderBy(x)`` sends a key to one task, and a wi
 key sends the table to one task.  Here the order column is cut into buckets at fixed values, the
 window runs inside (key, bucket), and a small table with one row per (key, bucket) carries what
 the earlier buckets contribute.  Bucket limits are literals, so every branch of a plan agrees on
-them and no result depends on where they fall.
+them and no result depends on where they fall.  Tables of every size take this one path, and a
+null key is a key like any other.
 """
 
+import os
+from functools import reduce
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeloom.session import estimated_bytes
-
-SMALL_BYTES = 32 << 20
-
-
-def is_small(df: DataFrame) -> bool:
-    """The planner's size estimate says that one task can order all the rows."""
-    return estimated_bytes(df) <= SMALL_BYTES
-
 
 def quantile_limits(df: DataFrame, col: str, buckets: int | None = None) -> list[float]:
     """At most ``buckets - 1`` increasing values that cut ``col`` into parts of similar size."""
@@ -31,32 +26,52 @@ def quantile_limits(df: DataFrame, col: str, buckets: int | None = None) -> list
 
 
 def by_value(
-    df: DataFrame, col: str, name: str = "_bucket", limits: list[float] | None = None
-) -> tuple[DataFrame, str | None]:
-    """The rows with an INT bucket of a DOUBLE column, and the bucket's name.
+    df: DataFrame, col: str, name: str = "_bucket", limits: list[float] | None = None, tie: str | None = None,
+) -> tuple[DataFrame, str]:
+    """The rows with a bucket of a DOUBLE column, and the bucket's name.
 
-    A table that is small by its size estimate needs no buckets and gets None.  Limits come from the
-    data unless given.
+    Limits come from the data unless given.  With a ``tie`` column, for the order (col, tie), a value that is a
+    limit - every value that holds a bucket's share of the rows is one - is cut again by the tie.
     """
-    if limits is None:
-        if is_small(df):
-            return df, None
-        limits = quantile_limits(df, col)
+    limits = quantile_limits(df, col) if limits is None else limits
+    df = _placed(df, col, name, limits)
+    if tie is not None and limits:
+        at, cut = f"{name}_t", f"{name}_p"
+        df = _placed(df.withColumn(at, _tie_value(df, tie)), at, cut, None)
+        above = ~F.coalesce(F.col(col).isin(limits), F.lit(True))
+        part = F.when(above, F.lit(0)).otherwise(F.col(cut))
+        df = df.withColumn(name, F.struct(F.col(name).alias("bucket"), above.alias("above"), part.alias("part"))).drop(at, cut)
+    return df, name
+
+
+def _placed(df: DataFrame, col: str, name: str, limits: list[float] | None) -> DataFrame:
+    limits = quantile_limits(df, col) if limits is None else limits
     if not limits:
-        return df.withColumn(name, F.lit(0)), name
+        return df.withColumn(name, F.lit(0))
     cut = Bucketizer(
         splits=[float("-inf"), *limits, float("inf")], inputCol=col, outputCol=f"{name}_d", handleInvalid="keep"
     )
     # as in an ascending order nulls come first and NaN comes last
     place = F.when(F.col(col).isNull(), -1).otherwise(F.col(f"{name}_d").cast("int"))
-    return cut.transform(df).withColumn(name, place).drop(f"{name}_d"), name
+    return cut.transform(df).withColumn(name, place).drop(f"{name}_d")
 
 
-def by_digest(df: DataFrame, hex_col: str, name: str = "_bucket", split: bool | None = None) -> tuple[DataFrame, str | None]:
-    """Buckets of a hex digest: its first three digits fill evenly and keep its order."""
-    if split is False or (split is None and is_small(df)):
-        return df, None
-    return df.withColumn(name, F.substring(hex_col, 1, 3)), name
+def _tie_value(df: DataFrame, tie: str) -> Column:
+    """A DOUBLE that keeps the order of a number or a text: a text's next six bytes after what all texts begin with."""
+    if not isinstance(df.schema[tie].dataType, T.StringType):
+        return F.col(tie).cast("double")
+    ends = df.agg(F.min(tie).alias("a"), F.max(tie).alias("b")).first()
+    same = len(os.path.commonprefix([(ends["a"] or "").encode(), (ends["b"] or "").encode()]))
+    six = F.rpad(F.hex(F.substring(F.encode(tie, "UTF-8"), same + 1, 6)), 12, "0")
+    return F.conv(six, 16, 10).cast("double")
+
+
+def by_digest(df: DataFrame, hex_col: str, name: str = "_bucket", digits: int = 3) -> tuple[DataFrame, str]:
+    """Buckets of a hex digest: its first ``digits`` digits fill evenly and keep its order.
+
+    A bucket holds a share of 16^-digits of the rows; each group has up to 16^digits rows in the carrying table.
+    """
+    return df.withColumn(name, F.substring(hex_col, 1, digits)), name
 
 
 def seconds(df: DataFrame, name: str) -> Column:
@@ -79,9 +94,14 @@ def _earlier(keys: list[str], bucket: str):
 
 
 def _rejoin(local: DataFrame, per_bucket: DataFrame, keys: list[str], bucket: str) -> DataFrame:
+    names = [*keys, bucket]
+    side = per_bucket.select(
+        *[F.col(n).alias(f"_k_{n}") for n in names], *[c for c in per_bucket.columns if c not in names]
+    )
     # Without keys there is one row per bucket (a few thousand at most), so a broadcast is bounded.
-    side = per_bucket if keys else F.broadcast(per_bucket)
-    return local.join(side, [*keys, bucket], "left")
+    side = side if keys else F.broadcast(side)
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_k_{n}")) for n in names])
+    return local.join(side, same, "left").drop(*[f"_k_{n}" for n in names])
 
 
 def _whole(keys: list[str]):
@@ -89,7 +109,7 @@ def _whole(keys: list[str]):
 
 
 def number_rows(
-    df: DataFrame, order: list, bucket: str | None, keys: list[str] | None = None, name: str = "rn",
+    df: DataFrame, order: list, bucket: str, keys: list[str] | None = None, name: str = "rn",
     descending_buckets: bool = False,
 ) -> DataFrame:
     """row_number() over (partition by keys order by order); ``bucket`` must follow the order."""
@@ -97,14 +117,11 @@ def number_rows(
 
 
 def running_sums(
-    df: DataFrame, order: list, bucket: str | None, sums: dict[str, Column],
+    df: DataFrame, order: list, bucket: str, sums: dict[str, Column],
     keys: list[str] | None = None, descending_buckets: bool = False,
 ) -> DataFrame:
     """Inclusive running sums per key.  Rows that tie in ``order`` are summed one by one."""
     keys = list(keys or [])
-    if bucket is None:
-        w = _whole(keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()])
     rank = f"{bucket}_o"
     df = df.withColumn(rank, -F.col(bucket) if descending_buckets else F.col(bucket))
     inside = W.partitionBy(*keys, rank).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
@@ -120,17 +137,14 @@ def running_sums(
 
 
 def previous_row(
-    df: DataFrame, keys: list[str], order: list, bucket: str | None, take: dict[str, Column]
+    df: DataFrame, keys: list[str], order: list, bucket: str, take: dict[str, Column]
 ) -> DataFrame:
     """The values of the row before, per key: lag(1) that survives a key holding most rows.
 
-    With buckets, ``order`` has to be ascending columns.
+    ``order`` has to be ascending columns.
     """
     keys, columns = list(keys), df.columns
     df = df.withColumn("_now", F.struct(*[c.alias(n) for n, c in take.items()]))
-    if bucket is None:
-        out = df.withColumn("_prev", F.lag("_now").over(_whole(keys).orderBy(*order)))
-        return out.select(*columns, *[F.col("_prev")[n].alias(n) for n in take])
     inside = W.partitionBy(*keys, bucket).orderBy(*order)
     local = df.withColumn("_lag", F.lag("_now").over(inside))
     tails = df.groupBy(*keys, bucket).agg(
@@ -143,13 +157,10 @@ def previous_row(
 
 
 def running_max(
-    df: DataFrame, keys: list[str], order: list[str], bucket: str | None, value: Column, name: str
+    df: DataFrame, keys: list[str], order: list[str], bucket: str, value: Column, name: str
 ) -> DataFrame:
     """max(value) over the rows before this one, per key; null for the first row."""
     keys = list(keys)
-    if bucket is None:
-        w = _whole(keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-        return df.withColumn(name, F.max(value).over(w))
     inside = W.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     local = df.withColumn("_in_max", F.max(value).over(inside))
     tops = df.groupBy(*keys, bucket).agg(F.max(value).alias("_top"))
@@ -159,7 +170,7 @@ def running_max(
 
 
 def latest_before(
-    marked: DataFrame, keys: list[str], order: list[str], value: str, bucket: str | None, name: str
+    marked: DataFrame, keys: list[str], order: list[str], value: str, bucket: str, name: str
 ) -> DataFrame:
     """As-of lookup in one pass: the last non-null ``value`` at or before each row, per key.
 
@@ -167,9 +178,6 @@ def latest_before(
     see a definition at the same place must sort before it.  Linear in the rows: no pairs.
     """
     keys = list(keys)
-    if bucket is None:
-        w = _whole(keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        return marked.withColumn(name, F.last(value, ignorenulls=True).over(w))
     inside = W.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     local = marked.withColumn("_in_last", F.last(value, ignorenulls=True).over(inside))
     # one row per key and bucket; the value is null where a bucket holds no definition

@@ -8,7 +8,6 @@ from codeloom.operators.ordered import by_value, number_rows, seconds
 
 DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE = 20, 100
 SEVERITIES = ["critical", "high", "medium", "low"]
-SMALL_OFFSET = 100_000  # rows a top-k may hold; deeper pages are cut out by row number
 
 
 def only(rows: DataFrame, **wanted) -> DataFrame:
@@ -34,17 +33,13 @@ def page_bounds(page: int | None, size: int | None) -> tuple[int, int]:
 def page_of(rows: DataFrame, page: int | None, size: int | None, time: str, tie: str) -> DataFrame:
     """One page, newest first, with the true total and the number of pages on every row.
 
-    Pages near the start are a top-k.  Deeper pages use bucketed row numbers, so no task sorts the
-    table and no offset is collected.
+    Pages are cut out by bucketed row numbers, so no task sorts the table and no offset is collected.
     """
     page, size = page_bounds(page, size)
     total = rows.agg(F.count(F.lit(1)).alias("total"))
-    if page * size <= SMALL_OFFSET:
-        cut = rows.orderBy(F.desc(time), tie).offset((page - 1) * size).limit(size)
-    else:
-        b, bucket = by_value(rows.withColumn("_t", seconds(rows, time)), "_t")
-        n = number_rows(b, [F.desc(time), F.col(tie)], bucket, None, "_rn", descending_buckets=True)
-        cut = n.where(F.col("_rn").between((page - 1) * size + 1, page * size)).drop("_t", "_bucket", "_rn")
+    b, bucket = by_value(rows.withColumn("_t", seconds(rows, time)), "_t")
+    n = number_rows(b, [F.desc(time), F.col(tie)], bucket, None, "_rn", descending_buckets=True)
+    cut = n.where(F.col("_rn").between((page - 1) * size + 1, page * size)).drop("_t", "_bucket", "_rn")
     pages = F.ceil(F.col("total") / size)
     return cut.crossJoin(F.broadcast(total)).select(  # one row of totals
         *rows.columns, F.lit(page).alias("page"), F.lit(size).alias("page_size"), "total", pages.alias("total_pages")

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators.matching import sink_candidates, source_candidates
 from codeloom.operators.ordered import by_value, number_rows
-from codeloom.operators.skew import HotKeys
-from codeloom.session import cut_lineage
+from codeloom.session import bucketed, cut_lineage
 
 # Edge kind codes.
 EDGE_CODES = {"AST": 0, "CFG": 1, "DFG": 2, "DDFG": 3}
@@ -26,46 +25,43 @@ def undirected(edges: DataFrame) -> DataFrame:
     return rows.select("file", F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
-def _hops(
-    links: DataFrame, seeds: DataFrame, max_depth: int, hot_min_rows: int
-) -> DataFrame:
-    """file, id, depth of everything reached over directed ``links`` within ``max_depth`` steps."""
-    links = cut_lineage(links.select("file", "src", "dst"))
-    hot = HotKeys(links, "src", hot_min_rows)
-    key = ["file", "src"]
-    if hot.values:
-        links, key = hot.salt_big(links, "src", ["dst"]), ["file", "src", "_salt"]
+def _hops(links: DataFrame, seeds: DataFrame, max_depth: int | None) -> DataFrame:
+    """file, id, depth of everything reached over directed ``links``, within ``max_depth`` steps if given.
+
+    The links are stored bucketed by (file, src), so a step shuffles its frontier and never the links.  The
+    loop ends when no step finds anything new.
+    """
+    links = bucketed(links.select("file", "src", "dst"), ["file", "src"], "links")
     reached = cut_lineage(seeds.select("file", "id").distinct().withColumn("depth", F.lit(0)))
-    frontier = reached
-    for depth in range(1, max_depth + 1):
+    frontier, depth = reached, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         ask = frontier.select("file", F.col("id").alias("src"))
-        ask = hot.salt_small(ask, "src") if hot.values else ask
-        found = links.join(ask, key).select("file", F.col("dst").alias("id")).distinct()
+        found = links.join(ask, ["file", "src"]).select("file", F.col("dst").alias("id")).distinct()
         frontier = cut_lineage(
             found.join(reached, ["file", "id"], "left_anti").withColumn("depth", F.lit(depth))
         )
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
+        if depth % 16 == 0:
+            reached = cut_lineage(reached)  # a plan that does not grow with the depth
     return reached
 
 
-def neighbourhood(
-    edges: DataFrame, seeds: DataFrame, max_depth: int = 3, hot_min_rows: int = 1_000_000
-) -> DataFrame:
+def neighbourhood(edges: DataFrame, seeds: DataFrame, max_depth: int | None = 3) -> DataFrame:
     """Undirected k-hop neighbourhood of the seeds with the distance of every node."""
-    return _hops(undirected(edges), seeds, max_depth, hot_min_rows)
+    return _hops(undirected(edges), seeds, max_depth)
 
 
 def reachable(
-    edges: DataFrame, seeds: DataFrame, max_depth: int, blocked: DataFrame | None = None,
-    hot_min_rows: int = 1_000_000,
+    edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, blocked: DataFrame | None = None
 ) -> DataFrame:
     """Nodes reached along edge direction; paths do not pass through ``blocked`` nodes."""
     links = edges.where(F.col("src") != F.col("dst")).select("file", "src", "dst").distinct()
     if blocked is not None:
         links = links.join(blocked.select("file", F.col("id").alias("src")), ["file", "src"], "left_anti")
-    return _hops(links, seeds, max_depth, hot_min_rows)
+    return _hops(links, seeds, max_depth)
 
 
 def induced_subgraph(nodes: DataFrame, edges: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -88,14 +84,13 @@ def truncated(nodes: DataFrame, edges: DataFrame, max_nodes: int = 1000) -> tupl
     return kept, induced_subgraph(kept, edges, kept)[1]
 
 
-def two_hop(nodes: DataFrame, edges: DataFrame, max_nodes: int = 1000) -> DataFrame:
+def two_hop(edges: DataFrame) -> DataFrame:
     """Undirected graph of the edges and the directed two-step paths, each pair once, no loops.
 
-    Graphs are truncated first, as before every model step, so a graph adds at most max_nodes^2
-    pairs however its edges are spread.
+    A hub of n edges in and out makes n^2 pairs, which is the result's own size; ``truncated`` bounds graphs
+    first where that is wanted.
     """
-    _, e = truncated(nodes, edges, max_nodes)
-    e = e.select("file", "src", "dst").distinct()
+    e = edges.select("file", "src", "dst").distinct()
     step = e.select("file", F.col("src").alias("dst"), F.col("dst").alias("far"))
     far = e.join(step, ["file", "dst"]).select("file", "src", F.col("far").alias("dst"))
     return undirected(e.unionByName(far))
@@ -153,15 +148,21 @@ def indexed_edges(edges: DataFrame, index: DataFrame) -> DataFrame:
     return e.select("file", "src_idx", "dst_idx", edge_code(F.col("kind")).alias("kind_code"))
 
 
-def tainted_paths(nodes: DataFrame, flows: DataFrame, max_depth: int = 16) -> DataFrame:
+def tainted_paths(nodes: DataFrame, flows: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Rule baseline: sinks reached from any source over value and data-flow edges, with the distance.
 
-    Paths do not pass through sanitizers, and a sink that is a sanitizer itself does not count.
+    Paths do not pass through sanitizers, and a sink that is a sanitizer itself does not count.  Only files that hold
+    both a source and such a sink are followed.
     """
     sanitised = F.col("attrs")["sanitizer_kind"].isNotNull()
-    seen = reachable(flows, source_candidates(nodes), max_depth, nodes.where(sanitised))
+    sources = source_candidates(nodes).select("file", "id")
     sinks = sink_candidates(nodes).where(~sanitised)
     sinks = sinks.select("file", "id", F.col("attrs")["sink_id"].alias("sink_id"))
+    both = cut_lineage(sources.select("file").distinct().join(sinks.select("file").distinct(), "file"))
+    blocked = nodes.where(sanitised).select("file", "id").join(both, "file", "left_semi")
+    seen = reachable(
+        flows.join(both, "file", "left_semi"), sources.join(both, "file", "left_semi"), max_depth, blocked
+    )
     return sinks.join(seen, ["file", "id"]).where(F.col("depth") > 0)
 
 

@@ -98,7 +98,7 @@ def _per_file(rows: list[tuple], columns: str, select: str) -> str:
 
 
 def _files(spark, sf):
-    return spread(table(spark, sf, "events")).selectExpr(*_CODE_COLUMNS)
+    return spread(table(spark, sf, "events"), "event_id").selectExpr(*_CODE_COLUMNS)
 
 
 def _facts(spark, sf):
@@ -170,7 +170,25 @@ def tainted_paths(spark, sf):
     facts = cut_lineage(_facts(spark, sf))
     nodes = cut_lineage(M.matched_nodes(facts))
     edges = G.flow_edges(facts).unionByName(G.value_edges(facts))
-    return T.tainted_paths(nodes, edges, 12).groupBy("file", "sink_id").agg(F.min("depth").alias("depth"))
+    return T.tainted_paths(nodes, edges).groupBy("file", "sink_id").agg(F.min("depth").alias("depth"))
+
+
+STEPS = 12  # assignments between the source and the sink of a generated file
+
+
+@query(
+    "tainted_chains", "D6 G15 N1",
+    f"SELECT 'chain/c' || CAST(c_custkey AS STRING) || '.py' AS file, 'SINK_OS_SYSTEM' AS sink_id, {3 * STEPS} AS depth FROM customer",
+)
+def tainted_chains(spark, sf):
+    """A value that is handed on by a dozen assignments before it reaches the sink."""
+    lines = ["import os", 'v0 = os.getenv("A")', *[f"v{i} = v{i - 1}" for i in range(1, STEPS)], f"os.system(v{STEPS - 1})"]
+    code = "\n".join(lines) + "\n"
+    files = table(spark, sf, "customer").select(F.concat(F.lit("chain/c"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("file"), F.lit(code).alias("code"))
+    facts = cut_lineage(PG.facts_of(spread(files, "file")))
+    nodes = cut_lineage(M.matched_nodes(facts))
+    edges = G.flow_edges(facts).unionByName(G.value_edges(facts))
+    return T.tainted_paths(nodes, edges).groupBy("file", "sink_id").agg(F.min("depth").alias("depth"))
 
 
 _FRAMEWORKS = {"signup": "flask", "view": "fastapi", "purchase": "flask"}
@@ -192,7 +210,7 @@ def framework_detection(spark, sf):
 )
 def file_status(spark, sf):
     """Prose does not parse as Python, the generated files do."""
-    docs = spread(table(spark, sf, "documents")).select(F.concat(F.lit("d"), "doc_id").alias("file"), F.col("text").alias("code"))
+    docs = spread(table(spark, sf, "documents"), "doc_id").select(F.concat(F.lit("d"), "doc_id").alias("file"), F.col("text").alias("code"))
     return FI.status_counts(FA.extract_facts(docs.unionByName(_files(spark, sf))))
 
 

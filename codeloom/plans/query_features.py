@@ -104,8 +104,44 @@ def latest_definition(spark, sf):
     "SELECT file, src, dst FROM e UNION SELECT file, dst, src FROM e",
 )
 def two_hop_edges(spark, sf):
-    nodes = view(spark, sf, "day_nodes").select("file", "id")
-    return T.two_hop(nodes, _chain(spark, sf))
+    return T.two_hop(_chain(spark, sf))
+
+
+_HUB = (
+    "WITH e AS (SELECT 'n' || CAST(s_nationkey AS STRING) AS file, s_suppkey * 2 AS src, 1 AS dst FROM supplier "
+    "UNION SELECT 'n' || CAST(c_nationkey AS STRING), 1, c_custkey * 2 + 2000001 FROM customer WHERE c_mktsegment = 'BUILDING') "
+)
+
+
+@query(
+    "two_hop_hub", "N3",
+    _HUB + ", t AS (SELECT file, src, dst FROM e UNION SELECT a.file, a.src, b.dst FROM e a JOIN e b ON a.file = b.file AND a.dst = b.src) "
+    "SELECT file, src, dst FROM t UNION SELECT file, dst, src FROM t",
+)
+def two_hop_hub(spark, sf):
+    """A star per nation: its suppliers reach the customers of one segment through one node."""
+    nation = lambda c: F.concat(F.lit("n"), F.col(c).cast("string")).alias("file")
+    s = table(spark, sf, "supplier").select(nation("s_nationkey"), (F.col("s_suppkey") * 2).alias("src"), F.lit(1).cast("bigint").alias("dst"))
+    c = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'")
+    c = c.select(nation("c_nationkey"), F.lit(1).cast("bigint").alias("src"), (F.col("c_custkey") * 2 + 2000001).alias("dst"))
+    return T.two_hop(s.unionByName(c))
+
+
+@query(
+    "directed_line_reach", "N1 D6",
+    "SELECT 'o' || CAST(l_orderkey AS STRING) AS file, CAST(l_linenumber AS BIGINT) AS id, "
+    "CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INTEGER) AS depth "
+    "FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)",
+)
+def directed_line_reach(spark, sf):
+    """From the first line of each order along the chain of its lines, to the end."""
+    d = table(spark, sf, "lineitem").select(
+        F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("file"), F.col("l_linenumber").cast("bigint").alias("id")
+    ).distinct()
+    b, slot = by_value(d.withColumn("x", F.col("id").cast("double")), "x", "slot", [2.0, 4.0, 6.0])
+    chain = previous_row(b, ["file"], ["id"], slot, {"src": F.col("id")})
+    seeds = chain.where("src IS NULL").select("file", "id")
+    return T.reachable(chain.where("src IS NOT NULL").select("file", "src", F.col("id").alias("dst")), seeds)
 
 
 @query(
@@ -312,10 +348,10 @@ def noisy_vectors(spark, sf):
     "negative_pairs", "N17",
     sql("day_nodes")
     + ", s AS (SELECT file, count(*) AS n FROM day_nodes GROUP BY file), p AS (SELECT d.file, d.id AS flow, d.id % s.n AS src_idx, (d.id + 1) % s.n AS sink_idx, s.n FROM day_nodes d JOIN s USING (file) WHERE s.n >= 2), "
-    f"t AS (SELECT p.*, CAST(i AS STRING) AS i FROM p, range(1, 11) r(i)), d AS (SELECT *, CAST(floor({_uniform('file', 'flow', 'i', chr(39) + 'u' + chr(39))} * n) AS INTEGER) AS u, "
-    f"CAST(floor({_uniform('file', 'flow', 'i', chr(39) + 'v' + chr(39))} * n) AS INTEGER) AS v FROM t), "
-    "f AS (SELECT file, flow, min_by(struct_pack(u := u, v := v), CAST(i AS INTEGER)) AS x FROM d WHERE u <> v AND NOT (u = src_idx AND v = sink_idx) GROUP BY file, flow) "
-    "SELECT p.file, p.flow, CAST(coalesce(x.u, src_idx) AS INTEGER) AS u, CAST(coalesce(x.v, sink_idx) AS INTEGER) AS v FROM p LEFT JOIN f USING (file, flow)",
+    f"d AS (SELECT *, CAST(floor({_uniform('file', 'flow')} * (n * (n - 1) - 1)) AS BIGINT) AS draw FROM p WHERE n > 1), "
+    "m AS (SELECT *, draw + CASE WHEN draw >= src_idx * (n - 1) + sink_idx - CASE WHEN sink_idx > src_idx THEN 1 ELSE 0 END THEN 1 ELSE 0 END AS place FROM d) "
+    "SELECT file, flow, CAST(place // (n - 1) AS INTEGER) AS u, "
+    "CAST(place % (n - 1) + CASE WHEN place % (n - 1) >= place // (n - 1) THEN 1 ELSE 0 END AS INTEGER) AS v FROM m",
 )
 def negative_pairs(spark, sf):
     d = view(spark, sf, "day_nodes").select("file", "id")

@@ -5,6 +5,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", app: str = "codeloom", memory: str = "16g") -> SparkSession:
@@ -59,18 +60,16 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> float:
-    """The planner's size estimate; infinite where it has none."""
-    try:
-        return float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
-        return float("inf")
+def bucketed(df: DataFrame, keys: list[str], label: str = "table") -> DataFrame:
+    """Writes the rows bucketed by ``keys``, so that later joins on them do not shuffle this side."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(n, *keys)  # one file per bucket
+    dealt.write.bucketBy(n, *keys).sortBy(*keys).option("path", scratch_path(spark, label)).saveAsTable(name)
+    return spark.table(name)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rebalances rows that arrive in fewer splits than there are cores, for work that is dear per row.
-
-    Tables large enough to give every core a split are returned as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if estimated_bytes(df) < cores * (128 << 20) else df
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deals rows with work that is dear per row over the tasks."""
+    return df.repartition(F.col(key))

@@ -60,15 +60,43 @@ def test_latest_before(rows, limits):
     assert collected(got, "i", "l") == want
 
 
-def test_limits_from_the_data_and_size_check(rows):
-    from codeloom.session import cut_lineage
-
+def test_limits_from_the_data(rows):
     limits = O.quantile_limits(rows, "x", 8)
     assert 3 <= len(limits) <= 7 and limits == sorted(set(limits))
-    # a stored table has a known size; rows without one are never taken as small
-    stored = cut_lineage(rows)
-    assert O.is_small(stored) and O.by_value(stored, "x")[1] is None
-    assert not O.is_small(rows) and O.by_value(rows, "x")[1] == "_bucket"
+    assert O.by_value(rows, "x")[1] == "_bucket"
+    assert O.quantile_limits(rows.where("i < 0"), "x", 8) == []
+
+
+def test_null_and_hot_keys_are_keys(spark):
+    """Every operator against a plain window, with a null key that holds most rows."""
+    data = [(None if i % 3 else f"k{i % 2}", i, float(i * 7 % 40), i % 5) for i in range(120)]
+    rows = spark.createDataFrame(data, "k string, i int, x double, v int")
+    w = W.partitionBy("k").orderBy("x", "i")
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    marked = rows.withColumn("d", F.when(F.col("v") == 0, F.col("i")))
+    for limits in ([], [5.0, 20.0]):
+        b, bucket = O.by_value(marked, "x", limits=limits)
+        got = O.number_rows(b, ["x", "i"], bucket, ["k"], "n")
+        got = O.running_sums(got, ["x", "i"], bucket, {"s": F.col("v")}, ["k"])
+        got = O.previous_row(got, ["k"], ["x", "i"], bucket, {"p": F.col("i")})
+        got = O.running_max(got, ["k"], ["x", "i"], bucket, F.col("v"), "m")
+        got = O.latest_before(got, ["k"], ["x", "i"], "d", bucket, "l")
+        want = marked.select(
+            "i", F.row_number().over(w).alias("n"), F.sum("v").over(upto).alias("s"), F.lag("i").over(w).alias("p"),
+            F.max("v").over(w.rowsBetween(W.unboundedPreceding, -1)).alias("m"), F.last("d", True).over(upto).alias("l"),
+        )
+        names = ["i", "n", "s", "p", "m", "l"]
+        key = lambda df: sorted(map(repr, df.select(*names).collect()))
+        assert key(got) == key(want)
+
+
+def test_a_hot_value_is_cut_by_its_tie(spark):
+    data = [(f"sample-{i:05d}", 5.0 if i % 4 else float(i % 9)) for i in range(400)]
+    rows = spark.createDataFrame(data, "name string, x double")
+    b, bucket = O.by_value(rows, "x", tie="name")
+    want = collected(rows.withColumn("n", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("x", "name"))), "name", "n")
+    assert collected(O.number_rows(b, ["x", "name"], bucket, None, "n"), "name", "n") == want
+    assert b.where("x = 5").select(bucket).distinct().count() > 1
 
 
 def test_missing_values_keep_their_place(spark):
@@ -84,7 +112,7 @@ def test_digest_buckets(rows):
     h = rows.withColumn("h", F.sha2(F.col("i").cast("string"), 256))
     w = W.partitionBy(F.lit(1)).orderBy("h")
     want = collected(h.withColumn("n", F.row_number().over(w)), "i", "n")
-    b, bucket = O.by_digest(h, "h", split=True)
+    b, bucket = O.by_digest(h, "h", digits=2)
     assert bucket and collected(O.number_rows(b, ["h"], bucket, None, "n"), "i", "n") == want
 
 

@@ -1,4 +1,4 @@
-"""Traversal against plain breadth-first search, with hot keys salted."""
+"""Traversal against plain breadth-first search, with a hub."""
 
 import random
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import features as FT
 from codeloom.operators import traverse as T
-from codeloom.operators.skew import HotKeys
 
 
 def bfs(links, seeds, depth):
@@ -27,14 +26,13 @@ def graph(spark):
     return pairs, edges
 
 
-@pytest.mark.parametrize("hot_rows", [10, 1_000_000])
-@pytest.mark.parametrize("depth", [1, 2, 3])
-def test_neighbourhood(spark, graph, depth, hot_rows):
+@pytest.mark.parametrize("depth", [1, 3, None])
+def test_neighbourhood(spark, graph, depth):
     pairs, edges = graph
     seeds = spark.createDataFrame([("f", 7), ("f", 101), ("f", 7), ("f", 999)], "file string, id long")
     both = pairs | {(b, a) for a, b in pairs}
-    got = {r.id: r.depth for r in T.neighbourhood(edges, seeds, depth, hot_rows).collect()}
-    assert got == bfs(both, {7, 101, 999}, depth)
+    got = {r.id: r.depth for r in T.neighbourhood(edges, seeds, depth).collect()}
+    assert got == bfs(both, {7, 101, 999}, depth or 200)
 
 
 def test_depth_only_adds_nodes(spark, graph):
@@ -51,20 +49,31 @@ def test_blocked_nodes_are_reached_but_not_passed(spark):
     assert {r.id: r.depth for r in T.reachable(edges, seeds, 9, blocked).collect()} == {1: 0, 2: 1, 4: 1, 5: 2}
 
 
-def test_hot_keys_join_keeps_every_row(spark):
-    big = spark.range(1000).select(F.when(F.col("id") < 400, 1).otherwise(F.col("id")).alias("k"), "id")
-    small = big.select("k").distinct().withColumn("name", F.col("k") * 2)
-    hot = HotKeys(big, "k", 100, 8)
-    assert hot.values == [1]
-    joined = hot.salt_big(big, "k", ["id"]).join(hot.salt_small(small, "k"), ["k", "_salt"])
-    assert joined.count() == 1000 and joined.where("name <> k * 2").count() == 0
-    assert hot.salt_big(big, "k", ["id"]).where("k = 1").select("_salt").distinct().count() == 8
+def test_a_long_chain_is_followed_to_its_end(spark):
+    edges = spark.createDataFrame([("f", i, i + 1) for i in range(40)], "file string, src long, dst long")
+    seeds = spark.createDataFrame([("f", 0)], "file string, id long")
+    assert {r.id: r.depth for r in T.reachable(edges, seeds).collect()} == {i: i for i in range(41)}
+
+
+def test_negatives_are_never_the_positive(spark):
+    rows = [(f"g{n}", f, a, b) for n in (1, 2, 3, 5) for f, (a, b) in enumerate([(0, 1), (1, 0), (1, 1), (2, 4)]) if max(a, b) < max(n, 2)]
+    pos = spark.createDataFrame(rows, "file string, flow long, src_idx long, sink_idx long")
+    sizes = spark.createDataFrame([(f"g{n}", n) for n in (1, 2, 3, 5)], "file string, n long")
+    got = {}
+    for seed in range(30):
+        for r in FT.negative_pairs(pos, sizes, seed).collect():
+            got.setdefault((r.file, r.flow), set()).add((r.u, r.v))
+    for (file, flow), pairs in got.items():
+        n = int(file[1:])
+        own = next((a, b) for f, w, a, b in rows if (f, w) == (file, flow))
+        assert all(u != v and 0 <= u < n and 0 <= v < n for u, v in pairs) and own not in pairs
+    assert ("g1", 0) not in got and got[("g2", 0)] == {(1, 0)} and len(got[("g3", 0)]) == 5
 
 
 def test_two_hop_and_complete_graph(spark):
     nodes = spark.createDataFrame([("f", n) for n in range(5)], "file string, id long")
     edges = spark.createDataFrame([("f", 0, 1), ("f", 1, 2), ("f", 2, 2), ("f", 3, 1)], "file string, src long, dst long")
-    got = {(r.src, r.dst) for r in T.two_hop(nodes, edges).collect()}
+    got = {(r.src, r.dst) for r in T.two_hop(edges).collect()}
     one_way = {(0, 1), (1, 2), (3, 1), (0, 2), (3, 2)}
     assert got == one_way | {(b, a) for a, b in one_way}
     vals = nodes.withColumn("v", F.col("id") * 1.0)
