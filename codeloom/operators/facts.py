@@ -5,6 +5,7 @@ import ast
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from codeloom.schemas import FACT
@@ -30,7 +31,11 @@ def _text(lines, sl, sc, el, ec):
 
 
 def _hint(node):
-    return None if node is None else ast.unparse(node)
+    """Source text of an expression; None where it cannot be written out (digits or nesting beyond the limits)."""
+    try:
+        return None if node is None else ast.unparse(node)
+    except (ValueError, RecursionError):
+        return None
 
 
 def _call(node):
@@ -42,13 +47,13 @@ def _call(node):
     for kw in node.keywords:
         if kw.arg is None:
             continue
-        if isinstance(kw.value, ast.Constant):
-            plain.append((kw.arg, canonical_value(kw.value.value)))
-        elif isinstance(kw.value, (ast.Dict, ast.List, ast.Tuple)):
-            try:
+        try:
+            if isinstance(kw.value, ast.Constant):
+                plain.append((kw.arg, canonical_value(kw.value.value)))
+            elif isinstance(kw.value, (ast.Dict, ast.List, ast.Tuple)):
                 nested.append((kw.arg, canonical_value(ast.literal_eval(kw.value))))
-            except (ValueError, TypeError):
-                pass
+        except (ValueError, TypeError, RecursionError):
+            pass  # a value without a text of its own cannot equal a rule's
     return (
         None, None, None, owner.id if isinstance(owner, ast.Name) else None,
         [a.id for a in node.args if isinstance(a, ast.Name)], len(node.args), kind,
@@ -66,7 +71,7 @@ def _imports(node):
 
 
 def _function(node):
-    marks = ["@" + ast.unparse(x) for x in node.decorator_list]
+    marks = ["@" + (_hint(x) or "") for x in node.decorator_list]
     return (node.name, None, _hint(node.returns)) + (None,) * 7 + (marks, None)
 
 
@@ -104,7 +109,7 @@ def _class_facts(cls):
     return cls.__name__, "lineno" in cls._attributes, issubclass(cls, ast.stmt), role, below, DETAILS.get(cls)
 
 
-def file_facts(code: str):
+def file_facts(code: str, with_text: bool = True):
     """Rows of one file as tuples of ROW_COLUMNS, in visiting order.  Raises what the parser raises."""
     lines = code.splitlines()
     total = len(lines)
@@ -125,7 +130,7 @@ def file_facts(code: str):
                 sl, sc, el, ec = node.lineno, node.col_offset, node.end_lineno, node.end_col_offset
             else:
                 sl, sc, el, ec = 1, 0, max(total, 1), len(lines[-1]) if lines else 0
-            text = lines[sl - 1][sc:ec] if sl == el <= total else _text(lines, sl, sc, el, ec)
+            text = None if not with_text else lines[sl - 1][sc:ec] if sl == el <= total else _text(lines, sl, sc, el, ec)
             count += 1
             more = details(node) if details else NO_DETAILS
             yield (
@@ -156,43 +161,52 @@ def file_facts(code: str):
         todo.extend(below)
 
 
-def extract_facts(files: DataFrame) -> DataFrame:
-    """Facts of (file, code[, frameworks]); each file is parsed on its own, files spread over tasks.
+def extract_facts(files: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Facts of (file, code[, frameworks]); each file is parsed on its own, where its row lies.
 
-    A file that cannot be parsed gives one row that says why.
+    A file that cannot be parsed or walked gives one row that says why, and none of its facts.  ``columns`` names what is
+    wanted: the planner cannot look into this stage, and what is not wanted is neither built nor handed over.
     """
     if "frameworks" not in files.columns:
         files = files.withColumn("frameworks", F.array().cast("array<string>"))
-    schema = to_arrow_schema(FACT)
+    wanted = [f for f in FACT.fields if columns is None or f.name in columns]
+    fact = T.StructType(wanted)
+    schema = to_arrow_schema(fact)
+    place = {name: i for i, name in enumerate(ROW_COLUMNS)}
+    with_text = "code" in schema.names
 
     def as_batch(heads, index, rows):
-        """File columns are given once per file and repeated by index, row columns are transposed."""
-        columns = dict(zip(ROW_COLUMNS, zip(*rows)))
+        """File columns are given once per file and repeated by index, row columns are picked."""
         at = pa.array(index, pa.int32())
-        for name, values in zip(FILE_COLUMNS, zip(*heads)):
-            columns[name] = pa.array(values, schema.field(name).type).take(at)
-        arrays = [
-            columns[f.name] if f.name in FILE_COLUMNS else pa.array(columns[f.name], f.type) for f in schema
-        ]
+        by_file = dict(zip(FILE_COLUMNS, zip(*heads)))
+        arrays = []
+        for f in schema:
+            if f.name in by_file:
+                arrays.append(pa.array(by_file[f.name], f.type).take(at))
+            else:
+                i = place[f.name]
+                arrays.append(pa.array([r[i] for r in rows], f.type))
         return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     def batches(it):
         heads, index, rows = [], [], []
         for batch in it:
             for file, code, frameworks in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                heads.append((file, "ok", None, frameworks))
+                head = (file, "ok", None, frameworks)
                 try:
-                    for row in file_facts(code or ""):
-                        rows.append(row)
-                        index.append(len(heads) - 1)
-                        if len(rows) >= ROWS_PER_BATCH:
-                            yield as_batch(heads, index, rows)
-                            heads, index, rows = [heads[-1]], [], []
+                    own = list(file_facts(code or "", with_text))
                 except Exception as e:
-                    heads[-1] = (file, "unparsable", f"{type(e).__name__}: {e}", frameworks)
-                    rows.append((None,) * len(ROW_COLUMNS))
-                    index.append(len(heads) - 1)
+                    head = (file, "unparsable", f"{type(e).__name__}: {e}", frameworks)
+                    own = [(None,) * len(ROW_COLUMNS)]
+                for start in range(0, len(own), ROWS_PER_BATCH):
+                    part = own[start : start + ROWS_PER_BATCH]
+                    heads.append(head)
+                    rows += part
+                    index += [len(heads) - 1] * len(part)
+                    if len(rows) >= ROWS_PER_BATCH:
+                        yield as_batch(heads, index, rows)
+                        heads, index, rows = [], [], []
         if rows:
             yield as_batch(heads, index, rows)
 
-    return files.select("file", "code", "frameworks").mapInArrow(batches, FACT)
+    return files.select("file", "code", "frameworks").mapInArrow(batches, fact)

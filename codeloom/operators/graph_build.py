@@ -46,6 +46,12 @@ WITHS = ("With", "AsyncWith")
 CONTROL = ("If", "For", "While", "AsyncFor", "Try", "With", "AsyncWith")
 ELEMENT_COMPS = ("ListComp", "SetComp", "GeneratorExp")
 EDGE_COLUMNS = ("file", "src", "dst", "kind")
+# What the rules read of a fact.
+NODE_FACTS = ("file", "status", "id", "ast_type", "sl", "sc", "el", "ec", "code", "name", "hint")
+EDGE_FACTS = (
+    "file", "status", "id", "parent", "ast_type", "parent_type", "field", "ord", "last", "is_stmt", "name", "ctx", "base",
+    "arg_names", "scopes", "comps",
+)
 
 
 def node_kind(ast_type: Column) -> Column:

@@ -96,11 +96,23 @@ def has_text(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit("")) != ""
 
 
-def graph_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """file, nodes, edges; graphs without edges count 0."""
+def _every_graph(per_file: DataFrame, graphs: DataFrame | None) -> DataFrame:
+    """One row per graph: those of ``per_file`` and, with nulls, the empty ones of ``graphs`` (file)."""
+    if graphs is None:
+        return per_file
+    names = graphs.select(F.col("file").alias("_file")).distinct()
+    return per_file.join(names, F.col("file").eqNullSafe(F.col("_file")), "full").withColumn("file", F.coalesce("file", "_file")).drop("_file")
+
+
+def graph_sizes(nodes: DataFrame, edges: DataFrame, graphs: DataFrame | None = None) -> DataFrame:
+    """file, nodes, edges; graphs without nodes or edges count 0.
+
+    ``graphs`` (file) names all graphs; a graph without nodes is in no other table.
+    """
     n = nodes.groupBy("file").agg(F.count(F.lit(1)).alias("nodes"))
     e = edges.groupBy("file").agg(F.count(F.lit(1)).alias("edges"))
-    return n.join(e, "file", "left").select("file", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"))
+    sizes = _every_graph(n.join(e, "file", "left" if graphs is None else "full"), graphs)
+    return sizes.select("file", F.coalesce("nodes", F.lit(0)).alias("nodes"), F.coalesce("edges", F.lit(0)).alias("edges"))
 
 
 def size_statistics(sizes: DataFrame, columns: tuple[str, ...] = ("nodes", "edges")) -> DataFrame:
@@ -117,8 +129,8 @@ def size_statistics(sizes: DataFrame, columns: tuple[str, ...] = ("nodes", "edge
     return sizes.agg(F.count(F.lit(1)).alias("graphs"), *stats)
 
 
-def rule_coverage(nodes: DataFrame) -> DataFrame:
-    """Share of graphs with a source, a sink and a sanitizer, in percent."""
+def rule_coverage(nodes: DataFrame, graphs: DataFrame | None = None) -> DataFrame:
+    """Share of graphs with a source, a sink and a sanitizer, in percent; empty ``graphs`` (file) have none."""
     a = F.col("attrs")
 
     def has(test):
@@ -129,6 +141,7 @@ def rule_coverage(nodes: DataFrame) -> DataFrame:
         has(F.coalesce(a["sanitizer_kind"], F.lit("")) != "").alias("z"),
     )
     names = {"s": "source", "t": "sink", "z": "sanitizer"}
+    per = _every_graph(per, graphs).fillna(0, list(names))
     return per.agg(
         F.count(F.lit(1)).alias("graphs"),
         *[F.sum(k).alias(f"with_{v}") for k, v in names.items()],

@@ -12,15 +12,23 @@ from codeloom.operators import matching as M
 from codeloom.operators import models as MD
 from codeloom.operators import quality as Q
 from codeloom.operators import taint as TA
-from codeloom.session import cut_lineage
+from codeloom.session import bucketed, cut_lineage, spread
 from codeloom.sources import files as FI
 from codeloom.sources import graphs as GR
 from codeloom.sources.catalogue import DEFAULT, Catalogue
 
 
-def facts_of(files: DataFrame) -> DataFrame:
+def facts_of(files: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
     """Syntax facts of (file, code), with the frameworks of each file."""
-    return FA.extract_facts(M.with_frameworks(files))
+    return FA.extract_facts(M.with_frameworks(files), columns)
+
+
+def stored_facts(files: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Facts written once, bucketed by file: the files are dealt before they are parsed, the facts never.
+
+    Windows and groups whose keys hold the file then need no shuffle.
+    """
+    return bucketed(facts_of(spread(files, "file"), columns), ["file"], "facts", dealt=True)
 
 
 def build_graphs(
@@ -30,7 +38,7 @@ def build_graphs(
 
     The facts are written once to shared storage: parsing is the dear step and four rules read them.
     """
-    facts = cut_lineage(facts_of(files))
+    facts = stored_facts(files)
     nodes = M.matched_nodes(facts, catalogue)
     edges = G.graph_edges(facts, by_field)
     if records is not None:
@@ -66,10 +74,10 @@ def training_data(
     return split
 
 
-def validation_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: graph sizes and rule coverage of a corpus."""
-    return Q.size_statistics(Q.graph_sizes(nodes, edges)).crossJoin(  # one row each
-        Q.rule_coverage(nodes).drop("graphs")
+def validation_report(nodes: DataFrame, edges: DataFrame, graphs: DataFrame | None = None) -> DataFrame:
+    """One row: graph sizes and rule coverage of a corpus; ``graphs`` (file) names empty graphs too."""
+    return Q.size_statistics(Q.graph_sizes(nodes, edges, graphs)).crossJoin(  # one row each
+        Q.rule_coverage(nodes, graphs).drop("graphs")
     )
 
 

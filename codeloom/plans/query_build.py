@@ -98,16 +98,20 @@ def _per_file(rows: list[tuple], columns: str, select: str) -> str:
 
 
 def _files(spark, sf):
-    return spread(table(spark, sf, "events"), "event_id").selectExpr(*_CODE_COLUMNS)
+    return table(spark, sf, "events").selectExpr(*_CODE_COLUMNS)
 
 
-def _facts(spark, sf):
-    return PG.facts_of(_files(spark, sf))
+def _facts(spark, sf, columns=None):
+    return PG.facts_of(spread(_files(spark, sf), "file"), columns)
+
+
+def _stored(spark, sf, columns=None):
+    return PG.stored_facts(_files(spark, sf), columns)
 
 
 @query("graph_node_kinds", "F1 G1 G3 G4", _per_file(NODE_COUNTS, "kind, n", "kind, CAST(n AS BIGINT) AS n"))
 def graph_node_kinds(spark, sf):
-    n = G.graph_nodes(_facts(spark, sf))
+    n = G.graph_nodes(_facts(spark, sf, G.NODE_FACTS))
     return n.groupBy("file", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -116,7 +120,7 @@ def graph_node_kinds(spark, sf):
     _per_file(EDGE_COUNTS, "kind, n", "kind, CAST(n AS BIGINT) AS n"),
 )
 def graph_edge_counts(spark, sf):
-    facts = cut_lineage(_facts(spark, sf))
+    facts = _stored(spark, sf, G.EDGE_FACTS)
     return G.graph_edges(facts).groupBy("file", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -134,7 +138,7 @@ def _by_line(edges, facts):
     _per_file(CONTROL_LINES, "src_line, dst_line, n", "src_line, dst_line, CAST(n AS BIGINT) AS n"),
 )
 def control_edges_by_line(spark, sf):
-    facts = cut_lineage(_facts(spark, sf))
+    facts = _stored(spark, sf)
     return _by_line(G.sequence_edges(facts).unionByName(G.branch_edges(facts)), facts)
 
 
@@ -143,7 +147,7 @@ def control_edges_by_line(spark, sf):
     _per_file(FLOW_LINES, "src_line, dst_line, n", "src_line, dst_line, CAST(n AS BIGINT) AS n"),
 )
 def flow_edges_by_line(spark, sf):
-    facts = cut_lineage(_facts(spark, sf))
+    facts = _stored(spark, sf)
     return _by_line(G.flow_edges(facts), facts)
 
 
@@ -155,7 +159,7 @@ def flow_edges_by_line(spark, sf):
     ),
 )
 def matched_rules(spark, sf):
-    n = M.matched_nodes(cut_lineage(_facts(spark, sf)))
+    n = M.matched_nodes(_stored(spark, sf))
     a = F.col("attrs")
     hit = a["is_source"].isNotNull() | a["is_sink"].isNotNull() | a["sanitizer_id"].isNotNull()
     return n.where(hit).select(
@@ -167,7 +171,7 @@ def matched_rules(spark, sf):
 @query("tainted_paths", "D6 N1", _per_file([("click", "SINK_OS_SYSTEM", 7)], "sink_id, depth", "sink_id, depth"))
 def tainted_paths(spark, sf):
     """Sinks that a source reaches; run on the flow and value edges of the generated files."""
-    facts = cut_lineage(_facts(spark, sf))
+    facts = _stored(spark, sf)
     nodes = cut_lineage(M.matched_nodes(facts))
     edges = G.flow_edges(facts).unionByName(G.value_edges(facts))
     return T.tainted_paths(nodes, edges).groupBy("file", "sink_id").agg(F.min("depth").alias("depth"))
@@ -185,7 +189,7 @@ def tainted_chains(spark, sf):
     lines = ["import os", 'v0 = os.getenv("A")', *[f"v{i} = v{i - 1}" for i in range(1, STEPS)], f"os.system(v{STEPS - 1})"]
     code = "\n".join(lines) + "\n"
     files = table(spark, sf, "customer").select(F.concat(F.lit("chain/c"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("file"), F.lit(code).alias("code"))
-    facts = cut_lineage(PG.facts_of(spread(files, "file")))
+    facts = PG.stored_facts(files)
     nodes = cut_lineage(M.matched_nodes(facts))
     edges = G.flow_edges(facts).unionByName(G.value_edges(facts))
     return T.tainted_paths(nodes, edges).groupBy("file", "sink_id").agg(F.min("depth").alias("depth"))
@@ -210,8 +214,9 @@ def framework_detection(spark, sf):
 )
 def file_status(spark, sf):
     """Prose does not parse as Python, the generated files do."""
-    docs = spread(table(spark, sf, "documents"), "doc_id").select(F.concat(F.lit("d"), "doc_id").alias("file"), F.col("text").alias("code"))
-    return FI.status_counts(FA.extract_facts(docs.unionByName(_files(spark, sf))))
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("file"), F.col("text").alias("code"))
+    files = spread(docs.unionByName(_files(spark, sf)), "file")
+    return FI.status_counts(FA.extract_facts(files, ("file", "status", "id")))
 
 
 _INVENTORY = [
@@ -344,7 +349,7 @@ _SCANNED = [("signup", "SQLI_RAW_STRING_FORMAT", "A03: Injection", "CWE-89"), ("
 )
 def scan_findings(spark, sf):
     """From source files to the 100 best findings, with a scorer that calls every file vulnerable."""
-    facts = cut_lineage(_facts(spark, sf))
+    facts = _stored(spark, sf)
     nodes = cut_lineage(M.matched_nodes(facts))
     return PG.scan_findings(nodes, [0.0] * 32, 1.0, 100, 16).select("file", "pattern_id", "owasp", "cwe_id")
 

@@ -609,19 +609,22 @@ def token_forest_baseline(spark, sf):
     "graph_file_round_trip", "S3 S4 S5",
     sql("day_nodes") + _CHAIN
     + ", n AS (SELECT file, count(*) AS nodes, count(source_id) AS sources FROM day_nodes GROUP BY file), e AS (SELECT file, count(*) AS edges FROM ch GROUP BY file) "
-    "SELECT file, nodes, sources, coalesce(edges, 0) AS edges FROM n LEFT JOIN e USING (file)",
+    "SELECT file, nodes, sources, coalesce(edges, 0) AS edges FROM n LEFT JOIN e USING (file) "
+    "UNION ALL SELECT 'empty/c' || CAST(c_custkey AS STRING), 0, 0, 0 FROM customer",
 )
 def graph_file_round_trip(spark, sf):
-    """Graphs to JSON lines and back to tables."""
+    """Graphs to JSON lines and back to tables, with a graph without nodes per customer."""
     n = day_nodes(spark, sf).select(
         "*", F.lit(None).cast("string").alias("type_hint"), F.array().cast("array<string>").alias("flags")
     )
     e = _chain(spark, sf).select("*", F.lit("CFG").alias("kind"), F.lit(None).cast("map<string,string>").alias("attrs"))
     path = scratch_path(spark, "graphs")
-    GR.write_graphs(GR.graph_documents(n, e), path)
+    empty = table(spark, sf, "customer").select(F.concat(F.lit("empty/c"), F.col("c_custkey").cast("string")).alias("file"))
+    GR.write_graphs(GR.graph_documents(n, e, graphs=empty), path)
     g = GR.read_graphs(spark, path)
     nodes = GR.nodes_of(g).groupBy("file").agg(
         F.count(F.lit(1)).alias("nodes"), F.count(F.col("attrs")["source_id"]).alias("sources")
     )
     edges = GR.edges_of(g).groupBy("file").agg(F.count(F.lit(1)).alias("edges"))
-    return nodes.join(edges, "file", "left").select("file", "nodes", "sources", F.coalesce("edges", F.lit(0)).alias("edges"))
+    every = GR.graphs_of(g).select("file").join(nodes, "file", "left").join(edges, "file", "left")
+    return every.fillna(0, ["nodes", "sources", "edges"]).select("file", "nodes", "sources", "edges")

@@ -78,7 +78,18 @@ def data_origin(spark, sf):
     return _rounded(Q.data_origin(view(spark, sf, "label_rows")), "synthetic_percentage", "real_percentage")
 
 
-_SIZES = "n AS (SELECT file, count(*) AS nodes FROM nodes GROUP BY file), e AS (SELECT file, count(*) AS edges FROM edges GROUP BY file), s AS (SELECT file, nodes, coalesce(edges, 0) AS edges FROM n LEFT JOIN e USING (file))"
+_SIZES = (
+    "n AS (SELECT file, count(*) AS nodes FROM nodes GROUP BY file), e AS (SELECT file, count(*) AS edges FROM edges GROUP BY file), s AS (SELECT file, coalesce(nodes, 0) AS nodes, coalesce(edges, 0) AS edges "
+    "FROM (SELECT 'o' || CAST(o_orderkey AS STRING) AS file FROM orders UNION SELECT 'e' || CAST(c_custkey AS STRING) FROM customer) LEFT JOIN n USING (file) LEFT JOIN e USING (file))"
+)
+
+
+def _graphs(spark, sf):
+    """All graphs: one per order, and one without nodes per customer."""
+    o = table(spark, sf, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("file"))
+    return o.union(table(spark, sf, "customer").select(F.concat(F.lit("e"), F.col("c_custkey").cast("string"))))
+
+
 _STATS = ", ".join(
     f"round(avg({c}), 6) AS {c}_mean, CAST(median({c}) AS DOUBLE) AS {c}_median, round(stddev_pop({c}), 6) AS {c}_std, min({c}) AS {c}_min, max({c}) AS {c}_max"
     for c in ("nodes", "edges")
@@ -87,7 +98,7 @@ _STATS = ", ".join(
 
 @query("graph_size_statistics", "A6", ORDER_GRAPH_SQL + f", {_SIZES} SELECT count(*) AS graphs, {_STATS} FROM s")
 def graph_size_statistics(spark, sf):
-    s = Q.size_statistics(Q.graph_sizes(order_nodes(spark, sf), order_edges(spark, sf)))
+    s = Q.size_statistics(Q.graph_sizes(order_nodes(spark, sf), order_edges(spark, sf), _graphs(spark, sf)))
     return _rounded(s, "nodes_mean", "nodes_std", "edges_mean", "edges_std")
 
 
@@ -98,9 +109,14 @@ _COVER = (
 )
 
 
-@query("rule_coverage", "A7", sql("day_nodes") + ", " + _COVER)
+@query(
+    "rule_coverage", "A7",
+    sql("day_nodes") + ", " + _COVER.replace("FROM day_nodes GROUP BY file) ", "FROM day_nodes GROUP BY file UNION ALL SELECT 'e' || CAST(c_custkey AS STRING), 0, 0, 0 FROM customer) "),
+)
 def rule_coverage(spark, sf):
-    return _rounded(Q.rule_coverage(day_nodes(spark, sf)), "source_coverage", "sink_coverage", "sanitizer_coverage")
+    nodes = day_nodes(spark, sf)
+    empty = table(spark, sf, "customer").select(F.concat(F.lit("e"), F.col("c_custkey").cast("string")).alias("file"))
+    return _rounded(Q.rule_coverage(nodes, nodes.select("file").union(empty)), "source_coverage", "sink_coverage", "sanitizer_coverage")
 
 
 @query(
@@ -162,7 +178,7 @@ def record_code_quality(spark, sf):
     ORDER_GRAPH_SQL + f", {_SIZES} SELECT (SELECT count(*) FROM s) AS total_graphs, count(*) AS valid_graphs, CAST(floor(avg(nodes)) AS BIGINT) AS avg_nodes, CAST(floor(avg(edges)) AS BIGINT) AS avg_edges FROM s WHERE nodes > 0",
 )
 def graph_quality(spark, sf):
-    return Q.graph_quality(Q.graph_sizes(order_nodes(spark, sf), order_edges(spark, sf)))
+    return Q.graph_quality(Q.graph_sizes(order_nodes(spark, sf), order_edges(spark, sf), _graphs(spark, sf)))
 
 
 @query(

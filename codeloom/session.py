@@ -60,16 +60,23 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, keys: list[str], label: str = "table") -> DataFrame:
-    """Writes the rows bucketed by ``keys``, so that later joins on them do not shuffle this side."""
+def bucketed(df: DataFrame, keys: list[str], label: str = "table", dealt: bool = False) -> DataFrame:
+    """Writes the rows bucketed by ``keys``, so that later joins, windows and groups on them do not shuffle this side.
+
+    ``dealt`` says that the rows already lie in hash partitions by the keys, one per bucket.
+    """
     spark = df.sparkSession
-    name = f"{label}_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartition(n, *keys)  # one file per bucket
-    dealt.write.bucketBy(n, *keys).sortBy(*keys).option("path", scratch_path(spark, label)).saveAsTable(name)
+    name, n = f"{label}_{uuid.uuid4().hex}", buckets(spark)
+    if not dealt:
+        df = df.repartition(n, *keys)  # one file per bucket
+    df.write.bucketBy(n, *keys).option("path", scratch_path(spark, label)).saveAsTable(name)
     return spark.table(name)
 
 
+def buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deals rows with work that is dear per row over the tasks."""
-    return df.repartition(F.col(key))
+    """Deals rows with work that is dear per row over the tasks, by hash of the key."""
+    return df.repartition(buckets(df.sparkSession), F.col(key))

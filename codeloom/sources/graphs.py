@@ -34,6 +34,13 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("label", F.coalesce("label", "target").cast("int")).drop("target")
 
 
+def graphs_of(graphs: DataFrame) -> DataFrame:
+    """file, frameworks: one row per graph, empty ones too."""
+    file = F.coalesce("file", F.try_element_at(F.col("nodes"), F.lit(1))["file"])
+    rows = graphs.select(file.alias("file"), F.col("metadata.frameworks").alias("frameworks"))
+    return rows.groupBy("file").agg(F.max("frameworks").alias("frameworks"))
+
+
 def nodes_of(graphs: DataFrame) -> DataFrame:
     n = graphs.select("file", F.explode("nodes").alias("n"))
     span = F.when(
@@ -70,18 +77,18 @@ def edge_keys_for_export(edges: DataFrame) -> DataFrame:
 
 
 def graph_documents(
-    nodes: DataFrame, edges: DataFrame, meta: DataFrame | None = None, max_items: int = 100_000
+    nodes: DataFrame, edges: DataFrame, meta: DataFrame | None = None, max_items: int = 100_000,
+    graphs: DataFrame | None = None,
 ) -> DataFrame:
     """Graphs as documents: one per file, and further ones for a file with more than ``max_items`` rows.
 
+    ``graphs`` (file) names graphs without nodes and edges, which become empty documents.
     Readers explode documents, so a graph in several documents reads back as one graph, and no task
     ever holds more than about ``max_items`` nodes or edges of a file.
     """
     n = nodes.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     e = edges.groupBy("file").agg(F.count(F.lit(1)).alias("e"))
-    parts = n.join(e, "file", "left").select(
-        "file", F.ceil(F.greatest("n", F.coalesce("e", F.lit(0))) / max_items).alias("_parts")
-    )
+    parts = n.join(e, "file", "full").select("file", F.ceil(F.greatest("n", "e") / max_items).alias("_parts"))
 
     def collected(rows, key, item, name):
         part = F.pmod(F.hash(*key), F.col("_parts"))
@@ -93,6 +100,9 @@ def graph_documents(
         collected(edges, [F.col("src"), F.col("dst")], F.struct("src", "dst", "kind", "attrs"), "edges"),
         ["file", "part"], "full",
     )
+    if graphs is not None:
+        empty = graphs.select("file").distinct().join(parts, "file", "left_anti").withColumn("part", F.lit(0))
+        docs = docs.unionByName(empty, allowMissingColumns=True)
     docs = docs.withColumn("nodes", F.array_sort("nodes", lambda a, b: F.signum(a["id"] - b["id"]).cast("int")))
     for name in ("nodes", "edges"):
         docs = docs.withColumn(name, F.coalesce(name, F.array().cast(docs.schema[name].dataType)))
