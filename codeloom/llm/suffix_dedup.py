@@ -351,7 +351,9 @@ def dedup_bytes(docs: DataFrame, carry: list[str], window: int = 400, scratch: S
     runs = scratch.cut(runs, "runs")
     scratch.drop(suffixes, reached)
     crossing = runs.filter("window is not null")
-    met = crossing.join(crossing.groupBy("window").count().filter("count > 1").select("window"), "window")
+    # One place can hold a window at several suffixes; two places that share it do so at one key and distance.
+    same = ["key", "lo", "window"]
+    met = crossing.join(crossing.groupBy(*same).count().filter("count > 1").select(*same), same)
     alone = contexts.filter("n > 1").select("key", "around", F.lit(0).alias("lo"), F.lit(_span(window) - 1).alias("hi"))
     all_runs = runs.filter("window is null").drop("window").unionByName(met.select("key", "around", "lo", "hi")).unionByName(alone)
     by_context = all_runs.groupBy("key", "around").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
