@@ -223,7 +223,7 @@ def _repeats(window: int):
 
         A window starts ``o`` bytes before a suffix.  Two suffixes share it if they share ``window - o`` bytes, that is, lie in one
         stretch of the order whose neighbours share as much, and ``o`` bytes before.  Stretches at the edges of the task
-        may go on in another one: their windows are given out by digest, each once.
+        may go on in another one: their windows are given out by digest, each once, with a mark where the task has but one.
         """
         key, around, n, back, suffix, reach = [], [], [], [], [], []
         for batch in batches:
@@ -258,13 +258,13 @@ def _repeats(window: int):
             _, at, which, count = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
             hits[alive, o] |= count[which] >= 2
             edge = (stretch[alive[at]] == stretch[0]) | (stretch[alive[at]] == stretch[-1])
-            open_rows += [(int(i), o) for i in alive[at[edge]]]
+            open_rows += [(i, o, one) for i, one in zip(alive[at[edge]].tolist(), (~hits[alive[at[edge]], o]).tolist(), strict=True)]
         yield _runs_batch(hits, order, key, around)
         for x in range(0, len(open_rows), 20_000):
             part = open_rows[x : x + 20_000]
-            ids = [order[i] for i, _ in part]
-            windows = [hashlib.blake2b(back[i][:o][::-1] + suffix[i][: window - o], digest_size=16).digest() for i, (_, o) in zip(ids, part, strict=True)]
-            yield _rows([key[i] for i in ids], [around[i] for i in ids], [o for _, o in part], [o for _, o in part], windows)
+            ids, at, single = [order[i] for i, _, _ in part], [o for _, o, _ in part], [one for _, _, one in part]
+            windows = [hashlib.blake2b(back[i][:o][::-1] + suffix[i][: window - o], digest_size=16).digest() for i, o in zip(ids, at, strict=True)]
+            yield _rows([key[i] for i in ids], [around[i] for i in ids], at, at, windows, single)
 
     return run
 
@@ -274,12 +274,13 @@ def _runs_batch(hits, order, key, around):
     row, lo = np.nonzero(step == 1)
     _, hi = np.nonzero(step == -1)
     ids = [order[i] for i in row]
-    return _rows([key[i] for i in ids], [around[i] for i in ids], lo, hi - 1, [None] * len(ids))
+    return _rows([key[i] for i in ids], [around[i] for i in ids], lo, hi - 1, [None] * len(ids), [False] * len(ids))
 
 
-def _rows(key, around, lo, hi, window):
-    cols = [pa.array(key, pa.int64()), pa.array(around, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(window, pa.binary())]
-    return pa.RecordBatch.from_arrays(cols, names=["key", "around", "lo", "hi", "window"])
+def _rows(key, around, lo, hi, window, single):
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
+    cols = [pa.array(c, k) for c, k in zip((key, around, lo, hi, window, single), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(cols, names=["key", "around", "lo", "hi", "window", "single"])
 
 
 def _cut(window: int):
@@ -330,9 +331,10 @@ def dedup_bytes(docs: DataFrame, carry: list[str], window: int = 400, scratch: S
     own = scratch.cut(own.select("d", "t", "n", F.inline(F.arrays_zip("key", "around", "at"))), "own")
     scratch.drop(facts)
 
-    repeated = own.groupBy("key").agg(F.sum("n").alias("all")).filter("all > 1").select("key")
+    # Written, as both sides of the join have to be plain exchanges for adaptive execution to split a hot key.
+    repeated = scratch.cut(own.groupBy("key").agg(F.sum("n").alias("all")).filter("all > 1").select("key"), "repeated")
     candidates = scratch.cut(own.join(repeated, "key"), "candidates")
-    scratch.drop(own)
+    scratch.drop(own, repeated)
     contexts = candidates.groupBy("key", "around").agg(F.sum("n").alias("n"), F.min(F.struct("d", "t", "at")).alias("at"))
     contexts = scratch.cut(contexts, "contexts")
     several = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1").select("key")
@@ -347,15 +349,17 @@ def dedup_bytes(docs: DataFrame, carry: list[str], window: int = 400, scratch: S
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     reached = suffixes.repartitionByRange(n, "key", "back").sortWithinPartitions("key", "back").mapInArrow(_reach, columns + ", reach int")
     reached = scratch.cut(reached, "reach")
-    runs = reached.repartitionByRange(n, "suffix", "back").mapInArrow(_repeats(window), "key bigint, around bigint, lo int, hi int, window binary")
+    runs = reached.repartitionByRange(n, "suffix", "back").mapInArrow(_repeats(window), "key bigint, around bigint, lo int, hi int, window binary, single boolean")
     runs = scratch.cut(runs, "runs")
     scratch.drop(suffixes, reached)
     crossing = runs.filter("window is not null")
     # One place can hold a window at several suffixes; two places that share it do so at one key and distance.
     same = ["key", "lo", "window"]
-    met = crossing.join(crossing.groupBy(*same).count().filter("count > 1").select(*same), same)
+    # What repeats inside a task is settled there.
+    met = crossing.groupBy(*same).agg(F.count(F.lit(1)).alias("tasks"), F.max("single").alias("open")).filter("tasks > 1 and open").select(*same)
+    met = crossing.filter("single").join(met, same)
     alone = contexts.filter("n > 1").select("key", "around", F.lit(0).alias("lo"), F.lit(_span(window) - 1).alias("hi"))
-    all_runs = runs.filter("window is null").drop("window").unionByName(met.select("key", "around", "lo", "hi")).unionByName(alone)
+    all_runs = runs.filter("window is null").drop("window", "single").unionByName(met.select("key", "around", "lo", "hi")).unionByName(alone)
     by_context = all_runs.groupBy("key", "around").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
     spans = candidates.join(by_context, ["key", "around"]).select("d", "t", "at", F.inline("runs"))
     spans = spans.groupBy("d", "t").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("spans"))
