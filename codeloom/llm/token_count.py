@@ -53,10 +53,12 @@ def count_by_chunks(tok, text: str, chunk: int, overlap: int, guard: int) -> int
     while at + width < len(text):
         end, shared = at + width, overlap
         while True:
-            left = max(at, end - shared)
+            left, common = end - shared, []
+            if left <= at:
+                break
             right = _boundaries(tok, text[left : left + chunk], left)
             common = [p for p in starts if left + guard <= p <= min(last, end - guard) and p in right[0] and starts[p] >= begin]
-            if common or left == at or shared * 2 > chunk:
+            if common or shared * 2 > chunk:
                 break
             shared *= 2
         if common:
