@@ -189,7 +189,7 @@ def _search(ids: list, items: list[list[bytes]], vocabulary, idf, unknown: float
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, carry: list[str], rank: int = 128, cosine: float = 0.5, least: float = 0.75,
+    docs: DataFrame, benchmark: DataFrame, carry: list[str], rank: int = 128, cosine: float = 0.4, least: float = 0.75,
     paraphrase: float = 0.55, block_items: int = 256, scratch: Scratch | None = None,
 ) -> DataFrame:
     """One row for each (document, benchmark item) where the document holds the item or a paraphrase of it.

@@ -99,6 +99,9 @@ def read_warc(files: DataFrame, column: str = "content") -> DataFrame:
     return files.select(F.col(f"`{column}`").cast("binary")).mapInArrow(run, RECORD)
 
 
+RESOLVED = ("canonical_url", "resolved_id", "verdict", "merged", "resolved_digest")
+
+
 def resolve_revisits(records: DataFrame, bucket_seconds: int = 86_400, scratch: Scratch | None = None) -> DataFrame:
     """Adds canonical_url, resolved_id, verdict, merged and resolved_digest to each record.
 
@@ -109,10 +112,12 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 86_400, scratch:
     with the permitted ones of a resolved revisit in place of its own.  Repeated rows are resolved alike.
 
     The as-of join is cut by url and time bucket: the last response of each bucket is carried on over the url's buckets, so a hot
-    url costs a task its rows of one bucket.  Payloads take no part in it.
+    url costs a task its rows of one bucket.  Payloads take no part in it.  Columns named like the added ones are replaced.
     """
     scratch = scratch or Scratch(records.sparkSession, "warc")
-    rows = records.withColumn("canonical_url", canonical_url(F.col("url")))
+    used = ["record_id", "kind", "at", "status", "etag", "last_modified", "payload_digest", "headers"]
+    own = F.struct(*[F.col(f"`{c}`") for c in records.columns]).alias("row")
+    rows = records.select(own, *used, canonical_url(F.col("url")).alias("canonical_url"))
     full = (F.col("kind") == "response") & (F.col("status") == 200)
     rows = scratch.cut(rows.withColumns({"full": F.coalesce(full, F.lit(False)), "bucket": F.floor(F.col("at") / bucket_seconds)}), "records")
     placed = rows.filter("canonical_url is not null and at is not null")
@@ -142,6 +147,6 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 86_400, scratch:
     updated = F.map_concat(F.map_filter(stored, lambda k, _: ~F.map_contains_key(fresh, k)), fresh)
     merged = F.when(F.col("full"), F.col("headers")).when(verdict == "resolved", updated)
     return out.select(
-        *records.columns, "canonical_url", F.when(verdict.isin("full", "resolved", "unverified"), F.col("resolved_id")).alias("resolved_id"), verdict.alias("verdict"),
+        *[F.col("row").getField(c).alias(c) for c in records.columns if c not in RESOLVED], "canonical_url", F.when(verdict.isin("full", "resolved", "unverified"), F.col("resolved_id")).alias("resolved_id"), verdict.alias("verdict"),
         merged.alias("merged"), F.when(verdict.isin("full", "resolved", "unverified"), F.col("s.payload_digest")).alias("resolved_digest"),
     )
