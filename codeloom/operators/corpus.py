@@ -3,12 +3,17 @@
 All random choices come from digests of the sample id, so they repeat on every run and retry.
 """
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from codeloom.operators.ordered import (
     by_digest, by_value, number_rows, running_sums, seconds,
 )
+from codeloom.session import cut_lineage
 
 
 def order_hash(*parts: Column, seed: int = 42) -> Column:
@@ -195,6 +200,61 @@ def without_duplicates(rows: DataFrame, text: str, key: str) -> DataFrame:
     return rows.join(keep, key, "left_semi")
 
 
+def near_copies(rows: DataFrame, text: str, key: str, least: float = 0.8, words: int = 5, bands: int = 20, rows_per_band: int = 4) -> DataFrame:
+    """(a, b, similarity): near copies whose word shingles have a Jaccard similarity of ``least`` or more.
+
+    Texts with equal shingles are one text, the one with the smallest key.  Candidates share a band of the MinHash signature (at 0.8, all
+    but one pair in 30,000 does); a text meets the first and the last of each band it is in, so a large group makes
+    two pairs a text and band and stays connected.  Candidates are then compared shingle by shingle.
+    """
+    own = rows.select(F.col(key).alias("key"), F.col(text).alias("text"))
+
+    def signatures(batches):
+        r = np.random.default_rng(1)
+        a, b = (r.integers(1, 1 << 61, bands * rows_per_band, dtype=np.uint64) | np.uint64(1) for _ in range(2))
+        for batch in batches:
+            out = []
+            for t in batch.column(1).to_pylist():
+                h = shingles(t, words)
+                low = [(h * x + y >> np.uint64(3)).min() for x, y in zip(a, b)]
+                out.append([hash(tuple(int(v) for v in low[i : i + rows_per_band])) for i in range(0, len(low), rows_per_band)])
+            whole = [hashlib.sha256(shingles(t, words).tobytes()).hexdigest() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(whole), pa.array(out, pa.list_(pa.int64()))], names=["key", "whole", "bands"]
+            )
+
+    kind = own.schema["key"].dataType.simpleString()
+    signed = own.mapInArrow(signatures, f"key {kind}, whole string, bands array<bigint>")
+    first = cut_lineage(signed.groupBy("whole").agg(F.min(F.struct("key", "bands")).alias("r")).select("r.*"), "signatures")
+    banded = first.select("key", F.posexplode("bands").alias("band", "value"))
+    ends = cut_lineage(
+        banded.groupBy("band", "value").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi"), "bands"
+    )
+    met = banded.join(ends, ["band", "value"]).select("key", F.explode(F.array("lo", "hi")).alias("other"))
+    pairs = met.where("key <> other").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+    left = own.dropDuplicates(["key"]).select(F.col("key").alias("a"), F.col("text").alias("x"))
+    right = left.select(F.col("a").alias("b"), F.col("x").alias("y"))
+
+    def compared(batches):
+        for batch in batches:
+            out = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = shingles(x, words), shingles(y, words)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(both / (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["a", "b", "similarity"])
+
+    full = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return full.mapInArrow(compared, f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= least)
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Sorted 64-bit digests of the distinct word shingles; a shorter text is one shingle."""
+    w = (text or "").lower().split()
+    all_of = {" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+    return np.unique(np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") for x in all_of], np.uint64))
+
+
 def large_enough(nodes: DataFrame, minimum: int) -> DataFrame:
     """Graphs with at least ``minimum`` nodes."""
     return nodes.groupBy("file").agg(F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") >= minimum)

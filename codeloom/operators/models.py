@@ -9,6 +9,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.operators.corpus import split_by_project
+
 DIMENSIONS = 768
 CHUNK = 32
 
@@ -98,6 +100,33 @@ def pair_parts(vectors: DataFrame, weights: list[float], side: str) -> DataFrame
     return vectors.select("file", "id", dot(F.col("vec"), w).alias("part"))
 
 
+def scored_pairs(
+    pairs: DataFrame, vectors: DataFrame, score: Callable[[list[list[float]], list[list[float]]], list[float]]
+) -> DataFrame:
+    """Adds score to a GIVEN table of pairs (file, source_id, sink_id): any model over source and sink vectors.
+
+    ``vectors`` holds (file, id, vec); ``score`` maps a batch of source and sink vectors to probabilities.  Recorded flows or the
+    best linear candidates are such tables; all pairs of a graph are never formed.
+    """
+    v = vectors.select(F.col("file").alias("_file"), F.col("id").alias("_id"), F.col("vec").alias("_vec"))
+    at = lambda side: F.col("file").eqNullSafe(F.col("_file")) & (F.col(side) == F.col("_id"))
+    both = pairs.join(v, at("source_id")).withColumn("_source", F.col("_vec")).drop("_file", "_id", "_vec")
+    both = both.join(v, at("sink_id")).withColumn("_sink", F.col("_vec")).drop("_file", "_id", "_vec")
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            yield pd.Series(score([list(x) for x in a], [list(x) for x in b]), dtype="float64")
+
+    return both.withColumn("score", run("_source", "_sink")).drop("_source", "_sink")
+
+
+def held_out(samples: DataFrame, fit: Callable[[DataFrame], object], score: Callable[[object, DataFrame], DataFrame], project: str) -> DataFrame:
+    """Scored rows of the val and test projects of a model fitted on the train projects alone."""
+    rows = split_by_project(samples, project)
+    return score(fit(rows.where("split = 'train'")), rows.where("split <> 'train'"))
+
+
 def logistic_baseline(samples: DataFrame, vector: str = "vec", label: str = "label", iterations: int = 20):
     """Fitted logistic regression on embeddings."""
     rows = samples.select(array_to_vector(vector).alias("features"), F.col(label).cast("double").alias("label"))

@@ -8,6 +8,8 @@ from codeloom.plans.registry import query
 from codeloom.plans.views import ORDER_GRAPH_SQL, order_nodes, sql, table, view
 from codeloom.session import scratch_path
 from codeloom.sources import files as FI
+from codeloom.sources import graphs as GR
+from codeloom.sources import records as RC
 
 _H = "sha256('42|' || CAST({0} AS STRING))"
 _ORDER = f"{_H.format('sample_id')}, sample_id"
@@ -179,3 +181,69 @@ def training_data_counts(spark, sf):
     PG.training_data(view(spark, sf, "vuln_records"), view(spark, sf, "safe_files"), path)
     rows = spark.read.parquet(path).select(F.explode(F.array("split", "sample_type")).alias("value"))
     return rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("near_copies", "D3")
+def near_copies(spark, sf):
+    """Near copies among all documents; tests compare it with all pairs of a small table."""
+    return C.near_copies(table(spark, sf, "documents"), "text", "doc_id").select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+_LENGTH = "CAST(length({0}) AS BIGINT)"
+
+
+@query(
+    "scanned_files", "S1",
+    "SELECT CAST(doc_id AS VARCHAR) AS folder, 'ok' AS status, length(text) AS chars FROM documents",
+)
+def scanned_files(spark, sf):
+    """Documents as text files, one folder each, and back through the tree scan."""
+    path = scratch_path(spark, "tree")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("folder"), "text")
+    docs.repartition("folder").write.partitionBy("folder").option("lineSep", "\n").text(path)
+    found = FI.scan_source_files(spark, path, "*.txt")
+    # the sink ends each text with a line feed
+    return found.select(
+        F.regexp_extract("file", "/folder=([0-9]+)/", 1).alias("folder"), "status", (F.length("code") - 1).cast("bigint").alias("chars")
+    )
+
+
+@query(
+    "scanned_records", "S8",
+    sql("vuln_records")
+    + f"SELECT cve_id, cwe_id, commit_before, file_path, {_LENGTH.format('code_before')} AS before_chars, {_LENGTH.format('code_after')} AS after_chars, synthetic FROM vuln_records",
+)
+def scanned_records(spark, sf):
+    path = scratch_path(spark, "records")
+    RC.write_json(view(spark, sf, "vuln_records"), path)
+    r = RC.read_vuln_records(spark, path)
+    return r.select(
+        "cve_id", "cwe_id", "commit_before", "file_path", F.length("code_before").cast("bigint").alias("before_chars"),
+        F.length("code_after").cast("bigint").alias("after_chars"), "synthetic",
+    )
+
+
+@query(
+    "scanned_safe_files", "S9",
+    sql("safe_files") + f"SELECT repo_url, file_path, \"commit\", {_LENGTH.format('code')} AS chars FROM safe_files",
+)
+def scanned_safe_files(spark, sf):
+    """Safe files written and read back; the folder that is not there adds nothing."""
+    path = scratch_path(spark, "safe")
+    RC.write_json(view(spark, sf, "safe_files"), path)
+    every = RC.read_safe_files(spark, path).unionByName(RC.read_safe_files(spark, f"{path}-none"))
+    return every.select("repo_url", "file_path", "commit", F.length("code").cast("bigint").alias("chars"))
+
+
+@query(
+    "scanned_labels", "S10",
+    "SELECT doc_id % 3 AS spelling, quality AS label, count(*) AS n FROM labels GROUP BY 1, 2",
+)
+def scanned_labels(spark, sf):
+    """Label lines under either spelling, among blank and corrupt lines."""
+    path = scratch_path(spark, "labels")
+    value = F.struct(F.col("doc_id").cast("double").alias("risk_score"), F.when(F.col("doc_id") % 3 == 0, F.col("quality")).alias("label"), F.when(F.col("doc_id") % 3 > 0, F.col("quality")).alias("target"))
+    lines = table(spark, sf, "labels").select(F.explode(F.array(F.to_json(value), F.lit(""), F.lit("{broken"))).alias("value"))
+    lines.write.text(path)
+    back = GR.read_labels(spark, path)
+    return back.groupBy((F.col("risk_score").cast("bigint") % 3).alias("spelling"), "label").agg(F.count(F.lit(1)).alias("n"))

@@ -587,22 +587,60 @@ def pair_scores(spark, sf):
     )
 
 
-@query("embedding_logistic_baseline", "D11")
+@query(
+    "judged_pairs", "K3",
+    "WITH s AS (SELECT label, vec_id, embedding, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS other FROM embeddings) "
+    "SELECT s.vec_id AS source_id, other AS sink_id, round(CASE WHEN s.embedding[1] * t.embedding[2] > 0 THEN 0.9 ELSE 0.1 END, 2)::DOUBLE AS score "
+    "FROM s JOIN embeddings t ON t.vec_id = s.other",
+)
+def judged_pairs(spark, sf):
+    """A scorer that is not linear over a given table of pairs: each vector with the next of its class."""
+    v = table(spark, sf, "embeddings").select(F.col("label").alias("file"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    b, slot = by_value(v.select("file", "id", F.col("id").cast("double").alias("x")), "x", "slot")
+    pairs = previous_row(b, ["file"], ["id"], slot, {"source_id": F.col("id")}).where("source_id IS NOT NULL")
+    scored = MD.scored_pairs(
+        pairs.select("file", "source_id", F.col("id").alias("sink_id")), v, lambda s, t: [0.9 if a[0] * b[1] > 0 else 0.1 for a, b in zip(s, t)]
+    )
+    return scored.select("source_id", "sink_id", "score")
+
+
+_HELD_SQL = """
+    WITH h AS (SELECT sha256('42|' || p) AS h, p, n FROM (SELECT {project} AS p, count(*) AS n FROM {rows} GROUP BY 1)),
+    r AS (SELECT p, (sum(n) OVER (ORDER BY h, p) - n) / sum(n) OVER () AS start FROM h)
+    SELECT CASE WHEN start < 0.8 THEN 'val' ELSE 'test' END AS split, CAST({label} AS INTEGER) AS label, count(*) AS n
+    FROM {rows} JOIN r ON r.p = {project} WHERE start >= 0.6 GROUP BY 1, 2
+"""
+
+
+def _held_counts(scored, label):
+    """What SQL can say of a held-out evaluation: rows and classes per split, each row with a probability."""
+    return scored.where("score BETWEEN 0 AND 1").groupBy("split", F.col(label).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "embedding_logistic_baseline", "D11",
+    _HELD_SQL.format(project="CAST(vec_id % 40 AS VARCHAR)", rows="embeddings", label="label % 2"),
+)
 def embedding_logistic_baseline(spark, sf):
-    e = table(spark, sf, "embeddings").withColumn("y", (F.col("label") % 2).cast("int"))
-    fit = MD.logistic_baseline(e, "embedding", "y", 5)
-    scored = MD.with_predictions(fit, e, "embedding")
-    return scored.groupBy("y", F.col("prediction").cast("int").alias("y_pred")).agg(F.count(F.lit(1)).alias("n"))
+    """Fitted on the train projects, scored on the others."""
+    e = table(spark, sf, "embeddings").withColumns({"y": (F.col("label") % 2).cast("int"), "project": (F.col("vec_id") % 40).cast("string")})
+    scored = MD.held_out(e, lambda d: MD.logistic_baseline(d, "embedding", "y", 5), lambda m, d: MD.with_predictions(m, d, "embedding"), "project")
+    return _held_counts(scored, "y")
 
 
-@query("token_forest_baseline", "D11")
+@query(
+    "token_forest_baseline", "D11",
+    _HELD_SQL.format(project="source", rows="(SELECT * FROM documents JOIN labels USING (doc_id)) d", label="quality"),
+)
 def token_forest_baseline(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(
-        "doc_id", F.col("text").alias("code"), F.col("quality").alias("label")
+        "doc_id", "source", F.col("text").alias("code"), F.col("quality").alias("label")
+    )
+    scored = MD.held_out(
+        d, lambda x: MD.forest_baseline(x, trees=5, dims=64),
+        lambda m, x: MD.with_predictions(m, MD.hashed_embedding(x, "code", "vec", 64), "vec"), "source",
     )
-    fit = MD.forest_baseline(d, trees=5, dims=64)
-    scored = MD.with_predictions(fit, MD.hashed_embedding(d, "code", "vec", 64), "vec")
-    return scored.groupBy("label", F.col("prediction").cast("int").alias("y_pred")).agg(F.count(F.lit(1)).alias("n"))
+    return _held_counts(scored, "label")
 
 
 @query(

@@ -257,5 +257,5 @@ def written_reports(spark, sf):
         ),
         path,
     )
-    back = spark.read.text(path)
-    return back.select(F.replace("job_id", F.lit("~"), F.lit("/")).alias("job_id"), F.col("fingerprint").cast("string").alias("fingerprint"), "value")
+    back = spark.read.schema("fingerprint string, path string, markdown string, job_id string").json(path)
+    return back.select(F.replace("job_id", F.lit("~"), F.lit("/")).alias("job_id"), "fingerprint", F.col("markdown").alias("value"))

@@ -4,14 +4,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def scan_source_files(spark: SparkSession, root: str) -> DataFrame:
-    """file, code, status for every *.py below ``root`` outside __pycache__.
+def scan_source_files(spark: SparkSession, root: str, pattern: str = "*.py") -> DataFrame:
+    """file, code, status for every file of the pattern below ``root`` outside __pycache__.
 
     Files that are not UTF-8 stay in the result with status 'undecodable', so they can be counted.
     """
     raw = (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.py")
+        .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", True)
         .load(root)
         .where(~F.contains(F.col("path"), F.lit("/__pycache__/")))

@@ -132,11 +132,9 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """One text row per report below reports/job_id=.../fingerprint=..., so a report is a folder."""
-    (
-        reports.select("job_id", "fingerprint", F.col("markdown").alias("value"))
-        .write.mode("overwrite").option("lineSep", "\n").partitionBy("job_id", "fingerprint").text(path)
-    )
+    """Reports as JSON lines with their file path, one folder per job."""
+    rows = reports.select("job_id", "fingerprint", report_path().alias("path"), "markdown")
+    rows.write.mode("overwrite").partitionBy("job_id").json(path)
 
 
 def report_path(job: str = "job_id", fingerprint: str = "fingerprint"):

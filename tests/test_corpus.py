@@ -152,8 +152,9 @@ def test_missing_safe_files_read_as_empty(spark, tmp_path):
 def test_reports_are_written_by_job(spark, tmp_path):
     r = spark.createDataFrame([("j1", "f1", "# A\ntext"), ("j1", "f2", "# B")], "job_id string, fingerprint string, markdown string")
     RC.write_reports(r, str(tmp_path / "r"))
-    assert (tmp_path / "r" / "job_id=j1" / "fingerprint=f1").is_dir()
-    assert spark.read.text(str(tmp_path / "r"), wholetext=True).where("fingerprint = 'f1'").first().value.strip() == "# A\ntext"
+    assert (tmp_path / "r" / "job_id=j1").is_dir()
+    back = spark.read.json(str(tmp_path / "r")).where("fingerprint = 'f1'").first()
+    assert back.markdown == "# A\ntext" and back.path == "reports/j1/f1.md"
 
 
 def test_source_tree_to_graph_tables(spark, tmp_path):
@@ -244,3 +245,55 @@ def test_path_label_agreement(spark):
     labels = spark.createDataFrame([("a", 1), ("b", 1), ("c", 0)], "file string, label int")
     got = {(r.label, r.has_path): r.files for r in path_label_agreement(paths, labels).collect()}
     assert got == {(1, 1): 1, (1, 0): 1, (0, 0): 1}
+
+
+def test_near_copies_equal_all_pairs(spark):
+    import random
+
+    r = random.Random(2)
+    texts = {}
+    for g in range(12):
+        base = [f"w{r.randrange(900)}" for _ in range(r.choice([60, 120, 200]))]
+        texts[g * 10] = " ".join(base)
+        for c in range(1, 4):
+            v = base[:]
+            for _ in range(c):
+                v[r.randrange(len(v))] = "changed"
+            texts[g * 10 + c] = " ".join(v)
+    texts |= {900: None, 901: "", 902: "a b", 903: texts[0].upper()}
+    df = spark.createDataFrame(list(texts.items()), "k long, t string")
+    got = {(x.a, x.b): x.similarity for x in C.near_copies(df, "t", "k").collect()}
+    sets = {k: set(C.shingles(t, 5).tolist()) for k, t in texts.items()}
+    close = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert got and all(abs(close(a, b) - s) < 1e-9 and s >= 0.8 for (a, b), s in got.items())
+    # copies with equal shingles are one text, and every group is connected
+    groups = {k: k for k in texts}
+    for a, b in sorted(got):
+        groups = {k: groups[a] if v == groups[b] else v for k, v in groups.items()}
+    for a in texts:
+        for b in texts:
+            if a < b and close(a, b) >= 0.8 and not {a, b} & {900, 901, 903}:
+                assert groups[a] == groups[b]
+
+
+def test_held_out_rows_are_never_fitted(spark):
+    from codeloom.operators import models as MD
+
+    rows = spark.range(400).select(F.col("id"), (F.col("id") % 20).cast("string").alias("project"), (F.col("id") % 2).cast("int").alias("label"))
+    seen = {}
+
+    def fit(train):
+        seen["train"] = {r.id for r in train.collect()}
+
+    scored = {r.id for r in MD.held_out(rows, fit, lambda m, d: d, "project").collect()}
+    assert seen["train"] and scored and not seen["train"] & scored and len(seen["train"] | scored) == 400
+
+
+def test_a_value_without_a_text_keeps_its_file(spark):
+    from codeloom.operators import facts as FA
+    from codeloom.sources import files as FI
+
+    code = "f(x=0x" + "f" * 5000 + ")\ng(1)\n"
+    rows = spark.createDataFrame([("a.py", code), ("b.py", "def f(:\n"), ("c.py", None), ("d.py", "x = 1\n" * 3)], "file string, code string")
+    assert {r.status: r.files for r in FI.status_counts(FA.extract_facts(rows)).collect()} == {"ok": 3, "unparsable": 1}
+    assert FA.extract_facts(rows, ("file", "status", "id")).columns == ["file", "status", "id"]
