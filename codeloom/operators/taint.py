@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from codeloom.operators.ordered import by_value, latest_before, seconds
 
 LINES_PER_BUCKET = 64
+COLUMNS_PER_BUCKET = 256
 
 # Which node kinds a position prefers, by role (first choice, second choice).
 KIND_CHOICES = {
@@ -61,10 +62,13 @@ def positions_of(records: DataFrame) -> DataFrame:
     return records.select("record", F.inline(every))
 
 
-def node_at_position(positions: DataFrame, nodes: DataFrame, lines: int = LINES_PER_BUCKET) -> DataFrame:
+def node_at_position(
+    positions: DataFrame, nodes: DataFrame, lines: int = LINES_PER_BUCKET, columns: int = COLUMNS_PER_BUCKET
+) -> DataFrame:
     """file, line, col, role, id: the best covering node per distinct position.
 
-    A range join made equal: spans and lines are cut into blocks of ``lines`` lines.  Positions are
+    A range join made equal: spans of several lines are cut into blocks of ``lines`` lines, spans within a line
+    into blocks of ``columns`` columns, so a file of one long line is cut as well.  Positions are
     made distinct first, so a place hit by most records is looked up once, and of the nodes with the
     same kind and span only the first is kept, as no other can win.  A block therefore pairs distinct
     places with distinct spans.  The best node is a combined minimum, not a sorted group.
@@ -72,14 +76,23 @@ def node_at_position(positions: DataFrame, nodes: DataFrame, lines: int = LINES_
     want = positions.where(F.col("file").isNotNull() & F.col("line").isNotNull()).select(
         "file", "line", "col", "role"
     ).distinct()
-    want = want.withColumn("_block", F.floor(F.col("line") / lines))
-    first = nodes.where(F.col("span").isNotNull()).groupBy("file", "kind", "span").agg(F.min("id").alias("id"))
-    spans = first.select(
-        "file", "id", "kind", "span",
-        F.explode(F.sequence(F.floor(F.col("span.sl") / lines), F.floor(F.col("span.el") / lines))).alias("_block"),
+    # A place asks the spans of several lines in its block of lines, and those within its line in its block of columns.
+    cell = F.coalesce(F.floor(F.col("col") / columns), F.lit(-1))
+    asks = F.array(
+        F.struct(F.floor(F.col("line") / lines).alias("_block"), F.lit(-2).cast("bigint").alias("_cell")),
+        F.struct(F.col("line").cast("bigint").alias("_block"), cell.cast("bigint").alias("_cell")),
     )
+    want = want.select("*", F.inline(asks))
+    first = nodes.where(F.col("span").isNotNull()).groupBy("file", "kind", "span").agg(F.min("id").alias("id"))
     s = F.col("span")
-    hit = want.join(spans, ["file", "_block"]).where(covers(s, F.col("line"), F.col("col")))
+    long = first.where(s["sl"] != s["el"])
+    blocks = F.explode(F.sequence(F.floor(s["sl"] / lines), F.floor(s["el"] / lines))).alias("_block")
+    long = long.select("file", "id", "kind", "span", blocks).withColumn("_cell", F.lit(-2).cast("bigint"))
+    cells = F.concat(F.array(F.lit(-1).cast("bigint")), F.sequence(F.floor(s["sc"] / columns), F.floor(F.greatest(s["ec"], s["sc"]) / columns)))
+    short = first.where(s["sl"] == s["el"]).select(
+        "file", "id", "kind", "span", s["sl"].cast("bigint").alias("_block"), F.explode(cells).alias("_cell")
+    )
+    hit = want.join(long.unionByName(short), ["file", "_block", "_cell"]).where(covers(s, F.col("line"), F.col("col")))
     order = F.struct(
         kind_priority(F.col("role"), F.col("kind")).alias("p"), (s["el"] - s["sl"]).alias("dl"),
         (s["ec"] - s["sc"]).alias("dc"), F.col("id").alias("i"),
