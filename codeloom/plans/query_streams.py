@@ -8,9 +8,15 @@ from codeloom.session import scratch_path
 from codeloom.streaming import jobs as S
 
 
+WEEKS = ((1, 7), (8, 14), (15, 21), (22, 31))
+
+
 def _events(spark, sf):
-    """The events table as a file stream."""
-    return S.file_stream(spark, sf, table(spark, sf, "events").schema, "events.parquet")
+    """The events as a file stream of four micro-batches: a copy split by time, one file after the other."""
+    rows, path = table(spark, sf, "events"), scratch_path(spark, "events")
+    for first, last in WEEKS:
+        rows.where(F.dayofmonth("ts").between(first, last)).coalesce(1).write.mode("append").parquet(path)
+    return S.file_stream(spark, path, rows.schema, files=1)
 
 
 def _late(spark, sf):
@@ -66,7 +72,8 @@ def stream_job_states(spark, sf):
         F.expr(_JOB).alias("job_id"), F.expr(_STATE).alias("status"), "ts", "event_id", F.floor("value").cast("int").alias("findings_count")
     )
     path = scratch_path(spark, "job-states")
-    S.run_batches(S.latest_states(e), "job-states", S.keep_epochs(path), "update")
+    # the jobs of this table start again and again, so none is forgotten
+    S.run_batches(S.latest_states(e, keep_days=60), "job-states", S.keep_epochs(path), "update")
     text = "yyyy-MM-dd HH:mm:ss"
     return S.newest_rows(spark, path, ["job_id"]).select(
         "job_id", "status", F.date_format("started_at", text).alias("started_at"), F.date_format("finished_at", text).alias("finished_at"), "findings_count"
@@ -78,10 +85,12 @@ def stream_job_states(spark, sf):
     "SELECT user_id * 5 + length(event_type) % 5 AS message_id, count(*) AS receives, count(*) > 3 AS dead FROM events GROUP BY 1",
 )
 def stream_dead_letters(spark, sf):
-    m = _events(spark, sf).select(F.expr("user_id * 5 + length(event_type) % 5").alias("message_id"))
-    path = scratch_path(spark, "receives")
-    S.run_batches(S.receive_counts(m), "receives", S.keep_epochs(path), "update")
-    return S.newest_rows(spark, path, ["message_id"]).select("message_id", "receives", "dead")
+    m = _late(spark, sf).select(F.expr("user_id * 5 + length(event_type) % 5").alias("message_id"), "ts")
+    path, dead = scratch_path(spark, "receives"), scratch_path(spark, "dead")
+    S.run_batches(S.receive_counts(m, keep_days=60), "receives", S.route_dead(path, dead), "update")
+    counts = S.newest_rows(spark, path, ["message_id"]).select("message_id", "receives")
+    letters = spark.read.parquet(dead).select("message_id").distinct().withColumn("dead", F.lit(True))
+    return counts.join(letters, "message_id", "left").fillna(False, ["dead"])
 
 
 @query(

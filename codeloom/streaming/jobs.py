@@ -6,6 +6,7 @@ sink can run a batch again without changing the result.
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,15 +14,20 @@ from pyspark.sql.streaming import StreamingQuery
 from codeloom.operators.ordered import seconds
 from codeloom.operators.taint import tainted_calls
 from codeloom.operators.tenancy import audit_id, expiry
-from codeloom.session import scratch_path
+from codeloom.session import delete, scratch_path
 from codeloom.sources.taint_log import taint_records
 
 JOB_DAYS, AUDIT_DAYS = 30, 365
 MAX_RECEIVES = 3
+FINAL = ("completed", "failed", "done")
 
 
-def file_stream(spark: SparkSession, path: str, schema, glob: str | None = None, fmt: str = "parquet") -> DataFrame:
+def file_stream(
+    spark: SparkSession, path: str, schema, glob: str | None = None, fmt: str = "parquet", files: int | None = None
+) -> DataFrame:
+    """A folder as a stream; ``files`` limits how many files make a micro-batch."""
     r = spark.readStream.schema(schema).format(fmt)
+    r = r if files is None else r.option("maxFilesPerTrigger", files)
     return (r.option("pathGlobFilter", glob) if glob else r).load(path)
 
 
@@ -74,16 +80,51 @@ def route_intake(jobs_path: str, quarantine_path: str) -> Callable[[DataFrame, i
     return handle
 
 
-def latest_states(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Streaming aggregation: per job the last status, its first start, its end and the largest counts.
+def _timeout(state, last_micros: int, keep_ms: int) -> None:
+    state.setTimeoutTimestamp(max(last_micros // 1000 + keep_ms, state.getCurrentWatermarkMs() + 1))
 
-    Output in update mode; a sink keeps the last row per job.
+
+def latest_states(events: DataFrame, late: str = "1 day", keep_days: float = 1.0) -> DataFrame:
+    """Per job the last status, its first start, its end and the largest count, with state that ends.
+
+    State is keyed by job.  A job in a final status is forgotten once the watermark has passed its last event by
+    ``keep_days``; jobs that still run are kept.  Output in update mode; a sink keeps the last row per job.
     """
-    return events.withWatermark("ts", late).groupBy("job_id").agg(
-        F.max_by("status", F.struct("ts", "event_id")).alias("status"),
-        F.min(F.when(F.col("status") == "running", F.col("ts"))).alias("started_at"),
-        F.max(F.when(F.col("status").isin("completed", "failed", "done"), F.col("ts"))).alias("finished_at"),
-        F.max("findings_count").alias("findings_count"), F.max("ts").alias("updated_at"),
+    keep_ms = int(keep_days * 86_400_000)
+
+    def fold(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        status, last, event, started, finished, most = state.get if state.exists else (None,) * 6
+        for f in frames:
+            top = f.sort_values(["us", "event_id"]).iloc[-1]
+            if last is None or (top.us, top.event_id) > (last, event):
+                status, last, event = top.status, int(top.us), int(top.event_id)
+            runs, ends = f.us[f.status == "running"], f.us[f.status.isin(FINAL)]
+            started = min([x for x in (started, *([int(runs.min())] if len(runs) else [])) if x is not None], default=None)
+            finished = max([x for x in (finished, *([int(ends.max())] if len(ends) else [])) if x is not None], default=None)
+            counts = f.findings_count.dropna()
+            most = max([x for x in (most, *([int(counts.max())] if len(counts) else [])) if x is not None], default=None)
+        state.update((status, last, event, started, finished, most))
+        if status in FINAL:
+            _timeout(state, last, keep_ms)
+        yield pd.DataFrame(
+            {"job_id": [key[0]], "status": [status], "s": pd.array([started], "Int64"), "e": pd.array([finished], "Int64"),
+             "findings_count": pd.array([most], "Int64"), "u": pd.array([last], "Int64")}
+        )
+
+    kind = events.schema["job_id"].dataType.simpleString()
+    rows = events.withWatermark("ts", late).select(
+        "job_id", "status", F.unix_micros("ts").alias("us"), F.col("event_id").cast("bigint").alias("event_id"), F.col("findings_count").cast("bigint").alias("findings_count"), "ts"
+    )
+    out = rows.groupBy("job_id").applyInPandasWithState(
+        fold, f"job_id {kind}, status string, s bigint, e bigint, findings_count bigint, u bigint",
+        "status string, last bigint, event bigint, started bigint, finished bigint, most bigint", "update", "EventTimeTimeout",
+    )
+    at = F.timestamp_micros
+    return out.select(
+        "job_id", "status", at("s").alias("started_at"), at("e").alias("finished_at"), F.col("findings_count").cast("int").alias("findings_count"), at("u").alias("updated_at")
     )
 
 
@@ -106,10 +147,40 @@ def newest_rows(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
     return best.select(*key, "_r.*")
 
 
-def receive_counts(messages: DataFrame, max_receives: int = MAX_RECEIVES) -> DataFrame:
-    """message_id, receives, dead: a message is dead once it was received more often than allowed."""
-    c = messages.groupBy("message_id").agg(F.count(F.lit(1)).alias("receives"))
-    return c.withColumn("dead", F.col("receives") > max_receives)
+def receive_counts(
+    messages: DataFrame, max_receives: int = MAX_RECEIVES, late: str = "1 day", keep_days: float = 14.0
+) -> DataFrame:
+    """message_id, receives, dead: a message is dead once it was received more often than allowed.
+
+    Counts are keyed state that is forgotten when a message was not received for ``keep_days`` (its retention).
+    """
+    keep_ms = int(keep_days * 86_400_000)
+
+    def fold(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, last = state.get if state.exists else (0, 0)
+        for f in frames:
+            n, last = n + len(f), max(last, int(f.us.max()))
+        state.update((n, last))
+        _timeout(state, last, keep_ms)
+        yield pd.DataFrame({"message_id": [key[0]], "receives": [n], "dead": [n > max_receives]})
+
+    kind = messages.schema["message_id"].dataType.simpleString()
+    rows = messages.withWatermark("ts", late).select("message_id", F.unix_micros("ts").alias("us"), "ts")
+    return rows.groupBy("message_id").applyInPandasWithState(
+        fold, f"message_id {kind}, receives bigint, dead boolean", "n bigint, last bigint", "update", "EventTimeTimeout"
+    )
+
+
+def route_dead(counts_path: str, dead_path: str) -> Callable[[DataFrame, int], None]:
+    """A batch handler that keeps the counts and puts dead messages into a sink of their own, one folder per batch."""
+    def handle(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{counts_path}/epoch={epoch}")
+        batch.where("dead").write.mode("overwrite").parquet(f"{dead_path}/epoch={epoch}")
+
+    return handle
 
 
 def audit_rows(events: DataFrame) -> DataFrame:
@@ -139,15 +210,15 @@ def live_trend(events: DataFrame, time: str = "ts", late: str = "1 day") -> Data
 
 
 def live_correlation(
-    spark: SparkSession, state_path: str, out_path: str, objects: list[str], time: str = "ts",
-    horizon: float | None = None,
+    spark: SparkSession, state_path: str, out_path: str, objects: list[str], time: str = "ts", horizon: float = 3600.0,
+    forget: float | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """A batch handler for runtime events (kind 'mark' or 'argument').
 
-    Each batch is joined as-of with the marks so far by the same operator as in batch.  With a
-    ``horizon`` (seconds) the state keeps the marks of that long, and of the older ones the last per
-    object, which is all that arguments late by less than the horizon can see.  The state of an epoch
-    is written from the one before it, so repeating an epoch repeats its result.
+    Each batch is joined as-of with the known marks by the same operator as in batch.  The state holds the marks
+    of the last ``horizon`` seconds and of the older ones the last per object, which is all that arguments late by less
+    than the horizon can see; objects not marked for ``forget`` seconds are dropped.  The state of an epoch is written
+    from the one before it, so repeating an epoch repeats its result; older states are deleted.
     """
     def handle(batch: DataFrame, epoch: int) -> None:
         known = batch.where(F.col("kind") == "mark").select(*objects, time, "source")
@@ -157,13 +228,15 @@ def live_correlation(
             *objects, time, "call_id", "arg_pos", "sink", "sink_type"
         )
         tainted_calls(known, args, objects, time).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
-        kept = known
-        if horizon is not None:
-            t = known.withColumn("_t", seconds(known, time))
-            edge = t.agg((F.max("_t") - horizon).alias("_edge"))
-            t = t.crossJoin(F.broadcast(edge))  # one row
-            old = t.where("_t < _edge").groupBy(*objects).agg(F.max_by(F.struct(time, "source"), time).alias("m"))
-            kept = t.where("_t >= _edge").select(*objects, time, "source").unionByName(old.select(*objects, "m.*"))
+        t = known.withColumn("_t", seconds(known, time))
+        edge = t.agg((F.max("_t") - horizon).alias("_edge"), (F.max("_t") - (forget or 0)).alias("_gone"))
+        t = t.crossJoin(F.broadcast(edge))  # one row
+        if forget is not None:
+            t = t.where("_t >= _gone")
+        old = t.where("_t < _edge").groupBy(*objects).agg(F.max_by(F.struct(time, "source"), time).alias("m"))
+        kept = t.where("_t >= _edge").select(*objects, time, "source").unionByName(old.select(*objects, "m.*"))
         kept.write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}")
+        if epoch > 1:
+            delete(spark, f"{state_path}/epoch={epoch - 2}")
 
     return handle
