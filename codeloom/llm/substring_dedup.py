@@ -214,10 +214,11 @@ def dedup_passages(docs: DataFrame, window: int = 50, carry: list[str] | None =
     uncopied = facts.join(texts.filter("not copy").select("d", "t"), ["d", "t"]).select("d", "t", F.inline(F.arrays_zip("keys", "at")))
     uncopied = scratch.cut(uncopied, "uncopied")
     scratch.drop(facts)
-    repeated = uncopied.groupBy("keys").agg(F.min("d").alias("a"), F.max("d").alias("b")).filter("a < b").select("keys")
+    # Written, as both sides of the join have to be plain exchanges for adaptive execution to split a hot key.
+    repeated = scratch.cut(uncopied.groupBy("keys").agg(F.min("d").alias("a"), F.max("d").alias("b")).filter("a < b").select("keys"), "repeated")
     wanted = uncopied.join(repeated, "keys").groupBy("d", "t").agg(F.collect_set("at").alias("at"))
     store = scratch.cut(keyed.select("d", "t", "text").join(wanted, ["d", "t"]), "store")
-    scratch.drop(uncopied)
+    scratch.drop(uncopied, repeated)
 
     edges = store.select("d", "t", "text", "at").mapInArrow(_edges(window), "pre bigint, suf bigint, d bigint, t bigint, pos int")
     paths = compacted(edges, scratch)
