@@ -178,7 +178,9 @@ def route_dead(counts_path: str, dead_path: str) -> Callable[[DataFrame, int], N
     """A batch handler that keeps the counts and puts dead messages into a sink of their own, one folder per batch."""
     def handle(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{counts_path}/epoch={epoch}")
-        batch.where("dead").write.mode("overwrite").parquet(f"{dead_path}/epoch={epoch}")
+        # read back, as a second action would run the state a second time
+        written = batch.sparkSession.read.schema(batch.schema).parquet(f"{counts_path}/epoch={epoch}")
+        written.where("dead").write.mode("overwrite").parquet(f"{dead_path}/epoch={epoch}")
 
     return handle
 

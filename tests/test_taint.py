@@ -170,13 +170,13 @@ def test_stream_state_ends(spark):
         at = F.when(F.lit(False), F.lit(0))
         for _, _, _, day, i in rows:
             at = at.when(F.col("event_id") == i, F.lit(day))
-        part = part.withColumn("ts", F.timestamp_seconds(at * 86_400)).withColumn("findings_count", F.lit(1))
+        part = part.withColumn("ts", F.timestamp_seconds((at + 1000) * 86_400)).withColumn("findings_count", F.lit(1))
         part.select("job_id", "message_id", "status", "ts", "event_id", "findings_count").coalesce(1).write.mode("append").parquet(path)
     stream = lambda: S.file_stream(spark, path, schema, files=1)
     out, counts, dead = (scratch_path(spark, n) for n in ("out", "counts", "dead"))
     S.run_batches(S.latest_states(stream()), "ends", S.keep_epochs(out), "update")
     got = {r.job_id: r for r in S.newest_rows(spark, out, ["job_id"]).collect()}
-    day = lambda t: t.timestamp() / 86_400
+    day = lambda t: t.timestamp() / 86_400 - 1000
     # a was forgotten after it was done and starts anew, b was not
     assert day(got["a"].started_at) == 120 and got["a"].finished_at is None and day(got["b"].started_at) == 1
     S.run_batches(S.receive_counts(stream(), 1), "receives", S.route_dead(counts, dead), "update")
