@@ -1,12 +1,14 @@
 """Numpy helpers over batches of texts: words, range digests and minimizers.
 
-All work on one flat byte buffer per batch.  A batch is cut into parts of a few megabytes, so a task's
+All work on one flat byte buffer per batch.  A batch is cut into parts of about a megabyte, so a task's
 memory follows the longest single text and not the batch.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # The white space bytes that end a word: 0x09-0x0D and 0x20.
 _SPACE = np.zeros(256, bool)
@@ -15,19 +17,25 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20260101).integers(0, 2**64, 256, dtype=np.uint64)
 _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-PART = 4 << 20
-
-
-def parts(texts: list[bytes], size: int = PART) -> Iterator[tuple[int, int]]:
-    """Slices of consecutive texts of about ``size`` bytes, one text at least."""
-    first, held = 0, 0
-    for i, t in enumerate(texts):
-        if i > first and held + len(t) > size:
-            yield first, i
-            first, held = i, 0
-        held += len(t)
-    if first < len(texts):
-        yield first, len(texts)
+PART = 1 << 20
+
+
+def slices(column: pa.Array, size: int = PART) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Consecutive texts of about ``size`` bytes, one text at least, with their places; null texts are empty."""
+    length = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(length, dtype=np.int64)
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + size, "right")))
+        yield a, b, [t or b"" for t in column.slice(a, b - a).to_pylist()]
+        a = b
+
+
+def few_rows(batches, n: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``n`` rows, for work that turns rows into Python objects."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, n):
+            yield batch.slice(a, n)
 
 
 def powers(kind: str, n: int) -> np.ndarray:

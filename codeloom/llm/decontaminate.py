@@ -75,12 +75,13 @@ def document_frequency(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[n
         total, n = np.zeros(len(vocabulary), np.int64), 0
         get = vocabulary.get
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                n += 1
-                found = {get(w) for w in set(words_of(text or b""))}
-                found.discard(None)
-                if found:
-                    total[list(found)] += 1
+            for _, _, texts in A.slices(batch.column(0)):
+                n += len(texts)
+                for text in texts:
+                    found = {get(w) for w in set(words_of(text))}
+                    found.discard(None)
+                    if found:
+                        total[list(found)] += 1
         ids = np.append(np.flatnonzero(total), -1)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.append(total[ids[:-1]], n))], names=["i", "n"])
 
@@ -139,10 +140,9 @@ def _search(ids: list, items: list[list[bytes]], vocabulary, idf, unknown: float
     def run(batches):
         get, oov = vocabulary.get, len(vocabulary)
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).to_pylist()]
             out = []
-            for a, b in A.parts(texts, 1 << 20):
-                words = [words_of(t) for t in texts[a:b]]
+            for a, b, texts in A.slices(batch.column(1)):
+                words = [words_of(t) for t in texts]
                 n = np.array([len(w) for w in words])
                 blocks = -(-n // HALF)
                 if not n.sum():

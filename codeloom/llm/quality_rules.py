@@ -116,9 +116,8 @@ def judged(
 
     def run(batches):
         for batch in batches:
-            texts = [x or b"" for x in batch.column(1).to_pylist()]
-            for a, b in A.parts(texts):
-                got = _features(texts[a:b], unfinished_words, with_text)
+            for a, b, texts in A.slices(batch.column(1)):
+                got = _features(texts, unfinished_words, with_text)
                 cleaned = pa.array([t.decode("utf-8", "ignore") if with_text else None for t in got[8]], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, got[:8]), cleaned], names=names)
 

@@ -106,8 +106,8 @@ def sampled(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             prints, samples = [], []
-            for t in batch.column(2).to_pylist():
-                h = [*shingle_digests(t or b"", words), np.empty(0, np.uint64)]
+            for t in (t for _, _, texts in A.slices(batch.column(2)) for t in texts):
+                h = [*shingle_digests(t, words), np.empty(0, np.uint64)]
                 h = np.concatenate(h)
                 count = _bits(h).sum(axis=0, dtype=np.int64) if len(h) < 1 << 20 else sum(_bits(x).sum(axis=0, dtype=np.int64) for x in np.array_split(h, len(h) >> 19))
                 prints.append((np.uint64(1) << np.flatnonzero(2 * count > len(h)).astype(np.uint64)).sum(dtype=np.uint64))
@@ -122,9 +122,9 @@ def _jaccard(words: int, least: float):
     def run(batches):
         """Keeps the pairs of texts whose sets of shingles are similar enough."""
         for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             keep, last, own = [], None, None
-            for i, (x, y) in enumerate(zip(left, right, strict=True)):
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = x.as_py(), y.as_py()
                 if x != last:
                     last, own = x, _shingle_set(x, words)
                 other = _shingle_set(y, words)
@@ -182,7 +182,7 @@ def fingerprints(docs: DataFrame, carry: list[str], words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            f = np.array([fingerprint(t or b"", words) for t in batch.column(1).to_pylist()], np.uint64)
+            f = np.array([fingerprint(t, words) for _, _, texts in A.slices(batch.column(1)) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f.view(np.int64))], names=["row", "f"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col("text").cast("binary").alias("text"))

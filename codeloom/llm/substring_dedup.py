@@ -27,9 +27,8 @@ def _seeds(window: int):
 
     def run(batches):
         for batch in batches:
-            texts = [t or b"" for t in batch.column(2).to_pylist()]
-            for a, b in A.parts(texts):
-                digest, owner = _words(texts[a:b])
+            for a, b, texts in A.slices(batch.column(2)):
+                digest, owner = _words(texts)
                 n_words = A.counts_by(owner, b - a)
                 first = np.cumsum(n_words) - n_words
                 ranges = A.Ranges(digest)
@@ -41,7 +40,7 @@ def _seeds(window: int):
                 keys = ranges.of(pos, pos + key_words).view(np.int64)
                 count = np.bincount(owner[pos], minlength=b - a)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32())
-                whole = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in texts[a:b]]
+                whole = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n_words), pa.array(whole),
@@ -65,10 +64,9 @@ def _edges(window: int):
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(2).to_pylist()
             seeds = batch.column(3)
-            for a, b in A.parts(texts):
-                digest, owner = _words(texts[a:b])
+            for a, b, texts in A.slices(batch.column(2)):
+                digest, owner = _words(texts)
                 n_words = A.counts_by(owner, b - a)
                 first = np.cumsum(n_words) - n_words
                 flat = seeds.slice(a, b - a)
@@ -118,7 +116,7 @@ def _runs(batches):
 
 def _passages(batches):
     """A 128-bit digest of the words of each wanted passage of a text."""
-    for batch in batches:
+    for batch in A.few_rows(batches):
         ids, digests = [], []
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = text.split()
@@ -130,7 +128,7 @@ def _passages(batches):
 
 def _cut(window: int):
     def run(batches):
-        for batch in batches:
+        for batch in A.few_rows(batches):
             kept, removed = [], []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = text.split()

@@ -35,9 +35,8 @@ def _suffixes(window: int):
 
     def run(batches):
         for batch in batches:
-            texts = [t or b"" for t in batch.column(2).to_pylist()]
-            for a, b in A.parts(texts):
-                buf, first, end = A.joined(texts[a:b])
+            for a, b, texts in A.slices(batch.column(2)):
+                buf, first, end = A.joined(texts)
                 values = _seed_values(buf)
                 owner = np.repeat(np.arange(b - a), end - first + 1)[: len(values)]
                 leaves = np.minimum(np.arange(len(values)) + SEED, len(buf)) > end[owner]
@@ -50,7 +49,7 @@ def _suffixes(window: int):
                 around = A.mix(ranges.of(left, right) ^ A.mix((pos - left).astype(np.uint64))).view(np.int64)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(of, minlength=b - a)))), pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (keys, around, (pos - first[of]).astype(np.int32))]
-                whole = pa.array([hashlib.sha256(t).hexdigest() for t in texts[a:b]])
+                whole = pa.array([hashlib.sha256(t).hexdigest() for t in texts])
                 ids = [batch.column(k).slice(a, b - a) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*ids, pa.array(end - first), whole, *lists], names=["d", "t", "n_bytes", "whole", "key", "around", "at"])
 
@@ -62,7 +61,7 @@ def _contexts(window: int):
 
     def run(batches):
         """Bytes before a suffix, nearest first, and the first bytes of the suffix."""
-        for batch in batches:
+        for batch in A.few_rows(batches):
             rows = []
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for x in wanted:
@@ -285,7 +284,7 @@ def _rows(key, around, lo, hi, window, single):
 
 def _cut(window: int):
     def run(batches):
-        for batch in batches:
+        for batch in A.few_rows(batches):
             removed, spans, kept, readable = [], [], [], []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 step = np.zeros(len(text) + 2, np.int32)
