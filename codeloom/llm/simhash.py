@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from codeloom.llm import arrays as A
 from codeloom.llm.components import components
 from codeloom.llm.scratch import Scratch
+from codeloom.operators.similar_sets import in_cells, similar_pairs
 
 MOST = 4
 CELL = 4096
+SHORT = 80
 # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, which generates the perfect binary code of length 23, distance 7 and covering radius 3.
 _GENERATOR = 0xC75
 _TABLES: dict[str, np.ndarray] = {}
@@ -77,16 +79,19 @@ def fingerprint(text: bytes, words: int) -> int:
     return int((np.uint64(1) << np.flatnonzero(2 * count > n).astype(np.uint64)).sum(dtype=np.uint64))
 
 
-def sample_prints(h: np.ndarray) -> np.ndarray:
-    """SimHashes of up to 16 samples of a set of shingles, two to four shingles each on average.
+def sample_prints(h: np.ndarray, similarity: float = 0.8) -> np.ndarray:
+    """Values that two similar sets of shingles share: SimHashes of up to 16 samples, two to four shingles each on average.
 
     A sample is what falls into one of 2^level classes by the digests' first bits; the level follows the
     size of the set, and sets near the next power of two give samples of both levels, so two sets whose sizes differ by
-    a quarter share a level.
+    a quarter share a level.  Sets of up to ``SHORT`` shingles give their smallest digests, as many as it takes for two similar sets to
+    share one for certain.  Of two similar sets, both have samples or both have smallest digests.
     """
     out = []
+    if len(h) <= SHORT:
+        out.append(h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1])
     size = np.log2(max(len(h), 2) / 2)
-    for level in sorted({int(size), int(size + 0.33)}):
+    for level in sorted({int(size), int(size + 0.33)}) if len(h) > int(similarity * SHORT) else ():
         part = (h >> np.uint64(64 - level)) if level else np.zeros(len(h), np.uint64)
         part = part[: np.searchsorted(part, 16)]
         if not len(part):
@@ -97,42 +102,38 @@ def sample_prints(h: np.ndarray) -> np.ndarray:
         bits = (2 * count > size_of[:, None]).astype(np.uint8)
         prints = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
         out.append(A.mix(prints + A.mix(part[first] * np.uint64(64) + np.uint64(level))))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
-def sampled(docs: DataFrame, words: int) -> DataFrame:
-    """(d, t, f, samples) of each text."""
+def sampled(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(d, t, f, w, n, samples) of each text: fingerprint, digest and size of its set of shingles, and what similar sets share."""
+    from xxhash import xxh64_intdigest
 
     def run(batches):
         for batch in batches:
-            prints, samples = [], []
+            prints, wholes, sizes, samples = [], [], [], []
             for t in (t for _, _, texts in A.slices(batch.column(2)) for t in texts):
                 h = [*shingle_digests(t, words), np.empty(0, np.uint64)]
                 h = np.concatenate(h)
                 count = _bits(h).sum(axis=0, dtype=np.int64) if len(h) < 1 << 20 else sum(_bits(x).sum(axis=0, dtype=np.int64) for x in np.array_split(h, len(h) >> 19))
                 prints.append((np.uint64(1) << np.flatnonzero(2 * count > len(h)).astype(np.uint64)).sum(dtype=np.uint64))
-                samples.append(sample_prints(np.unique(h)).view(np.int64))
-            cols = [batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(samples, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["d", "t", "f", "samples"])
+                h = np.unique(h)
+                wholes.append(xxh64_intdigest(h.tobytes(), 43))
+                sizes.append(len(h))
+                samples.append(sample_prints(h, similarity).view(np.int64))
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (prints, wholes)]
+            cols = [batch.column(0), batch.column(1), *signed, pa.array(sizes, pa.int64()), pa.array(samples, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["d", "t", "f", "w", "n", "samples"])
 
-    return docs.mapInArrow(run, "d bigint, t bigint, f bigint, samples array<bigint>")
+    return docs.mapInArrow(run, "d bigint, t bigint, f bigint, w bigint, n bigint, samples array<bigint>")
 
 
-def _jaccard(words: int, least: float):
+def _sets(words: int):
     def run(batches):
-        """Keeps the pairs of texts whose sets of shingles are similar enough."""
         for batch in batches:
-            keep, last, own = [], None, None
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = x.as_py(), y.as_py()
-                if x != last:
-                    last, own = x, _shingle_set(x, words)
-                other = _shingle_set(y, words)
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                if both >= least * (len(own) + len(other) - both):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["u", "v"])
+            for part in A.few_rows([batch]):
+                sets = [_shingle_set(t, words).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "digests"])
 
     return run
 
@@ -146,33 +147,37 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, s
 
     Groups are components of two kinds of links: whole-text fingerprints of five-word shingles within four bits, found at the anchors,
     and texts whose shingle sets have a Jaccard similarity of ``similarity`` or more, which at this level differ in far more than four
-    bits.  The second kind is looked for where SimHashes of small samples of the shingles agree: a document meets the first
-    and last one of each sample it shares, and a pair that shares an eighth of its samples is compared exactly.  At a similarity of 0.8 a sample
-    agrees about every second time and there are 16, so fewer than one pair in a thousand has too few.
+    bits.  The second kind is looked for where SimHashes of small samples of the shingles agree: all texts that share a sample are
+    compared exactly with each other, in cells.  At a similarity of 0.8 a sample agrees about every second time and there are 16, so fewer than
+    one pair in ten thousand shares none; sets of up to ``SHORT`` shingles share a value for certain.
 
     Null ids come last; of equal ids and of repeated rows one stays, chosen by digest of the text.  Texts without words are one group.
     """
     scratch = scratch or Scratch(docs.sparkSession, "similar")
     key = [F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.xxhash64("text").alias("t")]
     texts = docs.select(*key, F.col("text").cast("binary").alias("text"))
-    prints = scratch.cut(sampled(texts, words), "prints")
-    reps = scratch.cut(prints.groupBy("f").agg(F.min(F.struct("d", "t", "samples")).alias("r")).select("f", "r.*"), "reps")
-    near = links(reps.select("f"), scratch)
-    each = reps.select("f", F.size("samples").alias("n"), F.explode("samples").alias("sample"))
-    ends = each.groupBy("sample").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).filter("lo < hi")
-    pairs = each.join(ends, "sample").select("f", "n", F.explode(F.array("lo", "hi")).alias("other")).filter("f <> other")
-    pairs = pairs.groupBy(F.least("f", "other").alias("u"), F.greatest("f", "other").alias("v"), "f").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
-    pairs = scratch.cut(pairs.filter("shared * 8 >= n").select("u", "v").distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("f")).distinct().join(reps.select("f", "d", "t"), "f")
-    store = scratch.cut(texts.join(wanted, ["d", "t"]).select("f", "text").dropDuplicates(["f"]), "store")
-    left = store.select(F.col("f").alias("u"), F.col("text").alias("a"))
-    right = store.select(F.col("f").alias("v"), F.col("text").alias("b"))
-    similar = pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b").mapInArrow(_jaccard(words, similarity), "u bigint, v bigint")
-    label = components(scratch.cut(near.unionByName(similar).distinct(), "all_links"), scratch)
-    named = prints.select("d", "t", "f").join(label.withColumnRenamed("node", "f"), "f", "left").withColumn("component", F.coalesce("root", "f"))
+    prints = scratch.cut(sampled(texts, words, similarity), "prints")
+    near = links(prints.select("f").distinct(), scratch)
+    # A node is a set of shingles; sets with one fingerprint hang on the smallest of them.
+    least = scratch.cut(prints.groupBy("f").agg(F.min("w").alias("least")), "least")
+    same = prints.select("f", "w").distinct().join(least, "f").select(F.col("w").alias("u"), F.col("least").alias("v")).filter("u <> v")
+    ends = [least.select(F.col("f").alias(c), F.col("least").alias(f"of_{c}")) for c in ("u", "v")]
+    near = near.join(ends[0], "u").join(ends[1], "v").select(F.col("of_u").alias("u"), F.col("of_v").alias("v"))
+    reps = scratch.cut(prints.groupBy(F.col("w").alias("node")).agg(F.min(F.struct("d", "t", "n", "samples")).alias("r")).select("node", "r.*"), "reps")
+    each = reps.select("node", "n", F.explode("samples").alias("bucket"))
+    shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("bucket")
+    members = scratch.cut(each.join(shared, "bucket"), "members")
+    wanted = members.select("node").distinct().join(reps.select("node", "d", "t"), "node")
+    sets = texts.join(wanted, ["d", "t"]).select("node", "text").dropDuplicates(["node"]).mapInArrow(_sets(words), "node bigint, digests binary")
+    sets = scratch.cut(sets, "sets")
+    similar = similar_pairs(in_cells(members, sets), similarity, every=False).select("u", "v")
+    all_links = scratch.cut(near.unionByName(same).unionByName(similar).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "all_links")
+    scratch.drop(members, sets, least, reps)
+    label = components(all_links, scratch)
+    named = prints.select("d", "t", "w").join(label.withColumnRenamed("node", "w"), "w", "left").withColumn("component", F.coalesce("root", "w"))
     stay = named.groupBy("component").agg(F.min(F.struct("d", "t")).alias("s")).select("s.*")
     stay = scratch.cut(stay, "stay")
-    scratch.drop(pairs, store, reps)
+    scratch.drop(all_links, prints)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key)
     return rows.join(stay, ["d", "t"]).dropDuplicates(["d", "t"]).select("row.*")
 

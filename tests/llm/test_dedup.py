@@ -15,6 +15,7 @@ from codeloom.llm import substring_dedup as W
 from codeloom.llm import suffix_dedup as X
 from codeloom.llm.components import components
 from codeloom.llm.scratch import Scratch
+from codeloom.operators.similar_sets import in_cells, similar_pairs
 
 
 def brute_words(rows, window):
@@ -186,6 +187,48 @@ def test_one_of_each_group_stays(spark):
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted(want)
 
 
+def test_a_star_of_variants_is_one_group(spark):
+    """Variants that are similar to the base, which is neither first nor last of its buckets, and not to each other; short texts; equal fingerprints."""
+    r = random.Random(31)
+    base = [f"b{i}" for i in range(200)]
+    texts = {1000: " ".join(base)}
+    for c in range(300):
+        v = base[:]
+        at = r.randrange(0, 186)
+        v[at : at + 14] = [f"x{c}y{i}" for i in range(14)]
+        texts[c] = " ".join(v)
+    for g in range(60):
+        w = [f"s{g}t{i}" for i in range(r.randrange(9, 30))]
+        texts[2000 + 10 * g] = " ".join(w)
+        texts[2001 + 10 * g] = " ".join(w[:-1])
+        texts[2002 + 10 * g] = " ".join(w + [f"end{g}"])
+    rows = list(texts.items())
+    sets = [set(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (t.split() for _, t in rows)]
+    close = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    prints = np.array([S.fingerprint(t.encode(), 5) for _, t in rows], np.uint64)
+    label = brute_groups(close | (np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4))
+    want = {min(d for (d, _), x in zip(rows, label) if x == g) for g in set(label.tolist())}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id for x in S.keep_one_of_each(docs).collect()} == want and len(want & set(range(1001))) == 1
+
+
+@pytest.mark.parametrize("mass", [1 << 19, 300])
+def test_all_pairs_of_a_bucket_meet(spark, mass):
+    r = np.random.default_rng(5)
+    base = r.integers(0, 2**63, 40, dtype=np.uint64)
+    sets = {i: np.unique(np.concatenate([r.choice(base, r.integers(30, 41), replace=False), r.integers(0, 2**63, r.integers(0, 5), dtype=np.uint64)])) for i in range(60)}
+    members = spark.createDataFrame([(i, len(s), b) for i, s in sets.items() for b in (1, 2, 3) if b < 3 or i % 2], "node long, n long, bucket long")
+    digests = spark.createDataFrame([(i, s.tobytes()) for i, s in sets.items()], "node long, digests binary")
+    share = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    want = {(i, j): share(a, b) for i, a in sets.items() for j, b in sets.items() if i < j and share(a, b) >= 0.8}
+    got = similar_pairs(in_cells(members, digests, mass), 0.8, every=True).distinct().collect()
+    assert 100 < len(want) < 1700 and {(min(x.u, x.v), max(x.u, x.v)): x.similarity for x in got} == want
+    links = similar_pairs(in_cells(members, digests, mass), 0.8, every=False).select("u", "v")
+    roots = {x.node: x.root for x in components(links, Scratch(spark, "test")).collect()}
+    label = brute_groups(np.array([[i == j or (min(i, j), max(i, j)) in want for j in sets] for i in sets]))
+    assert [roots.get(i, i) for i in sets] == [int(np.flatnonzero(label == label[i])[0]) for i in sets]
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "test")).collect()}
