@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from codeloom.operators.ordered import (
     by_digest, by_value, number_rows, running_sums, seconds,
 )
+from codeloom.operators.similar_sets import in_cells, similar_pairs
 from codeloom.session import cut_lineage
 
 
@@ -203,9 +204,9 @@ def without_duplicates(rows: DataFrame, text: str, key: str) -> DataFrame:
 def near_copies(rows: DataFrame, text: str, key: str, least: float = 0.8, words: int = 5, bands: int = 20, rows_per_band: int = 4) -> DataFrame:
     """(a, b, similarity): near copies whose word shingles have a Jaccard similarity of ``least`` or more.
 
-    Texts with equal shingles are one text, the one with the smallest key.  Candidates share a band of the MinHash signature (at 0.8, all
-    but one pair in 30,000 does); a text meets the first and the last of each band it is in, so a large group makes
-    two pairs a text and band and stays connected.  Candidates are then compared shingle by shingle.
+    Texts with equal shingles are represented by the smallest key, which is paired with each other one at a similarity of 1.  Of two
+    representatives every similar pair is returned.  Candidates share a band of the MinHash signature (at 0.8, all
+    but one pair in 30,000 does); all texts of a band are compared shingle by shingle, hot bands in slices.
     """
     own = rows.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
@@ -213,39 +214,38 @@ def near_copies(rows: DataFrame, text: str, key: str, least: float = 0.8, words:
         r = np.random.default_rng(1)
         a, b = (r.integers(1, 1 << 61, bands * rows_per_band, dtype=np.uint64) | np.uint64(1) for _ in range(2))
         for batch in batches:
-            out = []
+            out, whole, sizes = [], [], []
             for t in batch.column(1).to_pylist():
                 h = shingles(t, words)
                 low = [(h * x + y >> np.uint64(3)).min() for x, y in zip(a, b)]
                 out.append([hash(tuple(int(v) for v in low[i : i + rows_per_band])) for i in range(0, len(low), rows_per_band)])
-            whole = [hashlib.sha256(shingles(t, words).tobytes()).hexdigest() for t in batch.column(1).to_pylist()]
+                whole.append(hashlib.sha256(h.tobytes()).hexdigest())
+                sizes.append(len(h))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(whole), pa.array(out, pa.list_(pa.int64()))], names=["key", "whole", "bands"]
+                [batch.column(0), pa.array(whole), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))],
+                names=["key", "whole", "n", "bands"],
             )
 
-    kind = own.schema["key"].dataType.simpleString()
-    signed = own.mapInArrow(signatures, f"key {kind}, whole string, bands array<bigint>")
-    first = cut_lineage(signed.groupBy("whole").agg(F.min(F.struct("key", "bands")).alias("r")).select("r.*"), "signatures")
-    banded = first.select("key", F.posexplode("bands").alias("band", "value"))
-    ends = cut_lineage(
-        banded.groupBy("band", "value").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi"), "bands"
-    )
-    met = banded.join(ends, ["band", "value"]).select("key", F.explode(F.array("lo", "hi")).alias("other"))
-    pairs = met.where("key <> other").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
-    left = own.dropDuplicates(["key"]).select(F.col("key").alias("a"), F.col("text").alias("x"))
-    right = left.select(F.col("a").alias("b"), F.col("x").alias("y"))
-
-    def compared(batches):
+    def digests(batches):
         for batch in batches:
-            out = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = shingles(x, words), shingles(y, words)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(both / (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["a", "b", "similarity"])
-
-    full = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return full.mapInArrow(compared, f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= least)
+            for t in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                sets = [shingles(x, words).tobytes() for x in t.column(2).to_pylist()]
+                same = pa.array([hashlib.sha256(x).hexdigest() == w for x, w in zip(sets, t.column(1).to_pylist())], pa.bool_())
+                yield pa.RecordBatch.from_arrays([t.column(0), pa.array(sets, pa.binary())], names=["node", "digests"]).filter(same)
+
+    kind = own.schema["key"].dataType.simpleString()
+    signed = cut_lineage(own.mapInArrow(signatures, f"key {kind}, whole string, n bigint, bands array<bigint>"), "signatures")
+    first = cut_lineage(signed.groupBy("whole").agg(F.min(F.struct("key", "n", "bands")).alias("r")).select("whole", "r.*"), "first")
+    banded = first.select(F.col("key").alias("node"), "n", F.posexplode("bands").alias("band", "value"))
+    banded = banded.select("node", "n", F.xxhash64("band", "value").alias("bucket"))
+    several = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("bucket")
+    members = cut_lineage(banded.join(several, "bucket"), "bands")
+    wanted = members.select(F.col("node").alias("key")).distinct().join(first.select("key", "whole"), "key")
+    sets = own.join(wanted, "key").select("key", "whole", "text").mapInArrow(digests, f"node {kind}, digests binary").dropDuplicates(["node"])
+    pairs = similar_pairs(in_cells(members, sets), least, every=True)
+    pairs = pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "similarity").distinct()
+    copies = signed.select("key", "whole").join(first.select(F.col("key").alias("a"), "whole"), "whole").where("a <> key").distinct()
+    return pairs.unionByName(copies.select("a", F.col("key").alias("b"), F.lit(1.0).alias("similarity")))
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:

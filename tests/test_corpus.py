@@ -276,6 +276,27 @@ def test_near_copies_equal_all_pairs(spark):
                 assert groups[a] == groups[b]
 
 
+def test_near_copies_between_the_middle_and_exact_copies(spark):
+    import random
+
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+    texts = {500: " ".join(base), 501: " ".join(base).upper(), 502: None, 503: ""}
+    for c in range(120):
+        v = base[:]
+        at = r.randrange(0, 186)
+        v[at : at + 14] = [f"x{c}y{i}" for i in range(14)]
+        texts[c] = " ".join(v)
+    texts[504] = texts[7]
+    df = spark.createDataFrame(list(texts.items()), "k long, t string")
+    got = [((x.a, x.b), x.similarity) for x in C.near_copies(df, "t", "k").collect()]
+    sets = {k: set(C.shingles(t, 5).tolist()) for k, t in texts.items()}
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in texts for b in texts if a < b}
+    copies = {501, 503, 504}
+    want = {p: s for p, s in share.items() if s >= 0.8 and not copies & set(p)} | {(500, 501): 1.0, (502, 503): 1.0, (7, 504): 1.0}
+    assert len(got) == len(dict(got)) and dict(got) == want and sum(500 in p for p in want) > 100
+
+
 def test_held_out_rows_are_never_fitted(spark):
     from codeloom.operators import models as MD
 
