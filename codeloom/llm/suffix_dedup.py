@@ -12,6 +12,7 @@ from codeloom.llm.scratch import Scratch
 
 SEED = 16
 SHALLOW = 32
+PASSAGE = 250
 NO_ID = (1 << 63) - 1
 
 
@@ -378,9 +379,12 @@ def dedup_bytes(docs: DataFrame, carry: list[str], window: int = 400, scratch: S
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), *ids).join(settled, ["d", "t"]).drop("d", "t")
 
 
-def without_repeats(docs: DataFrame, window: int = 400, scratch: Scratch | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = PASSAGE, scratch: Scratch | None = None) -> DataFrame:
     """The documents with repeated strings cut out of ``text`` and ``n_chars`` (where there is such a column) counted anew.
 
+    ``window`` is made for passages of over 50 words: 51 words at 4.9 bytes, the space included (on the documents of sf0.1 1.4 % of the stretches of 51
+    words are shorter, half have 315 bytes or more).
+
     A character that is cut in part goes as a whole.  Documents of which nothing but white space is left go; texts that hold no repeat stay as they are.
     """
     out = dedup_bytes(docs, docs.columns, window, scratch)

@@ -21,7 +21,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes or more that occur again go from the texts; texts of which nothing is left go."""
+    """Strings of 250 bytes or more (passages of over 50 words) that occur again go from the texts; texts of which nothing is left go."""
     return without_repeats(docs)
 
 

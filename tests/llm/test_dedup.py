@@ -229,6 +229,20 @@ def test_all_pairs_of_a_bucket_meet(spark, mass):
     assert [roots.get(i, i) for i in sets] == [int(np.flatnonzero(label == label[i])[0]) for i in sets]
 
 
+def test_a_shared_passage_of_51_short_words_goes_in_the_pipeline(spark):
+    import corpus_pipeline as P
+
+    r = random.Random(17)
+    passage = " ".join(f"{r.randrange(10000):04d}" for _ in range(51))
+    prose = lambda: " ".join(f"w{r.randrange(4000)}" for _ in range(40))
+    texts = [f"{prose()} {passage} {prose()}" for _ in range(3)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert len(passage) < 260
+    left = [x.text for x in P.repeat_dedup(spark, docs, "").collect()]
+    assert len(left) == 3 and not any(passage in t or passage[5:-5] in t for t in left) and all(len(t) < 600 for t in left)
+    assert sorted(x.n_removed for x in X.dedup_bytes(docs, ["doc_id"]).collect()) == [0, 0, 0]
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "test")).collect()}
