@@ -107,15 +107,23 @@ def lcs(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
-def verdict(item: list, passage: list, least: float, paraphrase: float) -> tuple[float, float, bool]:
+def verdict(item: list, passage: list, least: float, paraphrase: float, within: tuple[int, int] | None = None) -> tuple[float, float, bool]:
     """Share of the item and share of its answer (the last 8 words) found in order, and whether that is a leak.
 
-    The passage is read in windows of one and a half times the item's words, so that words far apart do not add up.
+    The passage is read in windows of one and a half times the item's words, so that words far apart do not add up; ``within``
+    says where windows may start.
     """
     size = max(len(item) * 3 // 2, 1)
     share = answer = 0.0
     hit = False
-    for s in range(0, max(1, len(passage) - size // 2), max(1, size // 4)):
+    starts = range(0, max(1, len(passage) - size // 2), max(1, size // 4))
+    if within:
+        own = set(item)
+        known = np.concatenate(([0], np.cumsum([w in own for w in passage[within[0] : within[1] + size]])))
+        starts = starts[-(-within[0] // starts.step) : -(-within[1] // starts.step)]
+        # A window with fewer of the item's words than a paraphrase needs is not read.
+        starts = [s for s in starts if known[min(s - within[0] + size, len(known) - 1)] - known[s - within[0]] >= paraphrase * len(item)]
+    for s in starts:
         part = passage[s : s + size]
         x = lcs(item, part) / len(item)
         tail = item[-ANSWER:]
@@ -125,6 +133,73 @@ def verdict(item: list, passage: list, least: float, paraphrase: float) -> tuple
     return share, answer, hit
 
 
+class _Cover:
+    """Every place where ``verdict`` can accept an item, found by the item's rarest words; no item is too long or too short.
+
+    A leak holds a share of the item's places, so it holds one of the rarest places, one more than may be missing; a paraphrase also holds
+    one of the rarest two of the answer's.  What holds one is counted: a stretch of a text has to have the words for the share.
+    Stretches start every ``step`` words and are two steps long, a step being longer than the windows of its items.
+    """
+
+    def __init__(self, items: list[np.ndarray], idf: np.ndarray, least: float, paraphrase: float):
+        self.items, self.least, self.paraphrase = items, least, paraphrase
+        self.steps: dict[int, tuple] = {}
+        by_step: dict[int, list] = {}
+        for i, t in enumerate(items):
+            step = 128
+            while step <= len(t) * 3 // 2:
+                step *= 4
+            by_step.setdefault(step, []).append(i)
+        for step, own in by_step.items():
+            terms, of = [], []
+            for i in own:
+                keys = set(self._rarest(items[i], idf, self._full(i)).tolist())
+                if len(items[i]) >= 2 * ANSWER:
+                    keys |= set(self._rarest(items[i][-ANSWER:], idf, 0.85).tolist())
+                terms += sorted(keys)
+                of += [i] * len(keys)
+            order = np.argsort(terms, kind="stable")
+            begin = np.searchsorted(np.array(terms)[order], np.arange(len(idf) + 2))
+            self.steps[step] = begin, np.array(of)[order]
+
+    def _full(self, i: int) -> float:
+        return self.least if len(self.items[i]) >= ANSWER else 1.0
+
+    @staticmethod
+    def _rarest(places: np.ndarray, idf: np.ndarray, share: float) -> np.ndarray:
+        missing = len(places) - int(np.ceil(share * len(places) - 1e-9))
+        return places[np.argsort(-idf[places], kind="stable")][: missing + 1]
+
+    def of(self, flat: np.ndarray):
+        """(item, first, last) of the stretches of one text that may hold an item; verdict's windows start in first ... last - 1."""
+        oov = len(next(iter(self.steps.values()))[0]) - 2
+        for step, (begin, of) in self.steps.items():
+            width = begin[flat + 1] - begin[flat]
+            at = np.flatnonzero(width)
+            if not len(at):
+                continue
+            width = width[at]
+            upto = np.cumsum(width)
+            item = of[np.arange(upto[-1]) + np.repeat(begin[flat[at]] - upto + width, width)]
+            stretch = np.repeat(at // step, width)
+            pairs = np.unique(np.concatenate([stretch, stretch[stretch > 0] - 1]) * len(self.items) + np.concatenate([item, item[stretch > 0]]))
+            last, held = -1, np.zeros(oov + 1, bool)
+            for k, i in zip((pairs // len(self.items)).tolist(), (pairs % len(self.items)).tolist(), strict=True):
+                if k != last:
+                    held[:] = False
+                    held[flat[k * step : (k + 2) * step]] = True
+                    held[oov] = False
+                    last = k
+                has = held[self.items[i]]
+                n = len(has)
+                found = int(has.sum())
+                if found < self.paraphrase * n:
+                    continue
+                tail = has[-ANSWER:]
+                if found >= self._full(i) * n - 1e-9 or (n >= 2 * ANSWER and tail.sum() >= 0.85 * len(tail)):
+                    yield i, k * step, (k + 1) * step
+
+
 def _search(ids: list, items: list[list[bytes]], vocabulary, idf, unknown: float, space: np.ndarray, cosine: float, least: float, paraphrase: float):
     scaled = np.vstack([space * idf[:, None], np.zeros((1, space.shape[1]))]).astype(np.float32)
     weight = np.append(idf**2, unknown**2).astype(np.float32)
@@ -136,6 +211,7 @@ def _search(ids: list, items: list[list[bytes]], vocabulary, idf, unknown: float
     # An item's own score is the length of its projection; candidates are measured against that.
     length = np.linalg.norm(rows, axis=1, keepdims=True)
     goal = (rows / np.maximum(length, 1e-9) ** 2).T.astype(np.float32)
+    cover = _Cover([np.array([vocabulary[x] for x in w]) for w in items], idf, least, paraphrase)
 
     def run(batches):
         get, oov = vocabulary.get, len(vocabulary)
@@ -164,7 +240,7 @@ def _search(ids: list, items: list[list[bytes]], vocabulary, idf, unknown: float
                 mass2 = mass.copy()
                 mass2[joined] += mass[1:][joined[:-1]]
                 pair /= np.sqrt(np.maximum(mass2, 1e-9))[:, None]
-                near = {}
+                near, done = {}, set()
                 for s in range(0, len(pair), 4096):
                     w, i = np.nonzero(pair[s : s + 4096] @ goal >= cosine)
                     for x, y in zip((w + s).tolist(), i.tolist(), strict=True):
@@ -180,6 +256,18 @@ def _search(ids: list, items: list[list[bytes]], vocabulary, idf, unknown: float
                     if best:
                         score = float((pair[windows] @ goal[:, i]).max())
                         out.append((a + d, ids[i], score, best[0], best[1]))
+                        done.add((d, i))
+                for d in range(b - a):
+                    places = flat[first[d] * HALF : first[d] * HALF + n[d]]
+                    rest = {}
+                    for i, lo, hi in cover.of(places):
+                        if (d, i) not in done:
+                            found = verdict(items[i], words[d], least, paraphrase, (lo, hi))
+                            if found[2]:
+                                rest[i] = max(rest.get(i, found), found)
+                    for i, best in rest.items():
+                        score = float((pair[first[d] : first[d] + blocks[d]] @ goal[:, i]).max())
+                        out.append((a + d, ids[i], score, best[0], best[1]))
             if out:
                 at, item, *numbers = zip(*out, strict=True)
                 cols = [batch.column(0).take(pa.array(at)), pa.array(item, pa.int64()), *[pa.array(x, pa.float64()) for x in numbers]]
@@ -197,7 +285,9 @@ def leaks(
     Columns: the ``carry`` columns in the struct ``row``, item_id, cosine (against the item's own score), lcs_share, answer_share.  The
     items are a query set that is taken in blocks of ``block_items``; per block its vocabulary, its latent space
     and its rows travel to all tasks, bounded by the block.  Term counts and the search cover every word of every document.  Windows of
-    32 words, every 16, are compared in the latent space; what is near is decided by the longest common subsequence and the answer.
+    32 words, every 16, are compared in the latent space; what is near is decided by the longest common subsequence and the answer.  Items
+    much longer or shorter than a window, and paraphrases, can lie below ``cosine``: what the items' rarest words point to is decided
+    in the same way, so every document that ``verdict`` accepts is found, and the cosine only says how near it is.
     Null texts and texts without words match nothing; items that are null or without words are left out; repeated rows are judged alike; without
     items or documents there are no rows.  Documents are never shuffled.
     """

@@ -118,6 +118,27 @@ def plain_lcs(a, b):
     return row[-1]
 
 
+@pytest.mark.parametrize("length", [3, 6, 8, 12, 40, 120, 500])
+def test_leaks_of_items_of_every_length_equal_brute_force(spark, length):
+    """Verbatim items, three quarters of the words, and 60 % of the words in order with the whole answer; documents of many words of the items."""
+    r = random.Random(length)
+    common = [f"c{i}" for i in range(60)]
+    word = lambda: r.choice(common) if r.random() < 0.5 else f"w{r.randrange(2000)}"
+    prose = lambda n: [word() for _ in range(n)]
+    items = [prose(length) for _ in range(24)] + [prose(30) for _ in range(4)]
+    docs = []
+    for item in items:
+        at = lambda share: [w if n >= len(item) - 8 or n % 20 < share * 20 else word() for n, w in enumerate(item)]
+        docs += [prose(r.randrange(400)) + x + prose(r.randrange(400)) for x in (item, at(0.8), at(0.6), at(0.4))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    coded = lambda w: [x.encode() for x in w]
+    want = {(d, i) for d, w in enumerate(docs) for i, item in enumerate(items) if set(item) & set(w) and D.verdict(coded(item), coded(w), 0.75, 0.55)[2]}
+    got = set(map(tuple, D.leaks(df, bench, ["doc_id"]).select("row.doc_id", "item_id").collect()))
+    assert want <= got and {(4 * i, i) for i in range(len(items))} <= got
+    assert all(D.verdict(coded(items[i]), coded(docs[d]), 0.7, 0.5)[0] >= 0.5 for d, i in got - want)
+
+
 def test_lcs_against_the_table():
     r = random.Random(4)
     for _ in range(200):
