@@ -250,3 +250,67 @@ def op9_warc_revisits(spark, sf):
         "record_id", "kind", "at", "canonical_url", "verdict", "resolved_id", "resolved_digest",
         header("cache-control").alias("cache_control"), header("content-type").alias("content_type"),
     )
+
+
+# -- 11 ---------------------------------------------------------------------------------------------------------------
+
+# CRC-32 of a text of single bytes, as its table of remainders is computed from the polynomial.
+_CRC_SQL = """
+    crc_table AS (
+        WITH RECURSIVE r(i, k, v) AS (
+            SELECT range::UBIGINT, 0, range::UBIGINT FROM range(256)
+            UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END FROM r WHERE k < 8)
+        SELECT list(v ORDER BY i) AS t FROM r WHERE k = 8)
+"""
+
+
+def _crc_sql(octets: str) -> str:
+    """CRC-32 of a list of numbers from 0 to 255, where crc_table is at hand."""
+    step = "xor(s >> 8, t[1 + (xor(s, b) & 255)::BIGINT])"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {octets}), lambda s, b: {step}), 4294967295::UBIGINT)::BIGINT"
+
+
+@query(
+    "op11_prefix_trie", "LLM11",
+    f"""
+    WITH {_CRC_SQL},
+    turns AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+        FROM conversations WHERE conv_id IS NOT NULL),
+    convs AS (
+        SELECT conv_id, conv_id - conv_id % 100 AS r, {_crc_sql("list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::UBIGINT)")} % 6 AS h
+        FROM (SELECT DISTINCT conv_id FROM turns), crc_table),
+    begun AS (SELECT c.*, (SELECT count(*) FROM turns t WHERE t.conv_id = c.r AND t.i <= c.h) AS b FROM convs c),
+    rebuilt AS (
+        SELECT c.conv_id, t.i AS d, role, text FROM begun c JOIN turns t ON t.conv_id = c.r AND t.i <= c.h
+        UNION ALL SELECT c.conv_id, t.i - c.h + c.b, role, text FROM begun c JOIN turns t USING (conv_id) WHERE t.i > c.h),
+    prefixes AS (
+        SELECT conv_id, d, length(text) AS chars, list([role, text]) OVER (PARTITION BY conv_id ORDER BY d) AS p FROM rebuilt
+        UNION ALL SELECT conv_id, 0, 0, [] FROM convs),
+    placed AS (SELECT *, min(conv_id) OVER (PARTITION BY d, p) AS node, max(d) OVER (PARTITION BY conv_id) AS n FROM prefixes),
+    nodes AS (
+        SELECT node, d, count(*) AS n_convs, any_value(chars) AS chars,
+               coalesce(string_agg(CASE WHEN d = n THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '') AS ends
+        FROM placed GROUP BY node, d),
+    above AS (
+        SELECT x.node, x.d, x.n_convs, x.chars, x.ends, y.node AS up, y.d AS up_d
+        FROM nodes x JOIN placed y ON y.conv_id = x.node AND y.d <= x.d),
+    children AS (SELECT up AS node, up_d AS d, count(*) AS n_children FROM above WHERE up_d = d - 1 GROUP BY ALL),
+    sums AS (
+        SELECT a.up AS node, a.up_d AS d, count(*) FILTER (c.n_children IS NULL) AS n_leaves, sum((n_convs - 1) * chars)::BIGINT AS saved_tokens
+        FROM above a LEFT JOIN children c ON c.node = a.node AND c.d = a.d GROUP BY ALL)
+    SELECT x.node AS conv_id, x.d AS depth, y.up AS parent_conv_id, x.n_convs, coalesce(c.n_children, 0) AS n_children, n_leaves, saved_tokens,
+           sha256(x.ends) AS ends_sha256
+    FROM nodes x JOIN sums s ON s.node = x.node AND s.d = x.d
+    LEFT JOIN children c ON c.node = x.node AND c.d = x.d LEFT JOIN above y ON y.node = x.node AND y.d = x.d AND y.up_d = x.d - 1
+    """,
+)
+def op11_prefix_trie(spark, sf):
+    from codeloom.llm import prefix_trie as P
+    from codeloom.llm.scratch import Scratch
+
+    scratch = Scratch(spark, "trie")
+    turns = scratch.cut(P.numbered_turns(table(spark, sf, "conversations")), "turns")
+    rows, convs = P.shared_beginnings(turns, scratch)
+    return P.prefix_trie(rows, convs, scratch=scratch).drop("chars")
