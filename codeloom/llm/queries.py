@@ -314,3 +314,25 @@ def op11_prefix_trie(spark, sf):
     turns = scratch.cut(P.numbered_turns(table(spark, sf, "conversations")), "turns")
     rows, convs = P.shared_beginnings(turns, scratch)
     return P.prefix_trie(rows, convs, scratch=scratch).drop("chars")
+
+
+# -- 12 ---------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "op12_exact_topk", "LLM12",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scores AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+        FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+    FROM scores QUALIFY rank <= 5
+    """,
+)
+def op12_exact_topk(spark, sf):
+    from codeloom.llm.exact_topk import integer_vectors, top_inner_products
+
+    return top_inner_products(integer_vectors(table(spark, sf, "embeddings")), "vec_id % 50 = 0")
