@@ -336,3 +336,45 @@ def op12_exact_topk(spark, sf):
     from codeloom.llm.exact_topk import integer_vectors, top_inner_products
 
     return top_inner_products(integer_vectors(table(spark, sf, "embeddings")), "vec_id % 50 = 0")
+
+
+# -- 13 ---------------------------------------------------------------------------------------------------------------
+
+_OCTETS_SQL = "list_transform(regexp_extract_all(hex(octets), '..'), lambda x: ('0x' || x)::UBIGINT)"
+
+
+@query(
+    "op13_spelling_groups", "LLM13",
+    f"""
+    WITH RECURSIVE {_CRC_SQL},
+    runs AS (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+        FROM documents),
+    counted AS (SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS octets, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+    digests AS (SELECT run, n, {_crc_sql(_OCTETS_SQL)} AS h FROM counted, crc_table),
+    slips AS (
+        SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM digests),
+    words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM slips WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+    less AS MATERIALIZED (
+        SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+        FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+    near AS (
+        SELECT DISTINCT x.word, x.n, y.word AS other, y.n AS other_n FROM less x JOIN less y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+        UNION SELECT x.word, x.n, y.word, y.n FROM less x JOIN words y ON x.rest = y.word
+        UNION SELECT y.word, y.n, x.word, x.n FROM less x JOIN words y ON x.rest = y.word),
+    best AS (
+        SELECT word, n, count(*) OVER (PARTITION BY word) AS n_near, other, other_n FROM near
+        QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1),
+    formed AS (
+        SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form, CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n
+        FROM words w LEFT JOIN best b ON b.word = w.word),
+    ways AS (
+        SELECT word, word AS at FROM formed UNION ALL SELECT w.word, f.form FROM ways w JOIN formed f ON f.word = w.at WHERE f.form IS NOT NULL),
+    roots AS (SELECT w.word, w.at AS root FROM ways w JOIN formed f ON f.word = w.at WHERE f.form IS NULL)
+    SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN roots r ON r.word = f.word
+    """,
+)
+def op13_spelling_groups(spark, sf):
+    from codeloom.llm.spelling import spelling_groups, word_counts
+
+    return spelling_groups(word_counts(table(spark, sf, "documents")))
