@@ -1,7 +1,6 @@
 """Traversal and reshaping of graphs.
 
-Node keys are (file, id); a repository-wide graph simply has one file value.  Loops join the
-frontier with the edges, checkpoint each round and stop when the frontier is empty.
+Node keys are (file, id); a repository-wide graph simply has one file value.
 """
 
 from pyspark.sql import Column, DataFrame, Window as W
@@ -9,7 +8,8 @@ from pyspark.sql import functions as F
 
 from codeloom.operators.matching import sink_candidates, source_candidates
 from codeloom.operators.ordered import by_value, number_rows
-from codeloom.session import bucketed, cut_lineage
+from codeloom.operators.reach import shortest, witness_paths
+from codeloom.session import bucketed, cut_lineage, drop_tables
 
 # Edge kind codes.
 EDGE_CODES = {"AST": 0, "CFG": 1, "DFG": 2, "DDFG": 3}
@@ -25,43 +25,44 @@ def undirected(edges: DataFrame) -> DataFrame:
     return rows.select("file", F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
-def _hops(links: DataFrame, seeds: DataFrame, max_depth: int | None) -> DataFrame:
-    """file, id, depth of everything reached over directed ``links``, within ``max_depth`` steps if given.
+def neighbourhood(edges: DataFrame, seeds: DataFrame, max_depth: int | None = 3) -> DataFrame:
+    """Undirected k-hop neighbourhood of the seeds with the distance of every node; without a limit, everything connected.
 
-    The links are stored bucketed by (file, src), so a step shuffles its frontier and never the links.  The
-    loop ends when no step finds anything new.
+    A limit is a number of rounds: the links are stored bucketed by (file, src), so a step shuffles its frontier and never the
+    links, and what a node's neighbours bring is new unless it was found in the last two rounds.
     """
-    links = bucketed(links.select("file", "src", "dst"), ["file", "src"], "links")
-    reached = cut_lineage(seeds.select("file", "id").distinct().withColumn("depth", F.lit(0)))
-    frontier, depth = reached, 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        ask = frontier.select("file", F.col("id").alias("src"))
+    links = undirected(edges)
+    if max_depth is None:
+        return shortest(links, seeds)
+    links = bucketed(links, ["file", "src"], "links")
+    rounds = [cut_lineage(seeds.select("file", "id").distinct().withColumn("depth", F.lit(0)))]
+    for depth in range(1, max_depth + 1):
+        ask = rounds[-1].select("file", F.col("id").alias("src"))
         found = links.join(ask, ["file", "src"]).select("file", F.col("dst").alias("id")).distinct()
-        frontier = cut_lineage(
-            found.join(reached, ["file", "id"], "left_anti").withColumn("depth", F.lit(depth))
-        )
-        if frontier.isEmpty():
+        for seen in rounds[-2:]:
+            found = found.join(seen, ["file", "id"], "left_anti")
+        rounds.append(cut_lineage(found.withColumn("depth", F.lit(depth))))
+        if rounds[-1].isEmpty():
             break
-        reached = reached.unionByName(frontier)
-        if depth % 16 == 0:
-            reached = cut_lineage(reached)  # a plan that does not grow with the depth
-    return reached
-
-
-def neighbourhood(edges: DataFrame, seeds: DataFrame, max_depth: int | None = 3) -> DataFrame:
-    """Undirected k-hop neighbourhood of the seeds with the distance of every node."""
-    return _hops(undirected(edges), seeds, max_depth)
+    drop_tables(links)
+    out = rounds[0]
+    for more in rounds[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def reachable(
     edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, blocked: DataFrame | None = None
 ) -> DataFrame:
     """Nodes reached along edge direction; paths do not pass through ``blocked`` nodes."""
-    links = edges.where(F.col("src") != F.col("dst")).select("file", "src", "dst").distinct()
-    if blocked is not None:
-        links = links.join(blocked.select("file", F.col("id").alias("src")), ["file", "src"], "left_anti")
-    return _hops(links, seeds, max_depth)
+    return shortest(_unblocked(edges, blocked), seeds, max_depth)
+
+
+def _unblocked(edges: DataFrame, blocked: DataFrame | None) -> DataFrame:
+    links = edges.where(F.col("src") != F.col("dst")).select("file", "src", "dst")
+    if blocked is None:
+        return links
+    return links.join(blocked.select("file", F.col("id").alias("src")), ["file", "src"], "left_anti")
 
 
 def induced_subgraph(nodes: DataFrame, edges: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -148,22 +149,33 @@ def indexed_edges(edges: DataFrame, index: DataFrame) -> DataFrame:
     return e.select("file", "src_idx", "dst_idx", edge_code(F.col("kind")).alias("kind_code"))
 
 
+def _taint_ends(nodes: DataFrame, flows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links that no sanitizer blocks, sources, and sinks that are no sanitizers, of files that hold both a source and such a sink."""
+    sanitised = F.col("attrs")["sanitizer_kind"].isNotNull()
+    sources = source_candidates(nodes).select("file", "id")
+    sinks = sink_candidates(nodes).where(~sanitised)
+    sinks = cut_lineage(sinks.select("file", "id", F.col("attrs")["sink_id"].alias("sink_id")))
+    sources = cut_lineage(sources.join(sinks.select("file").distinct(), "file", "left_semi"))
+    files = sources.select("file").distinct()
+    blocked = nodes.where(sanitised).select("file", "id")
+    return _unblocked(flows.join(files, "file", "left_semi"), blocked), sources, sinks.join(files, "file", "left_semi")
+
+
 def tainted_paths(nodes: DataFrame, flows: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Rule baseline: sinks reached from any source over value and data-flow edges, with the distance.
 
     Paths do not pass through sanitizers, and a sink that is a sanitizer itself does not count.  Only files that hold
     both a source and such a sink are followed.
     """
-    sanitised = F.col("attrs")["sanitizer_kind"].isNotNull()
-    sources = source_candidates(nodes).select("file", "id")
-    sinks = sink_candidates(nodes).where(~sanitised)
-    sinks = sinks.select("file", "id", F.col("attrs")["sink_id"].alias("sink_id"))
-    both = cut_lineage(sources.select("file").distinct().join(sinks.select("file").distinct(), "file"))
-    blocked = nodes.where(sanitised).select("file", "id").join(both, "file", "left_semi")
-    seen = reachable(
-        flows.join(both, "file", "left_semi"), sources.join(both, "file", "left_semi"), max_depth, blocked
-    )
-    return sinks.join(seen, ["file", "id"]).where(F.col("depth") > 0)
+    links, sources, sinks = _taint_ends(nodes, flows)
+    return sinks.join(shortest(links, sources, max_depth), ["file", "id"]).where(F.col("depth") > 0)
+
+
+def tainted_witnesses(nodes: DataFrame, flows: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """The sinks of ``tainted_paths`` with a shortest path from a source, as a list of node ids."""
+    links, sources, sinks = _taint_ends(nodes, flows)
+    paths = witness_paths(links, sources, sinks, max_depth)
+    return sinks.join(paths, ["file", "id"]).where(F.col("depth") > 0)
 
 
 def path_label_agreement(paths: DataFrame, labels: DataFrame) -> DataFrame:

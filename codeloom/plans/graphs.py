@@ -12,6 +12,7 @@ from codeloom.operators import matching as M
 from codeloom.operators import models as MD
 from codeloom.operators import quality as Q
 from codeloom.operators import taint as TA
+from codeloom.operators import traverse as T
 from codeloom.session import bucketed, cut_lineage, spread
 from codeloom.sources import files as FI
 from codeloom.sources import graphs as GR
@@ -48,6 +49,19 @@ def build_graphs(
     return nodes, edges, FI.status_counts(facts)
 
 
+def rule_baseline(facts: DataFrame, max_depth: int | None = None, witnesses: bool = False, catalogue: Catalogue = DEFAULT) -> DataFrame:
+    """Sinks of stored ``facts`` that a source reaches, with the distance or, as ``witnesses``, with the path.
+
+    Edges are made of files only that hold a source and a sink, as no path leaves a file.
+    """
+    nodes = M.matched_nodes(facts, catalogue).select("file", "id", "attrs").where(F.size("attrs") > 0)
+    nodes = cut_lineage(nodes)
+    files = M.source_candidates(nodes).select("file").join(M.sink_candidates(nodes).select("file"), "file", "left_semi").distinct()
+    followed = facts.join(cut_lineage(files), "file", "left_semi")
+    flows = G.flow_edges(followed).unionByName(G.value_edges(followed))
+    return (T.tainted_witnesses if witnesses else T.tainted_paths)(nodes, flows, max_depth)
+
+
 def build_from_path(spark: SparkSession, root: str, out: str, catalogue: Catalogue = DEFAULT) -> DataFrame:
     """Scans a source tree and writes nodes and edges as Parquet; returns files per status."""
     files = FI.scan_source_files(spark, root)

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from codeloom.operators import facts as FA
 from codeloom.operators import graph_build as G
 from codeloom.operators import matching as M
-from codeloom.operators import traverse as T
 from codeloom.plans import graphs as PG
 from codeloom.plans.registry import query
 from codeloom.plans.views import VIEWS, sql, table, view
@@ -171,10 +170,22 @@ def matched_rules(spark, sf):
 @query("tainted_paths", "D6 N1", _per_file([("click", "SINK_OS_SYSTEM", 7)], "sink_id, depth", "sink_id, depth"))
 def tainted_paths(spark, sf):
     """Sinks that a source reaches; run on the flow and value edges of the generated files."""
+    found = PG.rule_baseline(_stored(spark, sf))
+    return found.groupBy("file", "sink_id").agg(F.min("depth").alias("depth"))
+
+
+@query(
+    "tainted_witness_lines", "D6 N19",
+    _per_file([("click", "SINK_OS_SYSTEM", "3>3>3>5>5>5>5>6")], "sink_id, lines", "sink_id, lines"),
+)
+def tainted_witness_lines(spark, sf):
+    """The lines that a shortest path from a source to a sink goes through, node by node."""
     facts = _stored(spark, sf)
-    nodes = cut_lineage(M.matched_nodes(facts))
-    edges = G.flow_edges(facts).unionByName(G.value_edges(facts))
-    return T.tainted_paths(nodes, edges).groupBy("file", "sink_id").agg(F.min("depth").alias("depth"))
+    found = cut_lineage(PG.rule_baseline(facts, witnesses=True))
+    steps = found.select("file", "sink_id", F.col("id").alias("sink"), F.posexplode("path").alias("step", "id"))
+    lines = steps.join(facts.select("file", "id", F.col("sl").alias("line")), ["file", "id"])
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("step", "line"))), lambda s: s["line"].cast("string")), ">")
+    return lines.groupBy("file", "sink_id", "sink").agg(text.alias("lines")).select("file", "sink_id", "lines")
 
 
 STEPS = 12  # assignments between the source and the sink of a generated file
@@ -189,10 +200,8 @@ def tainted_chains(spark, sf):
     lines = ["import os", 'v0 = os.getenv("A")', *[f"v{i} = v{i - 1}" for i in range(1, STEPS)], f"os.system(v{STEPS - 1})"]
     code = "\n".join(lines) + "\n"
     files = table(spark, sf, "customer").select(F.concat(F.lit("chain/c"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("file"), F.lit(code).alias("code"))
-    facts = PG.stored_facts(files)
-    nodes = cut_lineage(M.matched_nodes(facts))
-    edges = G.flow_edges(facts).unionByName(G.value_edges(facts))
-    return T.tainted_paths(nodes, edges).groupBy("file", "sink_id").agg(F.min("depth").alias("depth"))
+    found = PG.rule_baseline(PG.stored_facts(files))
+    return found.groupBy("file", "sink_id").agg(F.min("depth").alias("depth"))
 
 
 _FRAMEWORKS = {"signup": "flask", "view": "fastapi", "purchase": "flask"}

@@ -13,7 +13,7 @@ from codeloom.plans.registry import query
 from codeloom.plans.views import (
     ORDER_GRAPH_SQL, day_nodes, order_edges, order_nodes, sql, table, view,
 )
-from codeloom.session import scratch_path
+from codeloom.session import cut_lineage, scratch_path
 from codeloom.sources import graphs as GR
 
 _BOTH = ", e AS (SELECT DISTINCT src, dst FROM shop_edges), b AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e) "
@@ -109,7 +109,7 @@ def two_hop_edges(spark, sf):
 
 _HUB = (
     "WITH e AS (SELECT 'n' || CAST(s_nationkey AS STRING) AS file, s_suppkey * 2 AS src, 1 AS dst FROM supplier "
-    "UNION SELECT 'n' || CAST(c_nationkey AS STRING), 1, c_custkey * 2 + 2000001 FROM customer WHERE c_mktsegment = 'BUILDING') "
+    "UNION SELECT 'n' || CAST(c_nationkey AS STRING), 1, c_custkey * 2 + 2000001 FROM customer) "
 )
 
 
@@ -119,11 +119,10 @@ _HUB = (
     "SELECT file, src, dst FROM t UNION SELECT file, dst, src FROM t",
 )
 def two_hop_hub(spark, sf):
-    """A star per nation: its suppliers reach the customers of one segment through one node."""
+    """A star per nation: its suppliers reach its customers through one node."""
     nation = lambda c: F.concat(F.lit("n"), F.col(c).cast("string")).alias("file")
     s = table(spark, sf, "supplier").select(nation("s_nationkey"), (F.col("s_suppkey") * 2).alias("src"), F.lit(1).cast("bigint").alias("dst"))
-    c = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'")
-    c = c.select(nation("c_nationkey"), F.lit(1).cast("bigint").alias("src"), (F.col("c_custkey") * 2 + 2000001).alias("dst"))
+    c = table(spark, sf, "customer").select(nation("c_nationkey"), F.lit(1).cast("bigint").alias("src"), (F.col("c_custkey") * 2 + 2000001).alias("dst"))
     return T.two_hop(s.unionByName(c))
 
 
@@ -144,6 +143,35 @@ def directed_line_reach(spark, sf):
     return T.reachable(chain.where("src IS NOT NULL").select("file", "src", F.col("id").alias("dst")), seeds)
 
 
+_LINES = (
+    "WITH RECURSIVE l AS (SELECT 'o' || CAST(l_orderkey AS STRING) AS file, CAST(l_linenumber AS BIGINT) AS id, max(l_quantity) AS q, max(l_returnflag) AS flag FROM lineitem GROUP BY ALL), "
+    "e AS (SELECT a.file, a.id AS src, b.id AS dst FROM l a JOIN l b ON a.file = b.file AND ((b.id = a.id + 1 AND a.q <= 45) OR (b.id = a.id + 2 AND a.q > 25)))"
+)
+
+
+@query(
+    "witness_paths", "D6 N19",
+    _LINES
+    + ", r AS (SELECT file, id, 0 AS depth FROM l WHERE id = 1 UNION SELECT e.file, e.dst, r.depth + 1 FROM r JOIN e ON e.file = r.file AND e.src = r.id), "
+    "d AS (SELECT file, id, min(depth) AS depth FROM r GROUP BY file, id), "
+    "p AS (SELECT x.file, x.id, min(e.src) AS before FROM d x JOIN e ON e.file = x.file AND e.dst = x.id JOIN d y ON y.file = e.file AND y.id = e.src AND y.depth = x.depth - 1 GROUP BY ALL), "
+    "w AS (SELECT file, id, id AS node, CAST(id AS STRING) AS path FROM d UNION ALL "
+    "SELECT w.file, w.id, p.before, CAST(p.before AS STRING) || '>' || w.path FROM w JOIN p ON p.file = w.file AND p.id = w.node) "
+    "SELECT w.file, w.id, d.depth, w.path FROM w JOIN d ON d.file = w.file AND d.id = w.id JOIN l ON l.file = w.file AND l.id = w.id "
+    "WHERE l.flag = 'R' AND w.node = 1",
+)
+def witness_paths(spark, sf):
+    """Within each order, from its first line to the next line or the one after, a shortest way to each returned line."""
+    n = F.col("l_linenumber").cast("bigint")
+    lines = table(spark, sf, "lineitem").groupBy(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("file"), n.alias("id"))
+    lines = cut_lineage(lines.agg(F.max("l_quantity").alias("q"), F.max("l_returnflag").alias("flag")))
+    steps = F.array(F.struct((F.col("q") <= 45).alias("may"), (F.col("id") + 1).alias("dst")), F.struct((F.col("q") > 25).alias("may"), (F.col("id") + 2).alias("dst")))
+    links = lines.select("file", F.col("id").alias("src"), F.inline(steps)).where("may").select("file", "src", "dst")
+    links = links.join(lines.select("file", F.col("id").alias("dst")), ["file", "dst"], "left_semi")
+    found = T.witness_paths(links, lines.where("id = 1"), lines.where("flag = 'R'"))
+    return found.select("file", "id", F.col("depth").cast("int").alias("depth"), F.array_join("path", ">").alias("path"))
+
+
 @query(
     "two_step_paths", "N3",
     sql("day_nodes") + _CHAIN

@@ -63,7 +63,9 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = (path, None)
+    return out
 
 
 def bucketed(df: DataFrame, keys: list[str], label: str = "table", dealt: bool = False) -> DataFrame:
@@ -75,8 +77,21 @@ def bucketed(df: DataFrame, keys: list[str], label: str = "table", dealt: bool =
     name, n = f"{label}_{uuid.uuid4().hex}", buckets(spark)
     if not dealt:
         df = df.repartition(n, *keys)  # one file per bucket
-    df.write.bucketBy(n, *keys).option("path", scratch_path(spark, label)).saveAsTable(name)
-    return spark.table(name)
+    path = scratch_path(spark, label)
+    df.write.bucketBy(n, *keys).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._written = (path, name)
+    return out
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Removes what ``cut_lineage`` and ``bucketed`` wrote, after its last reader has run."""
+    for df in tables:
+        path, name = df.__dict__.pop("_written", (None, None))
+        if name is not None:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+        if path is not None:
+            delete(df.sparkSession, path)
 
 
 def buckets(spark: SparkSession) -> int:

@@ -112,3 +112,76 @@ def test_augmentation_repeats(spark, graph):
     x = [y for r in FT.noisy_vectors(v, 1.0).collect() for y in r.vec]
     mean = sum(x) / len(x)
     assert abs(mean) < 0.08 and abs(sum((y - mean) ** 2 for y in x) / len(x) - 1) < 0.1
+
+
+def directed(links, seeds):
+    """Breadth-first search that looks at a node's links once."""
+    out, seen, level = {}, {s: 0 for s in seeds}, sorted(seeds)
+    for a, b in links:
+        out.setdefault(a, []).append(b)
+    while level:
+        after = []
+        for a in level:
+            for b in out.get(a, ()):
+                if b not in seen:
+                    seen[b] = seen[a] + 1
+                    after.append(b)
+        level = after
+    return seen
+
+
+def frame(spark, links):
+    return spark.createDataFrame([("f", a, b) for a, b in links], "file string, src long, dst long")
+
+
+def test_a_chain_of_thousands_takes_few_rounds(spark, monkeypatch):
+    from codeloom.operators import reach as R
+
+    written = []
+    monkeypatch.setattr(R, "cut_lineage", lambda df, f=R.cut_lineage: written.append(1) or f(df))
+    links = [(i, i + 1) for i in range(5000)] + [(2500, 9000), (9000, 9001), (7000, 7001), (7001, 7002), (7002, 7000), (7002, 7003)]
+    seeds = spark.createDataFrame([("f", 0)], "file string, id long")
+    assert {r.id: r.depth for r in R.shortest(frame(spark, links), seeds).collect()} == directed(links, {0})
+    assert len(written) < 30
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_graphs_with_chains_and_rings(spark, seed):
+    r = random.Random(seed)
+    links = {(r.randrange(90), r.randrange(90)) for _ in range(70)}
+    for start in (200, 300, 400):
+        chain = [r.randrange(90), *range(start, start + r.randrange(2, 40)), r.randrange(90)]
+        links |= set(zip(chain, chain[1:]))
+    links |= {(600, 601), (601, 602), (602, 600)} | {(r.randrange(90), 700), (700, 701), (701, 700)}
+    seeds = {r.randrange(90), 210, 999}
+    given = spark.createDataFrame([("f", s) for s in seeds], "file string, id long")
+    want = directed({(a, b) for a, b in links if a != b}, seeds)
+    assert {x.id: x.depth for x in T.reachable(frame(spark, links), given).collect()} == want
+    assert {x.id: x.depth for x in T.reachable(frame(spark, links), given, 4).collect()} == {n: d for n, d in want.items() if d <= 4}
+    both = links | {(b, a) for a, b in links}
+    assert {x.id: x.depth for x in T.neighbourhood(frame(spark, links), given, None).collect()} == directed(both, seeds)
+
+
+def test_witness_paths_are_shortest_and_of_the_smallest_nodes(spark):
+    from codeloom.operators.reach import witness_paths
+
+    r = random.Random(9)
+    links = {(r.randrange(60), r.randrange(60)) for _ in range(110)} | {(i, i + 1) for i in range(100, 170)} | {(5, 100)}
+    links = {(a, b) for a, b in links if a != b}
+    seeds = spark.createDataFrame([("f", 5), ("f", 8)], "file string, id long")
+    ends = spark.createDataFrame([("f", i) for i in [*range(60), 170, 5000]], "file string, id long")
+    seen = directed(links, {5, 8})
+    got = {x.id: x.path for x in witness_paths(frame(spark, links), seeds, ends).collect()}
+    assert set(got) == {i for i in [*range(60), 170] if i in seen}
+    for i, path in got.items():
+        want = [i]
+        while seen[want[0]]:
+            want.insert(0, min(a for a, b in links if b == want[0] and seen.get(a) == seen[want[0]] - 1))
+        assert path == want
+
+
+def test_no_links_and_no_seeds(spark):
+    none = frame(spark, [])
+    seeds = spark.createDataFrame([("f", 5)], "file string, id long")
+    assert [tuple(r) for r in T.reachable(none, seeds).collect()] == [("f", 5, 0)]
+    assert T.reachable(frame(spark, [(1, 2)]), seeds.where("id < 0")).count() == 0
