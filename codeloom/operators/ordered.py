@@ -19,10 +19,18 @@ from pyspark.sql import types as T
 
 def quantile_limits(df: DataFrame, col: str, buckets: int | None = None) -> list[float]:
     """At most ``buckets - 1`` increasing values that cut ``col`` into parts of similar size."""
+    return _limits(df, col, buckets)[0]
+
+
+def _limits(df: DataFrame, col: str, buckets: int | None = None, more: tuple[Column, ...] = ()) -> tuple:
+    """The limits, and ``more`` aggregates of the same scan: tasks keep a sketch each, which are merged."""
     n = buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     n = min(n, 2000)
-    found = df.approxQuantile(col, [i / n for i in range(1, n)], 0.25 / n)
-    return sorted(set(found))
+    sketch = F.kll_sketch_agg_double(F.col(col).cast("double"), max(200, 8 * n))
+    at = F.array(*[F.lit(i / n) for i in range(1, n)])
+    found = F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, at))
+    row = df.agg(found.alias("at"), *more).first()
+    return sorted(set(row["at"] or ())), *row[1:]
 
 
 def by_value(
@@ -30,22 +38,27 @@ def by_value(
 ) -> tuple[DataFrame, str]:
     """The rows with a bucket of a DOUBLE column, and the bucket's name.
 
-    Limits come from the data unless given.  With a ``tie`` column, for the order (col, tie), a value that is a
+    Limits come from the data unless given, by one aggregate of the columns that order.  With a ``tie`` column, for the order (col, tie), a value that is a
     limit - every value that holds a bucket's share of the rows is one - is cut again by the tie.
     """
-    limits = quantile_limits(df, col) if limits is None else limits
+    ends = None
+    if limits is None:
+        text = tie is not None and isinstance(df.schema[tie].dataType, T.StringType)
+        limits, *ends = _limits(df, col, more=(F.min(tie), F.max(tie)) if text else ())
+    columns = df.columns
     df = _placed(df, col, name, limits)
     if tie is not None and limits:
         at, cut = f"{name}_t", f"{name}_p"
-        df = _placed(df.withColumn(at, _tie_value(df, tie)), at, cut, None)
+        df = df.withColumn(at, _tie_value(df, tie, ends))
+        df = _placed(df, at, cut, _limits(df, at)[0])
         above = ~F.coalesce(F.col(col).isin(limits), F.lit(True))
         part = F.when(above, F.lit(0)).otherwise(F.col(cut))
-        df = df.withColumn(name, F.struct(F.col(name).alias("bucket"), above.alias("above"), part.alias("part"))).drop(at, cut)
+        df = df.withColumn(name, F.struct(F.col(name).alias("bucket"), above.alias("above"), part.alias("part")))
+        df = df.select(*columns, name)
     return df, name
 
 
-def _placed(df: DataFrame, col: str, name: str, limits: list[float] | None) -> DataFrame:
-    limits = quantile_limits(df, col) if limits is None else limits
+def _placed(df: DataFrame, col: str, name: str, limits: list[float]) -> DataFrame:
     if not limits:
         return df.withColumn(name, F.lit(0))
     cut = Bucketizer(
@@ -56,12 +69,12 @@ def _placed(df: DataFrame, col: str, name: str, limits: list[float] | None) -> D
     return cut.transform(df).withColumn(name, place).drop(f"{name}_d")
 
 
-def _tie_value(df: DataFrame, tie: str) -> Column:
+def _tie_value(df: DataFrame, tie: str, ends: list | None) -> Column:
     """A DOUBLE that keeps the order of a number or a text: a text's next six bytes after what all texts begin with."""
     if not isinstance(df.schema[tie].dataType, T.StringType):
         return F.col(tie).cast("double")
-    ends = df.agg(F.min(tie).alias("a"), F.max(tie).alias("b")).first()
-    same = len(os.path.commonprefix([(ends["a"] or "").encode(), (ends["b"] or "").encode()]))
+    ends = ends or df.agg(F.min(tie), F.max(tie)).first()
+    same = len(os.path.commonprefix([(end or "").encode() for end in ends]))
     six = F.rpad(F.hex(F.substring(F.encode(tie, "UTF-8"), same + 1, 6)), 12, "0")
     return F.conv(six, 16, 10).cast("double")
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
-from codeloom.operators.ordered import by_value, number_rows, seconds
+from codeloom.operators.ordered import by_value, number_rows, quantile_limits, seconds
 
 DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE = 20, 100
 SEVERITIES = ["critical", "high", "medium", "low"]
@@ -33,16 +33,29 @@ def page_bounds(page: int | None, size: int | None) -> tuple[int, int]:
 def page_of(rows: DataFrame, page: int | None, size: int | None, time: str, tie: str) -> DataFrame:
     """One page, newest first, with the true total and the number of pages on every row.
 
-    Pages are cut out by bucketed row numbers, so no task sorts the table and no offset is collected.
+    Rows are counted per stretch of time; only the stretches that hold the page are read again and numbered, in buckets, so
+    that a moment with most rows is not sorted by one task.
     """
     page, size = page_bounds(page, size)
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    b, bucket = by_value(rows.withColumn("_t", seconds(rows, time)), "_t")
-    n = number_rows(b, [F.desc(time), F.col(tie)], bucket, None, "_rn", descending_buckets=True)
-    cut = n.where(F.col("_rn").between((page - 1) * size + 1, page * size)).drop("_t", "_bucket", "_rn")
-    pages = F.ceil(F.col("total") / size)
-    return cut.crossJoin(F.broadcast(total)).select(  # one row of totals
-        *rows.columns, F.lit(page).alias("page"), F.lit(size).alias("page_size"), "total", pages.alias("total_pages")
+    first, last = (page - 1) * size + 1, page * size
+    age = F.coalesce(-seconds(rows, time), F.lit(float("inf")))  # rows without a time come last
+    aged = rows.withColumn("_age", age)
+    limits = quantile_limits(aged, "_age")
+    placed, bucket = by_value(aged, "_age", limits=limits)
+    counts = sorted(tuple(r) for r in placed.groupBy(bucket).agg(F.count(F.lit(1))).collect())  # a row per bucket
+    held, before, total = [], 0, 0
+    for place, n in counts:
+        if total < last and total + n >= first:
+            before = before if held else total
+            held.append(place)
+        total += n
+    found = placed.where(F.col(bucket).isin(held)).drop(bucket)
+    part, bucket = by_value(found, "_age", tie=tie)
+    n = number_rows(part, [F.desc(time), F.col(tie)], bucket, None, "_rn")
+    cut = n.where((F.col("_rn") + before).between(first, last)).drop("_age", bucket, "_rn")
+    pages = F.lit(-(-total // size)).cast("bigint")
+    return cut.select(
+        *rows.columns, F.lit(page).alias("page"), F.lit(size).alias("page_size"), F.lit(total).cast("bigint").alias("total"), pages.alias("total_pages")
     )
 
 
