@@ -1,5 +1,7 @@
 """Classification, ranking and localisation metrics on prediction tables."""
 
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -234,44 +236,66 @@ def localisation_matches(
         import pandas as pd
 
         key, pred, true, out = None, [], [], []
-
-        def close():
-            free, n = list(range(len(true))), 0
-            for p in pred:
-                hit = next((j for j in free if _near(p, true[j], tolerance)), None)
-                if hit is not None:
-                    free.remove(hit)
-                    n += 1
-            if n:
-                out.append((*key, n))
-
         for pdf in batches:
             for file, part, side, lines in zip(pdf["file"], pdf["part"], pdf["side"], pdf["lines"]):
                 if (file, part) != key:
-                    close()
+                    out.append((key, _greedy(pred, true, tolerance)))
                     key, pred, true = (file, part), [], []
-                (pred if side == "pred" else true).append(sorted(lines))
-            if out:
-                yield pd.DataFrame(out, columns=["file", "part", "matched"])
-                out = []
-        close()
-        if out:
-            yield pd.DataFrame(out, columns=["file", "part", "matched"])
+                (pred if side == "pred" else true).append(lines)
+            found = [(*k, n) for k, n in out if n]
+            out = []
+            if found:
+                yield pd.DataFrame(found, columns=["file", "part", "matched"])
+        n = _greedy(pred, true, tolerance)
+        if n:
+            yield pd.DataFrame([(*key, n)], columns=["file", "part", "matched"])
 
     return rows.mapInPandas(greedy, "file string, part bigint, matched bigint")
 
 
-def _near(a: list, b: list, tolerance: int) -> bool:
-    """Two sorted line lists come within the tolerance of each other."""
-    i = j = 0
-    while i < len(a) and j < len(b):
-        if abs(a[i] - b[j]) <= tolerance:
-            return True
-        if a[i] < b[j]:
-            i += 1
-        else:
-            j += 1
-    return False
+def _greedy(pred: list, true: list, tolerance: int) -> int:
+    """How many of ``pred``, in order, find a true location within the tolerance that is still free and take the first such one.
+
+    Each line knows the first free location on it, and a tree over the lines the smallest of any run of lines, so a
+    location costs the logarithm of the part and a dense part is not compared pair by pair.
+    """
+    if not pred or not true:
+        return 0
+    at: dict[int, list[int]] = {}
+    for i in reversed(range(len(true))):
+        for line in set(true[i]):
+            at.setdefault(int(line), []).append(i)  # the first location is the last of its list
+    lines, none = sorted(at), len(true)
+    size = len(lines)
+    tree = [none] * size + [at[line][-1] for line in lines]
+    for i in reversed(range(1, size)):
+        tree[i] = min(tree[2 * i], tree[2 * i + 1])
+    taken, n = bytearray(none), 0
+    for location in pred:
+        best = none
+        for line in location:
+            a, b = bisect_left(lines, line - tolerance) + size, bisect_right(lines, line + tolerance) + size
+            while a < b:
+                if a & 1:
+                    best, a = min(best, tree[a]), a + 1
+                if b & 1:
+                    b -= 1
+                    best = min(best, tree[b])
+                a, b = a >> 1, b >> 1
+        if best == none:
+            continue
+        taken[best] = 1
+        n += 1
+        for line in set(true[best]):
+            free = at[int(line)]
+            while free and taken[free[-1]]:
+                free.pop()
+            i = bisect_left(lines, line) + size
+            tree[i] = free[-1] if free else none
+            while i > 1:
+                i >>= 1
+                tree[i] = min(tree[2 * i], tree[2 * i + 1])
+    return n
 
 
 def localisation(

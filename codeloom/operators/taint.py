@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from codeloom.operators.ordered import by_value, latest_before, seconds
 
-LINES_PER_BUCKET = 64
-COLUMNS_PER_BUCKET = 256
+# Lines and columns of the smallest cells, and how often a cell doubles.
+LINES_PER_BLOCK = 16
+COLUMNS_PER_BLOCK = 64
+LEVELS = 16
 
 # Which node kinds a position prefers, by role (first choice, second choice).
 KIND_CHOICES = {
@@ -62,37 +64,68 @@ def positions_of(records: DataFrame) -> DataFrame:
     return records.select("record", F.inline(every))
 
 
+def dyadic_cover(first: Column, last: Column, levels: int = LEVELS) -> Column:
+    """ARRAY of (level, cell): aligned cells of 1, 2, 4, ... that together make up first..last, at most two of a level.
+
+    Only beyond ``2 ** levels`` the number grows with the length.
+    """
+    cells = []
+    for k in range(levels):
+        low = F.shiftright(first + F.lit(2**k - 1).cast("bigint"), k)
+        high = F.shiftright(last + 1, k)
+        some = low < high
+        cells.append(F.when(some & (low % 2 == 1), F.struct(F.lit(k).alias("level"), low.alias("cell"))))
+        cells.append(F.when(some & (high % 2 == 1), F.struct(F.lit(k).alias("level"), (high - 1).alias("cell"))))
+    low, high = F.shiftright(first + F.lit(2**levels - 1).cast("bigint"), levels), F.shiftright(last + 1, levels)
+    top = F.when(low < high, F.transform(F.sequence(low, high - 1), lambda c: F.struct(F.lit(levels).alias("level"), c.alias("cell"))))
+    none = F.array().cast("array<struct<level:int,cell:bigint>>")
+    return F.concat(F.array_compact(F.array(*cells)), F.coalesce(top, none))
+
+
+def dyadic_cells(at: Column, levels: int = LEVELS) -> Column:
+    """ARRAY of (level, cell): the cell of each level that holds a place; one of them is in the cover of each run that holds it."""
+    return F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(at, k).alias("cell")) for k in range(levels + 1)])
+
+
+def _places(cells: Column, line: Column) -> Column:
+    return F.transform(cells, lambda c: F.struct(line.alias("_line"), c["level"].alias("_level"), c["cell"].alias("_cell")))
+
+
+def _spans_by_cell(nodes: DataFrame, lines: int, columns: int) -> DataFrame:
+    """Spans with the cells that cover them: of blocks of lines or, within one line, of blocks of columns.
+
+    Of the nodes with the same kind and span only the first is kept, as no other can win.
+    """
+    first = nodes.where(F.col("span").isNotNull()).groupBy("file", "kind", "span").agg(F.min("id").alias("id"))
+    s, block = F.col("span"), lambda x, n: F.floor(x / n).cast("bigint")
+    several = _places(dyadic_cover(block(s["sl"], lines), block(s["el"], lines)), F.lit(-1).cast("bigint"))
+    one = _places(dyadic_cover(block(s["sc"], columns), block(F.greatest(s["ec"], s["sc"]), columns)), s["sl"].cast("bigint"))
+    whole = F.struct(s["sl"].cast("bigint").alias("_line"), F.lit(-1).alias("_level"), F.lit(-1).cast("bigint").alias("_cell"))
+    cells = F.when(s["sl"] != s["el"], several).otherwise(F.concat(one, F.array(whole)))
+    return first.select("file", "id", "kind", "span", F.inline(cells))
+
+
 def node_at_position(
-    positions: DataFrame, nodes: DataFrame, lines: int = LINES_PER_BUCKET, columns: int = COLUMNS_PER_BUCKET
+    positions: DataFrame, nodes: DataFrame, lines: int = LINES_PER_BLOCK, columns: int = COLUMNS_PER_BLOCK
 ) -> DataFrame:
     """file, line, col, role, id: the best covering node per distinct position.
 
-    A range join made equal: spans of several lines are cut into blocks of ``lines`` lines, spans within a line
-    into blocks of ``columns`` columns, so a file of one long line is cut as well.  Positions are
-    made distinct first, so a place hit by most records is looked up once, and of the nodes with the
-    same kind and span only the first is kept, as no other can win.  A block therefore pairs distinct
-    places with distinct spans.  The best node is a combined minimum, not a sorted group.
+    A range join made equal: a span becomes the few aligned cells of doubling size that make it up, and a
+    position asks its own cell of each size, so a module of a million lines is some forty rows and not one per block.  Spans of several lines are
+    cut by lines, spans within a line by columns, so a file of one long line is cut as well.  Positions are
+    made distinct first, so a place hit by most records is looked up once.
+    The best node is a combined minimum, not a sorted group.
     """
     want = positions.where(F.col("file").isNotNull() & F.col("line").isNotNull()).select(
         "file", "line", "col", "role"
     ).distinct()
-    # A place asks the spans of several lines in its block of lines, and those within its line in its block of columns.
-    cell = F.coalesce(F.floor(F.col("col") / columns), F.lit(-1))
-    asks = F.array(
-        F.struct(F.floor(F.col("line") / lines).alias("_block"), F.lit(-2).cast("bigint").alias("_cell")),
-        F.struct(F.col("line").cast("bigint").alias("_block"), cell.cast("bigint").alias("_cell")),
-    )
-    want = want.select("*", F.inline(asks))
-    first = nodes.where(F.col("span").isNotNull()).groupBy("file", "kind", "span").agg(F.min("id").alias("id"))
+    in_line = _places(dyadic_cells(F.floor(F.col("col") / columns).cast("bigint")), F.col("line").cast("bigint"))
+    whole = F.array(F.struct(F.col("line").cast("bigint").alias("_line"), F.lit(-1).alias("_level"), F.lit(-1).cast("bigint").alias("_cell")))
+    over_lines = _places(dyadic_cells(F.floor(F.col("line") / lines).cast("bigint")), F.lit(-1).cast("bigint"))
+    asks = F.concat(over_lines, F.when(F.col("col").isNull(), whole).otherwise(in_line))
+    hit = want.select("*", F.inline(asks)).join(_spans_by_cell(nodes, lines, columns), ["file", "_line", "_level", "_cell"])
     s = F.col("span")
-    long = first.where(s["sl"] != s["el"])
-    blocks = F.explode(F.sequence(F.floor(s["sl"] / lines), F.floor(s["el"] / lines))).alias("_block")
-    long = long.select("file", "id", "kind", "span", blocks).withColumn("_cell", F.lit(-2).cast("bigint"))
-    cells = F.concat(F.array(F.lit(-1).cast("bigint")), F.sequence(F.floor(s["sc"] / columns), F.floor(F.greatest(s["ec"], s["sc"]) / columns)))
-    short = first.where(s["sl"] == s["el"]).select(
-        "file", "id", "kind", "span", s["sl"].cast("bigint").alias("_block"), F.explode(cells).alias("_cell")
-    )
-    hit = want.join(long.unionByName(short), ["file", "_block", "_cell"]).where(covers(s, F.col("line"), F.col("col")))
+    hit = hit.where(covers(s, F.col("line"), F.col("col")))
     order = F.struct(
         kind_priority(F.col("role"), F.col("kind")).alias("p"), (s["el"] - s["sl"]).alias("dl"),
         (s["ec"] - s["sc"]).alias("dc"), F.col("id").alias("i"),

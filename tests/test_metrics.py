@@ -23,6 +23,22 @@ def plain_localisation(pred, true, tolerance):
     return matched
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_greedy_equals_a_plain_loop(seed):
+    r = random.Random(seed)
+    pred, true = ([[r.randrange(80) for _ in range(r.randrange(1, 4))] for _ in range(r.randrange(40))] for _ in "pt")
+    for tolerance in (0, 3, 90):
+        want = plain_localisation([("f", i, x) for i, x in enumerate(pred)], [("f", i, x) for i, x in enumerate(true)], tolerance)
+        assert ME._greedy(pred, true, tolerance) == want
+
+
+def test_greedy_of_a_dense_part_ends():
+    """All of 100,000 locations are near each other."""
+    r = random.Random(3)
+    pred, true = ([[r.randrange(6)] for _ in range(n)] for n in (100_000, 90_000))
+    assert ME._greedy(pred, true, 5) == 90_000
+
+
 @pytest.mark.parametrize("limits", [None, [20.0, 40.0, 41.0, 120.0]])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_localisation_equals_a_plain_loop(spark, seed, limits):

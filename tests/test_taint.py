@@ -183,3 +183,19 @@ def test_stream_state_ends(spark):
     got = {r.message_id: r.receives for r in S.newest_rows(spark, counts, ["message_id"]).collect()}
     # o came again before the watermark had passed its retention
     assert got == {"m": 1, "n": 1, "o": 2} and {r.message_id for r in spark.read.parquet(dead).collect()} == {"m", "o"}
+
+
+def test_dyadic_covers(spark):
+    """A cover holds each place of its run once and no other, in a few cells; the top level takes what is longer."""
+    runs = [(a, b) for a in range(0, 70, 3) for b in range(a, 90, 7)] + [(0, 0), (5, 5), (0, 1023), (1, 1022)]
+    df = spark.createDataFrame([(a, b, v) for a, b in runs for v in (4, 16)], "a long, b long, levels int")
+    for levels in (4, 16):
+        got = df.where(F.col("levels") == levels).select("a", "b", TA.dyadic_cover(F.col("a"), F.col("b"), levels).alias("c")).collect()
+        for r in got:
+            held = sorted(x for c in r.c for x in range(c.cell << c.level, (c.cell + 1) << c.level))
+            assert held == list(range(r.a, r.b + 1))
+            assert len(r.c) <= 2 * levels + ((r.b - r.a) >> levels)
+    module = spark.range(1).select(TA.dyadic_cover(F.lit(0).cast("bigint"), F.lit(1_000_000 // TA.LINES_PER_BLOCK).cast("bigint")).alias("c")).first()
+    assert len(module.c) <= 40
+    cells = spark.range(1).select(TA.dyadic_cells(F.lit(1000).cast("bigint")).alias("c")).first().c
+    assert [(c.level, c.cell) for c in cells] == [(k, 1000 >> k) for k in range(TA.LEVELS + 1)]
