@@ -28,11 +28,21 @@ def expanded_tokens(part: Column, patch: int = 28, per_second: float = 25.0, per
 
 
 def flat_content(parts: Column) -> Column:
-    """Visits the parts in order: text is escaped, an attachment becomes its placeholder, an unknown kind nothing."""
-    one = lambda p: F.when(p["kind"] == "text", escape(F.coalesce(p["text"], F.lit("")))).when(
-        p["kind"].isin(*KINDS), F.concat(F.lit("<|"), p["kind"], F.lit("|>"))
-    ).otherwise("")
-    return F.concat_ws("", F.transform(F.coalesce(parts, F.array().cast(PARTS)), one))
+    """Visits the parts in order: text is escaped, an attachment becomes its placeholder, an unknown kind nothing.
+
+    Texts that follow each other, also over unknown kinds, are escaped as one, so that no control string comes together at a seam.
+    """
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("open"))
+
+    def visit(seen, p):
+        mark = F.concat(F.lit("<|"), p["kind"], F.lit("|>"))
+        more = F.concat(seen["open"], F.when(p["kind"] == "text", F.coalesce(p["text"], F.lit(""))).otherwise(""))
+        attached = F.coalesce(p["kind"].isin(*KINDS), F.lit(False))
+        done = F.when(attached, F.concat(seen["done"], escape(seen["open"]), mark)).otherwise(seen["done"])
+        return F.struct(done.alias("done"), F.when(attached, F.lit("")).otherwise(more).alias("open"))
+
+    end = lambda seen: F.concat(seen["done"], escape(seen["open"]))
+    return F.aggregate(F.coalesce(parts, F.array().cast(PARTS)), start, visit, end)
 
 
 def attachments(parts: Column) -> Column:

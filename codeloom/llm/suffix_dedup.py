@@ -13,6 +13,8 @@ from codeloom.llm.scratch import Scratch
 SEED = 16
 SHALLOW = 32
 PASSAGE = 250
+# Suffixes that a task sorts; their bytes and marks take about a kilobyte each.
+RANGE = 40_000
 NO_ID = (1 << 63) - 1
 
 
@@ -346,7 +348,8 @@ def dedup_bytes(docs: DataFrame, carry: list[str], window: int = 400, scratch: S
     bytes_of = store.dropDuplicates(["d", "t"]).join(wanted, ["d", "t"]).select("text", "wanted")
     columns = "key bigint, around bigint, n bigint, back binary, suffix binary"
     suffixes = scratch.cut(bytes_of.mapInArrow(_contexts(window), columns), "bytes")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A task's range is held whole, so there are as many ranges as rows ask for.
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-suffixes.count() // RANGE))
     reached = suffixes.repartitionByRange(n, "key", "back").sortWithinPartitions("key", "back").mapInArrow(_reach, columns + ", reach int")
     reached = scratch.cut(reached, "reach")
     runs = reached.repartitionByRange(n, "suffix", "back").mapInArrow(_repeats(window), "key bigint, around bigint, lo int, hi int, window binary, single boolean")
@@ -360,12 +363,12 @@ def dedup_bytes(docs: DataFrame, carry: list[str], window: int = 400, scratch: S
     met = crossing.filter("single").join(met, same)
     alone = contexts.filter("n > 1").select("key", "around", F.lit(0).alias("lo"), F.lit(_span(window) - 1).alias("hi"))
     all_runs = runs.filter("window is null").drop("window", "single").unionByName(met.select("key", "around", "lo", "hi")).unionByName(alone)
-    by_context = all_runs.groupBy("key", "around").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+    by_context = scratch.cut(all_runs.groupBy("key", "around").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")), "by_context")
     spans = candidates.join(by_context, ["key", "around"]).select("d", "t", "at", F.inline("runs"))
     spans = spans.groupBy("d", "t").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("spans"))
     cut = store.dropDuplicates(["d", "t"]).join(spans, ["d", "t"]).select(F.struct("d", "t").alias("row"), "text", "spans")
     cut = scratch.cut(cut.mapInArrow(_cut(window), "row struct<d:bigint,t:bigint>, n_removed bigint, n_spans bigint, kept binary, kept_text string"), "cut")
-    scratch.drop(to_sort, store, candidates, contexts, runs)
+    scratch.drop(to_sort, store, candidates, contexts, runs, by_context)
 
     all_gone = (F.col("n") > 1) & (F.col("n_bytes") >= window)
     settled = texts.join(cut.select("row.*", "n_removed", "n_spans", "kept", "kept_text"), ["d", "t"], "left")

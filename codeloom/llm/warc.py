@@ -1,8 +1,9 @@
 """WARC records and the resolution of not-modified revisits."""
 
-import gzip
 import hashlib
-from datetime import datetime
+import re
+import zlib
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -52,10 +53,44 @@ def _fields(block: bytes) -> dict[str, str]:
     return out
 
 
+def _plain(data: bytes) -> bytes:
+    """What can be read of a gzip file, member by member, up to the first broken one."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(zlib.MAX_WBITS | 16)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            # The bytes before the fault are read in small steps.
+            member = zlib.decompressobj(zlib.MAX_WBITS | 16)
+            try:
+                for a in range(0, len(data), 64):
+                    out.append(member.decompress(data[a : a + 64]))
+            except zlib.error:
+                break
+        if not member.eof:
+            break
+        data = member.unused_data
+    return b"".join(out)
+
+
+def _second(text: str | None) -> int | None:
+    """Seconds of an ISO 8601 time, UTC where it names no zone."""
+    try:
+        when = datetime.fromisoformat(text or "")
+        return int((when if when.tzinfo else when.replace(tzinfo=UTC)).timestamp())
+    except (ValueError, OverflowError):
+        return None
+
+
 def parse_warc(data: bytes):
-    """The records of one WARC file, plain or gzip; a broken tail ends the file."""
+    """The records of one WARC file, plain or gzip.
+
+    A broken or cut-off compressed member and a record without a length in plain digits end the file; what
+    comes before is kept, and of a record that would end after the file what is there.  A status that is not three digits, or a time that is none, is null.
+    """
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = _plain(data)
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.find(b"\r\n\r\n", at)
@@ -63,22 +98,18 @@ def parse_warc(data: bytes):
             return
         warc = _fields(data[at:end])
         length = warc.get("content-length", "")
-        if not length.isdigit():
+        if not re.fullmatch("[0-9]{1,18}", length):
             return
         block = data[end + 4 : end + 4 + int(length)]
         at = end + 4 + int(length)
         head, _, payload = block.partition(b"\r\n\r\n")
         http = _fields(head)
-        status = head[:20].split(b" ")[1:2]
-        try:
-            when = int(datetime.fromisoformat(warc["warc-date"]).timestamp())
-        except (KeyError, ValueError):
-            when = None
+        status = re.match(rb"HTTP/[^ ]* ([0-9]{3})(?![0-9])", head)
         kind = warc.get("warc-type")
         digest = warc.get("warc-payload-digest", "").removeprefix("md5:") or (hashlib.md5(payload).hexdigest() if kind == "response" else None)
         yield {
-            "record_id": warc.get("warc-record-id", "").strip("<>") or None, "kind": kind, "url": warc.get("warc-target-uri"), "at": when,
-            "status": int(status[0]) if status and status[0].isdigit() else None, "etag": http.get("etag"), "last_modified": http.get("last-modified"),
+            "record_id": warc.get("warc-record-id", "").strip("<>") or None, "kind": kind, "url": warc.get("warc-target-uri"), "at": _second(warc.get("warc-date")),
+            "status": int(status[1]) if status else None, "etag": http.get("etag"), "last_modified": http.get("last-modified"),
             "payload_digest": digest, "headers": list(http.items()), "length": len(payload),
         }
 
@@ -107,7 +138,7 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 86_400, scratch:
 
     A full response (kind response, status 200) resolves to itself.  A revisit resolves to the latest full response of its
     canonical url with an earlier time, of several at one time the one with the largest record_id.  Verdicts: ``full``; ``orphan`` (no such
-    response, or no url or time); ``changed`` (a validator that the revisit gives - ETag compared weakly, Last-Modified, payload digest -
+    response, one without a record_id, or no url or time); ``changed`` (a validator that the revisit gives - ETag compared weakly, Last-Modified, payload digest -
     differs); ``unverified`` (it gives none); ``resolved``; ``other`` for all other records.  ``merged`` holds the response's headers
     with the permitted ones of a resolved revisit in place of its own.  Repeated rows are resolved alike.
 

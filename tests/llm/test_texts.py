@@ -378,3 +378,49 @@ def test_pipeline_stages(spark, odd, none, tmp_path):
             out.count()
     got = P.run(spark, str(tmp_path))
     assert got.columns == ["doc_id", "text", "source", "n_chars"] and got.count() > 0
+
+
+def test_no_control_string_comes_together_at_a_seam(spark):
+    """Every split of every control string over two text parts, also with nothing or an unknown kind between them, reads back."""
+    from codeloom.llm import chat_format as C
+
+    names = ["start", "message", "end", "image", "audio", "document", "im_start", "im_end", "endoftext"]
+    control = [f"<|{n}|>" for n in names] + ["<s>", "</s>", "[INST]", "[/INST]"]
+    splits = [("a " + c[:i], c[i:] + " b") for c in control for i in range(1, len(c))] + [("\\", "<|end|>"), ("<", "|end|>\\"), ("a\\", "\\b")]
+    rows, want = [], {}
+    for i, (a, b) in enumerate(splits):
+        text = lambda t: ("text", t, None, None, None, None, None)
+        for k, between in enumerate(([], [text("")], [("video", "x", None, None, None, None, None)], [text(None)])):
+            rows.append((i * 10 + k, 0, "user", [text(a), *between, text(b)]))
+            want[i * 10 + k] = a + b
+    out = C.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {C.PARTS}"))
+    got = out.select("conv_id", "formatted", C.read_turns(F.col("formatted")).alias("turns")).collect()
+    assert {r.conv_id: [t.text for t in r.turns] for r in got} == {c: [t] for c, t in want.items()}
+    for r in got:
+        body = r.formatted.removeprefix("<|start|>user<|message|>").removesuffix("<|end|>")
+        assert not any(c in body for c in control)
+
+
+def test_broken_warc_files_end_where_they_break(spark):
+    """Cut-off and damaged gzip members, lengths in other digits, records longer than the file, odd statuses and times."""
+    import gzip
+
+    from codeloom.llm.warc import read_warc
+
+    def record(n, status="200", length=None, date="2024-01-01T00:00:00Z"):
+        block = f"HTTP/1.1 {status} OK\r\nETag: e\r\n\r\nbody".encode()
+        size = len(block) if length is None else length
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <r{n}>\r\nWARC-Target-URI: http://h/{n}\r\nWARC-Date: {date}\r\nContent-Length: {size}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    one, two = gzip.compress(record(1)), gzip.compress(record(2) * 50)
+    damaged = bytearray(two)
+    damaged[-6] ^= 1  # the checksum
+    files = [one + two, one + two[:-20], one + bytes(damaged), one + b"junk", two[:5], record(1) + record(2, length="²") + record(3),
+             record(1) + record(2, length=10**30), record(1) + record(2, length=500), record(1, status="99999999999"), record(1, date="no"), record(1, date="2024-01-01T00:00:00"), b"", None]
+    df = spark.createDataFrame([(i, None if f is None else bytearray(f)) for i, f in enumerate(files)], "n int, content binary")
+    got = {i: [(r.record_id, r.status, r.at) for r in read_warc(df.where(F.col("n") == i)).collect()] for i in range(len(files))}
+    r1, r2 = ("r1", 200, 1704067200), ("r2", 200, 1704067200)
+    assert got[0] == [r1] + [r2] * 50 and got[1][0] == r1 and got[2][:1] == [r1] and len(got[2]) >= 1
+    assert got[3] == got[5] == got[6] == [r1] and got[7] == [r1, r2] and got[4] == []
+    assert got[8] == [("r1", None, 1704067200)] and got[9] == [("r1", 200, None)] and got[10] == [r1] and got[11] == got[12] == []
