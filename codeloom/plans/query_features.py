@@ -218,8 +218,8 @@ def node_index(spark, sf):
 
 @query(
     "indexed_edges", "N7 N8",
-    ORDER_GRAPH_SQL
-    + ", i AS (SELECT file, id, row_number() OVER (PARTITION BY file ORDER BY id) - 1 AS idx FROM nodes) "
+    ORDER_GRAPH_SQL.replace("edges AS (", "edges AS MATERIALIZED (").replace("nodes AS (", "nodes AS MATERIALIZED (")
+    + ", i AS MATERIALIZED (SELECT file, id, row_number() OVER (PARTITION BY file ORDER BY id) - 1 AS idx FROM nodes) "
     "SELECT e.file, a.idx AS src_idx, b.idx AS dst_idx, CASE kind WHEN 'AST' THEN 0 WHEN 'CFG' THEN 1 WHEN 'DFG' THEN 2 ELSE 0 END AS kind_code "
     "FROM edges e JOIN i a ON a.file = e.file AND a.id = e.src JOIN i b ON b.file = e.file AND b.id = e.dst",
 )

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from codeloom.plans.registry import query
 from codeloom.plans.views import VIEWS, sql, table
-from codeloom.session import scratch_path
+from codeloom.session import buckets, scratch_path
 from codeloom.streaming import jobs as S
 
 
@@ -12,11 +12,14 @@ WEEKS = ((1, 7), (8, 14), (15, 21), (22, 31))
 
 
 def _events(spark, sf):
-    """The events as a file stream of four micro-batches: a copy split by time, one file after the other."""
+    """The events as a file stream of four micro-batches: a copy split by time, each part some files; rows without a time come last."""
     rows, path = table(spark, sf, "events"), scratch_path(spark, "events")
+    day = F.coalesce(F.dayofmonth("ts"), F.lit(WEEKS[-1][1]))
+    # As many files for each part, or a micro-batch would reach into the next one.
+    files = max(1, min(buckets(spark), rows.count() // 100))
     for first, last in WEEKS:
-        rows.where(F.dayofmonth("ts").between(first, last)).coalesce(1).write.mode("append").parquet(path)
-    return S.file_stream(spark, path, rows.schema, files=1)
+        rows.where(day.between(first, last)).repartition(files).write.mode("append").parquet(path)
+    return S.file_stream(spark, path, rows.schema, files=files)
 
 
 def _late(spark, sf):
