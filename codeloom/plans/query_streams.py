@@ -119,6 +119,20 @@ def stream_live_rows(spark, sf):
     return done.agg(F.count(F.lit(1)).alias("live"))
 
 
+@query(
+    "stream_expired_keys", "R6",
+    "WITH k AS (SELECT user_id * 5 + length(event_type) % 5 AS key, max(ts) + INTERVAL 36 HOUR AS until FROM events WHERE ts IS NOT NULL GROUP BY 1), "
+    "w AS (SELECT max(ts) - INTERVAL 1 DAY AS watermark FROM events) "
+    "SELECT key, CASE WHEN until <= watermark THEN 'expired' ELSE 'live' END AS status, strftime(until, '%Y-%m-%d %H:%M:%S') AS until FROM k, w",
+)
+def stream_expired_keys(spark, sf):
+    """Keys live for 36 hours after their last event; the state forgets them by itself."""
+    e = _late(spark, sf).select(F.expr("user_id * 5 + length(event_type) % 5").alias("key"), "ts", F.expr("ts + INTERVAL 36 HOURS").alias("until"))
+    path = scratch_path(spark, "expiring")
+    S.run_batches(S.expiring_rows(e, "key", "ts", "until"), "expiring", S.keep_epochs(path), "update", rocksdb=True)
+    return S.newest_rows(spark, path, ["key"]).select("key", "status", F.date_format("until", "yyyy-MM-dd HH:mm:ss").alias("until"))
+
+
 @query(
     "stream_first_findings", "R7",
     "SELECT DISTINCT md5(CAST(user_id AS VARCHAR) || event_type) AS fingerprint FROM events",

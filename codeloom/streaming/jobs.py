@@ -9,7 +9,9 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from codeloom.operators.ordered import seconds
 from codeloom.operators.taint import tainted_calls
@@ -17,6 +19,8 @@ from codeloom.operators.tenancy import audit_id, expiry
 from codeloom.session import delete, scratch_path
 from codeloom.sources.taint_log import taint_records
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 JOB_DAYS, AUDIT_DAYS = 30, 365
 MAX_RECEIVES = 3
 FINAL = ("completed", "failed", "done")
@@ -43,13 +47,25 @@ def run_to_end(stream: DataFrame, label: str, mode: str = "append") -> DataFrame
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, label: str, handle: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
-    q = (
-        stream.writeStream.foreachBatch(handle).outputMode(mode)
-        .option("checkpointLocation", scratch_path(stream.sparkSession, f"{label}-state"))
-        .trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
+def run_batches(
+    stream: DataFrame, label: str, handle: Callable[[DataFrame, int], None], mode: str = "append", rocksdb: bool = False,
+    state: str | None = None,
+) -> StreamingQuery:
+    """Runs everything that is there; ``state`` names the checkpoint of a stream that goes on, ``rocksdb`` asks for that state store."""
+    conf = stream.sparkSession.conf
+    before = conf.get(STATE_STORE, None)
+    if rocksdb:
+        conf.set(STATE_STORE, ROCKSDB)
+    try:
+        q = (
+            stream.writeStream.foreachBatch(handle).outputMode(mode)
+            .option("checkpointLocation", state or scratch_path(stream.sparkSession, f"{label}-state"))
+            .trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
+    finally:
+        if rocksdb:
+            conf.unset(STATE_STORE) if before is None else conf.set(STATE_STORE, before)
     return q
 
 
@@ -197,6 +213,46 @@ def live_rows(rows: DataFrame, expires: str, now: Column) -> DataFrame:
     return rows.where(F.col(expires) > now)
 
 
+class _Expiring(StatefulProcessor):
+    """Holds the time until which each key lives; a timer ends it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", T.StructType([T.StructField("until", T.LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues):
+        old = self.until.get()[0] if self.until.exists() else None
+        new = max([int(part["until"].max()) for part in rows] + ([] if old is None else [old]))
+        if new != old and new > timerValues.getCurrentWatermarkInMs():  # what has ended before it came never lived
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(new)
+            self.until.update((new,))
+            yield pd.DataFrame({"key": [key[0]], "status": ["live"], "until": [new]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.until.clear()
+        yield pd.DataFrame({"key": [key[0]], "status": ["expired"], "until": [expiredTimerInfo.getExpiryTimeInMs()]})
+
+    def close(self) -> None:
+        pass
+
+
+def expiring_rows(rows: DataFrame, key: str, time: str, expires: str, late: str = "1 day") -> DataFrame:
+    """key, status (live or expired), until: changes of a keyed state in which each key lives until its latest expiry.
+
+    A row that comes puts its key's end off; when the watermark, ``late`` behind the newest ``time``, reaches the end, the
+    key is dropped from the state and reported as expired, whether or not anything reads it.  A key that comes again lives again.
+    Needs the RocksDB state store, see ``run_batches``; rows without a key or an expiry are left out.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    ends = rows.where(F.col(key).isNotNull() & F.col(expires).isNotNull()).withWatermark(time, late)
+    ends = ends.select(F.col(key).alias("key"), time, F.unix_millis(F.col(expires).cast("timestamp")).alias("until"))
+    return ends.groupBy("key").transformWithStateInPandas(
+        _Expiring(), outputStructType=f"key {kind}, status string, until bigint", outputMode="Update", timeMode="EventTime"
+    ).withColumn("until", F.timestamp_millis("until"))
+
+
 def first_findings(findings: DataFrame, time: str = "created_at", within: str = "30 days") -> DataFrame:
     """Findings without repeats of a fingerprint inside the watermark."""
     return findings.withWatermark(time, within).dropDuplicatesWithinWatermark(["fingerprint"])

@@ -199,3 +199,24 @@ def test_dyadic_covers(spark):
     assert len(module.c) <= 40
     cells = spark.range(1).select(TA.dyadic_cells(F.lit(1000).cast("bigint")).alias("c")).first().c
     assert [(c.level, c.cell) for c in cells] == [(k, 1000 >> k) for k in range(TA.LEVELS + 1)]
+
+
+def test_expiry_is_keyed_state_that_survives_a_restart(spark):
+    """Keys end by themselves when the watermark passes their last expiry, also in a later run of the same stream."""
+    src, out, state = (scratch_path(spark, n) for n in ("src", "expiring", "expiring-state"))
+
+    def add(*rows):
+        df = spark.createDataFrame([*rows], "id long, at long").select("id", F.timestamp_seconds("at").alias("ts"), F.timestamp_seconds(F.col("at") + 60).alias("until"))
+        df.coalesce(1).write.mode("append").parquet(src)
+        stream = S.file_stream(spark, src, df.schema)
+        S.run_batches(S.expiring_rows(stream, "id", "ts", "until", "10 seconds"), "expiring", S.keep_epochs(out), "update", rocksdb=True, state=state)
+        return {r.key: (r.status, int(r.until.timestamp())) for r in S.newest_rows(spark, out, ["key"]).collect()}
+
+    before = spark.conf.get(S.STATE_STORE, None)
+    assert add((1, 1000), (2, 1030), (None, 1030)) == {1: ("live", 1060), 2: ("live", 1090)}
+    # the second key is put off by a row of the new run, the first one has ended
+    assert add((2, 1080), (3, 1081)) == {1: ("expired", 1060), 2: ("live", 1140), 3: ("live", 1141)}
+    assert add((4, 2000)) == {1: ("expired", 1060), 2: ("expired", 1140), 3: ("expired", 1141), 4: ("live", 2060)}
+    # a key that comes again lives again; a row that is late beyond the watermark takes no part
+    assert add((1, 1999), (5, 1000))[1] == ("live", 2059)
+    assert spark.conf.get(S.STATE_STORE, None) == before
