@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import corpus as C
 from codeloom.plans import graphs as PG
+from codeloom.operators.near_copies import near_copy_classes as near_copies_of
 from codeloom.plans.registry import query
 from codeloom.plans.views import ORDER_GRAPH_SQL, order_nodes, sql, table, view
 from codeloom.session import scratch_path
@@ -183,12 +184,51 @@ def training_data_counts(spark, sf):
     return rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("near_copies", "D3")
+# Word shingles of documents, and the smallest document of each set of them.
+_SHINGLES = r"""
+    WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents),
+    s AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS x FROM w),
+    n AS (SELECT doc_id, count(*) AS n, sum(hash(x)::HUGEINT) AS h FROM s GROUP BY doc_id),
+    equal AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY n, h) AS equal_to FROM n),
+    sets AS MATERIALIZED (SELECT doc_id, n, x FROM equal JOIN s USING (doc_id) WHERE doc_id = equal_to)
+"""
+
+
+@query(
+    "near_copies", "D3",
+    _SHINGLES
+    + """
+    SELECT a.doc_id AS a, b.doc_id AS b, round(count(*) / (a.n + b.n - count(*)), 6) AS similarity
+    FROM sets a JOIN sets b ON a.x = b.x AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9
+    UNION ALL SELECT equal_to, doc_id, 1.0 FROM equal WHERE doc_id <> equal_to
+    """,
+)
 def near_copies(spark, sf):
     """Near copies among all documents; tests compare it with all pairs of a small table."""
     return C.near_copies(table(spark, sf, "documents"), "text", "doc_id").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@query(
+    "near_copy_classes", "D3",
+    _SHINGLES
+    + """,
+    alike AS (
+        SELECT a.doc_id AS u, b.doc_id AS v FROM sets a JOIN sets b ON a.x = b.x AND a.doc_id < b.doc_id
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+    ways AS MATERIALIZED (SELECT u, v FROM alike UNION ALL SELECT v, u FROM alike),
+    reach AS (SELECT doc_id AS u, doc_id AS top FROM equal WHERE doc_id = equal_to UNION SELECT ways.v, least(reach.top, ways.v) FROM reach JOIN ways ON ways.u = reach.u),
+    tops AS (SELECT u, min(top) AS class_id FROM reach GROUP BY u)
+    SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, equal_to FROM equal JOIN tops ON tops.u = equal.equal_to
+    """,
+)
+def near_copy_classes(spark, sf):
+    """The class of near copies that each document belongs to."""
+    return near_copies_of(table(spark, sf, "documents"), "text", "doc_id").withColumnRenamed("key", "doc_id")
+
+
 _LENGTH = "CAST(length({0}) AS BIGINT)"
 
 

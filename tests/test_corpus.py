@@ -297,6 +297,49 @@ def test_near_copies_between_the_middle_and_exact_copies(spark):
     assert len(got) == len(dict(got)) and dict(got) == want and sum(500 in p for p in want) > 100
 
 
+def test_near_copy_classes_equal_all_pairs(spark, monkeypatch):
+    """Chains, stars, short, empty and null texts, copies, repeated and null keys; few counters and small cells change nothing."""
+    import random
+
+    from codeloom.operators import near_copies as NC
+
+    r = random.Random(4)
+    rows = []
+    for g in range(25):
+        base = [f"w{r.randrange(400)}" for _ in range(r.choice([7, 20, 60, 150]))]
+        for c in range(r.randrange(1, 7)):
+            rows.append((g * 10 + c, " ".join(base)))
+            at = r.randrange(len(base))
+            base = base[:at] + [f"new{g}x{c}"] * r.randrange(2) + base[at + 1 :]
+    star = [f"b{i}" for i in range(200)]
+    for c in range(80):
+        at = r.randrange(0, 186)
+        rows.append((1000 + c, " ".join(star[:at] + [f"x{c}y{i}" for i in range(14)] + star[at + 14 :])))
+    rows += [(2000, " ".join(star)), (2001, " ".join(star).upper()), (2002, None), (2003, " \n"), (2004, "a b"), (2005, "A  b"), (None, "a b"), (2004, rows[0][1])]
+    sets = [(k, frozenset(NC.shingle_digests(t, 5).tolist())) for k, t in rows if k is not None]
+    different = sorted({s for _, s in sets}, key=sorted)
+    top = {s: s for s in different}
+
+    def find(s):
+        return s if top[s] == s else find(top[s])
+
+    for i, a in enumerate(different):
+        for b in different[i + 1 :]:
+            if len(a & b) >= 0.8 * len(a | b) - 1e-12:
+                top[find(a)] = find(b)
+    classes = {}
+    for k, s in sets:
+        classes.setdefault(find(s), []).append(k)
+    want = sorted((k, min(classes[find(s)]), len(classes[find(s)]), min(x for x, y in sets if y == s)) for k, s in sets)
+    df = spark.createDataFrame([(k, t, "c", 1) for k, t in rows], "id long, t string, class_id string, n int")
+    got = sorted(tuple(x) for x in NC.near_copy_classes(df, "t", "id").collect())
+    assert got == want and any(n > 60 for _, _, n, _ in got)
+    monkeypatch.setattr(NC, "CELLS", 64)
+    monkeypatch.setattr(NC, "PAGE", 16)
+    assert sorted(tuple(x) for x in NC.near_copy_classes(df, "t", "id").collect()) == want
+    assert NC.near_copy_classes(df.limit(0), "t", "id").count() == 0
+
+
 def test_held_out_rows_are_never_fitted(spark):
     from codeloom.operators import models as MD
 
