@@ -38,12 +38,12 @@ def near_copy_classes(rows: DataFrame, text: str, key: str, least: float = 0.8,
     """
     kind = rows.schema[key].dataType.simpleString()
     own = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    signed = cut_lineage(own.mapInArrow(_signed(words), f"key {kind}, whole string"), "signed")
+    signed = cut_lineage(own.mapInArrow(_signed(words), f"key {kind}, whole binary"), "signed")
     first = cut_lineage(signed.groupBy("whole").agg(F.min("key").alias("key")), "first")
     # A repeated key may hold several texts, so a set is named by its digest.
-    wanted = own.join(first.select("key").distinct(), "key").mapInArrow(_sets(words), "node string, n bigint, digests binary")
+    wanted = own.join(first.select("key").distinct(), "key").mapInArrow(_sets(words), "node binary, n bigint, digests binary")
     sets = cut_lineage(wanted.dropDuplicates(["node"]), "sets")
-    members = sets.mapInArrow(_prefixes(_rarity(sets), least), "node string, n bigint, bucket bigint")
+    members = sets.mapInArrow(_prefixes(_rarity(sets), least), "node binary, n bigint, bucket bigint")
     members = cut_lineage(members, "prefixes")
     several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("bucket")
     shared = cut_lineage(members.join(cut_lineage(several, "several"), "bucket"), "members")
@@ -59,15 +59,16 @@ def near_copy_classes(rows: DataFrame, text: str, key: str, least: float = 0.8,
     return signed.join(of_set, "whole").select("key", "class_id", "class_size", "equal_to")
 
 
-def _whole(digests: np.ndarray) -> str:
-    return hashlib.sha256(digests.tobytes()).hexdigest()
+def _whole(digests: np.ndarray) -> bytes:
+    """A set's name, short as it stands in every row of its prefix."""
+    return hashlib.blake2b(digests.tobytes(), digest_size=16).digest()
 
 
 def _signed(words: int):
     def run(batches):
         for batch in batches:
             whole = [_whole(shingle_digests(t.as_py(), words)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.string())], names=["key", "whole"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.binary())], names=["key", "whole"])
 
     return run
 
@@ -77,7 +78,7 @@ def _sets(words: int):
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 found = [shingle_digests(t.as_py(), words) for t in batch.column(1).slice(a, 256)]
-                cols = [pa.array([_whole(s) for s in found], pa.string()), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())]
+                cols = [pa.array([_whole(s) for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["node", "n", "digests"])
 
     return run
