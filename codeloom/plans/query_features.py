@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from codeloom.operators import best_pairs as BP
 from codeloom.operators import features as FT
 from codeloom.operators import graph_build as G
 from codeloom.operators import matching as M
@@ -414,6 +415,23 @@ def top_scored_pairs(spark, sf):
     return FT.top_pairs(s, t, 3, links=False)
 
 
+@query(
+    "best_monotone_pairs", "N18 K3 J7",
+    sql("day_nodes")
+    + ", n AS (SELECT split_part(file, '/', 1) AS project, * FROM day_nodes), "
+    "p AS (SELECT s.project, s.id AS source_id, t.id AS sink_id, CAST(least(s.sl + 2 * t.sc, 40 * s.sc) + s.sc * t.el / 64.0 AS DOUBLE) AS score "
+    "FROM n s JOIN n t ON s.project = t.project AND s.id <> t.id WHERE s.kind IN ('Call', 'Name') AND t.kind IN ('Stmt', 'Name')) "
+    "SELECT project, source_id, sink_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY score DESC, source_id, sink_id) AS r FROM p) WHERE r <= 5",
+)
+def best_monotone_pairs(spark, sf):
+    """A scorer that is neither linear nor a sum of sides, over whole projects."""
+    d = view(spark, sf, "day_nodes").withColumn("project", F.split_part("file", F.lit("/"), F.lit(1)))
+    score = lambda s, t: F.least(s["sl"] + 2 * t["sc"], 40 * s["sc"]) + s["sc"] * t["el"] / 64
+    return BP.best_pairs(
+        d.where("kind IN ('Call', 'Name')"), d.where("kind IN ('Stmt', 'Name')"), 5, score, ["sl", "sc"], ["sc", "el"], "project"
+    )
+
+
 @query(
     "candidate_pair_counts", "J7",
     sql("day_nodes") + _PARTS + " SELECT s.file, count(*) AS pairs FROM s JOIN t ON s.file = t.file AND s.id <> t.id GROUP BY s.file",
