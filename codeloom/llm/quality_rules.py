@@ -14,6 +14,12 @@ BOILERPLATE = re.compile(
     rb"(?i)all rights reserved|privacy policy|terms of (?:use|service)|accept (?:all )?cookies|use cookies"
     rb"|enable javascript|lorem ipsum|click here|read more|sign up now|log ?in to"
 )
+# Phrases that prose can hold as well: only a short line without closing punctuation is boilerplate by them.
+FURNITURE = re.compile(
+    rb"(?i)\b(?:back to top|skip to (?:main )?content|leave a (?:comment|reply)|powered by|follow us|cookie policy"
+    rb"|terms and conditions|view all|next page|previous page|share (?:this|on)|posted (?:by|in|on)|sign in|add to cart)\b"
+)
+SEPARATOR = re.compile(" (?:[|>/]|::|·|•|»|›|→)(?= )".encode())
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 ENDS = (b".", b"!", b"?", b":", b";", b'"', b"'", b")", b"]", "…".encode(), "”".encode(), "»".encode(), "。".encode())
@@ -24,28 +30,44 @@ SCHEMA = (
 )
 
 
+def finished(line: bytes) -> bool:
+    """The line ends in closing punctuation, or a sentence ends inside it."""
+    return line.rstrip().endswith(ENDS) or b". " in line
+
+
 def line_verdict(line: bytes, words: int, symbols: int, unfinished_words: int) -> str | None:
-    """Why a line fails, or None.
+    """Why a line fails by itself, or None.
 
-    navigation: three or more separators between items.  symbols: more than three marks of ``#*$%&|<>`` in
-    ten words.  shouting: three words in ten or more end in two exclamation marks.  boilerplate: a fixed phrase
-    of page furniture in a line of 20 words or fewer.  unfinished: ``unfinished_words`` words or more
-    without closing punctuation and with no sentence end inside.
+    navigation: three or more separators between items, or two in an unfinished line of 12 words or fewer.  symbols: more
+    than three marks of ``#*$%&|<>`` in ten words.  shouting: three words in ten or more end in two exclamation marks.
+    boilerplate: a fixed phrase of page furniture in a line of 20 words or fewer; phrases that prose can hold count in
+    unfinished lines only.  unfinished: ``unfinished_words`` words or more without closing punctuation and with no sentence
+    end inside.
     """
-    if line.count(b" | ") >= 3 or line.count(" » ".encode()) >= 3:
+    separators = len(SEPARATOR.findall(line))
+    if separators >= 3 or separators == 2 and words <= 12 and not finished(line):
         return "navigation"
     if symbols * 10 > words * 3:
         return "symbols"
     if line.count(b"!!") * 10 >= words * 3:
         return "shouting"
-    if words <= 20 and BOILERPLATE.search(line):
+    if words <= 20 and (BOILERPLATE.search(line) or FURNITURE.search(line) and not finished(line)):
         return "boilerplate"
-    if words >= unfinished_words and not line.rstrip().endswith(ENDS) and b". " not in line:
+    if words >= unfinished_words and not finished(line):
         return "unfinished"
     return None
 
 
-def _features(texts: list[bytes], unfinished_words: int, with_text: bool):
+def loose(line: bytes, words: int, following: bytes) -> bool:
+    """An unfinished line that may be an item of a list of links, captions or fragments.
+
+    A line of six words or more that starts, or is followed by a line that starts, in a small letter is wrapped prose.
+    """
+    wrapped = words >= 6 and (line.lstrip()[:1].islower() or following.lstrip()[:1].islower())
+    return not finished(line) and not wrapped
+
+
+def _features(texts: list[bytes], unfinished_words: int, run_lines: int, with_text: bool):
     buf, first, _ = A.joined(texts)
     n = len(texts)
     starts, ends = A.word_spans(buf)
@@ -82,10 +104,13 @@ def _features(texts: list[bytes], unfinished_words: int, with_text: bool):
     kept_words, kept_text, current = np.zeros(n, np.int64), [[] for _ in range(n)], -1
     raw = buf.tobytes()
     line_marks = marks[feeds] - marks[heads]
-    for i in filled.tolist():
+    run: list[int] = []  # words of the loose lines of this run that are still kept
+    length = 0  # loose lines of this run
+    at = filled.tolist()
+    for i, after_i in zip(at, [*at[1:], None], strict=True):
         d = int(line_owner[i])
         if d != current:
-            seen, current = set(), d
+            seen, current, run, length = set(), d, [], 0
         line, words = raw[heads[i] : feeds[i]], int(line_words[i])
         if line in seen:
             dup[d] += 1
@@ -94,22 +119,37 @@ def _features(texts: list[bytes], unfinished_words: int, with_text: bool):
         seen.add(line)
         if line_verdict(line, words, int(line_marks[i]), unfinished_words):
             lost[d] += 1
+            continue
+        following = b"" if after_i is None or line_owner[after_i] != d else raw[heads[after_i] : feeds[after_i]]
+        if not loose(line, words, following):
+            run, length = [], 0
         else:
-            kept_words[d] += words
-            if with_text:
-                kept_text[d].append(line)
+            length += 1
+            if length >= run_lines:
+                lost[d] += len(run) + 1
+                kept_words[d] -= sum(run)
+                if with_text and run:
+                    del kept_text[d][-len(run) :]
+                run = []
+                continue
+            run.append(words)
+        kept_words[d] += words
+        if with_text:
+            kept_text[d].append(line)
     return n_words, word_chars, n_symbols, dup, n_repeat, kept_words, lines, lost, [b"\n".join(x) for x in kept_text]
 
 
 def judged(
     docs: DataFrame, carry: list[str], min_words: int = 50, repeat_percent: int = 50,
-    least_kept: float = 0.5, unfinished_words: int = 60, with_text: bool = False,
+    least_kept: float = 0.5, unfinished_words: int = 60, run_lines: int = 4, with_text: bool = False,
 ) -> DataFrame:
     """Base features, line rules and the verdict of each document, next to the ``carry`` columns in the struct ``row``.
 
     A document fails the base test with fewer than ``min_words`` words, or when more than ``repeat_percent`` of
     its words lie in three-word windows that occur twice.  It fails the line test when less than the share
-    ``least_kept`` of its words is left after failing lines and repeats of earlier lines are gone.
+    ``least_kept`` of its words is left after failing lines, repeats of earlier lines and runs of ``run_lines`` or more
+    ``loose`` lines are gone; blank, failing and repeated lines neither count in a run nor end it.  Verse without
+    punctuation and program code are such runs too.
     Null and empty texts have no words and so fail; rows repeat in the result as they do in the input; columns
     besides ``text`` are carried only where named.  No shuffle; memory follows the longest text.
     """
@@ -117,7 +157,7 @@ def judged(
     def run(batches):
         for batch in batches:
             for a, b, texts in A.slices(batch.column(1)):
-                got = _features(texts, unfinished_words, with_text)
+                got = _features(texts, unfinished_words, run_lines, with_text)
                 cleaned = pa.array([t.decode("utf-8", "ignore") if with_text else None for t in got[8]], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, got[:8]), cleaned], names=names)
 

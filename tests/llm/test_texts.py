@@ -1,7 +1,9 @@
 """URL rules, chats, decontamination, mixing, token counts, WARC, quality rules and the pipeline."""
 
 import hashlib
+import itertools
 import random
+import re
 from collections import Counter
 
 import public_tokenizers
@@ -344,6 +346,57 @@ def test_quality_features(spark, odd, odd_texts, none):
     assert Q.quality(none).count() == 0 and Q.keep_good(df).columns == df.columns
 
 
+def plain_lines(text, unfinished=60, run_lines=4):
+    """Kept lines and the number of lost ones, rule by rule over lists."""
+    word = re.compile("[^\\x20\\x09-\\x0D]+")
+    ends = tuple(".!?:;\"')]…”»。")
+    lines = [x for x in (text or "").split("\n") if word.search(x)]
+    done = [x.rstrip(" \t\r\v\f").endswith(ends) or ". " in x for x in lines]
+    n = [len(word.findall(x)) for x in lines]
+    small = [x.strip(" \t\r\v\f")[:1] in set("abcdefghijklmnopqrstuvwxyz") for x in lines]
+    fails = []
+    for i, x in enumerate(lines):
+        marks = sum(x.count(c) for c in "#*$%&|<>")
+        bars = len(re.findall(" (?:[|>/·•»›→]|::)(?= )", x))
+        fails.append(
+            x in lines[:i] or bars >= 3 or (bars == 2 and n[i] <= 12 and not done[i]) or marks * 10 > n[i] * 3 or x.count("!!") * 10 >= n[i] * 3
+            or (n[i] <= 20 and (Q.BOILERPLATE.search(x.encode()) or (Q.FURNITURE.search(x.encode()) and not done[i]))) or (n[i] >= unfinished and not done[i])
+        )
+    rest = [i for i in range(len(lines)) if not fails[i]]
+    wrapped = [n[i] >= 6 and (small[i] or (i + 1 < len(lines) and small[i + 1])) for i in range(len(lines))]
+    kept = []
+    for is_loose, members in itertools.groupby(rest, lambda i: not done[i] and not wrapped[i]):
+        members = list(members)
+        kept += [] if is_loose and len(members) >= run_lines else members
+    return [lines[i] for i in kept], len(lines) - len(kept)
+
+
+def test_line_verdicts_equal_the_plain_rules(spark, sf, odd_texts):
+    r = random.Random(8)
+    ends = [".", "", "", "!!", ":", " and", ","]
+    parts = ["Home", "news", "a | b", "x > y", "word", "two words", "p / q", "back to top", "$$", "End. Next", "read more", "é", "a longer stretch of six words"]
+    texts = ["\n".join(" ".join(r.choices(parts, k=r.randrange(0, 9))) + r.choice(ends) for _ in range(r.randrange(1, 14))) for _ in range(400)]
+    texts += [t for _, t, _ in odd_texts] + [x.text for x in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = Q.judged(df, ["doc_id"], with_text=True).select("row.doc_id", "kept", "base_failed", "n_words", "kept_words", "cleaned", "lost_lines").collect()
+    assert len(rows) == len(texts)
+    for x in rows:
+        lines, lost = plain_lines(texts[x.doc_id])
+        words = len(re.findall("[^\\x20\\x09-\\x0D]+", "\n".join(lines)))
+        assert (x.cleaned, x.lost_lines, x.kept_words) == ("\n".join(lines), lost, words), texts[x.doc_id]
+        assert x.kept == (not x.base_failed and 2 * words >= x.n_words)
+
+
+def test_menus_crumbs_and_fragments_go_and_wrapped_prose_stays(spark):
+    menu = "".join(f"Item{i} Shop{i}\n" for i in range(60))
+    crumbs = "".join(f"Home{i} > Shop{i} > Shoes{i}\n" for i in range(30))
+    slashes = "".join(f"Home{i} / Shop{i} / Shoes{i}\n" for i in range(30))
+    fragments = "".join("Frag" + " ".join(f"w{i}x{j}" for j in range(20)) + "\n" for i in range(10))
+    prose = "\n".join(("Some " if i == 0 else "") + " ".join(f"t{i}k{j}" for j in range(12)) for i in range(12)) + "."
+    df = spark.createDataFrame(list(enumerate([menu, crumbs, slashes, fragments, prose, prose + "\n" + menu[:90]])), "doc_id long, text string")
+    assert {x.doc_id: x.kept for x in Q.quality(df).collect()} == {0: False, 1: False, 2: False, 3: False, 4: True, 5: True}
+
+
 def test_line_rules(spark, sf):
     prose = "".join(f"Line{i} says{i} what{i} it{i} has{i} to{i} say{i}.\n" for i in range(20))
     cases = {
