@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import signals as SG
 from codeloom.operators import quality as Q
+from codeloom.operators import rollups as RU
 from codeloom.plans import graphs as PG
 from codeloom.plans.registry import query
 from codeloom.plans.views import ORDER_GRAPH_SQL, day_nodes, order_edges, order_nodes, sql, table, view
@@ -135,6 +136,20 @@ def validation_report(spark, sf):
     )
 
 
+@query(
+    "refreshed_cardinalities", "A8",
+    sql("vuln_records")
+    + "SELECT 'cve_id' AS \"column\", count(DISTINCT cve_id) AS \"distinct\" FROM vuln_records WHERE cwe_id IS NULL UNION ALL "
+    "SELECT 'repo_url', count(DISTINCT repo_url) FROM vuln_records WHERE cwe_id IS NULL UNION ALL SELECT 'file_path', count(DISTINCT file_path) FROM vuln_records WHERE cwe_id IS NULL",
+)
+def refreshed_cardinalities(spark, sf):
+    """Distinct values after records with a CWE have gone, from the states of two batches."""
+    r = view(spark, sf, "vuln_records")
+    names = ["cve_id", "repo_url", "file_path"]
+    gone = RU.signed(r.where(F.lit(False)), r.where("cwe_id IS NOT NULL"))
+    return RU.cardinalities(RU.merged_values(RU.value_states(RU.signed(r), names), RU.value_states(gone, names)))
+
+
 @query(
     "corpus_cardinalities", "A8",
     sql("vuln_records") + "SELECT count(*) AS total_records, count(DISTINCT cve_id) AS unique_cves, count(DISTINCT repo_url) AS unique_repos, count(DISTINCT file_path) AS unique_files FROM vuln_records",

@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from codeloom.operators import rollups as RU
 from codeloom.operators import tenancy as TN
 from codeloom.operators import weak_signals as WS
 from codeloom.plans.registry import query
 from codeloom.plans.views import day_nodes, sql, table, view
+from codeloom.session import scratch_path
 
 
 @query(
@@ -106,6 +108,66 @@ def project_stats(spark, sf):
     return p.withColumn("last_scan_at", F.date_format("last_scan_at", "yyyy-MM-dd HH:mm:ss"))
 
 
+_THEN, _MADE = "TIMESTAMP '2024-01-20 00:00:00'", "1996-01-01"
+_LEFT = f", left_scans AS (SELECT * FROM scans WHERE NOT (status = 'failed' AND created_at < {_THEN}))"
+
+
+def _refreshed(spark, sf):
+    """States of a first batch, every finding then open, and of the changes since: new rows, fixed findings, removed failed scans."""
+    scans, findings = view(spark, sf, "scans"), view(spark, sf, "findings")
+    new_scan, new_finding = F.expr(f"created_at >= {_THEN.replace('TIMESTAMP', 'TIMESTAMP_NTZ')}"), F.col("created_at") >= F.lit(_MADE).cast("date")
+    was = findings.where(~new_finding)
+    before = was.withColumns({"status": F.when(F.col("status") == "fixed", "open").otherwise(F.col("status")), "fixed_at": F.lit(None).cast(findings.schema["fixed_at"].dataType)})
+    changed = F.col("finding_id").isNotNull() & F.col("fixed_at").isNotNull()
+    old = was.where(changed).withColumns({"status": F.lit("open"), "fixed_at": F.lit(None).cast(findings.schema["fixed_at"].dataType)})
+    folder = scratch_path(spark, "rollup")
+    first = RU.day_states(RU.signed(scans.where(~new_scan)), RU.signed(before))
+    RU.store_batch(first, folder, 1)
+    since = RU.day_states(
+        RU.signed(scans.where(new_scan), scans.where(~new_scan & (F.col("status") == "failed"))),
+        RU.signed(findings.where(new_finding).unionByName(was.where(changed)), old),
+    )
+    for _ in range(2):  # the second time is a batch tried again
+        RU.store_batch(since, folder, 2)
+    left = scans.where(new_scan | (F.col("status") != "failed"))
+    return RU.merged(RU.stored(spark, folder)), left
+
+
+@query(
+    "refreshed_project_stats", "A23",
+    sql("projects", "scans", "findings") + _LEFT
+    + ", s AS (SELECT project_id, count(*) AS n, max(created_at) AS m FROM left_scans GROUP BY 1), f AS (SELECT project_id, count(*) AS n, count(*) FILTER (WHERE status = 'open') AS o, count(*) FILTER (WHERE status = 'fixed') AS x FROM findings GROUP BY 1) "
+    "SELECT p.project_id, coalesce(s.n, 0) AS total_scans, coalesce(f.n, 0) AS total_findings, coalesce(o, 0) AS open_findings, coalesce(x, 0) AS fixed_findings, strftime(m, '%Y-%m-%d %H:%M:%S') AS last_scan_at "
+    "FROM projects p LEFT JOIN s USING (project_id) LEFT JOIN f USING (project_id)",
+)
+def refreshed_project_stats(spark, sf):
+    states, left = _refreshed(spark, sf)
+    p = RU.project_stats(view(spark, sf, "projects"), states, left)
+    return p.withColumn("last_scan_at", F.date_format("last_scan_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(
+    "refreshed_totals", "A21",
+    sql("scans", "findings") + _LEFT
+    + " SELECT (SELECT count(*) FROM left_scans) AS scans, count(*) AS findings, count(*) FILTER (WHERE status = 'open') AS open, count(*) FILTER (WHERE status = 'fixed') AS fixed, "
+    + ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}" for s in TN.SEVERITIES) + " FROM findings",
+)
+def refreshed_totals(spark, sf):
+    return RU.totals(_refreshed(spark, sf)[0])
+
+
+@query(
+    "refreshed_trend", "A22",
+    sql("scans", "findings") + _LEFT
+    + ", d AS (SELECT CAST(unnest(generate_series(DATE '1992-01-01', DATE '2024-02-05', INTERVAL 1 DAY)) AS DATE) AS date), s AS (SELECT CAST(created_at AS DATE) AS date, count(*) AS n FROM left_scans GROUP BY 1), "
+    "f AS (SELECT CAST(created_at AS DATE) AS date, count(*) AS n FROM findings GROUP BY 1), x AS (SELECT CAST(fixed_at AS DATE) AS date, count(*) AS n FROM findings GROUP BY 1) "
+    "SELECT strftime(d.date, '%Y-%m-%d') AS date, coalesce(s.n, 0) AS scans, coalesce(f.n, 0) AS findings, coalesce(x.n, 0) AS fixed FROM d LEFT JOIN s USING (date) LEFT JOIN f USING (date) LEFT JOIN x USING (date)",
+)
+def refreshed_trend(spark, sf):
+    t = RU.daily_trend(_refreshed(spark, sf)[0], F.expr("DATE '1992-01-01'"), F.expr("DATE '2024-02-05'"))
+    return t.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
 @query(
     "scan_severities", "A24",
     sql("findings") + "SELECT scan_id, " + ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}_count" for s in TN.SEVERITIES) + " FROM findings GROUP BY scan_id",
