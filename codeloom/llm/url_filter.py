@@ -3,12 +3,12 @@
 import math
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.scratch import Scratch
 
+PAGE_WORDS = 4096
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -26,13 +26,14 @@ class Level:
     filter: bytes
 
     def has(self, key: Column, salt: int) -> Column:
-        """Whether all bits of a key are set."""
-        hit = F.lit(True)
-        for i in range(self.hashes):
-            at = F.pmod(F.xxhash64(F.lit(salt), F.lit(i), key), F.lit(self.bits).cast("long"))
+        """Whether all bits of a key are set; the filter is in the expression once and the first bit that is not set ends it."""
+
+        def is_set(i: Column) -> Column:
+            at = F.pmod(F.xxhash64(F.lit(salt), i, key), F.lit(self.bits).cast("long"))
             byte = F.conv(F.hex(F.substring(F.lit(bytearray(self.filter)), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-            hit = hit & (F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1)
-        return hit
+            return F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1
+
+        return F.forall(F.array(*[F.lit(i) for i in range(self.hashes)]), is_set)
 
 
 @dataclass
@@ -49,20 +50,28 @@ class Cascade:
         return answer
 
 
+def _bits(n: int, rate: float) -> int:
+    return max(64, math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64) * 64)
+
+
 def _level(keys: DataFrame, n: int, rate: float, salt: int, most_bytes: int) -> Level:
-    bits = max(64, math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64) * 64)
+    bits = _bits(n, rate)
     if bits // 8 > most_bytes:
         raise ValueError(f"a filter of {bits // 8} bytes is needed and {most_bytes} are allowed")
     hashes = max(1, round(-math.log2(rate)))
     at = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(salt), F.lit(i), F.col("key")), F.lit(bits).cast("long")) for i in range(hashes)]))
-    # One row per 8 bits of a filter whose size was just checked.
-    rows = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / 8).alias("byte")).agg(
-        F.bit_or(F.pow(F.lit(2), F.pmod("at", F.lit(8))).cast("long")).alias("set")
+    # Words of 64 bits, whose hex digits are the filter's bytes in order, become pages: a filter of 64 MB reaches the driver in 2,048 rows.
+    shift = F.expr("56 - 8 * (at % 64 div 8) + at % 8").cast("int")
+    words = keys.select(at.alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), shift)).alias("set"))
+    every = keys.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("set"))
+    pages = words.unionByName(every).groupBy("word").agg(F.bit_or("set").alias("set")).groupBy(F.expr(f"word div {PAGE_WORDS}").alias("page")).agg(
+        F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word", "set"))), lambda w: F.lpad(F.hex(w["set"]), 16, "0")), "")).alias("bytes")
     )
-    packed = np.zeros(bits // 8, np.uint8)
-    for r in rows.collect():
-        packed[r["byte"]] = r["set"]
-    return Level(bits, hashes, packed.tobytes())
+    return Level(bits, hashes, b"".join(bytes(r["bytes"]) for r in sorted(pages.collect(), key=lambda r: r["page"])))
+
+
+def _first_rate(n: int, others: int) -> float:
+    return min(0.5, max(1e-9, math.sqrt(0.5) * n / max(others, 1)))
 
 
 def build_cascade(keys: DataFrame, most_bytes: int = 64 << 20) -> Cascade:
@@ -70,12 +79,12 @@ def build_cascade(keys: DataFrame, most_bytes: int = 64 << 20) -> Cascade:
 
     The first rate is chosen so that as many mistakes as listed keys are expected; all further levels halve.
     The whole cascade then takes a number of bits in proportion to the listed keys and the logarithm of the universe; a
-    filter over ``most_bytes`` is refused.  No listed key gives an empty cascade, which has no key.
+    filter over ``most_bytes`` is refused (``filter_urls`` deals the keys over several cascades then).  No listed key gives an empty cascade, which has no key.
     """
     out = Cascade()
     include, exclude = keys.filter("listed"), keys.filter("not listed")
     n, others = include.count(), exclude.count()
-    rate = min(0.5, max(1e-9, math.sqrt(0.5) * n / max(others, 1)))
+    rate = _first_rate(n, others)
     while n:
         salt = len(out.levels) + 1
         level = _level(include, n, rate, salt, most_bytes)
@@ -86,7 +95,7 @@ def build_cascade(keys: DataFrame, most_bytes: int = 64 << 20) -> Cascade:
 
 
 def candidate_keys(host: Column, path: Column, labels: int, lengths: list[int]) -> Column:
-    """Keys that a rule for this url could have, longest first: host suffixes of up to ``labels`` labels with path starts."""
+    """Keys that a rule for this url could have: host suffixes of up to ``labels`` labels with path starts."""
     names = F.split(host, "\\.")
     suffixes = F.when(host == "", F.array(F.lit(""))).otherwise(
         F.transform(
@@ -94,38 +103,73 @@ def candidate_keys(host: Column, path: Column, labels: int, lengths: list[int])
             lambda k: F.array_join(F.slice(names, -k, k), "."),
         )
     )
-    starts = F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths])
-    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(F.filter(starts, lambda p: p.isNotNull()), lambda p: F.concat(s, p))))
-    return F.array_sort(F.array_distinct(keys), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    starts = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: F.length(path) >= n), lambda n: F.substring(path, F.lit(1), n))
+    return F.array_distinct(F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.concat(s, p)))))
+
+
+def _longest(found: Column) -> Column:
+    """Of (key, allow) the longest key, of equally long ones the first by code point."""
+    k = "key"
+    order = lambda a, b: (
+        F.when(F.length(a[k]) != F.length(b[k]), F.length(b[k]) - F.length(a[k])).when(a[k] < b[k], -1).when(a[k] > b[k], 1).otherwise(0)
+    )
+    return F.get(F.array_sort(found, order), F.lit(0))
 
 
-def filter_urls(pages: DataFrame, rules: dict[str, str], default: str = "allow", scratch: Scratch | None = None) -> DataFrame:
+def filter_urls(
+    pages: DataFrame, rules: dict[str, str] | DataFrame, default: str = "allow", scratch: Scratch | None = None, most_bytes: int = 64 << 20,
+) -> DataFrame:
     """Adds host, path, rule and verdict to each row of ``pages`` by its ``url``.
 
-    ``rules`` maps ``host`` + ``path start`` to ``allow`` or ``block``.  A rule fits its host and the hosts below it if the url's
+    ``rules`` maps ``host`` + ``path start`` to ``allow`` or ``block``, or is a table (rule, verdict) of any size; rules that are null, or
+    whose verdict is neither, are left out, and a rule with both verdicts allows.  A rule fits its host and the hosts below it if the url's
     path starts with the rule's; the longest wins, of equally long ones the first by code point.  An unlisted url gets ``default``.
     A first cascade tells which of a url's candidate keys are listed, a second one which listed keys allow.  Their universe
-    is every candidate key of every url, so both are exact for this table.  Null urls have empty host and path and match no rule with a host;
-    rows and other columns stay as they are (columns named like the results are replaced); an empty table stays empty.
+    is every candidate key of every url, so both are exact for this table.  A filter travels inside the expression and takes
+    ``most_bytes`` at most: keys that need more are dealt by their digest to as many cascades as it takes, and the rows
+    are read once for each.  The number of different lengths of the rules' paths has to be small, as each is tried.
+    Null urls have empty host and path and match no rule with a host; rows and other columns stay as they are (columns named like the
+    results are replaced); an empty table stays empty.
     """
     spark = pages.sparkSession
     scratch = scratch or Scratch(spark, "urls")
-    listed = [(k, v == "allow") for k, v in rules.items()]
-    host_of = [k.partition("/")[0] for k, _ in listed]
-    labels = max([1, *(h.count(".") + 1 for h in host_of)])
-    lengths = sorted({len(k) - len(h) for (k, _), h in zip(listed, host_of, strict=True)}, reverse=True)
+    if isinstance(rules, dict):
+        rules = spark.createDataFrame(list(rules.items()), "rule string, verdict string")
+    own = rules.filter("rule is not null and verdict in ('allow', 'block')").groupBy(F.col("rule").alias("key")).agg(F.max(F.col("verdict") == "allow").alias("allow"))
+    own = scratch.cut(own, "rules")
+    name = F.substring_index("key", "/", 1)
+    shape = own.agg(
+        F.max(F.length(name) - F.length(F.replace(name, F.lit("."), F.lit("")))).alias("dots"), F.collect_set(F.length("key") - F.length(name)).alias("lengths")
+    ).first()
+    labels, lengths = (shape["dots"] or 0) + 1, sorted(shape["lengths"])
     host, path = url_parts(F.col("url"))
     rows = pages.withColumns({"host": host, "path": path})
     candidates = candidate_keys(F.col("host"), F.col("path"), labels, lengths) if lengths else F.array().cast("array<string>")
 
-    own = spark.createDataFrame(listed, "key string, allow boolean")
-    universe = rows.select(F.explode(candidates).alias("key"), F.lit(False).alias("listed"))
-    keys = universe.unionByName(own.select("key", F.lit(True).alias("listed"))).groupBy("key").agg(F.max("listed").alias("listed"))
+    universe = rows.select(F.explode(candidates).alias("key"), F.lit(False).alias("listed"), F.lit(False).alias("allow"))
+    keys = universe.unionByName(own.select("key", F.lit(True).alias("listed"), "allow")).groupBy("key").agg(F.max("listed").alias("listed"), F.max("allow").alias("allow"))
     keys = scratch.cut(keys, "keys")
-    member = build_cascade(keys)
-    allows = build_cascade(own.select("key", F.col("allow").alias("listed")))
-    scratch.drop(keys)
-    rule = F.get(F.filter(candidates, lambda k: member.has(k)), F.lit(0))
-    rows = rows.withColumn("rule", rule)
-    verdict = F.when(F.col("rule").isNull(), default).otherwise(F.when(allows.has(F.col("rule")), "allow").otherwise("block"))
-    return rows.withColumn("verdict", verdict)
+    n = keys.agg(F.count_if("listed").alias("n"), F.count_if(~F.col("listed")).alias("others")).first()
+    # The first filter is the largest but for chance; an eighth of the room is left for keys that are dealt unevenly.
+    parts = math.ceil(_bits(n["n"], _first_rate(n["n"], n["others"])) / 8 / most_bytes * 8 / 7) if n["n"] else 0
+    found = "_found"
+    while found in [c.lower() for c in rows.columns]:
+        found += "_"
+    rows = rows.withColumn(found, F.array().cast("array<struct<key:string,allow:boolean>>"))
+    before = None
+    for part in range(parts):
+        here = lambda k: F.pmod(F.xxhash64(F.lit("part"), k), F.lit(parts)) == part  # noqa: B023, E731
+        mine = keys.filter(here(F.col("key")))
+        member = build_cascade(mine, most_bytes)
+        allows = build_cascade(mine.filter("listed").select("key", F.col("allow").alias("listed")), most_bytes)
+        hits = F.filter(candidates, lambda k: here(k) & member.has(k))  # noqa: B023
+        rows = rows.withColumn(found, F.concat(found, F.transform(hits, lambda k: F.struct(k.alias("key"), allows.has(k).alias("allow")))))  # noqa: B023
+        if part < parts - 1:
+            rows = scratch.cut(rows, "rows")
+            if before is not None:
+                scratch.drop(before)
+            before = rows
+    scratch.drop(keys, own)
+    rows = rows.withColumn(found, _longest(F.col(found)))
+    verdict = F.when(F.col(found).isNull(), default).otherwise(F.when(F.col(found)["allow"], "allow").otherwise("block"))
+    return rows.withColumns({"rule": F.col(found)["key"], "verdict": verdict}).drop(found)

@@ -63,12 +63,30 @@ def test_urls_with_odd_forms(spark, rules):
     assert U.filter_urls(pages.limit(0), rules).count() == 0
 
 
+def test_many_rules_as_a_table_and_filters_that_do_not_fit(spark):
+    """Rules in a table, with null ones; little room deals the keys over several cascades, which change nothing."""
+    r = random.Random(3)
+    hosts = [f"{r.choice(['', 'a.', 'b.c.'])}h{i % 400}.{r.choice(['net', 'org'])}" for i in range(1500)]
+    urls = [f"http://{h}/{r.choice(['', 'x/', 'en/x', 'x?q'])}" for h in hosts]
+    rules = {f"{h}/{r.choice(['', 'x/', 'en/'])}": r.choice(["allow", "block"]) for h in r.sample(hosts, 500)} | {"net/": "block"}
+    pages = spark.createDataFrame(list(enumerate(urls)), "_found long, url string")
+    listed = spark.createDataFrame([*rules.items(), *rules.items(), (None, "block"), ("org/", None), ("org/", "Block")], "rule string, verdict string")
+    want = {(i, *plain_verdict(u, rules)) for i, u in enumerate(urls)}
+    for most in (64 << 20, 200):
+        got = U.filter_urls(pages, listed, most_bytes=most)
+        assert set(map(tuple, got.select("_found", "host", "path", "rule", "verdict").collect())) == want
+    assert {v for *_, v in want} == {"allow", "block"}
+
+
 def test_cascade_is_exact_in_its_universe(spark):
     listed = {f"k{i}" for i in range(0, 3000, 37)}
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key")).withColumn("listed", F.col("key").isin(*listed))
     c = U.build_cascade(keys)
     got = {r.key for r in keys.filter(c.has(F.col("key"))).collect()}
     assert got == listed and len(c.levels) >= 2 and sum(len(x.filter) for x in c.levels) < 600
+    large = U._level(keys, 3000, 2.0**-100, 1, 1 << 20)
+    assert len(large.filter) == large.bits // 8 > 8 * U.PAGE_WORDS and keys.filter(large.has(F.col("key"), 1)).count() == 3000
+    assert sum(x.bit_count() for x in large.filter) > large.bits // 3
     with pytest.raises(ValueError):
         U.build_cascade(keys, most_bytes=8)
 
