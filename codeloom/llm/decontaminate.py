@@ -200,91 +200,119 @@ class _Cover:
                     yield i, k * step, (k + 1) * step
 
 
-def _search(ids: list, items: list[list[bytes]], vocabulary, idf, unknown: float, space: np.ndarray, cosine: float, least: float, paraphrase: float):
-    scaled = np.vstack([space * idf[:, None], np.zeros((1, space.shape[1]))]).astype(np.float32)
-    weight = np.append(idf**2, unknown**2).astype(np.float32)
-    rows = np.zeros((len(items), space.shape[1]))
-    for i, w in enumerate(items):
-        t, tf = np.unique([vocabulary[x] for x in w], return_counts=True)
-        x = tf * idf[t]
-        rows[i] = x @ space[t] / np.linalg.norm(x)
-    # An item's own score is the length of its projection; candidates are measured against that.
-    length = np.linalg.norm(rows, axis=1, keepdims=True)
-    goal = (rows / np.maximum(length, 1e-9) ** 2).T.astype(np.float32)
-    cover = _Cover([np.array([vocabulary[x] for x in w]) for w in items], idf, least, paraphrase)
+class _Block:
+    """One block of items: its terms as numbers, its latent space and its cover; bounded by the number of items in a block."""
+
+    def __init__(self, items: list[tuple[int, list[bytes]]], known: dict[bytes, int], idf: np.ndarray, least: float, paraphrase: float):
+        self.ids, self.items = [i for i, _ in items], [w for _, w in items]
+        self.least, self.paraphrase = least, paraphrase
+        self.vocabulary = {w: n for n, w in enumerate(sorted({x for w in self.items for x in w}))}
+        terms = [known[w] for w in self.vocabulary]
+        self.idf = idf[terms]
+        # The round's numbers of words to the block's; the last but one stands for a word of other blocks only, the last for no word.
+        self.local = np.full(len(known) + 2, len(terms), np.int64)
+        self.local[terms] = np.arange(len(terms))
+        self.local[-1] = -1
+
+    def fit(self, texts: DataFrame, rank: int, seed: int) -> None:
+        idf, terms = self.idf, [np.array([self.vocabulary[x] for x in w]) for w in self.items]
+        space = latent_space(texts, self.vocabulary, idf, rank, seed)
+        self.scaled = np.vstack([space * idf[:, None], np.zeros((1, space.shape[1]))]).astype(np.float32)
+        self.weight = np.append(idf**2, np.median(idf) ** 2).astype(np.float32)
+        rows = np.zeros((len(terms), space.shape[1]))
+        for i, places in enumerate(terms):
+            t, tf = np.unique(places, return_counts=True)
+            x = tf * idf[t]
+            rows[i] = x @ space[t] / np.linalg.norm(x)
+        # An item's own score is the length of its projection; candidates are measured against that.
+        length = np.linalg.norm(rows, axis=1, keepdims=True)
+        self.goal = (rows / np.maximum(length, 1e-9) ** 2).T.astype(np.float32)
+        self.cover = _Cover(terms, idf, self.least, self.paraphrase)
+
+    def found(self, part: "_Slice", cosine: float):
+        """(text, item id, cosine, share, share of the answer, whether the latent space led to it) of one slice."""
+        flat, first, blocks, words = self.local[part.flat], part.first, part.blocks, part.words
+        vec = np.zeros((len(flat) // HALF, self.scaled.shape[1]), np.float32)
+        for s in range(0, len(vec), 2048):
+            places = flat[s * HALF : (s + 2048) * HALF]
+            vec[s : s + 2048] = self.scaled[places].reshape(-1, HALF, self.scaled.shape[1]).sum(axis=1)
+        mass = np.where(flat >= 0, self.weight[flat], 0).reshape(-1, HALF).sum(axis=1)
+        pair = vec.copy()
+        pair[part.joined] += vec[1:][part.joined[:-1]]
+        mass2 = mass.copy()
+        mass2[part.joined] += mass[1:][part.joined[:-1]]
+        pair /= np.sqrt(np.maximum(mass2, 1e-9))[:, None]
+        near, done = {}, set()
+        for s in range(0, len(pair), 4096):
+            w, i = np.nonzero(pair[s : s + 4096] @ self.goal >= cosine)
+            for x, y in zip((w + s).tolist(), i.tolist(), strict=True):
+                near.setdefault((int(part.owner[x]), y), []).append(x)
+        for (d, i), windows in near.items():
+            best, item = None, self.items[i]
+            for r in np.split(windows, np.flatnonzero(np.diff(windows) > 1) + 1):
+                lo, hi = (r[0] - first[d]) * HALF, (r[-1] - first[d] + 2) * HALF
+                seen = verdict(item, words[d][max(0, lo - len(item)) : hi + len(item)], self.least, self.paraphrase)
+                if seen[2] and (best is None or seen > best):
+                    best = seen
+            if best:
+                done.add((d, i))
+                yield d, self.ids[i], float((pair[windows] @ self.goal[:, i]).max()), best[0], best[1], True
+        for d, n in enumerate(part.n.tolist()):
+            rest = {}
+            for i, lo, hi in self.cover.of(flat[first[d] * HALF : first[d] * HALF + n]):
+                if (d, i) not in done:
+                    seen = verdict(self.items[i], words[d], self.least, self.paraphrase, (lo, hi))
+                    if seen[2]:
+                        rest[i] = max(rest.get(i, seen), seen)
+            for i, best in rest.items():
+                score = float((pair[first[d] : first[d] + blocks[d]] @ self.goal[:, i]).max())
+                yield d, self.ids[i], score, best[0], best[1], False
+
+
+class _Slice:
+    """The words of some texts as numbers; each text fills whole blocks, and places without a word weigh nothing."""
+
+    def __init__(self, texts: list[bytes], known: dict[bytes, int]):
+        get, other = known.get, len(known)
+        self.words = [words_of(t) for t in texts]
+        self.n = n = np.array([len(w) for w in self.words])
+        self.blocks = -(-n // HALF)
+        self.first = np.cumsum(self.blocks) - self.blocks
+        self.flat = np.full(int(self.blocks.sum()) * HALF, -1, np.int64)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first * HALF, n)
+        self.flat[at] = [get(x, other) for w in self.words for x in w]
+        self.owner = np.repeat(np.arange(len(texts)), self.blocks)
+        self.joined = np.append(self.owner[1:] == self.owner[:-1], False)
+
+
+def _search(blocks: list[_Block], known: dict[bytes, int], cosine: float):
+    """Each slice of texts is split into words once and meets the round's blocks one after the other."""
 
     def run(batches):
-        get, oov = vocabulary.get, len(vocabulary)
         for batch in batches:
-            out = []
-            for a, b, texts in A.slices(batch.column(1)):
-                words = [words_of(t) for t in texts]
-                n = np.array([len(w) for w in words])
-                blocks = -(-n // HALF)
-                if not n.sum():
-                    continue
-                # Each text fills whole blocks; places without a word weigh nothing.
-                first = np.cumsum(blocks) - blocks
-                flat = np.full(int(blocks.sum()) * HALF, -1, np.int64)
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first * HALF, n)
-                flat[at] = [get(x, oov) for w in words for x in w]
-                vec = np.zeros((len(flat) // HALF, scaled.shape[1]), np.float32)
-                for s in range(0, len(vec), 2048):
-                    ids_here = flat[s * HALF : (s + 2048) * HALF]
-                    vec[s : s + 2048] = scaled[ids_here].reshape(-1, HALF, scaled.shape[1]).sum(axis=1)
-                mass = np.where(flat >= 0, weight[flat], 0).reshape(-1, HALF).sum(axis=1)
-                owner = np.repeat(np.arange(b - a), blocks)
-                joined = np.append(owner[1:] == owner[:-1], False)
-                pair = vec.copy()
-                pair[joined] += vec[1:][joined[:-1]]
-                mass2 = mass.copy()
-                mass2[joined] += mass[1:][joined[:-1]]
-                pair /= np.sqrt(np.maximum(mass2, 1e-9))[:, None]
-                near, done = {}, set()
-                for s in range(0, len(pair), 4096):
-                    w, i = np.nonzero(pair[s : s + 4096] @ goal >= cosine)
-                    for x, y in zip((w + s).tolist(), i.tolist(), strict=True):
-                        near.setdefault((int(owner[x]), y), []).append(x)
-                for (d, i), windows in near.items():
-                    best = None
-                    runs = np.split(windows, np.flatnonzero(np.diff(windows) > 1) + 1)
-                    for r in runs:
-                        lo, hi = (r[0] - first[d]) * HALF, (r[-1] - first[d] + 2) * HALF
-                        found = verdict(items[i], words[d][max(0, lo - len(items[i])) : hi + len(items[i])], least, paraphrase)
-                        if found[2] and (best is None or found > best):
-                            best = found
-                    if best:
-                        score = float((pair[windows] @ goal[:, i]).max())
-                        out.append((a + d, ids[i], score, best[0], best[1]))
-                        done.add((d, i))
-                for d in range(b - a):
-                    places = flat[first[d] * HALF : first[d] * HALF + n[d]]
-                    rest = {}
-                    for i, lo, hi in cover.of(places):
-                        if (d, i) not in done:
-                            found = verdict(items[i], words[d], least, paraphrase, (lo, hi))
-                            if found[2]:
-                                rest[i] = max(rest.get(i, found), found)
-                    for i, best in rest.items():
-                        score = float((pair[first[d] : first[d] + blocks[d]] @ goal[:, i]).max())
-                        out.append((a + d, ids[i], score, best[0], best[1]))
-            if out:
-                at, item, *numbers = zip(*out, strict=True)
-                cols = [batch.column(0).take(pa.array(at)), pa.array(item, pa.int64()), *[pa.array(x, pa.float64()) for x in numbers]]
-                yield pa.RecordBatch.from_arrays(cols, names=["row", "item_id", "cosine", "lcs_share", "answer_share"])
+            for a, _, texts in A.slices(batch.column(1)):
+                part = _Slice(texts, known)
+                out = [(a + d, *row) for block in blocks for d, *row in block.found(part, cosine)] if part.n.sum() else []
+                if out:
+                    at, item, *numbers, latent = zip(*out, strict=True)
+                    cols = [batch.column(0).take(pa.array(at)), pa.array(item, pa.int64()), *[pa.array(x, pa.float64()) for x in numbers], pa.array(latent)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["row", "item_id", "cosine", "lcs_share", "answer_share", "latent"])
 
     return run
 
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, carry: list[str], rank: int = 128, cosine: float = 0.4, least: float = 0.75,
-    paraphrase: float = 0.55, block_items: int = 256, scratch: Scratch | None = None,
+    paraphrase: float = 0.55, block_items: int = 256, round_items: int = 8192, scratch: Scratch | None = None,
 ) -> DataFrame:
     """One row for each (document, benchmark item) where the document holds the item or a paraphrase of it.
 
-    Columns: the ``carry`` columns in the struct ``row``, item_id, cosine (against the item's own score), lcs_share, answer_share.  The
-    items are a query set that is taken in blocks of ``block_items``; per block its vocabulary, its latent space
-    and its rows travel to all tasks, bounded by the block.  Term counts and the search cover every word of every document.  Windows of
+    Columns: the ``carry`` columns in the struct ``row``, item_id, cosine (against the item's own score), lcs_share, answer_share, latent
+    (whether the latent space led to it, so its recall can be read from the result).  The
+    items are a query set that is taken in rounds of about ``round_items``; a round reads the documents twice, once to count the terms of
+    all its items and once to search for them.  In a round each block of about ``block_items`` items has a latent space of its own.  The
+    round's words, spaces and rows travel to all tasks: some 10 kB an item, so about 80 MB at the default, whatever the corpus.
+    Term counts and the search cover every word of every document.  Windows of
     32 words, every 16, are compared in the latent space; what is near is decided by the longest common subsequence and the answer.  Items
     much longer or shorter than a window, and paraphrases, can lie below ``cosine``: what the items' rarest words point to is decided
     in the same way, so every document that ``verdict`` accepts is found, and the cosine only says how near it is.
@@ -295,24 +323,31 @@ def leaks(
     scratch = scratch or Scratch(spark, "leaks")
     kept = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col("text").cast("binary").alias("text"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, item_id bigint, cosine double, lcs_share double, answer_share double"
-    blocks = max(1, math.ceil(kept.count() / block_items))
-    kept = scratch.cut(kept.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "items")
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, item_id bigint, cosine double, lcs_share double, answer_share double, latent boolean"
+    n_items = kept.count()
+    rounds = max(1, math.ceil(n_items / max(round_items, block_items)))
+    blocks = max(1, math.ceil(n_items / rounds / block_items))
+    dealt = F.xxhash64("item_id", "text")
+    kept = scratch.cut(kept.withColumns({"block": F.pmod(dealt, F.lit(blocks)), "round": F.pmod(F.shiftright(dealt, 32), F.lit(rounds))}), "items")
+    seed = int.from_bytes(hashlib.sha256(b"space").digest()[:4], "big")
     out = spark.createDataFrame([], schema)
-    for block in range(blocks):
-        items = kept.filter(F.col("block") == block)
-        own = sorted((r["item_id"] if r["item_id"] is not None else -1, bytes(r["text"])) for r in items.collect())
-        own = [(i, words_of(t)) for i, t in own]
-        own = [(i, w) for i, w in own if w]
-        vocabulary = {w: n for n, w in enumerate(sorted({x for _, w in own for x in w}))}
-        if not own:
+    for turn in range(rounds):
+        items = kept.filter(F.col("round") == turn)
+        by_block: dict[int, list] = {}
+        for i, text, block in sorted((-1 if r["item_id"] is None else r["item_id"], bytes(r["text"]), r["block"]) for r in items.collect()):
+            words = words_of(text)
+            if words:
+                by_block.setdefault(block, []).append((i, words))
+        known = {w: n for n, w in enumerate(sorted({x for own in by_block.values() for _, w in own for x in w}))}
+        if not known:
             continue
-        frequency, n = document_frequency(docs, vocabulary)
+        frequency, n = document_frequency(docs, known)
         idf = np.log((n + 1) / (frequency + 1)) + 0.1
-        filled = items.select("text").filter(F.length(F.trim(F.regexp_replace(F.lower(F.col("text").cast("string")), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]", " "))) > 0)
-        space = latent_space(filled, vocabulary, idf, rank, seed=int.from_bytes(hashlib.sha256(b"space").digest()[:4], "big"))
-        run = _search([i for i, _ in own], [w for _, w in own], vocabulary, idf, float(np.median(idf)), space, cosine, least, paraphrase)
-        out = out.unionByName(rows.mapInArrow(run, schema))
+        filled = items.filter(F.length(F.trim(F.regexp_replace(F.lower(F.col("text").cast("string")), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]", " "))) > 0)
+        ready = [_Block(own, known, idf, least, paraphrase) for _, own in sorted(by_block.items())]
+        for number, block in zip(sorted(by_block), ready, strict=True):
+            block.fit(filled.filter(F.col("block") == number).select("text"), rank, seed)
+        out = out.unionByName(rows.mapInArrow(_search(ready, known, cosine), schema))
     return out
 
 

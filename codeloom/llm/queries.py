@@ -175,7 +175,7 @@ def op6_benchmark_decontamination(spark, sf):
     from codeloom.llm.decontaminate import leaks
 
     out = leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"), ["doc_id"])
-    return out.select("row.doc_id", "item_id", F.round("cosine", 4).alias("cosine"), "lcs_share", "answer_share")
+    return out.select("row.doc_id", "item_id", F.round("cosine", 4).alias("cosine"), "lcs_share", "answer_share", "latent")
 
 
 # -- 9 ----------------------------------------------------------------------------------------------------------------

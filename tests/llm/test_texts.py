@@ -156,6 +156,9 @@ def test_leaks_of_items_of_every_length_equal_brute_force(spark, length):
     want = {(d, i) for d, w in enumerate(docs) for i, item in enumerate(items) if set(item) & set(w) and D.verdict(coded(item), coded(w), 0.75, 0.55)[2]}
     got = set(map(tuple, D.leaks(df, bench, ["doc_id"]).select("row.doc_id", "item_id").collect()))
     assert want <= got and {(4 * i, i) for i in range(len(items))} <= got
+    whole = lambda rounds: {r.item_id for r in D.leaks(df, bench, ["doc_id"], **rounds).filter("latent and row.doc_id = 4 * item_id").collect()}
+    if length in (12, 40):
+        assert len(whole({})) >= 0.9 * len(items)
     assert all(D.verdict(coded(items[i]), coded(docs[d]), 0.7, 0.5)[0] >= 0.5 for d, i in got - want)
 
 
@@ -184,8 +187,8 @@ def test_leaks_and_paraphrases_are_found(spark, odd, none):
     want |= {(902, 3)}
     df = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(77, None), (78, ""), (79, "!?"), (None, "q1 q2 q3 q4 q5 q6 q7 q8 q9")], "item_id long, text string")
-    for block in (256, 16):
-        got = D.leaks(df, bench, ["doc_id"], block_items=block).select("row.doc_id", "item_id").collect()
+    for block, most in ((256, 8192), (16, 8192), (8, 16)):
+        got = D.leaks(df, bench, ["doc_id"], block_items=block, round_items=most).select("row.doc_id", "item_id").collect()
         assert set(map(tuple, got)) == want
     kept = D.clean_documents(df, bench)
     assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} == {200 + i for i in range(40)} | {None, 900, 901}
