@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.operators.ordered import by_value, latest_before, seconds
+from codeloom.session import grown
 
 # Lines and columns of the smallest cells, and how often a cell doubles.
 LINES_PER_BLOCK = 16
@@ -82,27 +83,42 @@ def dyadic_cover(first: Column, last: Column, levels: int = LEVELS) -> Column:
     return F.concat(F.array_compact(F.array(*cells)), F.coalesce(top, none))
 
 
-def dyadic_cells(at: Column, levels: int = LEVELS) -> Column:
+def dyadic_cells(at: Column, levels: list[int] | None = None) -> Column:
     """ARRAY of (level, cell): the cell of each level that holds a place; one of them is in the cover of each run that holds it."""
-    return F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(at, k).alias("cell")) for k in range(levels + 1)])
+    asked = range(LEVELS + 1) if levels is None else levels
+    if not asked:
+        return F.array().cast("array<struct<level:int,cell:bigint>>")
+    return F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(at, k).alias("cell")) for k in asked])
 
 
 def _places(cells: Column, line: Column) -> Column:
     return F.transform(cells, lambda c: F.struct(line.alias("_line"), c["level"].alias("_level"), c["cell"].alias("_cell")))
 
 
+def _span_cells(lines: int, columns: int) -> Column:
+    """The cells that cover a span: of blocks of lines or, within one line, of blocks of columns and the line as a whole."""
+    s, block = F.col("span"), lambda x, n: F.floor(x / n).cast("bigint")
+    several = _places(dyadic_cover(block(s["sl"], lines), block(s["el"], lines)), F.lit(-1).cast("bigint"))
+    one = _places(dyadic_cover(block(s["sc"], columns), block(F.greatest(s["ec"], s["sc"]), columns)), s["sl"].cast("bigint"))
+    whole = F.struct(s["sl"].cast("bigint").alias("_line"), F.lit(-1).alias("_level"), F.lit(-1).cast("bigint").alias("_cell"))
+    return F.when(s["sl"] != s["el"], several).otherwise(F.concat(one, F.array(whole)))
+
+
 def _spans_by_cell(nodes: DataFrame, lines: int, columns: int) -> DataFrame:
-    """Spans with the cells that cover them: of blocks of lines or, within one line, of blocks of columns.
+    """Spans with the cells that cover them.
 
     Of the nodes with the same kind and span only the first is kept, as no other can win.
     """
     first = nodes.where(F.col("span").isNotNull()).groupBy("file", "kind", "span").agg(F.min("id").alias("id"))
-    s, block = F.col("span"), lambda x, n: F.floor(x / n).cast("bigint")
-    several = _places(dyadic_cover(block(s["sl"], lines), block(s["el"], lines)), F.lit(-1).cast("bigint"))
-    one = _places(dyadic_cover(block(s["sc"], columns), block(F.greatest(s["ec"], s["sc"]), columns)), s["sl"].cast("bigint"))
-    whole = F.struct(s["sl"].cast("bigint").alias("_line"), F.lit(-1).alias("_level"), F.lit(-1).cast("bigint").alias("_cell"))
-    cells = F.when(s["sl"] != s["el"], several).otherwise(F.concat(one, F.array(whole)))
-    return first.select("file", "id", "kind", "span", F.inline(cells))
+    return first.select("file", "id", "kind", "span", F.inline(_span_cells(lines, columns)))
+
+
+def _levels_in_use(nodes: DataFrame, lines: int, columns: int) -> tuple[list[int], list[int]]:
+    """The levels that hold a span's cell, of lines and of columns: at most ``LEVELS`` + 1 each."""
+    spans = nodes.where(F.col("span").isNotNull()).select(F.explode(_span_cells(lines, columns)).alias("c"))
+    of = lambda test: F.collect_set(F.when(test, F.col("c._level")))
+    found = spans.agg(of(F.col("c._line") == -1).alias("lines"), of(F.col("c._line") != -1).alias("columns")).first()
+    return sorted(k for k in found["lines"] if k >= 0), sorted(k for k in found["columns"] if k >= 0)
 
 
 def node_at_position(
@@ -112,18 +128,20 @@ def node_at_position(
 
     A range join made equal: a span becomes the few aligned cells of doubling size that make it up, and a
     position asks its own cell of each size, so a module of a million lines is some forty rows and not one per block.  Spans of several lines are
-    cut by lines, spans within a line by columns, so a file of one long line is cut as well.  Positions are
+    cut by lines, spans within a line by columns, so a file of one long line is cut as well.  A position asks only the sizes
+    that some span has, found in one pass over the nodes, which should be written.  Positions are
     made distinct first, so a place hit by most records is looked up once.
     The best node is a combined minimum, not a sorted group.
     """
     want = positions.where(F.col("file").isNotNull() & F.col("line").isNotNull()).select(
         "file", "line", "col", "role"
     ).distinct()
-    in_line = _places(dyadic_cells(F.floor(F.col("col") / columns).cast("bigint")), F.col("line").cast("bigint"))
+    by_line, by_column = _levels_in_use(nodes, lines, columns)
+    in_line = _places(dyadic_cells(F.floor(F.col("col") / columns).cast("bigint"), by_column), F.col("line").cast("bigint"))
     whole = F.array(F.struct(F.col("line").cast("bigint").alias("_line"), F.lit(-1).alias("_level"), F.lit(-1).cast("bigint").alias("_cell")))
-    over_lines = _places(dyadic_cells(F.floor(F.col("line") / lines).cast("bigint")), F.lit(-1).cast("bigint"))
+    over_lines = _places(dyadic_cells(F.floor(F.col("line") / lines).cast("bigint"), by_line), F.lit(-1).cast("bigint"))
     asks = F.concat(over_lines, F.when(F.col("col").isNull(), whole).otherwise(in_line))
-    hit = want.select("*", F.inline(asks)).join(_spans_by_cell(nodes, lines, columns), ["file", "_line", "_level", "_cell"])
+    hit = want.select("*", F.inline(asks)).join(grown(_spans_by_cell(nodes, lines, columns)), ["file", "_line", "_level", "_cell"])
     s = F.col("span")
     hit = hit.where(covers(s, F.col("line"), F.col("col")))
     order = F.struct(
@@ -141,7 +159,7 @@ def record_positions(records: DataFrame, nodes: DataFrame) -> DataFrame:
         (F.col("p.file") == F.col("n.file")) & (F.col("p.line") == F.col("n.line"))
         & (F.col("p.role") == F.col("n.role")) & F.col("p.col").eqNullSafe(F.col("n.col"))
     )
-    return pos.alias("p").join(found.alias("n"), same).select("p.*", "n.id")
+    return pos.alias("p").join(grown(found.alias("n")), same).select("p.*", "n.id")
 
 
 def mapped_records(records: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -155,7 +173,7 @@ def mapped_records(records: DataFrame, nodes: DataFrame) -> DataFrame:
         ).alias("path_ids"),
     )
     empty = F.array().cast("array<bigint>")
-    return records.select("record", F.col("source.file").alias("file"), "meta").join(ids, "record", "left").select(
+    return records.select("record", F.col("source.file").alias("file"), "meta").join(grown(ids), "record", "left").select(
         "record", "file", "source_id", "sink_id", F.coalesce("path_ids", empty).alias("path_ids"), "meta"
     )
 
@@ -182,7 +200,7 @@ def recorded_flow_edges(mapped: DataFrame, existing: DataFrame | None = None) ->
 def new_edges(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """Candidates whose (file, src, dst, kind) is not there yet."""
     key = ["file", "src", "dst", "kind"]
-    return candidates.join(existing.select(*key), key, "left_anti")
+    return candidates.join(grown(existing.select(*key)), key, "left_anti")
 
 
 def recorded_edge_counts(edges: DataFrame) -> DataFrame:

@@ -31,3 +31,36 @@ def test_names_meet_their_normal_form_without_a_broadcast(facts):
     named = G.normalised_names(facts).where("function_id <> 0")
     assert broadcasts(named) == 0
     assert {(r.name, r.normal_name) for r in named.where("file = 'f0.py'").collect()} == {("x", "v1"), ("y", "v2"), ("os", "v3"), ("z", "v4")}
+
+
+def test_recorded_positions_meet_their_nodes_without_a_broadcast(spark, facts):
+    from codeloom.operators import matching as M
+    from codeloom.operators import taint as TA
+
+    p = "struct<file:string,line:int,col:int>"
+    records = spark.createDataFrame(
+        [(i, (f"f{i}.py", 3, 8), (f"f{i}.py", 5, 4), [], {"tool": "t"}) for i in range(3)],
+        f"record bigint, source {p}, sink {p}, path array<{p}>, meta map<string,string>",
+    )
+    edges = TA.recorded_flow_edges(TA.mapped_records(records, M.matched_nodes(facts)))
+    assert broadcasts(edges) == 0 and edges.count() == 3
+
+
+def test_witnesses_meet_their_lines_without_a_broadcast(facts):
+    found = PG.rule_baseline(facts, witnesses=True)
+    assert broadcasts(found) == 0 and {r.file for r in found.collect()} == {"f0.py", "f1.py", "f2.py"}
+
+
+def test_positions_ask_only_sizes_that_a_span_has(spark):
+    from codeloom.operators import taint as TA
+
+    nodes = spark.createDataFrame(
+        [("a", 1, "Call", (1, 0, 40, 9)), ("a", 2, "Call", (3, 2, 3, 8)), ("b", 3, "Name", (5, 0, 6, 1)), ("b", 4, "Name", None)],
+        "file string, id bigint, kind string, span struct<sl:int,sc:int,el:int,ec:int>",
+    )
+    # 17 sizes of each sort were asked before
+    assert TA._levels_in_use(nodes, 16, 64) == ([0, 1], [0])
+    assert TA._levels_in_use(nodes.where("false"), 16, 64) == ([], [])
+    asked = spark.createDataFrame([("a", 3, 4, "sink"), ("a", 39, None, "sink"), ("b", 5, None, "path"), ("b", 9, 1, "path")], "file string, line int, col int, role string")
+    found = TA.node_at_position(asked, nodes).collect()
+    assert {(r.file, r.line, r.id) for r in found} == {("a", 3, 2), ("a", 39, 1), ("b", 5, 3)}
