@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from codeloom.operators.traverse import EDGE_CODES
+from codeloom.session import grown
 
 
 def node_kind_codes(nodes: DataFrame) -> DataFrame:
@@ -147,7 +148,7 @@ def top_pairs(
         top = df.select(group, "id", "part", rank.alias("_r")).where(F.col("_r") <= k + 1)
         return top.select(group, F.col("id").alias(f"{name}_id"), F.col("part").alias(f"{name}_part"))
 
-    pairs = best(sources, "source").join(best(sinks, "sink"), group).where("source_id <> sink_id")
+    pairs = best(sources, "source").join(grown(best(sinks, "sink")), group).where("source_id <> sink_id")
     raw = F.col("source_part") + F.col("sink_part") + bias
     score = 1 / (1 + F.exp(-raw)) if links else raw
     rank = F.row_number().over(W.partitionBy(group).orderBy(F.desc("_raw"), "source_id", "sink_id"))
@@ -193,6 +194,6 @@ def flow_end_attributes(flows: DataFrame, nodes: DataFrame) -> DataFrame:
         "file", F.col("id").alias("sink_id"), F.col("attrs")["sink_id"].alias("sink_rule"),
         F.col("attrs")["sink_kind"].alias("sink_kind"), F.col("code").alias("sink_code"),
     )
-    return flows.join(s, ["file", "source_id"], "left").join(t, ["file", "sink_id"], "left")
+    return flows.join(grown(s), ["file", "source_id"], "left").join(grown(t), ["file", "sink_id"], "left")
 
 

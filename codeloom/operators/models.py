@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.operators.corpus import split_by_project
+from codeloom.session import grown
 
 DIMENSIONS = 768
 CHUNK = 32
@@ -57,10 +58,17 @@ def embedded_codes(nodes: DataFrame, embedder=None, code: str = "code", dims: in
 
 
 def embedded_nodes(nodes: DataFrame, embedder=None, code: str = "code", dims: int = DIMENSIONS) -> DataFrame:
-    """Nodes with the vector of their code."""
+    """Nodes with the vector of their code.
+
+    The default embedder is an expression that costs less than a shuffle, so it runs where the nodes lie; for any other, equal texts
+    are embedded once.
+    """
+    if embedder is None:
+        kept = nodes.withColumn("_text", F.coalesce(F.col(code), F.lit("")))
+        return hashed_embedding(kept, "_text", dims=dims).drop("_text")
     sha = F.sha2(F.encode(F.coalesce(F.col(code), F.lit("")), "UTF-8"), 256)
     return nodes.withColumn("code_sha", sha).join(
-        embedded_codes(nodes, embedder, code, dims), "code_sha"
+        grown(embedded_codes(nodes, embedder, code, dims)), "code_sha"
     ).drop("code_sha")
 
 
