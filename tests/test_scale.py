@@ -64,3 +64,35 @@ def test_positions_ask_only_sizes_that_a_span_has(spark):
     asked = spark.createDataFrame([("a", 3, 4, "sink"), ("a", 39, None, "sink"), ("b", 5, None, "path"), ("b", 9, 1, "path")], "file string, line int, col int, role string")
     found = TA.node_at_position(asked, nodes).collect()
     assert {(r.file, r.line, r.id) for r in found} == {("a", 3, 2), ("a", 39, 1), ("b", 5, 3)}
+
+
+def test_narrow_facts_hold_what_is_wanted_and_write_no_expressions_out(monkeypatch):
+    from codeloom.operators import facts as FA
+
+    code = "@app.get('/x')\ndef f(a: List[int] = 1) -> str:\n    b: int = g(a)\n    return [c for c in b]\n"
+    whole = list(FA.file_facts(code))
+    place = {n: i for i, n in enumerate(FA.ROW_COLUMNS)}
+    monkeypatch.setattr(FA.ast, "unparse", lambda node: 1 / 0)
+    narrow = list(FA.file_facts(code, True, False))
+    for n in FA.ROW_COLUMNS:
+        if n not in ("hint", "decorators"):
+            assert [r[place[n]] for r in narrow] == [r[place[n]] for r in whole], n
+
+
+def test_matching_and_baseline_read_only_their_facts(spark):
+    from codeloom.operators import matching as M
+
+    files = spark.createDataFrame([("a.py", CODE)], "file string, code string")
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(M.matched_nodes(PG.facts_of(files, M.MATCH_FACTS))) == key(M.matched_nodes(PG.facts_of(files)))
+    assert set(PG.stored_facts(files, PG.BASELINE_FACTS).columns) == {*M.MATCH_FACTS, *G.EDGE_FACTS}
+
+
+def test_default_embedding_needs_no_shuffle(spark):
+    from codeloom.operators import models as MD
+
+    nodes = spark.createDataFrame([(1, "f(x)"), (2, None), (3, "f(x)")], "id bigint, code string")
+    got = MD.embedded_nodes(nodes, None, "code", 8)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString() and got.columns == ["id", "code", "vec"]
+    rows = {r.id: r for r in got.collect()}
+    assert rows[1].vec == rows[3].vec and sum(rows[1].vec) == 4 and rows[2].code is None and not any(rows[2].vec)
