@@ -240,7 +240,7 @@ def scanned_files(spark, sf):
     """Documents as text files, one folder each, and back through the tree scan."""
     path = scratch_path(spark, "tree")
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("folder"), "text")
-    docs.repartition("folder").write.partitionBy("folder").option("lineSep", "\n").text(path)
+    FI.write_source_tree(docs, "folder", "text", path)
     found = FI.scan_source_files(spark, path, "*.txt")
     # the sink ends each text with a line feed
     return found.select(

@@ -1,8 +1,47 @@
 """Scans of source trees and of stored code and graphs."""
 
+import os
+import uuid
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+NO_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+
+
+def write_source_tree(rows: DataFrame, folder: str, text: str, root: str, suffix: str = ".txt") -> None:
+    """One folder ``folder=<value>`` below ``root`` per value, with one file of its texts, each ended by a line feed.
+
+    Hadoop's local file system starts a chmod process for every file, so there the tasks write the files themselves: a file is written
+    aside and then takes its name, so a task that runs again changes nothing.  Other file systems take Spark's own writer.
+    """
+    spark = rows.sparkSession
+    own = rows.select(F.col(folder).alias("folder"), F.col(text).alias("text")).repartition("folder")
+    target = spark._jvm.org.apache.hadoop.fs.Path(root)
+    place = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toUri()
+    if place.getScheme() != "file":
+        own.write.partitionBy("folder").option("lineSep", "\n").text(root)
+        return
+    base = place.getPath()
+    os.makedirs(base)
+
+    def run(batches):
+        pairs = (pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        n = 0
+        for name, group in groupby(pairs, lambda pair: pair[0]):
+            at = f"{base}/folder={NO_FOLDER if name is None else name}"
+            os.makedirs(at, exist_ok=True)
+            aside = f"{base}/.{uuid.uuid4().hex}"
+            with open(aside, "w", encoding="utf-8", newline="") as f:
+                f.writelines(f"{t or ''}\n" for _, t in group)
+            os.replace(aside, f"{at}/part-0{suffix}")
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["files"])
+
+    own.sortWithinPartitions("folder").mapInArrow(run, "files bigint").agg(F.sum("files")).first()
+
 
 def scan_source_files(spark: SparkSession, root: str, pattern: str = "*.py") -> DataFrame:
     """file, code, status for every file of the pattern below ``root`` outside __pycache__.

@@ -361,3 +361,14 @@ def test_a_value_without_a_text_keeps_its_file(spark):
     rows = spark.createDataFrame([("a.py", code), ("b.py", "def f(:\n"), ("c.py", None), ("d.py", "x = 1\n" * 3)], "file string, code string")
     assert {r.status: r.files for r in FI.status_counts(FA.extract_facts(rows)).collect()} == {"ok": 3, "unparsable": 1}
     assert FA.extract_facts(rows, ("file", "status", "id")).columns == ["file", "status", "id"]
+
+
+def test_source_tree_is_written_by_the_tasks_themselves(spark, tmp_path):
+    """One file per folder with all its texts; no file comes from Hadoop's local file system, which starts a process for each."""
+    texts = [("1", "a\r\nb"), ("2", None), ("3", "ö"), ("3", "xyz"), (None, "q"), ("4", "")]
+    rows = spark.createDataFrame(texts, "f string, t string")
+    root = str(tmp_path / "tree")
+    FI.write_source_tree(rows, "f", "t", root)
+    got = {r.file.rsplit("folder=", 1)[1].split("/")[0]: (len(r.code), r.status) for r in FI.scan_source_files(spark, root, "*.txt").collect()}
+    assert got == {"1": (4, "ok"), "2": (1, "ok"), "3": (6, "ok"), FI.NO_FOLDER: (2, "ok"), "4": (1, "ok")}
+    assert sorted(p.name for p in (tmp_path / "tree").rglob("*") if p.is_file()) == ["part-0.txt"] * 5
