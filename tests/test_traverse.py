@@ -81,6 +81,26 @@ def test_two_hop_and_complete_graph(spark):
     assert {r.id: r.mean_of_others for r in T.mean_of_others(vals, "v").collect()} == want
 
 
+def test_two_hop_shuffles_no_pairs_of_lone_ends(spark, monkeypatch):
+    """Random graphs against plain sets, in small slices; the pairs of a star are not shuffled after their join."""
+    monkeypatch.setattr(T, "SLICE", 2)
+    r = random.Random(5)
+    rows = {(f"g{g}", r.randrange(12), r.randrange(12)) for g in range(12) for _ in range(4 + 2 * g)}
+    rows |= {("both", 0, k) for k in range(1, 6)} | {("both", k, 0) for k in range(2, 8)} | {(None, 1, 2), (None, 2, 3)}
+    edges = [*rows, ("g0", None, 1), ("g0", 1, None), *list(rows)[:9]]
+    e = {(f, a, b) for f, a, b in edges if a is not None and b is not None}
+    far = {(f, a, d) for f, a, b in e for g, c, d in e if f is not None and f == g and b == c}
+    want = {(f, a, b) for f, a, b in e | far if a != b}
+    want |= {(f, b, a) for f, a, b in want}
+    got = [tuple(x) for x in T.two_hop(spark.createDataFrame(edges, "file string, src long, dst long")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    monkeypatch.setattr(T, "SLICE", 64)
+    star = [("s", k, 0) for k in range(1, 201)] + [("s", 0, k) for k in range(1001, 1201)]
+    df = T.two_hop(spark.createDataFrame(star, "file string, src long, dst long"))
+    assert df.count() == 2 * (400 + 200 * 200)
+    assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().children().last().toString()
+
+
 def test_node_index_with_forced_buckets(spark):
     nodes = spark.createDataFrame([("f" if n % 3 else "g", n * 7) for n in range(100)], "file string, id long")
     want = {}
