@@ -220,3 +220,28 @@ def test_expiry_is_keyed_state_that_survives_a_restart(spark):
     # a key that comes again lives again; a row that is late beyond the watermark takes no part
     assert add((1, 1999), (5, 1000))[1] == ("live", 2059)
     assert spark.conf.get(S.STATE_STORE, None) == before
+
+
+def test_keys_share_states_in_groups(spark, monkeypatch):
+    """Receives and expiries of many keys come from a few states, a call of which serves all its keys; a null message counts, a row without a time too."""
+    monkeypatch.setattr(S, "STATE_GROUPS", 4)
+    src, counts, dead, out = (scratch_path(spark, n) for n in ("many", "counts", "dead", "ends"))
+    want, until = {}, {}
+    for part in range(3):
+        rows = [(None if k == 7 else k, None if k % 50 == 9 else 1000 + 100 * part + k) for k in range(60 * part, 200) for _ in range(1 + k % 3)]
+        df = spark.createDataFrame(rows, "id long, at long").select("id", F.timestamp_seconds("at").alias("ts"), F.timestamp_seconds(F.col("at") + 150).alias("until"))
+        df.coalesce(1).write.mode("append").parquet(src)
+        for k, at in rows:
+            want[k] = want.get(k, 0) + 1
+            if k is not None and at is not None:
+                until[k] = max(until.get(k, 0), at + 150)
+    stream = lambda: S.file_stream(spark, src, df.schema, files=1)
+    messages = stream().select(F.col("id").alias("message_id"), "ts")
+    q = S.run_batches(S.receive_counts(messages, 4), "many", S.route_dead(counts, dead), "update")
+    got = {r.message_id: r.receives for r in S.newest_rows(spark, counts, ["message_id"]).collect()}
+    assert got == want and {r.message_id for r in spark.read.parquet(dead).collect()} == {k for k, n in want.items() if n > 4}
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+    q = S.run_batches(S.expiring_rows(stream(), "id", "ts", "until", "1 day"), "many-ends", S.keep_epochs(out), "update", rocksdb=True)
+    got = {r.key: (r.status, int(r.until.timestamp())) for r in S.newest_rows(spark, out, ["key"]).collect()}
+    assert got == {k: ("live", t) for k, t in until.items()}
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
