@@ -7,7 +7,7 @@ from codeloom.operators import tenancy as TN
 from codeloom.operators import weak_signals as WS
 from codeloom.plans.registry import query
 from codeloom.plans.views import day_nodes, sql, table, view
-from codeloom.session import scratch_path
+from codeloom.session import dealt, grown, scratch_path
 
 
 @query(
@@ -181,9 +181,11 @@ def scan_severities(spark, sf):
     "SELECT l_orderkey, l_linenumber, count(*) AS n, CAST(sum(date_diff('millisecond', o_orderdate, l_shipdate)) AS BIGINT) AS duration_ms FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2",
 )
 def ship_durations(spark, sf):
-    j = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    lines, orders = dealt(["l_orderkey"], lines, orders)
     ms = TN.duration_ms(F.col("o_orderdate"), F.col("l_shipdate"))
-    return j.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.sum(ms).alias("duration_ms"))
+    return lines.join(grown(orders), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.sum(ms).alias("duration_ms"))
 
 
 _ANALYSER = "SELECT 'u' || CAST(user_id AS VARCHAR) AS file, CASE event_type WHEN 'error' THEN 'high' WHEN 'click' THEN 'MEDIUM' WHEN 'view' THEN 'Low' ELSE 'NONE' END AS severity, CASE WHEN event_type <> 'signup' THEN 'B' || CAST(event_id % 20 AS VARCHAR) ELSE '' END AS test_id FROM events WHERE value > 30"

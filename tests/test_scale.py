@@ -96,3 +96,25 @@ def test_default_embedding_needs_no_shuffle(spark):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString() and got.columns == ["id", "code", "vec"]
     rows = {r.id: r for r in got.collect()}
     assert rows[1].vec == rows[3].vec and sum(rows[1].vec) == 4 and rows[2].code is None and not any(rows[2].vec)
+
+
+def test_ship_durations_are_dealt_by_rows(spark, tmp_path):
+    """A task's part of the join does not grow with the tables: more rows make more parts, and neither side is broadcast."""
+    import datetime
+
+    from codeloom.plans.query_tenancy import ship_durations
+    from codeloom.session import dealt
+
+    day = lambda n: datetime.date(2024, 1, n)
+    lines = [(1, 1, day(5)), (1, 1, day(6)), (1, 2, None), (2, 1, day(9)), (None, 1, day(9)), (3, 1, day(9))]
+    orders = [(1, day(1)), (2, day(1)), (2, day(4)), (None, day(1)), (4, day(1))]
+    lines = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_shipdate date")
+    orders = spark.createDataFrame(orders, "o_orderkey long, o_orderdate date")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    df = ship_durations(spark, str(tmp_path))
+    ms = 86_400_000
+    assert broadcasts(df) == 0
+    assert sorted(tuple(r) for r in df.collect()) == [(1, 1, 2, 9 * ms), (1, 2, 1, None), (2, 1, 2, 13 * ms)]
+    a, b = dealt(["k"], spark.range(200).withColumnRenamed("id", "k"), spark.range(50).withColumnRenamed("id", "k"), each=10)
+    assert a.rdd.getNumPartitions() == b.rdd.getNumPartitions() == 20
