@@ -30,7 +30,7 @@ def similar_pairs(cells: DataFrame, least: float, every: bool) -> DataFrame:
     """(u, v, similarity) with a Jaccard similarity of ``least`` or more: ``every`` pair of a cell, or pairs that connect the same members."""
 
     def run(batches):
-        for parts in _whole_cells(batches):
+        for parts in whole_cells(batches):
             node = pa.concat_arrays([p.column(0) for p in parts])
             side = np.concatenate([p.column(2).to_numpy(zero_copy_only=False) for p in parts])
             sets = [np.frombuffer(x, np.uint64) for p in parts for x in p.column(3).to_pylist()]
@@ -42,7 +42,7 @@ def similar_pairs(cells: DataFrame, least: float, every: bool) -> DataFrame:
     return cells.mapInArrow(run, f"u {kind}, v {kind}, similarity double")
 
 
-def _whole_cells(batches):
+def whole_cells(batches):
     """The slices of batches that make up each cell; rows come sorted by cell."""
     held, last = [], None
     for batch in batches:

@@ -340,6 +340,77 @@ def test_near_copy_classes_equal_all_pairs(spark, monkeypatch):
     assert NC.near_copy_classes(df.limit(0), "t", "id").count() == 0
 
 
+def test_near_copy_classes_send_few_whole_sets(spark, monkeypatch):
+    """Texts that only share a phrase are told apart before their sets travel, and a group of many cells is sent a few times, not once per phrase and slice."""
+    import random
+
+    from codeloom.operators import near_copies as NC
+
+    r = random.Random(5)
+    texts = {}
+    for c in range(120):
+        own = [f"u{c}x{i}" for i in range(150)]
+        phrase = [f"p{c // 3}x{i}" for i in range(5)]
+        texts[c] = own[:60] + phrase + own[60:]
+    base = [f"b{i}" for i in range(150)]
+    for c in range(120):
+        at = r.randrange(150)
+        texts[1000 + c] = base[:at] + [f"n{c}"] + base[at + 1 :]
+    monkeypatch.setattr(NC, "MASS", 4000, raising=False)
+    sent, compare = [], NC.similar_pairs
+
+    def counted(cells, least, every):
+        sent.append(cells.agg(F.sum(F.length("digests") / 8)).first()[0] or 0)
+        return compare(cells, least, every=every)
+
+    monkeypatch.setattr(NC, "similar_pairs", counted)
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "id long, t string")
+    got = {k: (c, n) for k, c, n, _ in NC.near_copy_classes(df, "t", "id").collect()}
+    assert got == {k: (k, 1) if k < 1000 else (1000, 120) for k in texts}
+    whole = sum(len(set(w)) - 4 for k, w in texts.items() if k >= 1000)
+    assert whole > 4 * 4000 and sum(sent) < 4 * whole
+
+
+def test_near_copy_classes_of_groups_of_many_cells(spark, monkeypatch):
+    """Stars whose leaves are unlike each other, and sets just below the asked similarity, in groups and buckets cut into many slices."""
+    import random
+
+    from codeloom.operators import near_copies as NC
+
+    r = random.Random(6)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}b{i}" for i in range(200)]
+        rows.append((g * 1000, " ".join(base)))
+        for c in range(1, 40):
+            v = base[:]
+            width = r.choice([6, 14, 17, 18, 19, 20, 22])
+            at = r.randrange(4, 196 - width)
+            v[at : at + width] = [f"g{g}x{c}y{i}" for i in range(width)]
+            rows.append((g * 1000 + c, " ".join(v)))
+    rows += [(5000, rows[3][1]), (3, "a b c"), (3, "a  b c"), (None, rows[0][1])]
+    sets = [(k, frozenset(NC.shingle_digests(t, 5).tolist())) for k, t in rows if k is not None]
+    top = {s: s for _, s in sets}
+
+    def find(s):
+        return s if top[s] == s else find(top[s])
+
+    for a in list(top):
+        for b in list(top):
+            if len(a & b) >= 0.8 * len(a | b) - 1e-12:
+                top[find(a)] = find(b)
+    classes = {}
+    for k, s in sets:
+        classes.setdefault(find(s), []).append(k)
+    want = sorted((k, min(classes[find(s)]), len(classes[find(s)]), min(x for x, y in sets if y == s)) for k, s in sets)
+    monkeypatch.setattr(NC, "MASS", 900, raising=False)
+    monkeypatch.setattr(NC, "SKETCHED", 600, raising=False)
+    df = spark.createDataFrame(rows, "id long, t string")
+    assert sorted(tuple(x) for x in NC.near_copy_classes(df, "t", "id").collect()) == want
+    sizes = {c: n for _, c, n, _ in want}
+    assert any(n > 10 for n in sizes.values()) and list(sizes.values()).count(1) > 10
+
+
 def test_held_out_rows_are_never_fitted(spark):
     from codeloom.operators import models as MD
 
