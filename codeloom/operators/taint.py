@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.operators.ordered import by_value, latest_before, seconds
-from codeloom.session import grown
+from codeloom.session import cut_lineage, grown
 
 # Lines and columns of the smallest cells, and how often a cell doubles.
 LINES_PER_BLOCK = 16
@@ -77,10 +77,11 @@ def dyadic_cover(first: Column, last: Column, levels: int = LEVELS) -> Column:
         some = low < high
         cells.append(F.when(some & (low % 2 == 1), F.struct(F.lit(k).alias("level"), low.alias("cell"))))
         cells.append(F.when(some & (high % 2 == 1), F.struct(F.lit(k).alias("level"), (high - 1).alias("cell"))))
+    single = F.array(F.struct(F.lit(0).alias("level"), first.alias("cell")))
     low, high = F.shiftright(first + F.lit(2**levels - 1).cast("bigint"), levels), F.shiftright(last + 1, levels)
     top = F.when(low < high, F.transform(F.sequence(low, high - 1), lambda c: F.struct(F.lit(levels).alias("level"), c.alias("cell"))))
     none = F.array().cast("array<struct<level:int,cell:bigint>>")
-    return F.concat(F.array_compact(F.array(*cells)), F.coalesce(top, none))
+    return F.when(first == last, single).otherwise(F.concat(F.array_compact(F.array(*cells)), F.coalesce(top, none)))
 
 
 def dyadic_cells(at: Column, levels: list[int] | None = None) -> Column:
@@ -116,9 +117,9 @@ def _spans_by_cell(nodes: DataFrame, lines: int, columns: int) -> DataFrame:
 def _levels_in_use(nodes: DataFrame, lines: int, columns: int) -> tuple[list[int], list[int]]:
     """The levels that hold a span's cell, of lines and of columns: at most ``LEVELS`` + 1 each."""
     spans = nodes.where(F.col("span").isNotNull()).select(F.explode(_span_cells(lines, columns)).alias("c"))
-    of = lambda test: F.collect_set(F.when(test, F.col("c._level")))
-    found = spans.agg(of(F.col("c._line") == -1).alias("lines"), of(F.col("c._line") != -1).alias("columns")).first()
-    return sorted(k for k in found["lines"] if k >= 0), sorted(k for k in found["columns"] if k >= 0)
+    found = spans.select((F.col("c._line") == -1).alias("lines"), F.col("c._level").alias("level")).distinct().collect()
+    of = lambda lines: sorted(r["level"] for r in found if r["lines"] is lines and r["level"] >= 0)
+    return of(True), of(False)
 
 
 def node_at_position(
@@ -136,6 +137,8 @@ def node_at_position(
     want = positions.where(F.col("file").isNotNull() & F.col("line").isNotNull()).select(
         "file", "line", "col", "role"
     ).distinct()
+    # nodes of files that nobody asks for are not cut into cells
+    nodes = cut_lineage(nodes.select("file", "id", "kind", "span").join(grown(want.select("file").distinct()), "file", "left_semi"))
     by_line, by_column = _levels_in_use(nodes, lines, columns)
     in_line = _places(dyadic_cells(F.floor(F.col("col") / columns).cast("bigint"), by_column), F.col("line").cast("bigint"))
     whole = F.array(F.struct(F.col("line").cast("bigint").alias("_line"), F.lit(-1).alias("_level"), F.lit(-1).cast("bigint").alias("_cell")))
