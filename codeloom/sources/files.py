@@ -2,12 +2,18 @@
 
 import os
 import uuid
+from fnmatch import fnmatchcase
 from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.session import spread
+
+# What a task hands on at once when it lists or reads files.
+NAMES_PER_BATCH = 4096
+BYTES_PER_BATCH = 8 << 20
 NO_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 
 
@@ -19,12 +25,10 @@ def write_source_tree(rows: DataFrame, folder: str, text: str, root: str, suffix
     """
     spark = rows.sparkSession
     own = rows.select(F.col(folder).alias("folder"), F.col(text).alias("text")).repartition("folder")
-    target = spark._jvm.org.apache.hadoop.fs.Path(root)
-    place = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toUri()
-    if place.getScheme() != "file":
+    base = _local_path(spark, root)
+    if base is None:
         own.write.partitionBy("folder").option("lineSep", "\n").text(root)
         return
-    base = place.getPath()
     os.makedirs(base)
 
     def run(batches):
@@ -43,18 +47,70 @@ def write_source_tree(rows: DataFrame, folder: str, text: str, root: str, suffix
     own.sortWithinPartitions("folder").mapInArrow(run, "files bigint").agg(F.sum("files")).first()
 
 
+def _local_path(spark: SparkSession, root: str) -> str | None:
+    """The path of ``root`` on the local file system; null on any other, and for a path with wildcards."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(root)
+    place = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toUri()
+    return place.getPath() if place.getScheme() == "file" and not set(root) & set("*?[{") else None
+
+
+def _local_files(spark: SparkSession, base: str, pattern: str) -> DataFrame:
+    """path, content of the files below ``base``: one task names what lies in it, in batches, and the tasks walk and read from there.
+
+    As in Spark's reader, empty files are passed over, and names that begin with a dot, or with an underscore and hold no equals sign.
+    """
+
+    def seen(name):
+        return not (name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_"))
+
+    def entries(_):
+        names = []
+        with os.scandir(base) as found:
+            for entry in found:
+                if seen(entry.name):
+                    names.append(entry.name)
+                if len(names) == NAMES_PER_BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
+                    names = []
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
+
+    def below(path):
+        if not os.path.isdir(path):
+            if fnmatchcase(os.path.basename(path), pattern) and os.path.getsize(path):
+                yield path
+            return
+        for name in sorted(os.listdir(path)):
+            if seen(name):
+                yield from below(f"{path}/{name}")
+
+    def contents(batches):
+        paths, texts, size = [], [], 0
+        for path in (p for b in batches for name in b.column(0).to_pylist() for p in below(f"{base.rstrip('/')}/{name}")):
+            with open(path, "rb") as f:
+                texts.append(f.read())
+            paths.append(f"file:{path}")
+            size += len(texts[-1])
+            if size >= BYTES_PER_BATCH or len(paths) == NAMES_PER_BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.binary())], names=["path", "content"])
+                paths, texts, size = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.binary())], names=["path", "content"])
+
+    names = spark.range(1, numPartitions=1).mapInArrow(entries, "name string")
+    return spread(names, "name").mapInArrow(contents, "path string, content binary")
+
+
 def scan_source_files(spark: SparkSession, root: str, pattern: str = "*.py") -> DataFrame:
     """file, code, status for every file of the pattern below ``root`` outside __pycache__.
 
-    Files that are not UTF-8 stay in the result with status 'undecodable', so they can be counted.
+    Files that are not UTF-8 stay in the result with status 'undecodable', so they can be counted.  On a local file system the tasks
+    list the folders, as Spark's own reader keeps the status of every file in the driver; other file systems take that reader.
     """
-    raw = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .where(~F.contains(F.col("path"), F.lit("/__pycache__/")))
-    )
+    base = _local_path(spark, root)
+    if base is not None and os.path.isdir(base) and not set(pattern) & set("[]{}\\"):
+        raw = _local_files(spark, base, pattern)
+    else:
+        raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
+    raw = raw.where(~F.contains(F.col("path"), F.lit("/__pycache__/")))
     text = F.col("content").cast("string")
     ok = F.is_valid_utf8(text)
     return raw.select(
