@@ -11,6 +11,9 @@ from codeloom.operators.traverse import EDGE_CODES
 from codeloom.session import grown
 
 
+SHORT = 32  # dimensions that are aggregated one by one
+
+
 def node_kind_codes(nodes: DataFrame) -> DataFrame:
     """file, id, kind_code: position of the kind among the graph's distinct kinds in name order.
 
@@ -33,11 +36,19 @@ def graph_line_range(nodes: DataFrame) -> DataFrame:
     )
 
 
-def pooled_vectors(vectors: DataFrame, keys: list[str], vector: str = "vec") -> DataFrame:
+def pooled_vectors(vectors: DataFrame, keys: list[str], vector: str = "vec", dims: int | None = None) -> DataFrame:
     """keys, pooled: mean values followed by max values of the group's vectors.
 
-    The summary is combined per task before the shuffle: one buffer per group, however large it is.
+    The summary is combined per task before the shuffle: one buffer per group, however large it is.  Of short vectors, whose length
+    ``dims`` says, each dimension is an aggregate of its own, which the planner compiles.
     """
+    if dims is not None and dims <= SHORT:
+        at = [F.col(vector)[i].cast("double") for i in range(dims)]
+        sums = [F.sum(x).alias(f"_s{i}") for i, x in enumerate(at)]
+        tops = [F.max(x).alias(f"_m{i}") for i, x in enumerate(at)]
+        parts = vectors.groupBy(*keys).agg(F.count(vector).alias("_n"), *sums, *tops)
+        mean = [F.col(f"_s{i}") / F.col("_n") for i in range(dims)]
+        return parts.select(*keys, F.array(*mean, *[F.col(f"_m{i}") for i in range(dims)]).alias("pooled"))
     both = Summarizer.metrics("mean", "max").summary(array_to_vector(F.col(vector).cast("array<double>")))
     pooled = vectors.groupBy(*keys).agg(both.alias("s"))
     return pooled.select(*keys, F.concat(vector_to_array("s.mean"), vector_to_array("s.max")).alias("pooled"))
